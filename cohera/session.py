@@ -66,6 +66,8 @@ def spread(df: DataFrame, key: str, min_partitions: int | None = None) -> DataFr
     every core gets texts. Hashing on the record key keeps placement
     deterministic under task retries.
     """
+    if df.isStreaming:
+        return df
     spark = df.sparkSession
     want = min_partitions or spark.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= want:

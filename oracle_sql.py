@@ -16,6 +16,9 @@ R = 9
 RECS = """recs AS (
   SELECT doc_id AS record_id, text AS summary, source FROM documents
   WHERE text IS NOT NULL AND text <> '')"""
+BENCH_RECS = """recs AS (
+  SELECT item_id AS record_id, text AS summary, NULL::VARCHAR AS source FROM benchmark
+  WHERE text IS NOT NULL AND text <> '')"""
 
 SENT = r"""sent AS (
   SELECT record_id, source, summary,
@@ -33,7 +36,7 @@ PLAN = f"""plan AS (
               WHEN len(sentences) <= 12 THEN least(factorial(len(sentences)::INTEGER) - 1, {K_MAX})::INTEGER
               ELSE {K_MAX} END AS want
   FROM sent),
-plan2 AS (
+plan2 AS MATERIALIZED (
   SELECT *, CASE WHEN want <= 0 THEN 'none'
                  WHEN n IN ({", ".join(str(n) for n in ENUM_SIZES)}) THEN 'enumerate'
                  ELSE 'sample' END AS method
@@ -65,32 +68,32 @@ att AS (
 att_first AS (SELECT record_id, want, t, min(j) AS j FROM att WHERE t <> canon GROUP BY record_id, want, t),
 samp_r AS (
   SELECT record_id, want, t, row_number() OVER (PARTITION BY record_id ORDER BY j) AS cand_idx FROM att_first),
-negs AS (
+negs AS MATERIALIZED (
   SELECT record_id, cand_idx, t FROM enum_r WHERE cand_idx <= want
   UNION ALL
   SELECT record_id, cand_idx, t FROM samp_r WHERE cand_idx <= want)"""
 
-SCORES = r"""words AS (
-  SELECT record_id,
-         list_transform(sentences, lambda x: list_distinct(list_filter(
-             regexp_split_to_array(lower(x), '[^\p{L}\p{N}]+'), lambda w: w <> ''))) AS w
-  FROM plan2),
+SCORES = r"""words AS MATERIALIZED (
+  SELECT record_id, idx,
+         list_distinct(list_filter(regexp_split_to_array(lower(s), '[^\p{L}\p{N}]+'), lambda w: w <> '')) AS w
+  FROM (SELECT record_id, unnest(range(0, len(sentences))) AS idx, unnest(sentences) AS s FROM plan2)),
 cands AS (
   SELECT record_id, 0 AS cand_idx, canon AS t FROM plan2
   WHERE record_id IN (SELECT record_id FROM negs)
   UNION ALL SELECT record_id, cand_idx, t FROM negs),
-pairs AS (SELECT record_id, cand_idx, t, unnest(range(1, len(t))) AS i FROM cands),
+pairs AS (
+  SELECT record_id, cand_idx, t[i] AS a, t[i + 1] AS b
+  FROM (SELECT record_id, cand_idx, t, unnest(range(1, len(t))) AS i FROM cands)),
 pair_sz AS (
-  SELECT p.record_id, p.cand_idx,
-         len(list_intersect(w.w[p.t[p.i] + 1], w.w[p.t[p.i + 1] + 1])) AS sh,
-         len(w.w[p.t[p.i] + 1]) + len(w.w[p.t[p.i + 1] + 1]) AS sz
-  FROM pairs p JOIN words w USING (record_id)),
-scores AS (
+  SELECT p.record_id, p.cand_idx, len(list_intersect(wa.w, wb.w)) AS sh, len(wa.w) + len(wb.w) AS sz
+  FROM pairs p JOIN words wa ON wa.record_id = p.record_id AND wa.idx = p.a
+  JOIN words wb ON wb.record_id = p.record_id AND wb.idx = p.b),
+scores AS MATERIALIZED (
   SELECT record_id, cand_idx,
          CASE WHEN sum(sz) - sum(sh) > 0 THEN sum(sh)::DOUBLE / (sum(sz) - sum(sh))::DOUBLE ELSE 0.0::DOUBLE END
            AS score
   FROM pair_sz GROUP BY record_id, cand_idx),
-items AS (
+items AS MATERIALIZED (
   SELECT o.record_id, any_value(o.score) AS pos, count(x.score) AS n_neg,
          (1 + count_if(x.score > o.score))::INTEGER AS rnk,
          count_if(o.score > x.score)::INTEGER AS wins, max(x.score) AS max_neg
@@ -102,12 +105,12 @@ def cte(*parts: str, recursive: bool = False) -> str:
     return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(parts)
 
 
-def shuffles_with() -> str:
-    return cte(RECS, SENT, PLAN, PERM, SHUFFLES, recursive=True)
+def shuffles_with(recs: str = RECS, *more: str) -> str:
+    return cte(recs, SENT, PLAN, PERM, SHUFFLES, *more, recursive=True)
 
 
-def scored_with() -> str:
-    return cte(RECS, SENT, PLAN, PERM, SHUFFLES, SCORES, recursive=True)
+def scored_with(recs: str = RECS, *more: str) -> str:
+    return cte(recs, SENT, PLAN, PERM, SHUFFLES, SCORES, *more, recursive=True)
 
 
 def _rd(expr: str) -> str:
@@ -142,3 +145,306 @@ def report_select(ks=(3, 5, 10), total: str = "(SELECT count(*) FROM recs)", whe
     cols += [_rd(f"avg(CASE WHEN rnk <= {k} THEN 1.0::DOUBLE / log2(rnk + 1) ELSE 0.0::DOUBLE END)")
              + f" AS ndcg_at_{k}" for k in ks]
     return "SELECT " + ",\n  ".join(cols) + "\nFROM items" + (f" WHERE {where}" if where else "")
+
+
+# ---------------------------------------------------------------- per query
+THRESHOLD = 0.03125  # logit threshold of the fixed two-class model over scores
+EDGE = r"'\A[ \t\r\n]+|[ \t\r\n]+\z'"
+
+REPORT_COLS = [
+    "total_items_in_dataset", "evaluated_items_count", "top_1_success_count", "top_1_failure_count",
+    "top_1_accuracy", "mean_reciprocal_rank", "pair_ranking_accuracy", "pair_correct_count", "pair_total_count",
+    "avg_len_shuffled", "avg_len_shuffled_success", "avg_len_shuffled_failure", "avg_positive_score",
+    "std_positive_score", "avg_negative_score", "std_negative_score", "avg_margin_victory", "avg_margin_defeat",
+    "recall_at_3", "recall_at_5", "recall_at_10", "ndcg_at_3", "ndcg_at_5", "ndcg_at_10",
+]
+INT_METRICS = {"total_items_in_dataset", "evaluated_items_count", "top_1_success_count",
+               "top_1_failure_count", "pair_correct_count", "pair_total_count"}
+
+
+def report(cols=None) -> str:
+    sql = scored_with() + "\n" + report_select()
+    if cols:
+        return f"SELECT {', '.join(cols)} FROM ({sql})"
+    return sql
+
+
+def report_rows() -> str:
+    names = [c.replace("recall_at_", "recall@").replace("ndcg_at_", "ndcg@") for c in REPORT_COLS]
+    parts = []
+    for i, (c, m) in enumerate(zip(REPORT_COLS, names)):
+        if m in INT_METRICS and m not in ("top_1_success_count", "top_1_failure_count"):
+            text = f"CAST({c} AS BIGINT)::VARCHAR"
+        elif m in ("top_1_success_count", "top_1_failure_count"):
+            text = f"CASE WHEN evaluated_items_count = 0 THEN printf('%.4f', {c}::DOUBLE) ELSE {c}::VARCHAR END"
+        elif "std_" in m or "margin_" in m:
+            text = f"printf('%.6f', {c})"
+        else:
+            text = f"printf('%.4f', {c})"
+        parts.append(f"SELECT {i + 1}::INTEGER AS ord, '{m}' AS metric, round({c}::DOUBLE, {R}) AS value, "
+                     f"{text} AS text FROM rep")
+    return scored_with() + ",\nrep AS (" + report_select() + ")\n" + "\nUNION ALL ".join(parts)
+
+
+def items_sql(select: str) -> str:
+    return scored_with() + "\n" + select
+
+
+def logits_cte(source: str = "scores") -> str:
+    """p1/p0 of the fixed model: logits [0, score - T], max-shifted softmax."""
+    return f"""lg AS (
+  SELECT record_id, cand_idx, CASE WHEN cand_idx = 0 THEN 1 ELSE 0 END AS y,
+         0.0::DOUBLE AS l0, score - {THRESHOLD}::DOUBLE AS l1 FROM {source}),
+lg2 AS (SELECT *, greatest(l0, l1) AS m FROM lg),
+probs AS (
+  SELECT record_id, cand_idx, y, l0, l1, m,
+         exp(l0 - m) / (exp(l0 - m) + exp(l1 - m)) AS p0,
+         exp(l1 - m) / (exp(l0 - m) + exp(l1 - m)) AS p1
+  FROM lg2),
+pred AS (SELECT *, CASE WHEN p1 > p0 THEN 1 ELSE 0 END AS y_pred FROM probs)"""
+
+
+ALL_SCORES = """all_scores AS (
+  SELECT p.record_id, 0 AS cand_idx, coalesce(s.score, 0.0::DOUBLE) AS score
+  FROM plan2 p LEFT JOIN scores s ON s.record_id = p.record_id AND s.cand_idx = 0
+  UNION ALL SELECT record_id, cand_idx, score FROM scores WHERE cand_idx > 0)"""
+
+CLASS_AGG = f"""areas AS (
+  SELECT p1, count_if(y = 1) AS pos, count_if(y <> 1) AS neg,
+         count_if(y = 1 AND y_pred = 1) AS tp, count_if(y <> 1 AND y_pred = 1) AS fp,
+         count_if(y = 1 AND y_pred <> 1) AS fn, count_if(y = y_pred) AS correct
+  FROM pred GROUP BY p1),
+cum AS (
+  SELECT *, sum(pos) OVER (ORDER BY p1 DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cp,
+            sum(neg) OVER (ORDER BY p1 DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cn
+  FROM areas),
+fin AS (
+  SELECT sum(neg * (cp - 0.5 * pos))::DOUBLE AS auc_num,
+         sum(CASE WHEN pos > 0 THEN pos * (cp::DOUBLE / (cp + cn)::DOUBLE) END) AS ap_num,
+         sum(pos) AS P, sum(neg) AS N, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn, sum(correct) AS correct
+  FROM cum)"""
+
+CLASS_SELECT = f"""SELECT
+  round(CASE WHEN 2 * tp + fp + fn > 0 THEN 2.0::DOUBLE * tp / (2 * tp + fp + fn) ELSE 0.0 END, {R}) AS f1,
+  round(CASE WHEN P > 0 AND N > 0 THEN auc_num / (P::DOUBLE * N::DOUBLE) END, {R}) AS roc_auc,
+  round(coalesce(correct::DOUBLE / nullif(P + N, 0)::DOUBLE, 0.0), {R}) AS accuracy,
+  round(CASE WHEN P > 0 THEN ap_num / P::DOUBLE END, {R}) AS pr_auc
+FROM fin"""
+
+
+def classification(cols=("f1", "roc_auc", "accuracy", "pr_auc")) -> str:
+    sql = scored_with(RECS, ALL_SCORES, logits_cte("all_scores"), CLASS_AGG) + "\n" + CLASS_SELECT
+    return f"SELECT {', '.join(cols)} FROM ({sql})"
+
+
+def log_pt() -> str:
+    """log softmax at the label, from the logits CTE."""
+    return "(CASE WHEN y = 1 THEN l1 ELSE l0 END) - m - ln(exp(l0 - m) + exp(l1 - m))"
+
+
+def splits_random(folds: int, test: float, val: float, no_test: bool) -> str:
+    """Long table (fold, role, record_id) of independent seeded reshuffles."""
+    val_eff = f"({val}::DOUBLE / (1 - {test}::DOUBLE))" if (1 - test) > 0 else "0.0::DOUBLE"
+    keys = f"""k AS (
+  SELECT f.fold::INTEGER AS fold, r.record_id,
+         ('0x' || substr(md5(concat_ws('|', {SEED}, 'split', f.fold, 'test', r.record_id)), 1, 15))::BIGINT AS kt,
+         ('0x' || substr(md5(concat_ws('|', {SEED}, 'split', f.fold, 'val', r.record_id)), 1, 15))::BIGINT AS kv
+  FROM recs r, (SELECT unnest(range(1, {folds + 1})) AS fold) f),
+n AS (SELECT count(*) AS n FROM recs),
+t AS (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY kt, record_id) AS rt FROM k),
+t2 AS (SELECT t.*, rt <= floor(n.n::DOUBLE * {test}::DOUBLE) AS is_test FROM t, n),"""
+    if no_test:
+        return "WITH " + RECS + ",\n" + keys.rstrip(",") + """
+SELECT fold, CASE WHEN is_test THEN 'val' ELSE 'train' END AS role, record_id FROM t2"""
+    return "WITH " + RECS + ",\n" + keys + f"""
+rest AS (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY kv, record_id) AS rv FROM t2 WHERE NOT is_test),
+m AS (SELECT fold, count(*) AS nr FROM rest GROUP BY fold)
+SELECT fold, 'test' AS role, record_id FROM t2 WHERE is_test
+UNION ALL
+SELECT rest.fold, CASE WHEN rv <= floor(m.nr::DOUBLE * {val_eff}) THEN 'val' ELSE 'train' END AS role, record_id
+FROM rest JOIN m USING (fold)"""
+
+
+GROUPS = f"""grp AS (
+  SELECT source AS "group", min(record_id) AS first_seen FROM recs GROUP BY source),
+grp2 AS (SELECT *, row_number() OVER (ORDER BY first_seen)::INTEGER AS position FROM grp),
+ng AS (SELECT count(*) AS g FROM grp2),
+plan_g AS (
+  SELECT a.position AS fold, a."group" AS test_group,
+         (('0x' || substr(md5(concat_ws('|', {SEED}, 'group', a.position)), 1, 15))::BIGINT % (ng.g - 1)) + 1 AS r
+  FROM grp2 a, ng),
+plan_v AS (
+  SELECT fold, test_group, CASE WHEN r < fold THEN r ELSE r + 1 END AS val_pos FROM plan_g),
+folds_g AS (
+  SELECT v.fold, v.test_group, b."group" AS val_group FROM plan_v v JOIN grp2 b ON b.position = v.val_pos)"""
+
+
+def group_roles() -> str:
+    return cte(RECS, GROUPS) + """
+SELECT f.fold::INTEGER AS fold,
+       CASE WHEN r.source IS NOT DISTINCT FROM f.test_group THEN 'test'
+            WHEN r.source IS NOT DISTINCT FROM f.val_group THEN 'val' ELSE 'train' END AS role,
+       r.record_id
+FROM recs r, folds_g f"""
+
+
+def fold_metrics() -> str:
+    """Per-fold test reports, leave-one-source-out, long and prefixed."""
+    items_f = """items_f AS (
+  SELECT i.*, g.position AS fold FROM items i JOIN recs r USING (record_id)
+  JOIN grp2 g ON g."group" IS NOT DISTINCT FROM r.source)"""
+    # per-fold aggregate written directly (negatives pooled per fold)
+    per = f"""per AS (
+  SELECT fold,
+    count(*)::BIGINT AS evaluated_items_count,
+    count_if(rnk = 1)::BIGINT AS top_1_success_count,
+    count_if(rnk > 1)::BIGINT AS top_1_failure_count,
+    {_rd("avg(CASE WHEN rnk = 1 THEN 1.0 ELSE 0.0 END::DOUBLE)")} AS top_1_accuracy,
+    {_rd("avg(1.0::DOUBLE / rnk)")} AS mean_reciprocal_rank,
+    {_rd("sum(wins)::DOUBLE / nullif(sum(n_neg), 0)")} AS pair_ranking_accuracy,
+    coalesce(sum(wins), 0)::BIGINT AS pair_correct_count,
+    coalesce(sum(n_neg), 0)::BIGINT AS pair_total_count,
+    {_rd("avg(n_neg::DOUBLE)")} AS avg_len_shuffled,
+    {_rd("avg(CASE WHEN rnk = 1 THEN n_neg::DOUBLE END)")} AS avg_len_shuffled_success,
+    {_rd("avg(CASE WHEN rnk > 1 THEN n_neg::DOUBLE END)")} AS avg_len_shuffled_failure,
+    {_rd("avg(pos)")} AS avg_positive_score,
+    {_rd("stddev_pop(pos)")} AS std_positive_score,
+    {_rd("avg(CASE WHEN rnk = 1 THEN pos - max_neg END)")} AS avg_margin_victory,
+    {_rd("avg(CASE WHEN rnk > 1 THEN max_neg - pos END)")} AS avg_margin_defeat,
+    {", ".join(_rd(f"avg(CASE WHEN rnk <= {k} THEN 1.0 ELSE 0.0 END::DOUBLE)") + f" AS recall_at_{k}" for k in (3, 5, 10))},
+    {", ".join(_rd(f"avg(CASE WHEN rnk <= {k} THEN 1.0::DOUBLE / log2(rnk + 1) ELSE 0.0::DOUBLE END)") + f" AS ndcg_at_{k}" for k in (3, 5, 10))}
+  FROM items_f GROUP BY fold),
+negf AS (
+  SELECT f.fold, {_rd("avg(s.score)")} AS avg_negative_score, {_rd("stddev_pop(s.score)")} AS std_negative_score
+  FROM scores s JOIN items_f f USING (record_id) WHERE s.cand_idx > 0 GROUP BY f.fold),
+totf AS (
+  SELECT g.position AS fold, count(*)::BIGINT AS total_items_in_dataset
+  FROM recs r JOIN grp2 g ON g."group" IS NOT DISTINCT FROM r.source GROUP BY g.position),
+wide AS (
+  SELECT t.fold, t.total_items_in_dataset, p.* EXCLUDE (fold),
+         coalesce(n.avg_negative_score, 0.0) AS avg_negative_score,
+         coalesce(n.std_negative_score, 0.0) AS std_negative_score
+  FROM totf t LEFT JOIN per p USING (fold) LEFT JOIN negf n USING (fold))"""
+    unp = "\nUNION ALL ".join(
+        f"SELECT fold::INTEGER AS fold, 'test_{c}' AS metric, coalesce({c}::DOUBLE, 0.0) AS value FROM wide" for c in REPORT_COLS)
+    return scored_with(RECS, GROUPS, items_f, per) + ",\nlong AS (" + unp + ")\n"
+
+
+def _md5_list(expr: str) -> str:
+    return f"md5(array_to_string({expr}, chr(1)))"
+
+
+def all_queries() -> dict[str, str]:
+    sq: dict[str, str] = {}
+    sq["read_records"] = ("WITH " + RECS + "\nSELECT record_id, source, length(summary)::BIGINT AS n_chars, "
+                          "md5(summary) AS summary_md5 FROM recs")
+    sq["filter_nonempty"] = "SELECT count(*)::BIGINT AS n_kept FROM documents WHERE text IS NOT NULL AND text <> ''"
+    base = cte(RECS, SENT, PLAN)
+    sq["split_sentences"] = (base + "\nSELECT record_id, n::INTEGER AS n_sentences, "
+                             "md5(array_to_string(sentences, chr(1))) AS sentences_md5 FROM plan")
+    sq["sentence_count"] = base + "\nSELECT n::INTEGER AS n_sentences, count(*)::BIGINT AS n_texts FROM plan GROUP BY n"
+    sq["shuffle_plan"] = (cte(RECS, SENT, PLAN) + "\nSELECT record_id, n::INTEGER AS n_sentences, want::INTEGER AS want,"
+                          " method FROM plan2")
+    sq["distinct_permutations"] = (shuffles_with() + "\nSELECT p.record_id, count(d.t)::BIGINT AS n_distinct "
+                                   "FROM plan2 p LEFT JOIN enum_d d USING (record_id) WHERE p.method = 'enumerate' "
+                                   "GROUP BY p.record_id")
+    sq["sample_permutations"] = (shuffles_with() + "\nSELECT record_id, cand_idx::INTEGER AS cand_idx, "
+                                 "array_to_string(t, ',') AS order_str FROM enum_r WHERE cand_idx <= want")
+    sq["sample_shuffles"] = (shuffles_with() + "\nSELECT record_id, cand_idx::INTEGER AS cand_idx, "
+                             "array_to_string(t, ',') AS order_str FROM samp_r WHERE cand_idx <= want")
+    neg_text = """neg_text AS (
+  SELECT n.record_id, n.cand_idx, array_to_string(list_transform(n.t, lambda i: p.sentences[i + 1]), ' ') AS text
+  FROM negs n JOIN plan2 p USING (record_id))"""
+    sq["join_sentences"] = (shuffles_with(RECS, neg_text) + "\nSELECT record_id, cand_idx::INTEGER AS cand_idx, "
+                            "md5(text) AS text_md5, length(text)::BIGINT AS text_len FROM neg_text")
+    sq["generate_shuffles"] = (shuffles_with() + """
+SELECT p.record_id, count(n.t)::BIGINT AS n_neg,
+       md5(coalesce(string_agg(array_to_string(n.t, ','), ';' ORDER BY n.cand_idx), '')) AS shuffles_md5
+FROM plan2 p LEFT JOIN negs n USING (record_id) GROUP BY p.record_id""")
+    cands_text = neg_text + """,
+cand_text AS (
+  SELECT record_id, 0 AS cand_idx, summary AS text FROM plan2
+  UNION ALL SELECT record_id, cand_idx, text FROM neg_text),
+nn AS (SELECT p.record_id, count(n.t) AS n_neg FROM plan2 p LEFT JOIN negs n USING (record_id) GROUP BY p.record_id)"""
+    sq["labelled_pairs"] = (shuffles_with(RECS, cands_text) + """
+SELECT record_id, cand_idx::INTEGER AS cand_idx, CASE WHEN cand_idx = 0 THEN 1 ELSE 0 END::INTEGER AS label,
+       md5(text) AS text_md5, length(text)::BIGINT AS text_len FROM cand_text""")
+    sq["ranking_candidates"] = (shuffles_with(RECS, cands_text) + """
+SELECT c.record_id, c.cand_idx::INTEGER AS cand_idx, nn.n_neg::BIGINT AS n_neg, md5(c.text) AS text_md5
+FROM cand_text c JOIN nn USING (record_id)""")
+    sq["truncate_tokens"] = (shuffles_with(RECS, cands_text) + f""",
+tok AS (SELECT record_id, cand_idx, text,
+               string_split_regex(regexp_replace(text, {EDGE}, '', 'g'), '[ \\t\\r\\n]+') AS tk FROM cand_text)
+SELECT record_id, cand_idx::INTEGER AS cand_idx, len(tk)::BIGINT AS n_tokens, len(tk) > 512 AS truncated,
+       md5(CASE WHEN len(tk) > 512 THEN array_to_string(tk[1:512], ' ') ELSE text END) AS trunc_md5
+FROM tok""")
+    sq["lexical_coherence"] = (scored_with(RECS, ALL_SCORES) +
+                               f"\nSELECT record_id, cand_idx::INTEGER AS cand_idx, round(score, {R}) AS score "
+                               "FROM all_scores")
+    sq["softmax_positive"] = (scored_with(RECS, ALL_SCORES, logits_cte("all_scores")) +
+                              f"\nSELECT record_id, cand_idx::INTEGER AS cand_idx, round(p1, {R}) AS p1 FROM probs")
+    sq["predict_label"] = (scored_with(RECS, ALL_SCORES, logits_cte("all_scores")) +
+                           "\nSELECT record_id, cand_idx::INTEGER AS cand_idx, y::INTEGER AS label, "
+                           "y_pred::INTEGER AS y_pred FROM pred")
+    w0, w1 = 1.0, 5.0
+    sq["weighted_cross_entropy"] = (scored_with(RECS, ALL_SCORES, logits_cte("all_scores")) + f"""
+SELECT round(sum(CASE WHEN y = 1 THEN {w1} ELSE {w0} END::DOUBLE * -({log_pt()}))
+             / sum(CASE WHEN y = 1 THEN {w1} ELSE {w0} END::DOUBLE), {R}) AS loss FROM probs""")
+    a0, a1 = 0.25, 0.75
+    focal = f"(-pow(1 - exp({log_pt()}), 2.0) * ({log_pt()}))"
+    sq["focal_loss"] = (scored_with(RECS, ALL_SCORES, logits_cte("all_scores")) + f"""
+SELECT round(avg(CASE WHEN y = 1 THEN {a1} ELSE {a0} END::DOUBLE * {focal}), {R}) AS loss_mean,
+       round(sum(CASE WHEN y = 1 THEN {a1} ELSE {a0} END::DOUBLE * {focal}), {R}) AS loss_sum,
+       round(avg(-pow(1 - exp({log_pt()}), 0.0) * ({log_pt()})), {R}) AS loss_gamma0
+FROM probs""")
+    sq["rank_of_original"] = items_sql(
+        f"SELECT record_id, rnk AS rank, n_neg::BIGINT AS n_neg, wins::BIGINT AS wins, round(pos, {R}) AS pos, "
+        f"round(max_neg, {R}) AS max_neg FROM items")
+    sq["rankable"] = items_sql("SELECT record_id, n_neg::BIGINT AS n_neg FROM items")
+    sq["item_pair_score"] = items_sql(
+        f"SELECT p.record_id, round(CASE WHEN i.n_neg > 0 THEN i.wins::DOUBLE / i.n_neg ELSE -1.0 END, {R}) "
+        "AS pair_score FROM plan2 p LEFT JOIN items i USING (record_id)")
+    sq["candidate_count_ok"] = (scored_with(RECS, ALL_SCORES) +
+                                "\nSELECT record_id, count(*)::BIGINT AS n_scores FROM all_scores GROUP BY record_id")
+    sq["top1"] = report(["top_1_success_count", "top_1_accuracy"])
+    sq["pairwise_accuracy"] = report(["pair_correct_count", "pair_total_count", "pair_ranking_accuracy"])
+    sq["mean_reciprocal_rank"] = report(["mean_reciprocal_rank"])
+    sq["recall_at_k"] = report(["recall_at_3", "recall_at_5", "recall_at_10"])
+    sq["ndcg_at_k"] = report(["ndcg_at_3", "ndcg_at_5", "ndcg_at_10"])
+    sq["shuffle_count_stats"] = report(["avg_len_shuffled", "avg_len_shuffled_success", "avg_len_shuffled_failure"])
+    sq["top1_counts"] = report(["top_1_success_count", "top_1_failure_count"])
+    sq["margins"] = report(["avg_margin_victory", "avg_margin_defeat"])
+    sq["positive_score_stats"] = report(["avg_positive_score", "std_positive_score"])
+    sq["negative_score_stats"] = report(["avg_negative_score", "std_negative_score"])
+    sq["item_counts"] = report(["total_items_in_dataset", "evaluated_items_count", "pair_total_count"])
+    sq["ranking_report"] = report()
+    short = "record_id IN (SELECT record_id FROM plan2 WHERE n < 2)"
+    sq["empty_result"] = scored_with() + "\n" + report_select(
+        total="(SELECT count(*) FROM plan2 WHERE n < 2)", where=short)
+    sq["report_rows"] = report_rows()
+    sq["accuracy"] = classification(["accuracy"])
+    sq["f1"] = classification(["f1"])
+    sq["roc_auc"] = classification(["roc_auc"])
+    sq["average_precision"] = classification(["pr_auc"])
+    sq["classification_report"] = classification()
+    sq["split_exact"] = ("WITH " + RECS + f""",
+k AS (SELECT record_id, ('0x' || substr(md5(concat_ws('|', {SEED}, 'split', 1, 'test', record_id)), 1, 15))::BIGINT AS kt
+      FROM recs),
+r AS (SELECT record_id, row_number() OVER (ORDER BY kt, record_id) AS rn FROM k)
+SELECT record_id, rn <= floor((SELECT count(*) FROM recs)::DOUBLE * 0.29::DOUBLE) AS held FROM r""")
+    sq["random_holdout"] = splits_random(3, 0.2, 0.2, False)
+    sq["no_test_split"] = splits_random(2, 0.2, 0.2, True)
+    sq["split_sizes"] = ("SELECT fold, role, count(*)::BIGINT AS n FROM (" + splits_random(3, 0.2, 0.2, False)
+                         + ") GROUP BY fold, role")
+    sq["distinct_groups"] = cte(RECS, GROUPS) + '\nSELECT "group", first_seen, position FROM grp2'
+    sq["pick_val_group"] = cte(RECS, GROUPS) + "\nSELECT fold::INTEGER AS fold, test_group, val_group FROM folds_g"
+    sq["leave_one_group_out"] = group_roles()
+    sq["prefix_metrics"] = fold_metrics() + "SELECT fold, metric, value FROM long"
+    sq["cv_summary"] = fold_metrics() + f"""SELECT metric, round(avg(value), {R}) AS mean,
+       round(coalesce(stddev_samp(value), 0.0), {R}) AS std, count(value)::BIGINT AS n_folds
+FROM long GROUP BY metric"""
+    sq["eval_csv_report"] = scored_with(BENCH_RECS) + "\n" + report_select()
+    sq["eval_csv_items"] = scored_with(BENCH_RECS) + (
+        f"\nSELECT p.record_id AS item_id, round(CASE WHEN i.n_neg > 0 THEN i.wins::DOUBLE / i.n_neg ELSE -1.0 END,"
+        f" {R}) AS pair_score FROM plan2 p LEFT JOIN items i USING (record_id)")
+    return sq
