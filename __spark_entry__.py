@@ -25,6 +25,7 @@ from cohera.operators import splits as SP
 from cohera.operators.shuffles import distinct_permutations, generate_shuffles, permutation_table
 from cohera.plans import jobs as J
 from cohera.plans.evaluation import K_MAX, SEED, lexical_items, sentence_table, shuffled, with_lexical_scores
+from cohera.session import fenced_where
 from cohera.sources.records import filter_nonempty, read_documents, records_from_table
 
 THRESHOLD = O.THRESHOLD
@@ -40,10 +41,6 @@ def _report(spark, sf) -> DataFrame:
     return RK.ranking_report(lexical_items(_docs(spark, sf)))
 
 
-def _proj(*cols):
-    return lambda spark, sf: _report(spark, sf).select(*cols)
-
-
 def _items(spark, sf) -> DataFrame:
     return lexical_items(_docs(spark, sf))
 
@@ -101,7 +98,7 @@ def q_shuffle_plan(spark, sf):
 
 
 def q_distinct_permutations(spark, sf):
-    sh = _shuffles(spark, sf).where(F.col("method") == "enumerate")
+    sh = fenced_where(_shuffles(spark, sf), F.col("method") == "enumerate")
     table = F.broadcast(permutation_table(spark, [2, 3, 4, 5, 6]))
     j = sh.join(table, sh["n_sentences"] == table["perm_n"])
     return j.select("record_id", F.size(distinct_permutations(F.col("perms"), F.col("canon")))
@@ -114,11 +111,11 @@ def _neg_rows(df):
 
 
 def q_sample_permutations(spark, sf):
-    return _neg_rows(_shuffles(spark, sf).where(F.col("method") == "enumerate"))
+    return _neg_rows(fenced_where(_shuffles(spark, sf), F.col("method") == "enumerate"))
 
 
 def q_sample_shuffles(spark, sf):
-    return _neg_rows(_shuffles(spark, sf).where(F.col("method") == "sample"))
+    return _neg_rows(fenced_where(_shuffles(spark, sf), F.col("method") == "sample"))
 
 
 def q_join_sentences(spark, sf):
@@ -203,8 +200,7 @@ def q_candidate_count_ok(spark, sf):
 
 
 def q_empty_result(spark, sf):
-    it = _items(spark, sf).where(F.col("n_sentences") < 2)
-    return RK.ranking_report(it)
+    return RK.empty_result(_items(spark, sf).where(F.col("n_sentences") < 2))
 
 
 def q_report_rows(spark, sf):
@@ -356,17 +352,17 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "rankable": q_rankable,
     "item_pair_score": q_item_pair_score,
     "candidate_count_ok": q_candidate_count_ok,
-    "top1": _proj("top_1_success_count", "top_1_accuracy"),
-    "pairwise_accuracy": _proj("pair_correct_count", "pair_total_count", "pair_ranking_accuracy"),
-    "mean_reciprocal_rank": _proj("mean_reciprocal_rank"),
-    "recall_at_k": _proj("recall_at_3", "recall_at_5", "recall_at_10"),
-    "ndcg_at_k": _proj("ndcg_at_3", "ndcg_at_5", "ndcg_at_10"),
-    "shuffle_count_stats": _proj("avg_len_shuffled", "avg_len_shuffled_success", "avg_len_shuffled_failure"),
-    "top1_counts": _proj("top_1_success_count", "top_1_failure_count"),
-    "margins": _proj("avg_margin_victory", "avg_margin_defeat"),
-    "positive_score_stats": _proj("avg_positive_score", "std_positive_score"),
-    "negative_score_stats": _proj("avg_negative_score", "std_negative_score"),
-    "item_counts": _proj("total_items_in_dataset", "evaluated_items_count", "pair_total_count"),
+    "top1": lambda s, sf: RK.top1(_items(s, sf)),
+    "pairwise_accuracy": lambda s, sf: RK.pairwise_accuracy(_items(s, sf)),
+    "mean_reciprocal_rank": lambda s, sf: RK.mean_reciprocal_rank(_items(s, sf)),
+    "recall_at_k": lambda s, sf: RK.recall_at_k(_items(s, sf)),
+    "ndcg_at_k": lambda s, sf: RK.ndcg_at_k(_items(s, sf)),
+    "shuffle_count_stats": lambda s, sf: RK.shuffle_count_stats(_items(s, sf)),
+    "top1_counts": lambda s, sf: RK.top1_counts(_items(s, sf)),
+    "margins": lambda s, sf: RK.margins(_items(s, sf)),
+    "positive_score_stats": lambda s, sf: RK.positive_score_stats(_items(s, sf)),
+    "negative_score_stats": lambda s, sf: RK.negative_score_stats(_items(s, sf)),
+    "item_counts": lambda s, sf: RK.item_counts(_items(s, sf)),
     "ranking_report": _report,
     "empty_result": q_empty_result,
     "report_rows": q_report_rows,

@@ -1,6 +1,8 @@
 from .keys import key60, md5_key
 from .scoring import (
     lexical_coherence,
+    lexical_coherence_scores,
+    shared_words,
     log_softmax_at,
     logits_from_score,
     predict_label,
@@ -17,7 +19,7 @@ from .sentences import (
 )
 
 __all__ = [
-    "canonical_positions", "join_sentences", "key60", "lexical_coherence", "log_softmax_at",
+    "canonical_positions", "join_sentences", "key60", "lexical_coherence", "lexical_coherence_scores", "shared_words", "log_softmax_at",
     "logits_from_score", "md5_key", "pick_sentences", "predict_label", "sentence_count",
     "softmax", "softmax_positive", "split_sentences", "word_sets",
 ]

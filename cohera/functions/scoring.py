@@ -10,20 +10,11 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def lexical_coherence(words: Column | str, order: Column, size_total: Column) -> Column:
-    """Stand-in coherence score of one sentence order, needing no model file.
-
-    ``words`` is the per-sentence distinct word sets (``word_sets``),
-    ``order`` the 0-based sentence positions of the candidate and
-    ``size_total`` the sum of all set sizes. Score = shared words over
-    united words, summed over neighbouring sentences. Only integers and one
-    division, so every engine gets the same bits.
-    """
+def shared_words(words: Column | str, order: Column) -> Column:
+    """Sum over neighbouring sentences of the order of their shared words."""
     w = _col(words)
     n = F.size(order)
-    first = F.size(F.element_at(w, F.element_at(order, 1) + 1))
-    last = F.size(F.element_at(w, F.element_at(order, -1) + 1))
-    shared = F.aggregate(
+    return F.aggregate(
         F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))),
         F.lit(0).cast("bigint"),
         lambda acc, i: acc
@@ -34,12 +25,40 @@ def lexical_coherence(words: Column | str, order: Column, size_total: Column) ->
             )
         ).cast("bigint"),
     )
-    union = 2 * size_total - first - last - shared
-    return (
-        F.when(n < 2, F.lit(0.0))
-        .when(union > 0, shared.cast("double") / union.cast("double"))
-        .otherwise(F.lit(0.0))
-    )
+
+
+def lexical_coherence_scores(words: Column | str, orders: Column, size_total: Column) -> Column:
+    """Stand-in coherence score of every sentence order, needing no model file.
+
+    ``words`` is the per-sentence distinct word sets (``word_sets``),
+    ``orders`` the candidates as 0-based sentence positions and
+    ``size_total`` the sum of all set sizes. Score = shared words over
+    united words, summed over neighbouring sentences (0.0 with fewer than
+    two sentences or no words). Only integers and one division, so every
+    engine gets the same bits.
+
+    The pair overlaps are computed once per candidate into a struct and the
+    ratio is taken in a second pass: lambdas get no common-subexpression
+    elimination, so referring to the sum twice would compute it twice.
+    """
+    w = _col(words)
+
+    def stats(o):
+        ends = F.size(F.element_at(w, F.element_at(o, 1) + 1)) + F.size(F.element_at(w, F.element_at(o, -1) + 1))
+        return F.when(F.size(o) >= 2, F.struct(shared_words(w, o).alias("sh"), ends.cast("bigint").alias("ends")))
+
+    def ratio(p):
+        union = 2 * size_total - p["ends"] - p["sh"]
+        return (F.when(p.isNull(), F.lit(0.0))
+                .when(union > 0, p["sh"].cast("double") / union.cast("double"))
+                .otherwise(F.lit(0.0)))
+
+    return F.transform(F.transform(orders, stats), ratio)
+
+
+def lexical_coherence(words: Column | str, order: Column, size_total: Column) -> Column:
+    """Lexical coherence score of one sentence order (see the array form)."""
+    return F.element_at(lexical_coherence_scores(words, F.array(order), size_total), 1)
 
 
 def softmax(logits: Column | str) -> Column:

@@ -104,24 +104,30 @@ def run_folds(spark, records: DataFrame, plan: FoldPlan, fit, evaluate, no_test:
 
     no_test = plan.no_test if no_test is None else no_test
     rows, errors = [], []
+
+    def one_fold(f):
+        split = fold_split(records, plan, f)
+        model = fit(split.where(F.col("role") == "train"), split.where(F.col("role") == "val"))
+        if no_test:
+            return [(f, None, None, "trained")]
+        rep = evaluate(model, split.where(F.col("role") == "test")).collect()
+        if not rep:
+            return [(f, None, None, "empty")]
+        return [(f, "test_" + k, float(v), "ok") for k, v in rep[0].asDict().items()
+                if isinstance(v, (int, float)) and not isinstance(v, bool)]
+
     for f in plan.folds:
-        try:
-            split = fold_split(records, plan, f)
-            model = fit(split.where(F.col("role") == "train"), split.where(F.col("role") == "val"))
-            if no_test:
-                rows.append((f, None, None, "trained"))
-                continue
-            rep = evaluate(model, split.where(F.col("role") == "test")).collect()
-            if not rep:
-                rows.append((f, None, None, "empty"))
-                continue
-            for k, v in rep[0].asDict().items():
-                if isinstance(v, (int, float)) and not isinstance(v, bool):
-                    rows.append((f, "test_" + k, float(v), "ok"))
-        except Exception as e:  # one fold's failure must not stop the others
-            log.error("fold %s failed: %s", f, e)
-            errors.append(e)
-            rows.append((f, None, None, "failed"))
+        rows += isolate_fold_failure(f, one_fold, errors)
     if errors and len(errors) == len(plan.folds):
         raise errors[0]
     return spark.createDataFrame(rows, FOLD_RESULT_SCHEMA)
+
+
+def isolate_fold_failure(fold: int, work, errors: list) -> list:
+    """Run one fold; an error is logged and kept, and the fold is marked failed."""
+    try:
+        return work(fold)
+    except Exception as e:  # one fold's failure must not stop the others
+        log.error("fold %s failed: %s", fold, e)
+        errors.append(e)
+        return [(fold, None, None, "failed")]

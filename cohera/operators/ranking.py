@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import fenced_where
+
 DEFAULT_K_VALUES = (3, 5, 10)
 ROUND = 9  # metric decimals kept; float sums differ in the last bits by order
 
@@ -78,7 +80,7 @@ def items_from_scores(df: DataFrame, scores: str = "scores") -> DataFrame:
 
 def rankable(items: DataFrame) -> DataFrame:
     """Items with at least one shuffle (others cannot be ranked)."""
-    return items.where(F.col("n_neg") > 0)
+    return fenced_where(items, F.col("n_neg") > 0)
 
 
 def candidate_count_ok(scored: DataFrame, record_id: str = "record_id", cand_idx: str = "cand_idx",
@@ -214,3 +216,80 @@ def report_rows(report: DataFrame) -> DataFrame:
     )
     return long.select(F.col("ord").cast("int").alias("ord"), "metric", _r(F.col("value")).alias("value"),
                        text.alias("text"))
+
+
+# Metric groups of the report, each a projection of the one aggregate (a
+# caller wanting several groups should select them from ``ranking_report``).
+METRIC_GROUPS = {
+    "top1": ["top_1_success_count", "top_1_accuracy"],
+    "pairwise_accuracy": ["pair_correct_count", "pair_total_count", "pair_ranking_accuracy"],
+    "mean_reciprocal_rank": ["mean_reciprocal_rank"],
+    "shuffle_count_stats": ["avg_len_shuffled", "avg_len_shuffled_success", "avg_len_shuffled_failure"],
+    "top1_counts": ["top_1_success_count", "top_1_failure_count"],
+    "margins": ["avg_margin_victory", "avg_margin_defeat"],
+    "positive_score_stats": ["avg_positive_score", "std_positive_score"],
+    "negative_score_stats": ["avg_negative_score", "std_negative_score"],
+    "item_counts": ["total_items_in_dataset", "evaluated_items_count", "pair_total_count"],
+}
+
+
+def _group(name: str, items: DataFrame) -> DataFrame:
+    return ranking_report(items).select(*METRIC_GROUPS[name])
+
+
+def top1(items: DataFrame) -> DataFrame:
+    """Count and rate of items whose original ranks first."""
+    return _group("top1", items)
+
+
+def pairwise_accuracy(items: DataFrame) -> DataFrame:
+    """Strictly-greater pairs over all pairs, pooled over items."""
+    return _group("pairwise_accuracy", items)
+
+
+def mean_reciprocal_rank(items: DataFrame) -> DataFrame:
+    return _group("mean_reciprocal_rank", items)
+
+
+def recall_at_k(items: DataFrame, k_values=DEFAULT_K_VALUES) -> DataFrame:
+    """Share of items whose original ranks within k, per k."""
+    return ranking_report(items, k_values).select(*[f"recall_at_{k}" for k in normalize_k_values(k_values)])
+
+
+def ndcg_at_k(items: DataFrame, k_values=DEFAULT_K_VALUES) -> DataFrame:
+    """Mean of ``1/log2(rank+1)`` when rank <= k, else 0, per k."""
+    return ranking_report(items, k_values).select(*[f"ndcg_at_{k}" for k in normalize_k_values(k_values)])
+
+
+def shuffle_count_stats(items: DataFrame) -> DataFrame:
+    """Mean shuffle count: all evaluated items, top-1 successes, failures."""
+    return _group("shuffle_count_stats", items)
+
+
+def top1_counts(items: DataFrame) -> DataFrame:
+    return _group("top1_counts", items)
+
+
+def margins(items: DataFrame) -> DataFrame:
+    """Victory margin ``pos - max(negs)`` and defeat margin ``max(negs) - pos``."""
+    return _group("margins", items)
+
+
+def positive_score_stats(items: DataFrame) -> DataFrame:
+    """Mean and population std of the original's score."""
+    return _group("positive_score_stats", items)
+
+
+def negative_score_stats(items: DataFrame) -> DataFrame:
+    """Mean and population std pooled over every negative."""
+    return _group("negative_score_stats", items)
+
+
+def item_counts(items: DataFrame) -> DataFrame:
+    """Items in the input, evaluated items, compared pairs."""
+    return _group("item_counts", items)
+
+
+def empty_result(items: DataFrame) -> DataFrame:
+    """The report of items none of which can be ranked: every metric 0."""
+    return ranking_report(fenced_where(items, ~F.col("rankable")))

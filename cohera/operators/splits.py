@@ -58,8 +58,9 @@ def _held(seed, fold, stage, record_id, threshold) -> Column:
     if threshold is None:
         return F.lit(False)
     tk, tt = threshold
-    k = split_key(seed, fold, stage, record_id)
-    return (k < F.lit(tk)) | ((k == F.lit(tk)) & (F.col(record_id) <= F.lit(tt)))
+    # one struct comparison, so the md5 key is computed once per row
+    row = F.struct(split_key(seed, fold, stage, record_id).alias("k"), F.col(record_id).cast("bigint").alias("t"))
+    return row <= F.struct(F.lit(tk).cast("bigint").alias("k"), F.lit(tt).cast("bigint").alias("t"))
 
 
 @dataclass

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scoring import lexical_coherence
+from ..functions.scoring import lexical_coherence_scores
 from ..functions.sentences import split_sentences, word_sets
 from ..operators.ranking import items_from_scores
 from ..operators.shuffles import generate_shuffles
@@ -43,8 +43,7 @@ def with_lexical_scores(df: DataFrame) -> DataFrame:
     df = df.withColumn("words", word_sets("sentences"))
     df = df.withColumn("word_total", F.aggregate(F.col("words"), F.lit(0).cast("bigint"),
                                                  lambda acc, w: acc + F.size(w)))
-    return df.withColumn(
-        "scores", F.transform(candidate_orders(), lambda o: lexical_coherence(F.col("words"), o, F.col("word_total"))))
+    return df.withColumn("scores", lexical_coherence_scores("words", candidate_orders(), F.col("word_total")))
 
 
 def lexical_items(records: DataFrame, k_max: int = K_MAX, seed: int = SEED,

@@ -73,3 +73,20 @@ def spread(df: DataFrame, key: str, min_partitions: int | None = None) -> DataFr
     if df.rdd.getNumPartitions() >= want:
         return df
     return df.repartition(want, key)
+
+
+def fenced_where(df: DataFrame, condition) -> DataFrame:
+    """Filter rows on derived columns without duplicating their expressions.
+
+    The optimizer pushes a filter below projections by inlining the aliased
+    expressions into the condition; on a heavy derived column (scores of
+    every shuffle of a text) that computes the expression twice. A
+    non-deterministic column (the task's partition id) that the condition
+    references keeps the filter above the projection that makes the column.
+    """
+    from pyspark.sql import functions as F
+
+    fence = "_fence"
+    return (df.withColumn(fence, F.spark_partition_id())
+            .where(condition & (F.col(fence) >= 0))
+            .drop(fence))

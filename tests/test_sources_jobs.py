@@ -63,8 +63,8 @@ def test_eval_csv_job(spark, scratch):
     s = scored.collect()
     assert len(s) == 40 and all(-1.0 <= r.pair_score <= 1.0 for r in s)
     assert sum(1 for r in s if r.pair_score == -1.0) == rep.total_items_in_dataset - rep.evaluated_items_count
-    back = spark.read.option("header", True).csv(f"{out}/test_data_predicted.csv")
-    assert set(back.columns) == {"item_id", "text", "pair_score"} and back.count() == 40
+    back = read_eval_csv(spark, f"{out}/test_data_predicted.csv")
+    assert set(back.columns) == {"item_id", "text", "pair_score", "record_id"} and back.count() == 40
     with pytest.raises(KeyError):
         read_eval_csv(spark, csv, text="nope")
 
