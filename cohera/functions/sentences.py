@@ -33,20 +33,51 @@ def sentence_count(sentences: Column | str) -> Column:
     return F.size(_col(sentences))
 
 
+def let(value: Column, body) -> Column:
+    """Bind ``value`` to a lambda variable and evaluate ``body(var)`` once.
+
+    Inside higher-order functions a sub-expression referred to twice is
+    computed twice (no common-subexpression elimination in lambdas); binding
+    it through a one-element ``transform`` computes it once.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def canonical_positions(sentences: Column | str) -> Column:
     """0-based position of the first equal sentence, per sentence.
 
     Two orders are the same text exactly when their canonical position
     arrays are equal, so uniqueness can be decided on small int arrays
     instead of on joined strings. When all sentences differ (the usual
-    case) this is ``sequence(0, n-1)`` without the quadratic lookup.
+    case) this is ``sequence(0, n-1)``. Otherwise it is O(n log n): sort
+    ``(sentence, position)``, find where runs of equal sentences start, and
+    give every member of a run the position of its first member.
     """
     s = _col(sentences)
     n = F.size(s)
+
+    def with_sorted(srt):
+        starts = F.filter(
+            F.sequence(F.lit(0), n - 1),
+            lambda j: (j == 0) | (F.element_at(srt, j + 1)["x"] != F.element_at(srt, F.greatest(j, F.lit(1)))["x"]))
+
+        def with_starts(st):
+            m = F.size(st)
+
+            def run(a, k):
+                nxt = F.when(k + 1 < m, F.element_at(st, F.least(k + 2, m))).otherwise(n)
+                return let(F.element_at(srt, a + 1)["i"], lambda first: F.transform(
+                    F.slice(srt, a + 1, nxt - a), lambda z: F.struct(z["i"].alias("i"), first.alias("c"))))
+
+            return F.transform(F.array_sort(F.flatten(F.transform(st, run))), lambda p: p["c"].cast("int"))
+
+        return let(starts, with_starts)
+
+    srt = F.array_sort(F.transform(s, lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
     return (
         F.when(n == 0, F.array().cast("array<int>"))
         .when(F.size(F.array_distinct(s)) == n, F.sequence(F.lit(0), n - 1))
-        .otherwise(F.transform(s, lambda x: (F.array_position(s, x) - 1).cast("int")))
+        .otherwise(let(srt, with_sorted))
     )
 
 

@@ -122,8 +122,8 @@ def report_select(ks=(3, 5, 10), total: str = "(SELECT count(*) FROM recs)", whe
     cols = [
         f"{total}::BIGINT AS total_items_in_dataset",
         "count(*)::BIGINT AS evaluated_items_count",
-        "count_if(rnk = 1)::BIGINT AS top_1_success_count",
-        "count_if(rnk > 1)::BIGINT AS top_1_failure_count",
+        "coalesce(count_if(rnk = 1), 0)::BIGINT AS top_1_success_count",
+        "coalesce(count_if(rnk > 1), 0)::BIGINT AS top_1_failure_count",
         _rd("avg(CASE WHEN rnk = 1 THEN 1.0 ELSE 0.0 END::DOUBLE)") + " AS top_1_accuracy",
         _rd("avg(1.0::DOUBLE / rnk)") + " AS mean_reciprocal_rank",
         _rd("sum(wins)::DOUBLE / nullif(sum(n_neg), 0)") + " AS pair_ranking_accuracy",
