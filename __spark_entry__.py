@@ -212,6 +212,20 @@ def _pred(spark, sf):
     return CL.with_predictions(_labelled_logits(spark, sf))
 
 
+def q_quality_classification(spark, sf):
+    """Quality labels (``labels``) predicted from the original's coherence.
+
+    A plain equi-join on the id: AQE turns it into a broadcast join at run
+    time only when the measured label side is small, so nothing of a size
+    that grows with the data is broadcast blindly.
+    """
+    items = _items(spark, sf).select("record_id", "pos")
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select(
+        F.col("doc_id").alias("record_id"), F.col("quality").alias("label"))
+    j = items.join(labels, "record_id").select("label", logits_from_score("pos", THRESHOLD).alias("logits"))
+    return CL.classification_report(j)
+
+
 def q_classification_report(spark, sf):
     return CL.classification_report(_labelled_logits(spark, sf))
 
@@ -371,6 +385,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "roc_auc": lambda s, sf: CL.roc_auc(_pred(s, sf)),
     "average_precision": lambda s, sf: CL.average_precision(_pred(s, sf)),
     "classification_report": q_classification_report,
+    "quality_classification": q_quality_classification,
     "split_exact": q_split_exact,
     "random_holdout": q_random_holdout,
     "no_test_split": q_no_test_split,

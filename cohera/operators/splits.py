@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import key60
-from ..plans.prefix import at_or_below, nth_smallest
+from ..plans.prefix import nth_smallest, nth_smallest_by_group
 
 ROLES = ("train", "val", "test")
 SPLIT_TYPES = ("random", "key")
@@ -36,8 +36,9 @@ def held_count(n: int, size: float | None) -> int:
     return int(n * size)
 
 
-def split_key(seed: int, fold: int, stage: str, record_id: str = "record_id") -> Column:
-    return key60(F.lit(seed), F.lit("split"), F.lit(fold), F.lit(stage), F.col(record_id))
+def split_key(seed: int, fold, stage: str, record_id: str = "record_id") -> Column:
+    f = fold if isinstance(fold, Column) else F.lit(fold)
+    return key60(F.lit(seed), F.lit("split"), f, F.lit(stage), F.col(record_id))
 
 
 def split_exact(df: DataFrame, size: float | None, seed: int = 42, fold: int = 1, stage: str = "test",
@@ -83,25 +84,40 @@ def random_holdout(records: DataFrame, test_size: float = 0.2, val_size: float =
     """Random split plan: test cut first, validation cut from the rest.
 
     ``no_test`` gives a two-way split per fold whose held part (sized by
-    ``test_size``) is the validation set.
+    ``test_size``) is the validation set. All folds share each pass over
+    the ids: one for the test cuts, one for the validation cuts.
     """
-    ids = records.select(record_id)
+    ids = records.select(F.col(record_id).cast("bigint").alias("_id"))
     n = ids.count()
     plan = FoldPlan("random", list(range(1, num_splits + 1)), seed, no_test)
     val_eff = effective_val_size(test_size, val_size)
-    for f in plan.folds:
-        held, cut, m = split_exact(ids, test_size, seed, f, "test", record_id, n=n)
-        plan.test_cut[f] = cut
-        if no_test:
-            plan.sizes[f] = {"val": m, "train": n - m}
-            continue
-        rest = ids.where(~held)
-        _, vcut, mv = split_exact(rest, val_eff, seed, f, "val", record_id, n=n - m)
-        plan.val_cut[f] = vcut
-        plan.sizes[f] = {"test": m, "val": mv, "train": n - m - mv}
+    m_test = held_count(n, test_size)
+    folds = F.explode(F.array(*[F.lit(f) for f in plan.folds]))
+    keyed = ids.select(folds.alias("_f"), "_id").withColumn("_k", split_key(seed, F.col("_f"), "test", "_id"))
+    plan.test_cut = nth_smallest_by_group(keyed, "_f", "_k", "_id", {f: m_test for f in plan.folds})
+    if no_test:
+        plan.sizes = {f: {"val": m_test, "train": n - m_test} for f in plan.folds}
+        return plan
+    m_val = held_count(n - m_test, val_eff)
+    rest = keyed.where(~_held_col(F.col("_f"), plan.test_cut, F.col("_k"), F.col("_id")))
+    rest = rest.withColumn("_k", split_key(seed, F.col("_f"), "val", "_id"))
+    plan.val_cut = nth_smallest_by_group(rest, "_f", "_k", "_id", {f: m_val for f in plan.folds})
+    plan.sizes = {f: {"test": m_test, "val": m_val, "train": n - m_test - m_val} for f in plan.folds}
     return plan
 
 
+def _held_col(fold: Column, cuts: dict, key: Column, rid: Column) -> Column:
+    """``(key, id) <= cut[fold]`` for a fold column (constants per fold)."""
+    expr = F.lit(False)
+    row = F.struct(key.alias("k"), rid.alias("t"))
+    for f, cut in cuts.items():
+        if cut is None:
+            continue
+        c = F.struct(F.lit(cut[0]).cast("bigint").alias("k"), F.lit(cut[1]).cast("bigint").alias("t"))
+        expr = F.when(fold == F.lit(f), row <= c).otherwise(expr)
+    return expr
+
+
 def no_test_split(records: DataFrame, test_size: float = 0.2, num_splits: int = 1, seed: int = 42,
                   record_id: str = "record_id") -> FoldPlan:
     """Two-way random split: the held part becomes ``val``."""

@@ -28,41 +28,63 @@ FINAL_ROWS = 200_000
 MAX_BUCKETS = 1024
 
 
-def nth_smallest(df: DataFrame, key: str, tie: str, m: int, bits: int = BUCKET_BITS,
-                 final_rows: int = FINAL_ROWS) -> tuple[int, int] | None:
-    """``(key, tie)`` of the m-th smallest row (1-based) in ``(key, tie)`` order.
+def nth_smallest_by_group(df: DataFrame, group: str, key: str, tie: str, m: dict, bits: int = BUCKET_BITS,
+                          final_rows: int = FINAL_ROWS) -> dict:
+    """For every group ``g`` the ``(key, tie)`` of its ``m[g]``-th smallest row.
 
     ``key`` must be uniform on ``[0, 2**60)`` (an md5-derived key), so each
     prefix bucket holds about ``n / 2**bits`` rows whatever the data; a hot
-    group of equal records does not matter because ids differ. Returns None
-    when ``m <= 0``.
+    group of equal records does not matter because ids differ. One pass per
+    level serves all groups (at most ``groups * 2**bits`` counts reach the
+    driver); the last, small buckets are ranked by a window partitioned by
+    group. Groups with ``m[g] <= 0`` get None.
     """
-    if m <= 0:
-        return None
-    base = df.select(F.col(key).alias("k"), F.col(tie).alias("t"))
-    shift, prefix, remaining = KEY_BITS, None, m
-    cur = base
+    want = {g: v for g, v in m.items() if v > 0}
+    out = {g: None for g in m}
+    if not want:
+        return out
+    base = df.select(F.col(group).alias("g"), F.col(key).alias("k"), F.col(tie).alias("t"))
+    base = base.where(F.col("g").isin(list(want)))
+    remaining, prefix = dict(want), {}
+    shift = KEY_BITS
+    cond = F.lit(True)
     while True:
         shift = max(shift - bits, 0)
-        counts = sorted(
-            (r["b"], r["c"]) for r in
-            cur.groupBy(F.shiftright("k", shift).alias("b")).agg(F.count(F.lit(1)).alias("c")).collect())
-        seen = 0
-        chosen = None
-        for b, c in counts:
-            if seen + c >= remaining:
-                chosen = (b, c)
-                break
-            seen += c
-        if chosen is None:
-            raise ValueError(f"only {seen} rows; cannot take row {m}")
-        prefix, size = chosen
-        remaining -= seen
-        cur = base.where(F.shiftright("k", shift) == F.lit(prefix))
-        if size <= final_rows or shift == 0:
+        counts: dict = {}
+        for r in (base.where(cond).groupBy("g", F.shiftright("k", shift).alias("b"))
+                  .agg(F.count(F.lit(1)).alias("c")).collect()):
+            counts.setdefault(r["g"], []).append((r["b"], r["c"]))
+        sizes = {}
+        for g, need in remaining.items():
+            seen = 0
+            for b, c in sorted(counts.get(g, [])):
+                if seen + c >= need:
+                    prefix[g], sizes[g] = b, c
+                    break
+                seen += c
+            else:
+                raise ValueError(f"group {g}: only {seen} rows; cannot take row {need}")
+            remaining[g] = need - seen
+        cond = F.lit(False)
+        for g in remaining:
+            cond = cond | ((F.col("g") == F.lit(g)) & (F.shiftright("k", shift) == F.lit(prefix[g])))
+        if max(sizes.values()) <= final_rows or shift == 0:
             break
-    row = cur.orderBy("k", "t").offset(remaining - 1).limit(1).collect()[0]
-    return int(row["k"]), int(row["t"])
+    rn = F.row_number().over(Window.partitionBy("g").orderBy("k", "t"))
+    picked = base.where(cond).withColumn("_rn", rn)
+    hit = F.lit(False)
+    for g, r in remaining.items():
+        hit = hit | ((F.col("g") == F.lit(g)) & (F.col("_rn") == F.lit(r)))
+    for row in picked.where(hit).collect():
+        out[row["g"]] = (int(row["k"]), int(row["t"]))
+    return out
+
+
+def nth_smallest(df: DataFrame, key: str, tie: str, m: int, bits: int = BUCKET_BITS,
+                 final_rows: int = FINAL_ROWS) -> tuple[int, int] | None:
+    """``(key, tie)`` of the m-th smallest row (1-based) in ``(key, tie)`` order."""
+    one = df.select(F.lit(0).alias("_g"), F.col(key).alias(key), F.col(tie).alias(tie))
+    return nth_smallest_by_group(one, "_g", key, tie, {0: m}, bits, final_rows)[0]
 
 
 def at_or_below(key: str, tie: str, threshold: tuple[int, int] | None):

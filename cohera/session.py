@@ -58,19 +58,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def spread(df: DataFrame, key: str, min_partitions: int | None = None) -> DataFrame:
-    """Hash-partition by ``key`` only when the scan gave too few tasks.
+    """Hash-partition by ``key`` only when the scan leaves most cores idle.
 
     Per-text work (sentence splitting, shuffles, scoring) is CPU heavy and
-    row-local. A large input already arrives in many file splits and is left
-    alone (no shuffle); a small input read from one file is spread so that
-    every core gets texts. Hashing on the record key keeps placement
+    row-local. A large input arrives in many file splits and is left alone:
+    no shuffle of the text (on a cluster, size the splits with
+    ``spark.sql.files.maxPartitionBytes`` instead). Only an input read as a
+    handful of splits, fewer than a quarter of the cores, is spread, so
+    that every core gets texts. Hashing on the record key keeps placement
     deterministic under task retries.
     """
     if df.isStreaming:
         return df
     spark = df.sparkSession
     want = min_partitions or spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= want:
+    if df.rdd.getNumPartitions() * 4 > want:
         return df
     return df.repartition(want, key)
 

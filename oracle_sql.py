@@ -78,8 +78,7 @@ SCORES = r"""words AS MATERIALIZED (
          list_distinct(list_filter(regexp_split_to_array(lower(s), '[^\p{L}\p{N}]+'), lambda w: w <> '')) AS w
   FROM (SELECT record_id, unnest(range(0, len(sentences))) AS idx, unnest(sentences) AS s FROM plan2)),
 cands AS (
-  SELECT record_id, 0 AS cand_idx, canon AS t FROM plan2
-  WHERE record_id IN (SELECT record_id FROM negs)
+  SELECT record_id, 0 AS cand_idx, canon AS t FROM plan2 WHERE n >= 2
   UNION ALL SELECT record_id, cand_idx, t FROM negs),
 pairs AS (
   SELECT record_id, cand_idx, t[i] AS a, t[i + 1] AS b
@@ -427,6 +426,18 @@ FROM probs""")
     sq["roc_auc"] = classification(["roc_auc"])
     sq["average_precision"] = classification(["pr_auc"])
     sq["classification_report"] = classification()
+    quality = f"""qual AS (
+  SELECT p.record_id, 0 AS cand_idx, coalesce(s.score, 0.0::DOUBLE) AS score, l.quality AS y
+  FROM plan2 p JOIN labels l ON l.doc_id = p.record_id
+  LEFT JOIN scores s ON s.record_id = p.record_id AND s.cand_idx = 0),
+lgq AS (SELECT record_id, cand_idx, y, 0.0::DOUBLE AS l0, score - {THRESHOLD}::DOUBLE AS l1 FROM qual),
+lgq2 AS (SELECT *, greatest(l0, l1) AS m FROM lgq),
+pred AS (
+  SELECT *, exp(l0 - m) / (exp(l0 - m) + exp(l1 - m)) AS p0, exp(l1 - m) / (exp(l0 - m) + exp(l1 - m)) AS p1,
+         CASE WHEN exp(l1 - m) / (exp(l0 - m) + exp(l1 - m)) > exp(l0 - m) / (exp(l0 - m) + exp(l1 - m))
+              THEN 1 ELSE 0 END AS y_pred
+  FROM lgq2)"""
+    sq["quality_classification"] = scored_with(RECS, quality, CLASS_AGG) + "\n" + CLASS_SELECT
     sq["split_exact"] = ("WITH " + RECS + f""",
 k AS (SELECT record_id, ('0x' || substr(md5(concat_ws('|', {SEED}, 'split', 1, 'test', record_id)), 1, 15))::BIGINT AS kt
       FROM recs),

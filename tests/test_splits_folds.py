@@ -106,3 +106,21 @@ def test_run_folds_isolates_failure(spark):
     assert sorted(set(status.values())) == ["failed", "ok"]
     with pytest.raises(RuntimeError):
         run_folds(spark, recs, plan, fit, lambda m, t: (_ for _ in ()).throw(RuntimeError("all")))
+
+
+def test_nth_smallest_multilevel_matches_sort(spark):
+    """Force several narrowing levels (tiny buckets) and compare with a sort."""
+    from cohera.functions.keys import key60
+    from cohera.plans.prefix import nth_smallest, nth_smallest_by_group
+
+    ids = spark.range(0, 3000).select(F.col("id").alias("record_id"))
+    keyed = ids.select("record_id", key60(F.lit(1), F.col("record_id")).alias("k"))
+    rows = sorted((r.k, r.record_id) for r in keyed.collect())
+    for m in (1, 17, 1500, 3000):
+        assert nth_smallest(keyed, "k", "record_id", m, bits=2, final_rows=5) == rows[m - 1]
+    g = keyed.withColumn("g", (F.col("record_id") % 3).cast("int"))
+    got = nth_smallest_by_group(g, "g", "k", "record_id", {0: 5, 1: 999, 2: 0}, bits=3, final_rows=10)
+    for grp, m in ((0, 5), (1, 999)):
+        want = sorted((r.k, r.record_id) for r in g.where(F.col("g") == grp).collect())[m - 1]
+        assert got[grp] == want
+    assert got[2] is None
