@@ -58,23 +58,25 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def spread(df: DataFrame, key: str, min_partitions: int | None = None) -> DataFrame:
-    """Hash-partition by ``key`` only when the scan leaves most cores idle.
+    """Hash-partition by ``key`` when the scan gives fewer splits than cores.
 
     Per-text work (sentence splitting, shuffles, scoring) is CPU heavy and
-    row-local. A large input arrives in many file splits and is left alone:
-    no shuffle of the text (on a cluster, size the splits with
-    ``spark.sql.files.maxPartitionBytes`` instead). Only an input read as a
-    handful of splits, fewer than a quarter of the cores, is spread, so
-    that every core gets texts. Hashing on the record key keeps placement
-    deterministic under task retries.
+    row-local: a text costs milliseconds of CPU but microseconds to move, so
+    when the scan leaves cores idle a shuffle of ``(id, text)`` pays for
+    itself. Split counts can overstate parallelism (a file with one row
+    group planned as several splits has one busy task), hence the spread
+    goes to three tasks per core, which also evens out long texts. An input
+    that already arrives in at least one split per core is left alone; on a
+    cluster, size its splits with ``spark.sql.files.maxPartitionBytes``.
+    Hashing on the record key keeps placement deterministic under retries.
     """
     if df.isStreaming:
         return df
     spark = df.sparkSession
-    want = min_partitions or spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() * 4 > want:
+    cores = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
         return df
-    return df.repartition(want, key)
+    return df.repartition(min_partitions or 3 * cores, key)
 
 
 def fenced_where(df: DataFrame, condition) -> DataFrame:
