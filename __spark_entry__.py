@@ -8,8 +8,14 @@ would otherwise return megabytes of candidate text.
 
 from __future__ import annotations
 
+import os
+import sys
 from collections.abc import Callable
 
+_ROOT = os.path.dirname(os.path.abspath(__file__))
+if _ROOT not in sys.path:  # loaded by file path: make the package importable
+    sys.path.insert(0, _ROOT)
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,7 +31,7 @@ from cohera.operators import splits as SP
 from cohera.operators.shuffles import distinct_permutations, generate_shuffles, permutation_table
 from cohera.plans import jobs as J
 from cohera.plans.evaluation import K_MAX, SEED, lexical_items, sentence_table, shuffled, with_lexical_scores
-from cohera.session import fenced_where
+from cohera.session import ensure_checkpoint_dir, fenced_where
 from cohera.sources.records import filter_nonempty, read_documents, records_from_table
 
 THRESHOLD = O.THRESHOLD
@@ -305,11 +311,12 @@ def q_train_classifier(spark, sf):
 
 def q_select_best_model(spark, sf):
     from cohera.operators.models import select_best_model
+    ensure_checkpoint_dir(spark)  # the session's shared folder; a scratch one only when unset
     recs = _docs(spark, sf).select("record_id", "summary")
     plan = SP.random_holdout(recs, 0.2, 0.2, 1, False, SEED)
     split = SP.fold_split(recs, plan, 1)
-    tr = J.scored_candidates(split.where(F.col("role") == "train").drop("role"))
-    va = J.scored_candidates(split.where(F.col("role") == "val").drop("role"))
+    tr = J.scored_candidates(split.where(F.col("role") == "train").drop("role")).checkpoint()
+    va = J.scored_candidates(split.where(F.col("role") == "val").drop("role")).checkpoint()
     _, rp, auc = select_best_model(tr, va)
     return spark.range(1).select(F.lit(rp).alias("reg_param"), F.lit(auc).alias("val_roc_auc"))
 

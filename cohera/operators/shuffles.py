@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.keys import md5_key
-from ..functions.sentences import canonical_positions, join_sentences
+from ..functions.sentences import canonical_positions, join_sentences, let
 
 # Largest sentence count whose full permutation list is shipped to the
 # executors (7! = 5040 orders). Larger enumeration needs k_max > 20160.
@@ -99,13 +99,21 @@ def sample_permutations(orders: Column, want: Column, record_id: Column, seed: i
 
 
 def _attempts(canon: Column, n: Column, record_id: Column, seed: int, first: Column, last: Column) -> Column:
-    """Random orders ``first..last``: sort positions by md5(seed|id|j|i)."""
+    """Random orders ``first..last``: sort positions by md5(seed|id|j|i).
+
+    The key text ``seed|id|j|`` is built once per attempt (bound to a lambda
+    variable) and each position only appends its index.
+    """
+    row_prefix = F.concat(F.lit(f"{seed}|"), record_id.cast("string"), F.lit("|"))
+
     def one(j):
-        keyed = F.transform(
-            F.sequence(F.lit(0), n - 1),
-            lambda i: F.struct(md5_key(F.lit(seed), record_id, j, i).alias("k"), i.alias("i")),
-        )
-        return F.transform(F.array_sort(keyed), lambda z: F.element_at(canon, z["i"] + 1))
+        def keyed(prefix):
+            return F.transform(
+                F.sequence(F.lit(0), n - 1),
+                lambda i: F.struct(F.md5(F.concat(prefix, i.cast("string"))).alias("k"), i.alias("i")),
+            )
+        pairs = let(F.concat(row_prefix, j.cast("string"), F.lit("|")), keyed)
+        return F.transform(F.array_sort(pairs), lambda z: F.element_at(canon, z["i"] + 1))
 
     return F.filter(F.transform(F.sequence(first, last), one), lambda t: t != canon)
 

@@ -16,6 +16,7 @@ from ..operators.models import model_logits, select_best_model
 from ..operators.ranking import candidate_count_ok, item_pair_score, items_from_scores, ranking_report
 from ..operators.splits import make_splits
 from ..functions.scoring import softmax_positive
+from ..session import ensure_checkpoint_dir
 from ..sources.records import read_eval_csv, read_records, require_nonempty
 from ..sources.sinks import run_group_name, write_cv_summary, write_fold_results, write_metrics, write_scored_items
 from .evaluation import K_MAX, SEED, lexical_items, shuffled, with_lexical_scores
@@ -122,9 +123,15 @@ def train(spark: SparkSession, records: DataFrame, split_type: str = "random", s
     weights = class_weights if trainer_type == "weighted" else None
     keep = (split_key,) if split_key else ()
 
+    ensure_checkpoint_dir(spark)
+
     def fit(train_part, val_part):
-        tr = scored_candidates(train_part, k_max, seed)
-        va = scored_candidates(val_part, k_max, seed)
+        # every candidate of the fold is shuffled and scored once: the tables
+        # feed one fit and one validation pass per regularisation value, so
+        # they are written to the shared checkpoint folder (lineage cut, a
+        # lost executor does not recompute the shuffles)
+        tr = scored_candidates(train_part, k_max, seed).checkpoint()
+        va = scored_candidates(val_part, k_max, seed).checkpoint()
         model, rp, auc = select_best_model(tr, va, reg_params, class_weights=weights)
         log.info("best reg_param %s, val roc_auc %s", rp, auc)
         return model

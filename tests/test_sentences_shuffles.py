@@ -110,3 +110,47 @@ def test_sample_branch_matches_attempt_loop(spark):
         if len(found) == want:
             break
     assert [list(o) for o in row.negs] == found
+
+
+def _python_shuffles(rid, sentences, k, seed):
+    """Plain-Python statement of the contract, with the same md5 draws."""
+    import hashlib
+
+    n = len(sentences)
+    canon = [sentences.index(x) for x in sentences]
+    if n < 2:
+        return []
+    want = min(math.factorial(n) - 1, k) if n <= 12 else k
+    if want <= 0:
+        return []
+    enum = n < 10 and (math.factorial(n) < 2 * k or math.factorial(n) < 1000)
+    if enum:
+        orders = {tuple(canon[i] for i in p) for p in permutations(range(n))} - {tuple(canon)}
+        keyed = sorted((hashlib.md5(f"{seed}|{rid}|p|{','.join(map(str, o))}".encode()).hexdigest(), o)
+                       for o in orders)
+        return [list(o) for _, o in keyed[:want]]
+    found = []
+    for j in range(1, 5 * want + 11):
+        keys = sorted((hashlib.md5(f"{seed}|{rid}|{j}|{i}".encode()).hexdigest(), i) for i in range(n))
+        o = [canon[i] for _, i in keys]
+        if o != canon and o not in found:
+            found.append(o)
+        if len(found) == want:
+            break
+    return found
+
+
+def test_random_texts_match_plain_python(spark):
+    import random
+
+    rnd = random.Random(12)
+    texts = []
+    for _ in range(200):
+        n = rnd.choice([0, 1, 2, 3, 4, 5, 6, 7, 9, 12])
+        pool = [f"P{x}." for x in range(max(1, rnd.randint(1, n + 1)))]  # repeats likely
+        texts.append(" ".join(rnd.choice(pool) for _ in range(n)))
+    for k in (3, 20):
+        rows = generate_shuffles(_sentences(spark, texts), k_max=k, seed=9).select(
+            "record_id", "sentences", "negs").collect()
+        for r in rows:
+            assert [list(o) for o in r.negs] == _python_shuffles(r.record_id, list(r.sentences), k, 9), r
