@@ -21,16 +21,14 @@ from pyspark.sql import functions as F
 
 import oracle_sql as O
 from cohera.functions.scoring import logits_from_score, predict_label, softmax, softmax_positive
-from cohera.functions.sentences import split_sentences
 from cohera.operators import candidates as C
 from cohera.operators import classification as CL
-from cohera.operators import folds as FO
 from cohera.operators import losses as L
 from cohera.operators import ranking as RK
 from cohera.operators import splits as SP
-from cohera.operators.shuffles import distinct_permutations, generate_shuffles, permutation_table
+from cohera.operators.shuffles import distinct_permutations, permutation_table
 from cohera.plans import jobs as J
-from cohera.plans.evaluation import K_MAX, SEED, lexical_items, sentence_table, shuffled, with_lexical_scores
+from cohera.plans.evaluation import SEED, lexical_items, sentence_table, shuffled, with_lexical_scores
 from cohera.session import ensure_checkpoint_dir, fenced_where
 from cohera.sources.records import filter_nonempty, read_documents, records_from_table
 

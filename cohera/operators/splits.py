@@ -166,7 +166,13 @@ def fold_groups(records: DataFrame, group_col: str, seed: int = 42, no_test: boo
 
 def leave_one_group_out(records: DataFrame, group_col: str = "source", seed: int = 42, no_test: bool = False,
                         record_id: str = "record_id") -> FoldPlan:
-    """Plan: each group once as test, one other random group as validation."""
+    """Plan: each group once as test, one other random group as validation.
+
+    The plan (one row per group) is collected: every group is a fold, that
+    is one trained model, so the group count is what bounds it, not the
+    record count. Records never reach the driver; roles are assigned
+    map-side from the plan's constants.
+    """
     if group_col not in records.columns:
         raise KeyError(f"unknown split key {group_col!r}")
     rows = fold_groups(records, group_col, seed, no_test, record_id).collect()

@@ -87,14 +87,6 @@ def nth_smallest(df: DataFrame, key: str, tie: str, m: int, bits: int = BUCKET_B
     return nth_smallest_by_group(one, "_g", key, tie, {0: m}, bits, final_rows)[0]
 
 
-def at_or_below(key: str, tie: str, threshold: tuple[int, int] | None):
-    """Row predicate ``(key, tie) <= threshold``; false everywhere for None."""
-    if threshold is None:
-        return F.lit(False)
-    tk, tt = threshold
-    return (F.col(key) < F.lit(tk)) | ((F.col(key) == F.lit(tk)) & (F.col(tie) <= F.lit(tt)))
-
-
 def running_sums(df: DataFrame, order: str, columns: list[str], n_buckets: int | None = None) -> DataFrame:
     """Add ``cum_<c>`` = sum of ``c`` over rows with ``order`` <= this row's.
 
