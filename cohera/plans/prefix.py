@@ -17,11 +17,11 @@ Two replacements:
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import KEY_BITS
+from ..session import ensure_checkpoint_dir
 
 BUCKET_BITS = 10
 FINAL_ROWS = 200_000
@@ -94,9 +94,11 @@ def running_sums(df: DataFrame, order: str, columns: list[str], n_buckets: int |
     integer sums collected per bucket; only the bucket bounds are sampled.
     """
     spark = df.sparkSession
-    # Read three times (bounds, totals, result); its content does not depend
-    # on partition layout, so a lost cached block is simply recomputed.
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    # Read three times (bounds, totals, result): written once to the shared
+    # checkpoint folder, so the scoring upstream is not recomputed, no
+    # executor memory stays pinned and a lost executor loses nothing.
+    ensure_checkpoint_dir(spark)
+    df = df.checkpoint(eager=True)
     b = n_buckets or min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1), MAX_BUCKETS)
     if b > 1:
         probs = [i / b for i in range(1, b)]
