@@ -69,11 +69,11 @@ def canonical_positions(sentences: Column | str) -> Column:
                 return let(F.element_at(srt, a + 1)["i"], lambda first: F.transform(
                     F.slice(srt, a + 1, nxt - a), lambda z: F.struct(z["i"].alias("i"), first.alias("c"))))
 
-            return F.transform(F.array_sort(F.flatten(F.transform(st, run))), lambda p: p["c"].cast("int"))
+            return F.transform(F.sort_array(F.flatten(F.transform(st, run))), lambda p: p["c"].cast("int"))
 
         return let(starts, with_starts)
 
-    srt = F.array_sort(F.transform(s, lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
+    srt = F.sort_array(F.transform(s, lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
     return (
         F.when(n == 0, F.array().cast("array<int>"))
         .when(F.size(F.array_distinct(s)) == n, F.sequence(F.lit(0), n - 1))

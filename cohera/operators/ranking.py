@@ -88,7 +88,7 @@ def candidate_count_ok(scored: DataFrame, record_id: str = "record_id", cand_idx
     """Regroup scored candidates into items; drop items whose score count
     differs from ``1 + n_neg``. Groups hold at most ``k_max + 1`` rows."""
     grouped = scored.groupBy(record_id).agg(
-        F.array_sort(F.collect_list(F.struct(F.col(cand_idx).alias("i"), F.col(score).alias("s")))).alias("_c"),
+        F.sort_array(F.collect_list(F.struct(F.col(cand_idx).alias("i"), F.col(score).alias("s")))).alias("_c"),
         F.max(n_neg).alias("_n_neg"),
         F.count(score).alias("_n_scores"),
     )

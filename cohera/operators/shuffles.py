@@ -97,7 +97,7 @@ def sample_permutations(orders: Column, want: Column, record_id: Column, seed: i
         lambda t: F.struct(md5_key(F.lit(seed), record_id, F.lit("p"), F.array_join(t, ",")).alias("k"),
                            t.alias("t")),
     )
-    return F.slice(F.transform(F.array_sort(keyed), lambda z: z["t"]), 1, want)
+    return F.slice(F.transform(F.sort_array(keyed), lambda z: z["t"]), 1, want)
 
 
 def _attempts(canon: Column, n: Column, record_id: Column, seed: int, first: Column, last: Column) -> Column:
@@ -115,7 +115,7 @@ def _attempts(canon: Column, n: Column, record_id: Column, seed: int, first: Col
                 lambda i: F.struct(F.md5(F.concat(prefix, i.cast("string"))).alias("k"), i.alias("i")),
             )
         pairs = let(F.concat(row_prefix, j.cast("string"), F.lit("|")), keyed)
-        return F.transform(F.array_sort(pairs), lambda z: F.element_at(canon, z["i"] + 1))
+        return F.transform(F.sort_array(pairs), lambda z: F.element_at(canon, z["i"] + 1))
 
     return F.filter(F.transform(F.sequence(first, last), one), lambda t: t != canon)
 
