@@ -13,18 +13,12 @@ def _col(c: Column | str) -> Column:
 def shared_words(words: Column | str, order: Column) -> Column:
     """Sum over neighbouring sentences of the order of their shared words."""
     w = _col(words)
-    n = F.size(order)
-    return F.aggregate(
-        F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))),
-        F.lit(0).cast("bigint"),
-        lambda acc, i: acc
-        + F.size(
-            F.array_intersect(
-                F.element_at(w, F.element_at(order, i) + 1),
-                F.element_at(w, F.element_at(order, i + 1) + 1),
-            )
-        ).cast("bigint"),
+    last = F.size(order) - 1
+    overlaps = F.zip_with(
+        F.slice(order, 1, last), F.slice(order, 2, last),
+        lambda a, b: F.size(F.array_intersect(F.element_at(w, a + 1), F.element_at(w, b + 1))),
     )
+    return F.aggregate(overlaps, F.lit(0).cast("bigint"), lambda acc, x: acc + x.cast("bigint"))
 
 
 def lexical_coherence_scores(words: Column | str, orders: Column, size_total: Column) -> Column:

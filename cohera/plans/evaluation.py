@@ -4,7 +4,7 @@ The lexical scorer runs inside the row, next to the shuffles it scores: a
 text's candidates never leave its row, so the whole evaluation has a single
 exchange (the one-row partial aggregate). A model scorer instead explodes
 the candidates, scores them in Arrow batches and regroups by id
-(``score_model_items``).
+(``plans.jobs.model_items``).
 """
 
 from __future__ import annotations
