@@ -285,6 +285,12 @@ def q_cv_summary(spark, sf):
     return summary.select("metric", "mean", "std", F.col("n_folds").cast("bigint").alias("n_folds"))
 
 
+def q_cv_summary_random_folds(spark, sf):
+    """Three independent seeded reshuffles; each fold's test part scored once."""
+    _, summary = J.cv_lexical(_docs(spark, sf), "random", None, test_size=0.2, val_size=0.2, cv=3)
+    return summary.select("metric", "mean", "std", F.col("n_folds").cast("bigint").alias("n_folds"))
+
+
 # ---------------------------------------------------------- evaluation CSV
 def _bench_records(spark, sf):
     return records_from_table(spark.read.parquet(f"{sf}/benchmark.parquet"), "item_id", "text", None)
@@ -400,6 +406,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "leave_one_group_out": q_leave_one_group_out,
     "prefix_metrics": q_prefix_metrics,
     "cv_summary": q_cv_summary,
+    "cv_summary_random_folds": q_cv_summary_random_folds,
     "eval_csv_report": q_eval_csv_report,
     "eval_csv_items": q_eval_csv_items,
     "train_classifier": q_train_classifier,

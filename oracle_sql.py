@@ -287,11 +287,29 @@ SELECT f.fold::INTEGER AS fold,
 FROM recs r, folds_g f"""
 
 
-def fold_metrics() -> str:
-    """Per-fold test reports, leave-one-source-out, long and prefixed."""
-    items_f = """items_f AS (
-  SELECT i.*, g.position AS fold FROM items i JOIN recs r USING (record_id)
-  JOIN grp2 g ON g."group" IS NOT DISTINCT FROM r.source)"""
+KEY_MEMBERSHIP = """fm AS (
+  SELECT r.record_id, g.position AS fold FROM recs r JOIN grp2 g ON g."group" IS NOT DISTINCT FROM r.source)"""
+
+
+def random_membership(folds: int, test: float) -> str:
+    """``fm(record_id, fold)``: test membership of independent seeded reshuffles."""
+    return f"""fk AS (
+  SELECT f.fold::INTEGER AS fold, r.record_id,
+         ('0x' || substr(md5(concat_ws('|', {SEED}, 'split', f.fold, 'test', r.record_id)), 1, 15))::BIGINT AS kt
+  FROM recs r, (SELECT unnest(range(1, {folds + 1})) AS fold) f),
+frank AS (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY kt, record_id) AS rt FROM fk),
+fm AS (
+  SELECT record_id, fold FROM frank
+  WHERE rt <= floor((SELECT count(*) FROM recs)::DOUBLE * {test}::DOUBLE))"""
+
+
+def fold_metrics(membership: str | None = None, groups: bool = True) -> str:
+    """Per-fold test reports as ``long(fold, metric, value)``, prefixed ``test_``.
+
+    ``membership`` is a CTE ``fm(record_id, fold)`` naming each fold's test
+    records (default: leave one source out).
+    """
+    items_f = """items_f AS (SELECT i.*, fm.fold FROM items i JOIN fm USING (record_id))"""
     # per-fold aggregate written directly (negatives pooled per fold)
     per = f"""per AS (
   SELECT fold,
@@ -316,17 +334,22 @@ def fold_metrics() -> str:
 negf AS (
   SELECT f.fold, {_rd("avg(s.score)")} AS avg_negative_score, {_rd("stddev_pop(s.score)")} AS std_negative_score
   FROM scores s JOIN items_f f USING (record_id) WHERE s.cand_idx > 0 GROUP BY f.fold),
-totf AS (
-  SELECT g.position AS fold, count(*)::BIGINT AS total_items_in_dataset
-  FROM recs r JOIN grp2 g ON g."group" IS NOT DISTINCT FROM r.source GROUP BY g.position),
+totf AS (SELECT fold, count(*)::BIGINT AS total_items_in_dataset FROM fm GROUP BY fold),
 wide AS (
   SELECT t.fold, t.total_items_in_dataset, p.* EXCLUDE (fold),
          coalesce(n.avg_negative_score, 0.0) AS avg_negative_score,
          coalesce(n.std_negative_score, 0.0) AS std_negative_score
   FROM totf t LEFT JOIN per p USING (fold) LEFT JOIN negf n USING (fold))"""
     unp = "\nUNION ALL ".join(
-        f"SELECT fold::INTEGER AS fold, 'test_{c}' AS metric, coalesce({c}::DOUBLE, 0.0) AS value FROM wide" for c in REPORT_COLS)
-    return scored_with(RECS, GROUPS, items_f, per) + ",\nlong AS (" + unp + ")\n"
+        f"SELECT fold::INTEGER AS fold, 'test_{c}' AS metric, coalesce({c}::DOUBLE, 0.0) AS value FROM wide"
+        for c in REPORT_COLS)
+    parts = ([GROUPS] if groups else []) + [membership or KEY_MEMBERSHIP, items_f, per]
+    return scored_with(RECS, *parts) + ",\nlong AS (" + unp + ")\n"
+
+
+SUMMARY_SELECT = f"""SELECT metric, round(avg(value), {R}) AS mean,
+       round(coalesce(stddev_samp(value), 0.0), {R}) AS std, count(value)::BIGINT AS n_folds
+FROM long GROUP BY metric"""
 
 
 def _md5_list(expr: str) -> str:
@@ -451,9 +474,8 @@ SELECT record_id, rn <= floor((SELECT count(*) FROM recs)::DOUBLE * 0.29::DOUBLE
     sq["pick_val_group"] = cte(RECS, GROUPS) + "\nSELECT fold::INTEGER AS fold, test_group, val_group FROM folds_g"
     sq["leave_one_group_out"] = group_roles()
     sq["prefix_metrics"] = fold_metrics() + "SELECT fold, metric, value FROM long"
-    sq["cv_summary"] = fold_metrics() + f"""SELECT metric, round(avg(value), {R}) AS mean,
-       round(coalesce(stddev_samp(value), 0.0), {R}) AS std, count(value)::BIGINT AS n_folds
-FROM long GROUP BY metric"""
+    sq["cv_summary"] = fold_metrics() + SUMMARY_SELECT
+    sq["cv_summary_random_folds"] = fold_metrics(random_membership(3, 0.2), groups=False) + SUMMARY_SELECT
     sq["eval_csv_report"] = scored_with(BENCH_RECS) + "\n" + report_select()
     sq["eval_csv_items"] = scored_with(BENCH_RECS) + (
         f"\nSELECT p.record_id AS item_id, round(CASE WHEN i.n_neg > 0 THEN i.wins::DOUBLE / i.n_neg ELSE -1.0 END,"
