@@ -11,7 +11,7 @@ from conftest import SF001
 from oracle_check import compare, duck
 
 SQL = E.oracle_sql()
-ROWS_ONLY = sorted(set(E.queries()) - set(SQL))
+ROWS_ONLY = sorted(set(E._QUERIES) - set(SQL))
 
 
 @pytest.fixture(scope="module")
