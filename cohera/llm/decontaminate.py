@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialized
+
 N_WORDS = 10
 MAX_BROADCAST = 64 << 20
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -77,7 +79,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     repeat an id are judged each by its own text. Without items nothing is
     hit; an empty table gives no rows. Only verified hits are shuffled.
     """
-    occ = occurrences(docs, item_windows(items, item_id, item_text, n), id_col, text_col)
+    occ = materialized(occurrences(docs, item_windows(items, item_id, item_text, n), id_col, text_col))
     hit = (occ.select("doc_id", "key", F.explode(F.sequence(F.col("p"), F.col("p") + F.col("len") - 1)).alias("at"))
            .distinct().groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("n_hit")))
     found = (occ.select("doc_id", "key", "item").distinct()

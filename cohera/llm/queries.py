@@ -9,10 +9,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, sharding
+import corpus_pipeline
+import public_tokenizers
+
+from . import bpe, decontaminate, exact_dedup, langid, ngram_join, sharding, substring_dedup, token_tree, toxicity, url_filter
 from .common import read_table
 
 N_SHARDS = 24
+#: the vocabulary is a parameter: a file of byte strings and their ranks
+RANKS = "byte_bpe_multi_50k.tiktoken"
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(read_table(spark, sf_dir, "pages"))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_id(read_table(spark, sf_dir, "documents"))
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +38,23 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(read_table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+
+
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_classes(read_table(spark, sf_dir, "documents")).drop("key", "class")
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_tree.edited_counts(read_table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS),
+                                    public_tokenizers.PATTERN)
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -29,10 +63,22 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(read_table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
+    "op2_url_filter": op2_url_filter,
+    "op3_language_id": op3_language_id,
     "op4_sharding": op4_sharding,
+    "op5_byte_bpe": op5_byte_bpe,
+    "op6_substring_dedup": op6_substring_dedup,
+    "op7_ngram_jaccard": op7_ngram_jaccard,
+    "op8_token_counts": op8_token_counts,
     "op9_decontamination": op9_decontamination,
     "op10_exact_dedup": op10_exact_dedup,
+    "pipeline": pipeline,
 }
 
 ORACLE_SQL = {
