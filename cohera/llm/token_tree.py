@@ -253,9 +253,9 @@ def apply_edits(state: DataFrame, path: str, pattern: str, edits_col: str = "edi
     n_pieces, n_reencoded; ``tree`` is the new state.
     """
     raw = B.ship(state.sparkSession, path)
-    keep = [c for c in state.columns if c not in ("tree", edits_col)]
+    added = ["n_tokens_before", "n_tokens", "n_pieces", "n_reencoded"]  # replaced where an earlier round added them
+    keep = [c for c in state.columns if c not in ("tree", edits_col, *added)]
     fields = [f for f in state.schema.fields if f.name in keep]
-    added = ["n_tokens_before", "n_tokens", "n_pieces", "n_reencoded"]
     schema = StructType(fields + _STATE_FIELDS + [StructField(c, LongType()) for c in added])
 
     def run(batches):
