@@ -30,8 +30,10 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 from .common import text_batches
 
 #: pre-tokens kept per worker, and the longest that is kept
-MEMO_PIECES = 400_000
+MEMO_PIECES = 250_000
 MEMO_BYTES = 64
+#: text whose pre-tokens are merged together
+PIECE_BYTES = 1 << 20
 _NONE = -1
 
 
@@ -245,12 +247,12 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids
            keep_text: bool = True) -> DataFrame:
     """``docs`` with its token ids packed as little-endian uint32; null texts have none."""
     raw = ship(docs.sparkSession, path)
-    keep = [c for c in docs.columns if keep_text or c != text_col]
+    keep = [c for c in docs.columns if (keep_text or c != text_col) and c != ids_col]
     schema = StructType([*[f for f in docs.schema.fields if f.name in keep], StructField(ids_col, BinaryType())])
 
     def run(batches):
         bpe = load(raw.value, pattern)
-        for part, _, _ in text_batches(batches, text_col):
+        for part, _, _ in text_batches(batches, text_col, PIECE_BYTES):
             texts = part.column(part.schema.get_field_index(text_col)).to_pylist()
             ids = pa.array(list(bpe.encode_all(t or "" for t in texts)), pa.binary())
             cols = [part.column(part.schema.get_field_index(c)) for c in keep]
@@ -262,14 +264,16 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids
 def decode(ids: DataFrame, path: str, pattern: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """``ids`` with the bytes its packed ids decode to; null ids decode to no bytes."""
     raw = ship(ids.sparkSession, path)
-    schema = StructType([*ids.schema.fields, StructField(out_col, BinaryType())])
+    keep = [c for c in ids.columns if c != out_col]
+    schema = StructType([*[f for f in ids.schema.fields if f.name in keep], StructField(out_col, BinaryType())])
 
     def run(batches):
         bpe = load(raw.value, pattern)
         for part in batches:
             packed = part.column(part.schema.get_field_index(ids_col)).to_pylist()
             out = pa.array([bpe.decode(p or b"") for p in packed], pa.binary())
-            yield pa.RecordBatch.from_arrays([*part.columns, out], [*part.schema.names, out_col])
+            cols = [part.column(part.schema.get_field_index(c)) for c in keep]
+            yield pa.RecordBatch.from_arrays([*cols, out], [*keep, out_col])
 
     return ids.mapInArrow(run, schema)
 
