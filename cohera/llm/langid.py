@@ -253,7 +253,7 @@ def train(docs: DataFrame, rule: Column, lang: str = "lang", id_col: str = "doc_
 
 
 def predict(docs: DataFrame, model: dict, text_col: str = "text", keep_text: bool = True, spans: bool = False) -> DataFrame:
-    """``docs`` with lang_pred and score (and ``spans``).
+    """``docs`` with lang_pred and score (and ``spans``), in place of columns of those names.
 
     A text that is null, empty or has no letter is ``und`` with score 0. With
     ``spans``, an array of (lang, first word, words) gives each stretch of
@@ -262,7 +262,7 @@ def predict(docs: DataFrame, model: dict, text_col: str = "text", keep_text: boo
     shipped = docs.sparkSession.sparkContext.broadcast(model)
     letter = "_has_letter"
     x = docs.withColumn(letter, F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
-    keep = [c for c in docs.columns if keep_text or c != text_col]
+    keep = [c for c in docs.columns if (keep_text or c != text_col) and c not in ("lang_pred", "score", "spans")]
     fields = [f for f in docs.schema.fields if f.name in keep]
     fields += [StructField("lang_pred", StringType()), StructField("score", DoubleType())]
     span = StructType([StructField("lang", StringType()), StructField("at", LongType()), StructField("n", LongType())])

@@ -206,8 +206,8 @@ def verified(pairs: DataFrame, texts: DataFrame, rows: DataFrame, threshold: flo
         wanted = F.broadcast(wanted)
     sets = rows.join(wanted, "key").select("sid", "text").mapInArrow(_sets, "sid bigint, shingles binary")
     shipped = need.join(sets, "sid")
-    group = ["g", "i", "j"]
-    return (dealt.groupBy(*group).cogroup(shipped.groupBy(*group))
+    shipped = shipped.toDF("sid", "to_g", "to_i", "to_j", "shingles")  # other names: both sides descend from the pairs
+    return (dealt.groupBy("g", "i", "j").cogroup(shipped.groupBy("to_g", "to_i", "to_j"))
             .applyInArrow(lambda k, p, t: _verify(k, p, t, threshold, tolerance), "a bigint, b bigint, similarity double"))
 
 

@@ -133,12 +133,14 @@ def _difference(table: np.ndarray, buf: np.ndarray, offs: np.ndarray, n: int) ->
 def score(urls: DataFrame, table: np.ndarray, url_col: str = "url", out_col: str = "difference") -> DataFrame:
     """``urls`` with the log-likelihood difference per character."""
     shipped = urls.sparkSession.sparkContext.broadcast(table)  # 2**BITS slots, whatever the corpus
-    schema = StructType([*urls.schema.fields, StructField(out_col, DoubleType())])
+    keep = [c for c in urls.columns if c != out_col]
+    schema = StructType([*[f for f in urls.schema.fields if f.name in keep], StructField(out_col, DoubleType())])
 
     def run(batches):
         for part, buf, offs in text_batches(batches, url_col, 1 << 20):
             d = _difference(shipped.value, buf, offs, part.num_rows)
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(d, pa.float64())], [*part.schema.names, out_col])
+            cols = [part.column(part.schema.get_field_index(c)) for c in keep]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(d, pa.float64())], [*keep, out_col])
 
     return urls.mapInArrow(run, schema)
 
@@ -154,13 +156,13 @@ def calibrate(scored: DataFrame, verdict_col: str = "verdict", diff_col: str = "
     good, bad = sum(r["good"] for r in rows), sum(r["n"] - r["good"] for r in rows)
     if not good or not bad:
         return 0.0
-    best, at, g, b = -1.0, 0, good, 0
+    best, at, g, b, below = -1.0, 0.0, good, 0, None
     for r in sorted(rows, key=lambda r: r["cell"]):  # everything below the threshold is rejected
-        value = g / good + b / bad
-        if value > best or (value == best and abs(r["cell"]) < abs(at)):
-            best, at = value, r["cell"]
-        g, b = g - r["good"], b + r["n"] - r["good"]
-    return (at - 0.5) / GRID
+        value, middle = g / good + b / bad, r["cell"] - 0.5 if below is None else (r["cell"] + below) / 2
+        if value > best or (value == best and abs(middle) < abs(at)):
+            best, at = value, middle
+        g, b, below = g - r["good"], b + r["n"] - r["good"], r["cell"]
+    return at / GRID
 
 
 def judge(pages: DataFrame, rules: Iterable[tuple[str, str]] = RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:

@@ -302,7 +302,7 @@ def test_kept_state_takes_later_edits(spark, own_bpe):
     got = {r["doc_id"]: ("".join(r["tree"]["leaves"]), r["n_tokens"]) for r in state.collect()}
     for text, n in got.values():
         assert n == sum(len(x) // 4 for x in own_bpe.encode_all([text]))
-    assert got[0][0] == "ro one 2 three" and got[1][0] == "ro "
+    assert got[0][0] == "ro one 2 three" and got[1][0] == "ro 2"
 
 
 # ------------------------------------------------------------- substring dedup
@@ -423,14 +423,14 @@ def test_pruning_is_safe():
 
 # -------------------------------------------------------------------- toxicity
 def test_toxicity(spark):
-    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     got = toxicity.toxicity(docs, labels)
     held = got.join(labels, "doc_id").where("held_out").select("toxic", "score", "predicted").collect()
     pos = [r["score"] for r in held if r["toxic"]]
     neg = [r["score"] for r in held if not r["toxic"]]
     auc = sum((p > q) + 0.5 * (p == q) for p in pos for q in neg) / (len(pos) * len(neg))
     right = sum(r["predicted"] == r["toxic"] for r in held) / len(held)
-    assert auc > 0.95 and right > 0.9
+    assert auc > 0.97 and right > 0.95
     assert got.count() == docs.count()
     ids = got.select("doc_id", "held_out").collect()
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in ids)
