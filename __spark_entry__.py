@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import sys
+import uuid
 from collections.abc import Callable
 
 _ROOT = os.path.dirname(os.path.abspath(__file__))
@@ -26,21 +27,28 @@ from cohera.operators import classification as CL
 from cohera.operators import losses as L
 from cohera.operators import ranking as RK
 from cohera.operators import splits as SP
-from cohera.operators.shuffles import distinct_permutations, permutation_table
+from cohera.functions.sentences import sentence_count
+from cohera.operators.shuffles import distinct_permutations, enumerable_sizes, permutation_table, shuffle_texts
 from cohera.plans import jobs as J
-from cohera.plans.evaluation import SEED, lexical_items, sentence_table, shuffled, with_lexical_scores
-from cohera.session import ensure_checkpoint_dir, fenced_where
-from cohera.sources.records import filter_nonempty, read_documents, records_from_table
+from cohera.plans.evaluation import K_MAX, SEED, lexical_items, sentence_table, shuffled, with_lexical_scores
+from cohera.session import ensure_checkpoint_dir, fenced_where, spread
+from cohera.sources.records import filter_nonempty, flatten_record, group_key, read_documents, read_records, records_from_table
 
 THRESHOLD = O.THRESHOLD
 CLASS_WEIGHTS = [1.0, 5.0]
 FOCAL_ALPHA = [0.25, 0.75]
 
 
-def _docs(spark: SparkSession, sf: str) -> DataFrame:
+def _ids(spark: SparkSession, sf: str) -> DataFrame:
+    """The records as the scan gives them (splits read ids only)."""
     return read_documents(spark, sf)
 
 
+def _docs(spark: SparkSession, sf: str) -> DataFrame:
+    """The records dealt to three tasks per core: the tables come in one row group each."""
+    return spread(read_documents(spark, sf), "record_id", 3 * spark.sparkContext.defaultParallelism)
+
+
 def _report(spark, sf) -> DataFrame:
     return RK.ranking_report(lexical_items(_docs(spark, sf)))
 
@@ -92,7 +100,7 @@ def q_split_sentences(spark, sf):
 
 def q_sentence_count(spark, sf):
     st = sentence_table(_docs(spark, sf))
-    return st.groupBy(F.size("sentences").cast("int").alias("n_sentences")).agg(
+    return st.groupBy(sentence_count("sentences").cast("int").alias("n_sentences")).agg(
         F.count(F.lit(1)).alias("n_texts"))
 
 
@@ -103,7 +111,7 @@ def q_shuffle_plan(spark, sf):
 
 def q_distinct_permutations(spark, sf):
     sh = fenced_where(_shuffles(spark, sf), F.col("method") == "enumerate")
-    table = F.broadcast(permutation_table(spark, [2, 3, 4, 5, 6]))
+    table = F.broadcast(permutation_table(spark, enumerable_sizes(K_MAX)))
     j = sh.join(table, sh["n_sentences"] == table["perm_n"])
     return j.select("record_id", F.size(distinct_permutations(F.col("perms"), F.col("canon")))
                     .cast("bigint").alias("n_distinct"))
@@ -124,7 +132,7 @@ def q_sample_shuffles(spark, sf):
 
 def q_join_sentences(spark, sf):
     sh = _shuffles(spark, sf)
-    x = sh.select("record_id", F.posexplode_outer(C.shuffle_texts()).alias("cand_idx", "text")).where(F.col("text").isNotNull())
+    x = sh.select("record_id", F.posexplode_outer(shuffle_texts()).alias("cand_idx", "text")).where(F.col("text").isNotNull())
     return x.select("record_id", (F.col("cand_idx") + 1).cast("int").alias("cand_idx"),
                     F.md5("text").alias("text_md5"), F.length("text").cast("bigint").alias("text_len"))
 
@@ -236,13 +244,13 @@ def q_classification_report(spark, sf):
 
 # -------------------------------------------------------------------- splits
 def q_split_exact(spark, sf):
-    recs = _docs(spark, sf).select("record_id")
+    recs = _ids(spark, sf).select("record_id")
     held, _, _ = SP.split_exact(recs, 0.29, seed=SEED, fold=1, stage="test")
     return recs.select("record_id", held.alias("held"))
 
 
 def _random_table(spark, sf, folds=3, test=0.2, val=0.2, no_test=False):
-    recs = _docs(spark, sf).select("record_id")
+    recs = _ids(spark, sf).select("record_id")
     plan = SP.random_holdout(recs, test, val, folds, no_test, SEED)
     return SP.split_table(recs, plan)
 
@@ -252,7 +260,7 @@ def q_random_holdout(spark, sf):
 
 
 def q_no_test_split(spark, sf):
-    recs = _docs(spark, sf).select("record_id")
+    recs = _ids(spark, sf).select("record_id")
     return SP.split_table(recs, SP.no_test_split(recs, 0.2, 2, SEED))
 
 
@@ -261,17 +269,18 @@ def q_split_sizes(spark, sf):
 
 
 def q_distinct_groups(spark, sf):
-    return SP.distinct_groups(_docs(spark, sf), "source")
+    return SP.distinct_groups(_ids(spark, sf), "source")
 
 
 def q_pick_val_group(spark, sf):
-    return SP.fold_groups(_docs(spark, sf), "source", SEED).select(
+    return SP.fold_groups(_ids(spark, sf), "source", SEED).select(
         F.col("fold").cast("int").alias("fold"), "test_group", "val_group")
 
 
 def q_leave_one_group_out(spark, sf):
-    recs = _docs(spark, sf).select("record_id", "source")
-    return SP.split_table(recs, SP.leave_one_group_out(recs, "source", SEED))
+    recs = _ids(spark, sf).select("record_id", "source")
+    table = SP.split_table(recs, SP.leave_one_group_out(recs, "source", SEED))
+    return table.withColumn("val_folds", F.array_join(F.transform("val_folds", lambda f: f.cast("string")), ","))
 
 
 # --------------------------------------------------------------------- folds
@@ -308,7 +317,8 @@ def q_eval_csv_items(spark, sf):
 # ------------------------------------------------- model paths (rows only)
 def q_train_classifier(spark, sf):
     from cohera.operators.models import model_logits, train_classifier
-    cands = J.scored_candidates(_docs(spark, sf))
+    ensure_checkpoint_dir(spark)
+    cands = J.scored_candidates(_docs(spark, sf)).checkpoint()  # read by the fit and by the scoring
     model = train_classifier(cands, class_weights=CLASS_WEIGHTS)
     return model_logits(model, cands).select("record_id", "cand_idx", softmax_positive("logits").alias("p1"))
 
@@ -331,22 +341,49 @@ def q_run_folds(spark, sf):
     return folds
 
 
-def q_score_candidates(spark, sf):
-    from cohera.operators.models import score_candidates
-
+def _stand_in():
+    """A text classifier without a model file: logits from the share of full stops."""
     def make_predict_fn():
         import numpy as np
 
         def predict(texts):
             # stand-in classifier: logits from punctuation density and length
             t = np.asarray(texts, dtype=object)
-            n = np.array([len(x) for x in t], dtype=np.float32)
-            p = np.array([x.count(".") for x in t], dtype=np.float32)
+            n = np.array([len(x) for x in t], dtype=np.float64)
+            p = np.array([x.count(".") for x in t], dtype=np.float64)
             return np.stack([np.zeros_like(n), p / np.maximum(n, 1.0) * 10.0 - 0.1], axis=1)
         return predict
 
-    rc = C.ranking_candidates(_shuffles(spark, sf))
-    return score_candidates(rc, make_predict_fn).select("record_id", "cand_idx", "score")
+    return make_predict_fn
+
+
+def q_score_candidates(spark, sf):
+    from cohera.operators.models import score_candidates
+
+    rc = J.model_candidates(_docs(spark, sf))
+    return score_candidates(rc, _stand_in()).select("record_id", "cand_idx", F.round("score", 9).alias("score"))
+
+
+def q_model_report(spark, sf):
+    return J.evaluate_model(_docs(spark, sf), _stand_in())[0]
+
+
+def q_jsonl_records(spark, sf):
+    """``read_records`` on JSON lines that Spark writes from ``documents``, ids and all."""
+    folder = f"{ensure_checkpoint_dir(spark)}/jsonl-{uuid.uuid4().hex}"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    docs.select(F.col("text").alias("text_raw"), F.col("text").alias("summary"),
+                F.struct(F.col("source")).alias("metadata")).write.json(folder)
+    r = read_records(spark, folder)
+    return r.groupBy(group_key(r, "source").alias("source")).agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("record_id").alias("n_ids"), F.countDistinct("summary").alias("n_texts"))
+
+
+def q_flatten_record(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    raw = docs.select("doc_id", F.col("text").alias("text_raw"), F.col("text").alias("summary"),
+                      F.struct(F.col("source")).alias("metadata"))
+    return flatten_record(raw).select("doc_id", "source", F.md5("summary").alias("summary_md5"))
 
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -413,6 +450,9 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "select_best_model": q_select_best_model,
     "run_folds": q_run_folds,
     "score_candidates": q_score_candidates,
+    "model_report": q_model_report,
+    "jsonl_records": q_jsonl_records,
+    "flatten_record": q_flatten_record,
 }
 
 

@@ -55,6 +55,45 @@ def lexical_coherence(words: Column | str, order: Column, size_total: Column) ->
     return F.element_at(lexical_coherence_scores(words, F.array(order), size_total), 1)
 
 
+def candidate_features(words: Column | str, lengths: Column | str, orders: Column) -> Column:
+    """``ARRAY<STRUCT>`` of order-dependent features of every candidate.
+
+    Overlaps are shared over united words of the first two, the last two and
+    all next-but-one sentences; ``length_change`` is the mean change of length
+    between neighbours and ``first_length`` the first sentence's length, both
+    as shares of the longest. Fewer than two sentences give zeros.
+    """
+    w, n = _col(words), _col(lengths)
+
+    def overlap(a, b):
+        shared = F.size(F.array_intersect(F.element_at(w, a + 1), F.element_at(w, b + 1)))
+        united = F.size(F.element_at(w, a + 1)) + F.size(F.element_at(w, b + 1)) - shared
+        return F.when(united > 0, shared / united).otherwise(F.lit(0.0))
+
+    def length(a):
+        return F.element_at(n, a + 1)
+
+    def mean(values, count):
+        return F.when(count > 0, F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x) / count).otherwise(F.lit(0.0))
+
+    longest = F.greatest(F.array_max(n), F.lit(1))
+
+    def one(o):
+        k = F.size(o)
+        skip = F.zip_with(F.slice(o, 1, F.greatest(k - 2, F.lit(0))), F.slice(o, F.least(F.lit(3), k), F.greatest(k - 2, F.lit(0))), overlap)
+        change = F.zip_with(F.slice(o, 1, k - 1), F.slice(o, 2, k - 1),
+                            lambda a, b: F.abs(length(a) - length(b)).cast("double"))
+        full = F.struct(overlap(F.element_at(o, 1), F.element_at(o, 2)).alias("first_overlap"),
+                        overlap(F.element_at(o, -2), F.element_at(o, -1)).alias("last_overlap"),
+                        mean(skip, k - 2).alias("skip_overlap"),
+                        (mean(change, k - 1) / longest).alias("length_change"),
+                        (length(F.element_at(o, 1)) / longest).alias("first_length"))
+        none = F.struct(*[F.lit(0.0).alias(c) for c in ("first_overlap", "last_overlap", "skip_overlap", "length_change", "first_length")])
+        return F.when(k >= 2, full).otherwise(none)
+
+    return F.transform(orders, one)
+
+
 def softmax(logits: Column | str) -> Column:
     """Max-shifted softmax over an ``ARRAY<DOUBLE>`` of logits."""
     lg = _col(logits)

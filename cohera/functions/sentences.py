@@ -46,9 +46,9 @@ def let(value: Column, body) -> Column:
 def canonical_positions(sentences: Column | str) -> Column:
     """0-based position of the first equal sentence, per sentence.
 
-    Two orders are the same text exactly when their canonical position
-    arrays are equal, so uniqueness can be decided on small int arrays
-    instead of on joined strings. When all sentences differ (the usual
+    Two orders hold the same sentences in the same order exactly when their
+    canonical position arrays are equal. (Their joined texts can be equal
+    beyond that: see ``operators.shuffles.distinct_texts``.) When all sentences differ (the usual
     case) this is ``sequence(0, n-1)``. Otherwise it is O(n log n): sort
     ``(sentence, position)``, find where runs of equal sentences start, and
     give every member of a run the position of its first member.

@@ -1,11 +1,11 @@
 """Candidate tables: labelled pairs (training) and ranking lists (evaluation).
 
-One row per candidate, ``cand_idx`` 0 = the original text. Texts are built
-in the row (original plus its shuffles joined by one space) and only then
-exploded, so the exploding step carries nothing but the id and the text.
-The candidate array is never empty, so ``posexplode_outer`` gives the same
-rows as ``posexplode`` without the size filter the optimizer would infer
-(and push, with the whole shuffle expression inlined, below the scan).
+One row per candidate, ``cand_idx`` 0 = the original text. The orders are
+exploded first and each candidate's text is joined after, one at a time: a
+long text never stands 21 times in one row. The order array is never empty,
+so ``posexplode_outer`` gives the same rows as ``posexplode`` without the
+size filter the optimizer would infer (and push, with the whole shuffle
+expression inlined, below the scan).
 """
 
 from __future__ import annotations
@@ -14,28 +14,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sentences import EDGE_SPACE, join_sentences
-from .shuffles import shuffle_texts
 
 
-def candidate_texts(summary: str = "summary", sentences: str = "sentences", negs: str = "negs",
-                    normalize_original: bool = False) -> Column:
-    """Original first, then the shuffles.
+def candidate_text(order: Column, summary: str = "summary", sentences: str = "sentences",
+                   normalize_original: bool = False) -> Column:
+    """Text of one exploded candidate: the original first, then the shuffles.
 
     By default the original keeps its own whitespace while shuffles are
     rejoined with one space (a model could tell them apart without reading
     order); ``normalize_original=True`` rejoins the original as well.
     """
     original = join_sentences(sentences) if normalize_original else F.col(summary)
-    return F.concat(F.array(original), shuffle_texts(sentences, negs))
+    return F.when(F.col("cand_idx") == 0, original).otherwise(join_sentences(sentences, order))
 
 
 def ranking_candidates(shuffled: DataFrame, normalize_original: bool = False,
                        keep: tuple[str, ...] = ()) -> DataFrame:
     """``(record_id, *keep, n_neg, cand_idx, text)`` for every text."""
-    return shuffled.select(
-        "record_id", *keep, "n_neg",
-        F.posexplode_outer(candidate_texts(normalize_original=normalize_original)).alias("cand_idx", "text"),
-    ).withColumn("cand_idx", F.col("cand_idx").cast("int"))
+    orders = F.concat(F.array(F.col("canon")), F.col("negs"))
+    x = shuffled.select("record_id", *keep, "n_neg", "summary", "sentences",
+                        F.posexplode_outer(orders).alias("cand_idx", "order"))
+    return x.select("record_id", *keep, "n_neg", F.col("cand_idx").cast("int").alias("cand_idx"),
+                    candidate_text(F.col("order"), normalize_original=normalize_original).alias("text"))
 
 
 def labelled_pairs(shuffled: DataFrame, normalize_original: bool = False,

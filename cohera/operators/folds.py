@@ -1,8 +1,9 @@
 """Cross-validation: per-fold test metrics and their summary.
 
 With a fixed scorer every item is scored once; its test folds are then a
-row-wise function of the fold plan (the plan is constants), so all folds are
-evaluated by one grouped aggregate instead of a loop of jobs. Training a
+row-wise function of the fold plan (random folds) or one join with the fold
+table (group folds), so all folds are evaluated by one grouped aggregate
+instead of a loop of jobs. Training a
 model per fold (``run_folds``) is a driver loop over folds, each fold being
 ordinary Spark jobs; only one-row fold results reach the driver.
 """
@@ -15,48 +16,49 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .ranking import ranking_report
-from .splits import FoldPlan, role_column
+from .ranking import metric_name, ranking_report
+from .splits import FoldPlan, fold_split, role_column, with_group_folds
 
 ROUND = 9
 log = logging.getLogger(__name__)
 
 
 def test_folds(plan: FoldPlan, record_id: str = "record_id") -> Column:
-    """``ARRAY<INT>`` of the folds in which a record is in the test set."""
+    """``ARRAY<INT>`` of the random folds in which a record is in the test set."""
     if plan.no_test:
         return F.array().cast("array<int>")
+    return F.filter(F.sequence(F.lit(1), F.lit(len(plan.folds))),
+                    lambda f: role_column(plan, f, record_id) == "test")
+
+
+def with_test_fold(items: DataFrame, plan: FoldPlan) -> DataFrame:
+    """One row per item and fold that tests it, with its ``fold``."""
     if plan.kind == "key":
-        g = F.col(plan.group_col)
-        pairs = [(plan.test_group[f], f) for f in plan.folds]
-        expr = F.lit(None).cast("int")
-        null_fold = [f for v, f in pairs if v is None]
-        keyed = [(v, f) for v, f in pairs if v is not None]
-        if keyed:
-            m = F.create_map(*[x for v, f in keyed for x in (F.lit(v), F.lit(f))])
-            expr = F.element_at(m, g)
-        if null_fold:
-            expr = F.when(g.isNull(), F.lit(null_fold[0])).otherwise(expr)
-        return F.when(expr.isNull(), F.array().cast("array<int>")).otherwise(F.array(expr.cast("int")))
-    marks = [F.when(role_column(plan, f, record_id) == "test", F.lit(f)) for f in plan.folds]
-    return F.filter(F.array(*marks), lambda f: f.isNotNull())
+        x = with_group_folds(items, plan).drop("val_folds").withColumnRenamed("test_fold", "fold")
+    else:
+        # explode_outer + filter: a plain explode makes the optimizer infer a
+        # size filter and push it (with the inlined expression) below the scoring
+        x = items.withColumn("fold", F.explode_outer(test_folds(plan)))
+    return x.where(F.col("fold").isNotNull())
 
 
 def fold_reports(items: DataFrame, plan: FoldPlan, k_values=(3, 5, 10)) -> DataFrame:
     """One ranking report row per fold, over that fold's test items.
 
-    ``total_items_in_dataset`` counts the fold's test records.
+    ``total_items_in_dataset`` counts the fold's test records. A fold without
+    test records has a row of zeros.
     """
-    # explode_outer + filter: a plain explode makes the optimizer infer a
-    # size filter and push it (with the inlined expression) below the scoring
-    x = items.withColumn("fold", F.explode_outer(test_folds(plan))).where(F.col("fold").isNotNull())
-    return ranking_report(x, k_values, group_by=["fold"])
+    reports = ranking_report(with_test_fold(items, plan), k_values, group_by=["fold"])
+    if plan.kind == "key" or plan.no_test:
+        return reports  # every group has records
+    folds = items.sparkSession.range(1, len(plan.folds) + 1).select(F.col("id").cast("int").alias("fold"))
+    return folds.join(reports, "fold", "left").na.fill(0)
 
 
 def fold_metrics_long(reports: DataFrame, fold: str = "fold") -> DataFrame:
-    """``(fold, metric, value)`` from one-row-per-fold reports."""
+    """``(fold, metric, value)`` from one-row-per-fold reports; metrics as they are reported (``recall@3``)."""
     metrics = [c for c in reports.columns if c != fold]
-    pairs = ", ".join(f"'{m}', cast(`{m}` as double)" for m in metrics)
+    pairs = ", ".join(f"'{metric_name(m)}', cast(`{m}` as double)" for m in metrics)
     return reports.selectExpr(f"cast({fold} as int) as fold", f"stack({len(metrics)}, {pairs}) as (metric, value)")
 
 
@@ -93,32 +95,32 @@ FOLD_RESULT_SCHEMA = T.StructType([
 
 
 def run_folds(spark, records: DataFrame, plan: FoldPlan, fit, evaluate, no_test: bool | None = None) -> DataFrame:
-    """Per fold: split, ``fit(train, val)``, ``evaluate(model, test)``.
+    """Per fold: split, ``fit(train, val, fold)``, ``evaluate(model, test)``.
 
     ``evaluate`` returns a one-row report DataFrame. A failing fold is
     logged, recorded as ``status='failed'`` and the loop goes on; if no fold
     succeeds the error is raised. Returns ``(fold, metric, value, status)``
     with metrics prefixed ``test_``.
     """
-    from .splits import fold_split
-
     no_test = plan.no_test if no_test is None else no_test
     rows, errors = [], []
 
     def one_fold(f):
         split = fold_split(records, plan, f)
-        model = fit(split.where(F.col("role") == "train"), split.where(F.col("role") == "val"))
+        model = fit(split.where(F.col("role") == "train"), split.where(F.col("role") == "val"), f)
         if no_test:
             return [(f, None, None, "trained")]
         rep = evaluate(model, split.where(F.col("role") == "test")).collect()
         if not rep:
             return [(f, None, None, "empty")]
-        return [(f, "test_" + k, float(v), "ok") for k, v in rep[0].asDict().items()
+        return [(f, "test_" + metric_name(k), float(v), "ok") for k, v in rep[0].asDict().items()
                 if isinstance(v, (int, float)) and not isinstance(v, bool)]
 
-    for f in plan.folds:
+    done = 0
+    for f in plan.fold_numbers():
+        done += 1
         rows += isolate_fold_failure(f, one_fold, errors)
-    if errors and len(errors) == len(plan.folds):
+    if errors and len(errors) == done:
         raise errors[0]
     return spark.createDataFrame(rows, FOLD_RESULT_SCHEMA)
 

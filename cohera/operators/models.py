@@ -3,25 +3,43 @@
 * ``score_candidates``: any per-text classifier through
   ``predict_batch_udf`` (Arrow batches cut across texts, the model loaded
   once per Python worker), keeping the class-1 softmax as the score.
-* ``train_classifier``: ``pyspark.ml`` logistic regression on candidate
-  features, class weights through ``weightCol`` (weighted mean log loss).
+* ``train_classifier``: logistic regression on candidate features under
+  weighted log loss (``pyspark.ml``) or focal loss (``train_focal``: gradient
+  steps, each one aggregate row).
 * ``select_best_model``: the regularisation whose model has the best
   validation ROC AUC (computed exactly by ``classification_report``).
+* ``save_model`` / ``load_model``: a model as one JSON row.
 """
 
 from __future__ import annotations
 
+import json
+from dataclasses import asdict, dataclass
+
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import predict_batch_udf, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.ml.functions import predict_batch_udf
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scoring import softmax_positive
 from .classification import classification_report
 
-FEATURES = ("lexical",)
+#: candidate features, made by ``plans.jobs.scored_candidates``
+FEATURES = ("lexical", "first_overlap", "last_overlap", "skip_overlap", "length_change", "first_length")
+
+
+@dataclass
+class LinearModel:
+    """Weights of a two-class linear model over named features."""
+    features: list[str]
+    weights: list[float]
+    bias: float
+    reg_param: float = 0.0
+
+    def margin(self) -> Column:
+        return sum((F.lit(w) * F.col(f) for f, w in zip(self.features, self.weights)), F.lit(self.bias))
 
 
 def score_candidates(cands: DataFrame, make_predict_fn, text: str = "text", num_labels: int = 2,
@@ -29,11 +47,12 @@ def score_candidates(cands: DataFrame, make_predict_fn, text: str = "text", num_
     """Add ``out``: class-1 softmax of a text classifier's logits.
 
     ``make_predict_fn()`` returns ``fn(texts: np.ndarray) -> np.ndarray`` of
-    shape ``(batch, num_labels)``; it runs inside the Python workers.
+    shape ``(batch, num_labels)``; it runs inside the Python workers. The
+    score is class 1's share of the softmax over all ``num_labels`` logits.
     """
-    udf = predict_batch_udf(make_predict_fn, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size,
+    udf = predict_batch_udf(make_predict_fn, return_type=T.ArrayType(T.DoubleType()), batch_size=batch_size,
                             input_tensor_shapes=None)
-    logits = F.transform(udf(F.col(text)), lambda x: x.cast("double"))
+    logits = F.slice(udf(F.col(text)), 1, num_labels)
     return cands.withColumn("logits", logits).withColumn(out, softmax_positive("logits")).drop("logits")
 
 
@@ -42,7 +61,7 @@ def assemble(df: DataFrame, features=FEATURES) -> DataFrame:
 
 
 def train_classifier(train: DataFrame, label: str = "label", features=FEATURES, class_weights=None,
-                     reg_param: float = 0.0, max_iter: int = 50):
+                     reg_param: float = 0.0, max_iter: int = 50) -> LinearModel:
     """Fit a logistic regression; ``class_weights[y]`` weighs each row."""
     df = assemble(train, features)
     lr = LogisticRegression(featuresCol="features", labelCol=label, regParam=reg_param, maxIter=max_iter)
@@ -50,25 +69,82 @@ def train_classifier(train: DataFrame, label: str = "label", features=FEATURES,
         w = F.array(*[F.lit(float(x)) for x in class_weights])
         df = df.withColumn("_w", F.element_at(w, F.col(label).cast("int") + 1))
         lr = lr.setWeightCol("_w")
-    return lr.fit(df)
+    fitted = lr.fit(df)
+    return LinearModel(list(features), [float(x) for x in fitted.coefficients], float(fitted.intercept), reg_param)
+
 
+def train_focal(train: DataFrame, label: str = "label", features=FEATURES, alpha=None, gamma: float = 2.0,
+                reg_param: float = 0.0, steps: int = 60, rate: float = 1.0) -> LinearModel:
+    """Fit the same model under focal loss by gradient descent.
 
-def model_logits(model, df: DataFrame, features=FEATURES) -> DataFrame:
+    The loss of a row with true-class probability ``p`` is
+    ``-alpha_y (1 - p)^gamma log p``; ``gamma`` 0 without ``alpha`` is log
+    loss. Features are standardised; a step is one aggregate of the whole
+    table to one row (loss and gradient), and a step that does not lower the
+    loss halves the rate.
+    """
+    names = list(features)
+    stats = train.agg(F.count(F.lit(1)).alias("n"), *[F.avg(f).alias(f"m{i}") for i, f in enumerate(names)],
+                      *[F.stddev_samp(f).alias(f"s{i}") for i, f in enumerate(names)]).first()
+    mean = [stats[f"m{i}"] or 0.0 for i in range(len(names))]
+    dev = [stats[f"s{i}"] or 0.0 for i in range(len(names))]
+    z = [(F.col(f) - F.lit(m)) / F.lit(s) if s > 0 else F.lit(0.0) for f, m, s in zip(names, mean, dev)]
+    x = train.select(F.when(F.col(label) == 1, 1.0).otherwise(-1.0).alias("y"),
+                     (F.lit(1.0) if alpha is None else F.when(F.col(label) == 1, float(alpha[1])).otherwise(float(alpha[0]))).alias("a"),
+                     *[c.alias(f"z{i}") for i, c in enumerate(z)])
+
+    def look(w: list[float]):
+        score = sum((F.lit(v) * F.col(f"z{i}") for i, v in enumerate(w[1:])), F.lit(w[0]))
+        t = F.col("y") * score
+        log_p = F.when(t > 0, -F.log1p(F.exp(-t))).otherwise(t - F.log1p(F.exp(t)))
+        rows = x.withColumn("lp", log_p).withColumn("p", F.exp("lp"))
+        miss = F.pow(1.0 - F.col("p"), F.lit(gamma))
+        # d loss / d t, times y for d loss / d score
+        slope = F.col("a") * F.col("y") * miss * (F.lit(gamma) * F.col("p") * F.col("lp") - (1.0 - F.col("p")))
+        rows = rows.select((-F.col("a") * miss * F.col("lp")).alias("loss"), slope.alias("g"),
+                           *[f"z{i}" for i in range(len(names))])
+        r = rows.agg(F.avg("loss"), F.avg("g"), *[F.avg(F.col("g") * F.col(f"z{i}")) for i in range(len(names))]).first()
+        penalty = 0.5 * reg_param * sum(v * v for v in w[1:])
+        return (r[0] or 0.0) + penalty, [r[1] or 0.0] + [(r[i + 2] or 0.0) + reg_param * w[i + 1] for i in range(len(names))]
+
+    w = [0.0] * (len(names) + 1)
+    loss, grad = look(w)
+    for _ in range(steps):
+        tried = [a - rate * g for a, g in zip(w, grad)]
+        new_loss, new_grad = look(tried)
+        if new_loss < loss:
+            done = loss - new_loss < 1e-9
+            w, loss, grad, rate = tried, new_loss, new_grad, rate * 1.5
+            if done:
+                break
+        else:
+            rate /= 2
+    weights = [v / s if s > 0 else 0.0 for v, s in zip(w[1:], dev)]
+    return LinearModel(names, weights, w[0] - sum(v * m for v, m in zip(weights, mean)), reg_param)
+
+
+def model_logits(model: LinearModel, df: DataFrame) -> DataFrame:
     """Two-class logits ``[0, margin]``: their softmax is the model's probability."""
-    out = model.transform(assemble(df, features))
-    raw = vector_to_array(F.col("rawPrediction"))
-    return out.withColumn("logits", F.array(F.lit(0.0), F.element_at(raw, 2))).drop(
-        "features", "rawPrediction", "probability", "prediction")
+    return df.withColumn("logits", F.array(F.lit(0.0), model.margin()))
 
 
 def select_best_model(train: DataFrame, val: DataFrame, reg_params=(0.0, 0.01, 0.1), label: str = "label",
-                      features=FEATURES, class_weights=None):
-    """``(model, reg_param, val_roc_auc)`` with the best validation ROC AUC."""
+                      fit=train_classifier, **options):
+    """``(model, reg_param, val_roc_auc)`` with the best validation ROC AUC; the first of equals."""
     best = None
     for rp in reg_params:
-        m = train_classifier(train, label, features, class_weights, rp)
-        auc = classification_report(model_logits(m, val, features), label, "logits").first()["roc_auc"]
+        m = fit(train, label=label, reg_param=rp, **options)
+        auc = classification_report(model_logits(m, val), label, "logits").first()["roc_auc"]
         score = -1.0 if auc is None else auc
         if best is None or score > best[2]:
             best = (m, rp, score)
     return best
+
+
+def save_model(spark: SparkSession, model: LinearModel, path: str) -> None:
+    """The model as one JSON row in the folder ``path``."""
+    spark.createDataFrame([(json.dumps(asdict(model)),)], "model string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def load_model(spark: SparkSession, path: str) -> LinearModel:
+    return LinearModel(**json.loads(spark.read.text(path).first()["value"]))

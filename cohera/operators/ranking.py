@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.names import metric_name
 from ..session import fenced_where
 
 DEFAULT_K_VALUES = (3, 5, 10)
@@ -83,25 +84,40 @@ def rankable(items: DataFrame) -> DataFrame:
     return fenced_where(items, F.col("n_neg") > 0)
 
 
-def candidate_count_ok(scored: DataFrame, record_id: str = "record_id", cand_idx: str = "cand_idx",
-                       score: str = "score", n_neg: str = "n_neg") -> DataFrame:
-    """Regroup scored candidates into items; drop items whose score count
-    differs from ``1 + n_neg``. Groups hold at most ``k_max + 1`` rows."""
+def regroup_scores(scored: DataFrame, record_id: str = "record_id", cand_idx: str = "cand_idx",
+                   score: str = "score", n_neg: str = "n_neg") -> DataFrame:
+    """``(record_id, scores, complete)``: scored candidates as items, none dropped.
+
+    ``complete`` is false where the score count differs from ``1 + n_neg``;
+    such an item keeps only its first score, so it counts in totals but
+    cannot be ranked. Groups hold at most ``k_max + 1`` rows.
+    """
     grouped = scored.groupBy(record_id).agg(
         F.sort_array(F.collect_list(F.struct(F.col(cand_idx).alias("i"), F.col(score).alias("s")))).alias("_c"),
         F.max(n_neg).alias("_n_neg"),
         F.count(score).alias("_n_scores"),
     )
-    ok = grouped.where(F.col("_n_scores") == F.col("_n_neg") + 1)
-    return ok.select(record_id, F.transform("_c", lambda z: z["s"]).alias("scores"))
+    complete = F.col("_n_scores") == F.col("_n_neg") + 1
+    all_scores = F.transform("_c", lambda z: z["s"])
+    return grouped.select(record_id, F.when(complete, all_scores).otherwise(F.slice(all_scores, 1, 1)).alias("scores"),
+                          complete.alias("complete"))
+
+
+def candidate_count_ok(scored: DataFrame, record_id: str = "record_id", cand_idx: str = "cand_idx",
+                       score: str = "score", n_neg: str = "n_neg") -> DataFrame:
+    """The items of ``regroup_scores`` that have a score for every candidate."""
+    items = regroup_scores(scored, record_id, cand_idx, score, n_neg)
+    return items.where("complete").select(record_id, "scores")
 
 
 def item_pair_score(items: DataFrame, record_id: str = "record_id") -> DataFrame:
     """``wins / n_neg`` per item, ``-1.0`` when the text has no shuffle."""
-    return items.select(
-        record_id,
-        F.when(F.col("n_neg") > 0, F.col("wins") / F.col("n_neg")).otherwise(F.lit(-1.0)).alias("pair_score"),
-    )
+    return with_pair_score(items).select(record_id, "pair_score")
+
+
+def with_pair_score(items: DataFrame) -> DataFrame:
+    """Items with their ``pair_score`` (see ``item_pair_score``) in place."""
+    return items.withColumn("pair_score", F.when(F.col("n_neg") > 0, F.col("wins") / F.col("n_neg")).otherwise(F.lit(-1.0)))
 
 
 def _r(c: Column) -> Column:
@@ -111,23 +127,25 @@ def _r(c: Column) -> Column:
 def ranking_report(items: DataFrame, k_values=DEFAULT_K_VALUES, group_by: list[str] | None = None) -> DataFrame:
     """All ranking metrics in one aggregate (one row, or one per group).
 
-    Pooled negative-score statistics need every negative; they are exploded
-    inside the same stage, before the partial aggregate, so no extra
-    exchange appears. Every metric is 0.0 when nothing could be evaluated;
+    Pooled negative-score statistics come from each item's own count, mean
+    and sum of squared deviations, merged in the aggregate; nothing is
+    exploded. Every metric is 0.0 when nothing could be evaluated;
     ``total_items_in_dataset`` counts unrankable items too.
     """
     ks = normalize_k_values(k_values)
     group_by = group_by or []
-    x = items.select(
-        *group_by, "rankable", "rank", "n_neg", "wins", "pos", "max_neg",
-        F.posexplode_outer("neg_scores").alias("j", "neg"),
-    )
-    first = F.col("j").isNull() | (F.col("j") == 0)
-    ev = first & F.col("rankable")
+    negs, m = F.col("neg_scores"), F.size("neg_scores")
+    total = F.aggregate(negs, F.lit(0.0), lambda acc, s: acc + s)
+    x = items.select(*group_by, "rankable", "rank", "n_neg", "wins", "pos", "max_neg", "neg_scores",
+                     m.alias("_m"), F.when(m > 0, total / m).alias("_mean"))
+    x = x.withColumn("_m2", F.when(F.col("_m") > 0, F.aggregate(
+        negs, F.lit(0.0), lambda acc, s: acc + (s - F.col("_mean")) * (s - F.col("_mean")))))
+    x = x.drop("neg_scores")
+    ev = F.col("rankable")
     top = ev & (F.col("rank") == 1)
     miss = ev & (F.col("rank") > 1)
     aggs = [
-        F.count_if(first).alias("total_items_in_dataset"),
+        F.count(F.lit(1)).alias("total_items_in_dataset"),
         F.count_if(ev).alias("evaluated_items_count"),
         F.count_if(top).alias("top_1_success_count"),
         F.count_if(miss).alias("top_1_failure_count"),
@@ -140,8 +158,8 @@ def ranking_report(items: DataFrame, k_values=DEFAULT_K_VALUES, group_by: list[s
         F.avg(F.when(miss, F.col("n_neg"))).alias("avg_len_shuffled_failure"),
         F.avg(F.when(ev, F.col("pos"))).alias("avg_positive_score"),
         F.stddev_pop(F.when(ev, F.col("pos"))).alias("std_positive_score"),
-        F.avg("neg").alias("avg_negative_score"),
-        F.stddev_pop("neg").alias("std_negative_score"),
+        F.sum("_m").alias("_n"), F.sum(F.col("_m") * F.col("_mean")).alias("_s1"),
+        F.sum(F.col("_m") * F.col("_mean") * F.col("_mean")).alias("_s2"), F.sum("_m2").alias("_dev"),
         F.avg(F.when(top, F.col("pos") - F.col("max_neg"))).alias("avg_margin_victory"),
         F.avg(F.when(miss, F.col("max_neg") - F.col("pos"))).alias("avg_margin_defeat"),
     ]
@@ -151,6 +169,10 @@ def ranking_report(items: DataFrame, k_values=DEFAULT_K_VALUES, group_by: list[s
         aggs.append(F.avg(F.when(ev, F.when(F.col("rank") <= k, 1.0 / F.log2(F.col("rank") + 1))
                                  .otherwise(F.lit(0.0)))).alias(f"ndcg_at_{k}"))
     agg = x.groupBy(*group_by).agg(*aggs)
+    mean = F.try_divide(F.col("_s1"), F.col("_n"))
+    spread = F.col("_dev") + F.col("_s2") - F.col("_n") * mean * mean
+    agg = agg.withColumns({"avg_negative_score": mean,
+                           "std_negative_score": F.sqrt(F.greatest(F.try_divide(spread, F.col("_n")), F.lit(0.0)))})
 
     out = list(group_by)
     for name in ["total_items_in_dataset", "evaluated_items_count", "top_1_success_count",
@@ -173,14 +195,6 @@ def ranking_report(items: DataFrame, k_values=DEFAULT_K_VALUES, group_by: list[s
     return agg.select(*out)
 
 
-def metric_name(column: str) -> str:
-    """Column name to the reported metric name (``recall_at_3`` -> ``recall@3``)."""
-    for prefix in ("recall", "ndcg"):
-        if column.startswith(prefix + "_at_"):
-            return prefix + "@" + column[len(prefix) + 4:]
-    return column
-
-
 def report_order(columns: list[str]) -> list[str]:
     """Print order: the fixed list, then recall@k and ndcg@k by k, then the rest."""
     names = [metric_name(c) for c in columns]

@@ -12,40 +12,35 @@ Contract (per text of ``n`` sentences, limit ``k_max``):
   or after ``5 want + 10`` attempts.
 
 Orders are kept as 0-based *canonical* positions (position of the first
-equal sentence), so equal texts are equal arrays and uniqueness is decided
-on small int arrays. Nothing here leaves the row: no exchange, no Python.
-Text is materialised only when a caller asks for candidate strings.
+equal sentence), so equal sentence orders are equal arrays. Two different
+orders can still join to the same text when the last sentence lacks an end
+mark (``d A. A. d``): for those texts, and only those, uniqueness is decided
+on the joined strings (``distinct_texts``). As a list of orders is sampled
+first and equal texts dropped after, such a text may get fewer than
+``want``; attempts instead go on until ``want`` texts differ. Nothing here
+leaves the row: no exchange, no Python.
 """
 
 from __future__ import annotations
 
 import math
-from functools import lru_cache
-from itertools import permutations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.keys import md5_key
 from ..functions.sentences import canonical_positions, join_sentences, let
 
-# Largest sentence count whose full permutation list is shipped to the
-# executors (7! = 5040 orders). Larger enumeration needs k_max > 20160.
-MAX_ENUMERATED_N = 7
+# Fixed value: texts of this many sentences are never enumerated.
+ENUMERATE_BELOW = 10
 # Spare attempts in the first sampling pass (a cost knob; results are equal).
 FIRST_PASS_SPARE = 2
 
 
 def enumerable_sizes(k_max: int) -> list[int]:
     """Sentence counts for which all orders are listed (the size heuristic)."""
-    sizes = [n for n in range(2, 10)
-             if math.factorial(n) < 2 * k_max or math.factorial(n) < 1000]
-    if sizes and max(sizes) > MAX_ENUMERATED_N:
-        raise ValueError(
-            f"k_max={k_max} would enumerate all orders of {max(sizes)} sentences; "
-            f"supported up to n={MAX_ENUMERATED_N} (k_max <= 20160)")
-    return sizes
+    return [n for n in range(2, ENUMERATE_BELOW)
+            if math.factorial(n) < 2 * k_max or math.factorial(n) < 1000]
 
 
 def shuffle_plan(n: Column, k_max: int) -> tuple[Column, Column]:
@@ -65,29 +60,58 @@ def shuffle_plan(n: Column, k_max: int) -> tuple[Column, Column]:
     return want, method
 
 
-@lru_cache(maxsize=None)
-def _orders(n: int) -> tuple[tuple[int, ...], ...]:
-    return tuple(permutations(range(n)))
+def _all_orders(n: int) -> Column:
+    """Every order of ``0..n-1``: each next number goes to every place of every shorter order."""
+    def places(p: Column, m: int) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(m)),
+                           lambda i: F.concat(F.slice(p, 1, i), F.array(F.lit(m)), F.slice(p, i + 1, F.lit(m) - i)))
+
+    orders = F.array(F.array(F.lit(0)))
+    for m in range(1, n):
+        orders = F.flatten(F.transform(orders, lambda p: places(p, m)))
+    return orders
 
 
 def permutation_table(spark, sizes: list[int]) -> DataFrame:
     """``(perm_n INT, perms ARRAY<ARRAY<INT>>)``: every order of ``0..n-1``.
 
-    Generated from the rule, one row per size; its size is fixed by
-    ``MAX_ENUMERATED_N`` (at most 5,913 orders), so broadcasting it is safe.
+    Made by Spark from the rule, one row per size. Sizes stay below
+    ``ENUMERATE_BELOW``, so the table has a fixed bound (409,113 orders, about
+    15 MB; 873 orders for the default ``k_max``) and may be broadcast.
     """
-    schema = T.StructType([
-        T.StructField("perm_n", T.IntegerType(), False),
-        T.StructField("perms", T.ArrayType(T.ArrayType(T.IntegerType(), False), False), False),
-    ])
-    rows = [(n, [list(p) for p in _orders(n)]) for n in sizes]
-    return spark.createDataFrame(rows, schema)
+    rows = [F.struct(F.lit(n).alias("perm_n"), _all_orders(n).alias("perms")) for n in sizes]
+    table = spark.range(1).select(F.explode(F.array(F.struct(F.lit(0).alias("perm_n"), F.array(F.array(F.lit(0))).alias("perms")),
+                                                    *rows)).alias("r"))
+    return table.select("r.perm_n", "r.perms").where("perm_n > 0")
 
 
 def distinct_permutations(perms: Column, canon: Column) -> Column:
-    """All distinct orders as texts see them, without the original."""
-    mapped = F.transform(perms, lambda p: F.transform(p, lambda i: F.element_at(canon, i + 1)))
-    return F.filter(F.array_distinct(mapped), lambda t: t != canon)
+    """All distinct orders as texts see them, without the original.
+
+    Where all sentences differ the orders are distinct as they are; else
+    they are told apart as strings (hashed, not compared pair by pair).
+    """
+    def by_text(p):
+        return F.array_join(F.transform(p, lambda i: F.element_at(canon, i + 1)), ",")
+
+    repeated = F.transform(F.array_distinct(F.transform(perms, by_text)),
+                           lambda s: F.split(s, ",").cast("array<int>"))
+    plain = F.size(F.array_distinct(canon)) == F.size(canon)
+    return F.filter(F.when(plain, perms).otherwise(repeated), lambda t: t != canon)
+
+
+def distinct_texts(orders: Column, sentences: Column) -> Column:
+    """The orders without those that join to the text of an earlier one.
+
+    Only a last sentence without an end mark allows that, so other texts are
+    left as they are.
+    """
+    open_end = ~F.element_at(sentences, -1).rlike("[.!?]$")
+
+    def first_of_each(texts):
+        return F.filter(orders, lambda t, i: F.array_position(texts, F.element_at(texts, i + 1)) == i + 1)
+
+    return F.when(open_end, let(F.transform(orders, lambda t: join_sentences(sentences, t)), first_of_each)).otherwise(orders)
 
 
 def sample_permutations(orders: Column, want: Column, record_id: Column, seed: int) -> Column:
@@ -101,20 +125,26 @@ def sample_permutations(orders: Column, want: Column, record_id: Column, seed: i
 
 
 def _attempts(canon: Column, n: Column, record_id: Column, seed: int, first: Column, last: Column) -> Column:
-    """Random orders ``first..last``: sort positions by md5(seed|id|j|i).
+    """Random orders ``first..last``: sort positions by seeded keys.
 
-    The key text ``seed|id|j|`` is built once per attempt (bound to a lambda
-    variable) and each position only appends its index.
+    A digest ``md5(seed|id|j|b)`` holds the 8-digit keys of positions
+    ``4b..4b+3``; equal keys are ordered by position. The digests are made
+    once per attempt (bound to a lambda variable).
     """
     row_prefix = F.concat(F.lit(f"{seed}|"), record_id.cast("string"), F.lit("|"))
 
     def one(j):
-        def keyed(prefix):
+        def digests(prefix):
+            return F.transform(F.sequence(F.lit(0), F.shiftright(n - 1, 2)),
+                               lambda b: F.md5(F.concat(prefix, b.cast("string"))))
+
+        def keyed(hexes):
             return F.transform(
                 F.sequence(F.lit(0), n - 1),
-                lambda i: F.struct(F.md5(F.concat(prefix, i.cast("string"))).alias("k"), i.alias("i")),
+                lambda i: F.struct(F.substring(F.element_at(hexes, F.shiftright(i, 2) + 1),
+                                               i.bitwiseAND(F.lit(3)) * 8 + 1, F.lit(8)).alias("k"), i.alias("i")),
             )
-        pairs = let(F.concat(row_prefix, j.cast("string"), F.lit("|")), keyed)
+        pairs = let(let(F.concat(row_prefix, j.cast("string"), F.lit("|")), digests), keyed)
         return F.transform(F.sort_array(pairs), lambda z: F.element_at(canon, z["i"] + 1))
 
     return F.filter(F.transform(F.sequence(first, last), one), lambda t: t != canon)
@@ -122,7 +152,7 @@ def _attempts(canon: Column, n: Column, record_id: Column, seed: int, first: Col
 
 def sample_shuffles(df: DataFrame, seed: int, canon: str = "canon", n: str = "n_sentences",
                     want: str = "want", record_id: str = "record_id", out: str = "negs",
-                    only_when: Column | None = None) -> DataFrame:
+                    only_when: Column | None = None, sentences: str = "sentences") -> DataFrame:
     """Random-order branch; adds ``out`` (``ARRAY<ARRAY<INT>>``).
 
     Attempts are ordered, so the first ``want`` distinct ones equal the stop
@@ -135,15 +165,17 @@ def sample_shuffles(df: DataFrame, seed: int, canon: str = "canon", n: str = "n_
     c, nn, w, rid = F.col(canon), F.col(n), F.col(want), F.col(record_id)
     cond = only_when if only_when is not None else F.lit(True)
     head = F.least(w + FIRST_PASS_SPARE, w * 5 + 10)
+    s = F.col(sentences)
     first_pass = F.when(cond, F.array_distinct(_attempts(c, nn, rid, seed, F.lit(1), head)))
-    df = df.withColumn("_first", first_pass)
-    rest = F.array_distinct(F.concat(F.col("_first"), _attempts(c, nn, rid, seed, head + 1, w * 5 + 10)))
+    df = df.withColumn("_orders", first_pass).withColumn("_first", distinct_texts(F.col("_orders"), s))
+    more = F.array_distinct(F.concat(F.col("_first"), _attempts(c, nn, rid, seed, head + 1, w * 5 + 10)))
+    rest = let(more, lambda orders: distinct_texts(orders, s))
     negs = (
         F.when(~cond, F.lit(None).cast("array<array<int>>"))
         .when(F.size(F.col("_first")) >= w, F.slice(F.col("_first"), 1, w))
         .otherwise(F.slice(rest, 1, w))
     )
-    return df.withColumn(out, negs).drop("_first")
+    return df.withColumn(out, negs).drop("_first", "_orders")
 
 
 def generate_shuffles(df: DataFrame, k_max: int = 20, seed: int = 42, sentences: str = "sentences",
@@ -166,12 +198,13 @@ def generate_shuffles(df: DataFrame, k_max: int = 20, seed: int = 42, sentences:
         df = df.join(table, (F.col("n_sentences") == table["perm_n"]) & (F.col("method") == "enumerate"), "left")
         enum_negs = sample_permutations(
             distinct_permutations(F.col("perms"), F.col("canon")), F.col("want"), F.col(record_id), seed)
-        df = df.withColumn("_enum", F.when(F.col("method") == "enumerate", enum_negs)).drop("perm_n", "perms")
+        df = df.withColumn("_sampled", F.when(F.col("method") == "enumerate", enum_negs)).drop("perm_n", "perms")
+        df = df.withColumn("_enum", distinct_texts(F.col("_sampled"), s)).drop("_sampled")
     else:
         df = df.withColumn("_enum", F.lit(None).cast("array<array<int>>"))
 
     df = sample_shuffles(df, seed, record_id=record_id, out="_sample",
-                         only_when=F.col("method") == "sample")
+                         only_when=F.col("method") == "sample", sentences=sentences)
     negs = F.coalesce(F.col("_enum"), F.col("_sample"), F.array().cast("array<array<int>>"))
     return df.withColumn("negs", negs).drop("_enum", "_sample").withColumn("n_neg", F.size("negs"))
 

@@ -9,31 +9,39 @@ the candidates, scores them in Arrow batches and regroups by id
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scoring import lexical_coherence_scores
 from ..functions.sentences import split_sentences, word_sets
 from ..operators.ranking import items_from_scores
 from ..operators.shuffles import generate_shuffles
-from ..session import spread
 
 K_MAX = 20
 SEED = 42
 
 
-def sentence_table(records: DataFrame, summary: str = "summary", keep: tuple[str, ...] = ()) -> DataFrame:
-    """``(record_id, *keep, summary, sentences)``; spread over the cores first."""
-    df = spread(records.select("record_id", *keep, summary), "record_id")
-    return df.withColumn("sentences", split_sentences(summary))
+Splitter = Callable[[str], Column]
+
+
+def sentence_table(records: DataFrame, summary: str = "summary", keep: tuple[str, ...] = (),
+                   splitter: Splitter = split_sentences) -> DataFrame:
+    """``(record_id, *keep, summary, sentences)``.
+
+    ``splitter`` maps the text column to an array of sentences.
+    """
+    return records.select("record_id", *keep, summary).withColumn("sentences", splitter(summary))
 
 
-def shuffled(records: DataFrame, k_max: int = K_MAX, seed: int = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
+def shuffled(records: DataFrame, k_max: int = K_MAX, seed: int = SEED, keep: tuple[str, ...] = (),
+             splitter: Splitter = split_sentences) -> DataFrame:
     """Sentence table with up to ``k_max`` unique shuffles per text."""
-    return generate_shuffles(sentence_table(records, keep=keep), k_max=k_max, seed=seed)
+    return generate_shuffles(sentence_table(records, keep=keep, splitter=splitter), k_max=k_max, seed=seed)
 
 
-def candidate_orders() -> F.Column:
+def candidate_orders() -> Column:
     """Original (canonical positions) first, then the shuffles."""
     return F.concat(F.array(F.col("canon")), F.col("negs"))
 
@@ -47,12 +55,12 @@ def with_lexical_scores(df: DataFrame) -> DataFrame:
 
 
 def lexical_items(records: DataFrame, k_max: int = K_MAX, seed: int = SEED,
-                  keep: tuple[str, ...] = ()) -> DataFrame:
+                  keep: tuple[str, ...] = (), splitter: Splitter = split_sentences) -> DataFrame:
     """Per-item ranking values with the lexical scorer.
 
     Columns: ``record_id, *keep, n_sentences, n_neg, pos, neg_scores, rank,
     wins, max_neg, rankable``. Texts are dropped before anything else.
     """
-    df = with_lexical_scores(shuffled(records, k_max, seed, keep=keep))
+    df = with_lexical_scores(shuffled(records, k_max, seed, keep=keep, splitter=splitter))
     items = items_from_scores(df.select("record_id", *keep, "n_sentences", "scores"))
     return items.drop("scores")

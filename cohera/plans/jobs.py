@@ -12,14 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.folds import cv_summary, fold_metrics_long, fold_reports, prefix_metrics, run_folds
-from ..operators.models import model_logits, select_best_model
-from ..operators.ranking import candidate_count_ok, item_pair_score, items_from_scores, ranking_report
+from ..functions.scoring import candidate_features, softmax_positive
+from ..functions.sentences import split_sentences
+from ..operators.candidates import ranking_candidates, truncate_tokens
+from ..operators.models import load_model, model_logits, save_model, score_candidates, select_best_model, train_focal
+from ..operators.ranking import items_from_scores, ranking_report, regroup_scores, with_pair_score
 from ..operators.splits import make_splits
-from ..functions.scoring import softmax_positive
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, spread
 from ..sources.records import read_eval_csv, read_records, require_nonempty
 from ..sources.sinks import run_group_name, write_cv_summary, write_fold_results, write_metrics, write_scored_items
-from .evaluation import K_MAX, SEED, lexical_items, shuffled, with_lexical_scores
+from .evaluation import K_MAX, SEED, Splitter, candidate_orders, lexical_items, shuffled, with_lexical_scores
 
 log = logging.getLogger(__name__)
 TRAINER_TYPES = ("default", "weighted", "focal")
@@ -32,112 +34,182 @@ def validate_params(split_type: str = "random", split_key: str | None = None, tr
     """Parameter rules of the training job; raises ``ValueError``."""
     if split_type == "random":
         if split_key is not None:
-            raise ValueError("Cannot use split_key when split_type is 'random'.")
+            raise ValueError("a random split takes no split_key")
     elif split_type == "key":
         if split_key is None:
-            raise ValueError("split_key is required when split_type is 'key'.")
+            raise ValueError("split_type 'key' needs a split_key")
     else:
-        raise ValueError(f"Unknown split type: {split_type}")
+        raise ValueError(f"split_type is {split_type!r}; it can be 'random' or 'key'")
     if trainer_type == "weighted":
         if class_weights is None:
-            raise ValueError("class_weights is required when trainer_type='weighted'")
+            raise ValueError("the weighted trainer needs class_weights")
         if len(class_weights) != num_labels:
-            raise ValueError(f"class_weights must have exactly {num_labels} values (one per class), "
-                             f"but received {len(class_weights)}: {class_weights}")
+            raise ValueError(f"class_weights has {len(class_weights)} entries for {num_labels} classes")
         if focal_loss_alpha is not None:
-            raise ValueError("focal_loss_alpha cannot be used when trainer_type='weighted'")
+            raise ValueError("focal_loss_alpha belongs to the focal trainer, not to the weighted one")
         if focal_loss_gamma != DEFAULT_GAMMA:
-            log.warning("focal_loss_gamma=%s is ignored when trainer_type='weighted'", focal_loss_gamma)
+            log.warning("the weighted trainer does not use focal_loss_gamma=%s", focal_loss_gamma)
     elif trainer_type == "focal":
         if class_weights is not None:
-            raise ValueError("class_weights cannot be used when trainer_type='focal'")
+            raise ValueError("class_weights belongs to the weighted trainer, not to the focal one")
         if focal_loss_alpha is not None and len(focal_loss_alpha) != num_labels:
-            raise ValueError(f"focal_loss_alpha must have exactly {num_labels} values (one per class) if "
-                             f"provided, but received {len(focal_loss_alpha)}: {focal_loss_alpha}")
+            raise ValueError(f"focal_loss_alpha has {len(focal_loss_alpha)} entries for {num_labels} classes")
     elif trainer_type == "default":
         if class_weights is not None:
-            raise ValueError("class_weights cannot be used when trainer_type='default'")
+            raise ValueError("class_weights belongs to the weighted trainer, not to the default one")
         if focal_loss_alpha is not None:
-            raise ValueError("focal_loss_alpha cannot be used when trainer_type='default'")
+            raise ValueError("focal_loss_alpha belongs to the focal trainer, not to the default one")
         if focal_loss_gamma != DEFAULT_GAMMA:
-            log.warning("focal_loss_gamma=%s is ignored when trainer_type='default'", focal_loss_gamma)
+            log.warning("the default trainer does not use focal_loss_gamma=%s", focal_loss_gamma)
     else:
-        raise ValueError(f"Unsupported trainer type provided: {trainer_type}")
+        raise ValueError(f"trainer_type is {trainer_type!r}; it can be one of {TRAINER_TYPES}")
 
 
 def evaluate(records: DataFrame, k_max: int = K_MAX, seed: int = SEED, k_values=(3, 5, 10),
-             output_file: str | None = None) -> DataFrame:
+             output_file: str | None = None, splitter: Splitter = split_sentences) -> DataFrame:
     """Ranking report of the lexical scorer over records (one row)."""
-    report = ranking_report(lexical_items(records, k_max, seed), k_values)
+    report = ranking_report(lexical_items(records, k_max, seed, splitter=splitter), k_values)
     if output_file:
         write_metrics(report, output_file)
     return report
 
 
+def model_candidates(records: DataFrame, k_max: int = K_MAX, seed: int = SEED, max_length: int = 512,
+                     normalize_original: bool = False, splitter: Splitter = split_sentences,
+                     partitions: int | None = None) -> DataFrame:
+    """Candidates as a text classifier sees them: cut at ``max_length`` tokens and dealt evenly.
+
+    ``(record_id, cand_idx, n_neg, text, n_tokens, truncated)``. Candidates are
+    dealt by (record, candidate), so a long text's candidates do not stay in
+    one task; ``partitions`` defaults to the session's shuffle partitions.
+    """
+    cands = ranking_candidates(shuffled(records, k_max, seed, splitter=splitter), normalize_original)
+    cut = truncate_tokens(cands, max_length=max_length).drop("text").withColumnRenamed("text_trunc", "text")
+    keys = ["record_id", "cand_idx"]
+    return cut.repartition(*keys) if partitions is None else cut.repartition(partitions, *keys)
+
+
+def evaluate_model(records: DataFrame, make_predict_fn, k_max: int = K_MAX, seed: int = SEED, k_values=(3, 5, 10),
+                   max_length: int = 512, num_labels: int = 2, normalize_original: bool = False,
+                   splitter: Splitter = split_sentences, batch_size: int = 64, partitions: int | None = None,
+                   output_file: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Ranking report and items of a user's text classifier.
+
+    ``make_predict_fn`` is as in ``score_candidates``. The scored items (one
+    narrow row per text, with ``pair_score``) are written once to the shared
+    folder; the report is made from them.
+    """
+    cands = model_candidates(records, k_max, seed, max_length, normalize_original, splitter, partitions)
+    scored = score_candidates(cands, make_predict_fn, num_labels=num_labels, batch_size=batch_size)
+    items = items_from_scores(regroup_scores(scored.select("record_id", "cand_idx", "n_neg", "score")))
+    ensure_checkpoint_dir(records.sparkSession)
+    items = with_pair_score(items).checkpoint(eager=True)
+    report = ranking_report(items, k_values)
+    if output_file:
+        write_metrics(report, output_file)
+    return report, items
+
+
 def evaluate_csv(spark: SparkSession, path: str, output_path: str | None = None, k_max: int = K_MAX,
-                 seed: int = SEED, text: str = "text"):
+                 seed: int = SEED, text: str = "text", k_values=(3, 5, 10), make_predict_fn=None, max_length: int = 512,
+                 num_labels: int = 2, normalize_original: bool = False, splitter: Splitter = split_sentences,
+                 multi_line: bool = True, partitions: int | None = None):
     """CSV with a text column -> ``(report, scored rows with pair_score)``.
 
-    Texts without shuffles get pair_score -1.0 and are counted as items but
-    not evaluated.
+    Without ``make_predict_fn`` the lexical scorer is used and the input
+    columns ride along with the row's scores. Either way everything is
+    computed once. Texts without shuffles get pair_score -1.0 and are
+    counted as items but not evaluated.
     """
-    rows = require_nonempty(read_eval_csv(spark, path, text), "evaluation rows")
-    items = lexical_items(rows.select("record_id", F.col(text).alias("summary")), k_max, seed)
-    report = ranking_report(items)
-    scored = rows.join(item_pair_score(items), "record_id", "left").drop("record_id")
+    rows = spread(require_nonempty(read_eval_csv(spark, path, text, multi_line), "evaluation rows"), "record_id", partitions)
+    columns = [c for c in rows.columns if c != "record_id"]
+    if make_predict_fn is None:
+        carried = rows.select("record_id", F.col(text).alias("summary"), F.struct(*columns).alias("_row"))
+        ensure_checkpoint_dir(spark)
+        items = with_pair_score(lexical_items(carried, k_max, seed, keep=("_row",), splitter=splitter)).checkpoint(eager=True)
+        report = ranking_report(items, k_values)
+        scored = items.select("record_id", "_row.*", "pair_score")
+    else:
+        report, items = evaluate_model(rows.select("record_id", F.col(text).alias("summary")), make_predict_fn, k_max, seed,
+                                       k_values, max_length, num_labels, normalize_original, splitter, partitions=partitions)
+        scored = rows.join(items.select("record_id", "pair_score"), "record_id", "left")
     if output_path:
         write_metrics(report, f"{output_path}/results.json")
-        write_scored_items(rows, item_pair_score(items), f"{output_path}/test_data_predicted.csv")
-    return report, scored
+        write_scored_items(scored, f"{output_path}/test_data_predicted.csv")
+    return report, scored.drop("record_id")
 
 
-def scored_candidates(records: DataFrame, k_max: int = K_MAX, seed: int = SEED) -> DataFrame:
-    """``(record_id, cand_idx, label, n_neg, lexical)``: one row per candidate."""
-    df = with_lexical_scores(shuffled(records, k_max, seed))
-    x = df.select("record_id", "n_neg", F.posexplode_outer("scores").alias("cand_idx", "lexical"))
+def scored_candidates(records: DataFrame, k_max: int = K_MAX, seed: int = SEED,
+                      splitter: Splitter = split_sentences) -> DataFrame:
+    """``(record_id, cand_idx, label, n_neg, *FEATURES)``: one row per candidate."""
+    df = with_lexical_scores(shuffled(records, k_max, seed, splitter=splitter))
+    lengths = F.transform("sentences", lambda x: F.length(x))
+    df = df.select("record_id", "n_neg", "words", "scores", lengths.alias("lengths"), candidate_orders().alias("orders"))
+    df = df.select("record_id", "n_neg", F.arrays_zip(
+        F.col("scores").alias("lexical"), candidate_features("words", "lengths", F.col("orders")).alias("more")).alias("c"))
+    x = df.select("record_id", "n_neg", F.posexplode_outer("c").alias("cand_idx", "c"))
     return x.select("record_id", F.col("cand_idx").cast("int").alias("cand_idx"),
-                    (F.col("cand_idx") == 0).cast("int").alias("label"), "n_neg", "lexical")
+                    (F.col("cand_idx") == 0).cast("int").alias("label"), "n_neg", "c.lexical", "c.more.*")
 
 
 def model_items(model, cands: DataFrame) -> DataFrame:
-    """Score candidates with a fitted model and regroup them per item."""
+    """Score candidates with a fitted model and regroup them per item.
+
+    An item whose candidates did not all get a score still counts in the
+    report's total; it is not evaluated.
+    """
     scored = model_logits(model, cands).withColumn("score", softmax_positive("logits"))
-    return items_from_scores(candidate_count_ok(scored))
+    return items_from_scores(regroup_scores(scored))
+
+
+def evaluate_saved(spark: SparkSession, records: DataFrame, model_path: str, k_max: int = K_MAX, seed: int = SEED,
+                   k_values=(3, 5, 10), splitter: Splitter = split_sentences) -> DataFrame:
+    """Ranking report of a model that ``train`` saved."""
+    return ranking_report(model_items(load_model(spark, model_path), scored_candidates(records, k_max, seed, splitter)), k_values)
 
 
 def train(spark: SparkSession, records: DataFrame, split_type: str = "random", split_key: str | None = None,
           test_size: float = 0.2, val_size: float = 0.2, cv: int = 1, k_max: int = K_MAX, seed: int = SEED,
           trainer_type: str = "default", class_weights=None, focal_loss_alpha=None,
           focal_loss_gamma: float = DEFAULT_GAMMA, num_labels: int = 2, no_test: bool = False,
-          reg_params=(0.0, 0.01), output_dir: str | None = None, model_name: str = "logistic"):
+          reg_params=(0.0, 0.01), output_dir: str | None = None, model_name: str = "logistic",
+          splitter: Splitter = split_sentences):
     """Folds of train -> select on val ROC AUC -> ranking report on test.
 
     Returns ``(fold_results, summary)``; ``summary`` is None without test
-    results. ``focal`` trains as ``default`` (Spark ML takes no custom
-    loss); the loss itself is ``operators.losses.focal_loss``.
+    results. With ``output_dir`` the model selected in fold ``f`` is saved
+    under ``models/fold=f`` (see ``evaluate_saved``). The linear model has two
+    classes.
     """
     validate_params(split_type, split_key, trainer_type, class_weights, focal_loss_alpha, focal_loss_gamma,
                     num_labels)
+    if num_labels != 2:
+        raise ValueError("training builds a two-class model; num_labels applies to classifiers of your own")
     records = require_nonempty(records)
     plan = make_splits(records, split_type, split_key, test_size, val_size, cv, no_test, seed)
-    weights = class_weights if trainer_type == "weighted" else None
     keep = (split_key,) if split_key else ()
+    if trainer_type == "focal":
+        options = {"fit": train_focal, "alpha": focal_loss_alpha, "gamma": focal_loss_gamma}
+    else:
+        options = {"class_weights": class_weights}
 
     ensure_checkpoint_dir(spark)
 
-    def fit(train_part, val_part):
+    def fit(train_part, val_part, fold):
         # every candidate of the fold is shuffled and scored once: the tables
         # feed one fit and one validation pass per regularisation value, so
         # they are written to the shared checkpoint folder (lineage cut, a
         # lost executor does not recompute the shuffles)
-        tr = scored_candidates(train_part, k_max, seed).checkpoint()
-        va = scored_candidates(val_part, k_max, seed).checkpoint()
-        model, rp, auc = select_best_model(tr, va, reg_params, class_weights=weights)
+        tr = scored_candidates(train_part, k_max, seed, splitter).checkpoint()
+        va = scored_candidates(val_part, k_max, seed, splitter).checkpoint()
+        model, rp, auc = select_best_model(tr, va, reg_params, **options)
         log.info("best reg_param %s, val roc_auc %s", rp, auc)
+        if output_dir:
+            save_model(spark, model, f"{output_dir}/models/fold={fold}")
         return model
 
     def evaluate_fold(model, test_part):
-        return ranking_report(model_items(model, scored_candidates(test_part.drop("role"), k_max, seed)))
+        return ranking_report(model_items(model, scored_candidates(test_part.drop("role"), k_max, seed, splitter)))
 
     folds = run_folds(spark, records.select("record_id", "summary", *keep), plan, fit, evaluate_fold, no_test)
     ok = folds.where(F.col("status") == "ok")
@@ -170,6 +242,15 @@ def cv_lexical(records: DataFrame, split_type: str = "key", split_key: str | Non
 
 
 def read_and_evaluate(spark: SparkSession, data_path: str, output_file: str | None = None,
-                      k_max: int = K_MAX, seed: int = SEED) -> DataFrame:
-    """JSONL records -> ranking report (the ``evaluate`` command)."""
-    return evaluate(require_nonempty(read_records(spark, data_path)), k_max, seed, output_file=output_file)
+                      k_max: int = K_MAX, seed: int = SEED, k_values=(3, 5, 10), make_predict_fn=None,
+                      splitter: Splitter = split_sentences, partitions: int | None = None, **options) -> DataFrame:
+    """JSONL records -> ranking report (the ``evaluate`` command).
+
+    With ``make_predict_fn`` the report is that classifier's; ``options`` are
+    those of ``evaluate_model``.
+    """
+    records = spread(require_nonempty(read_records(spark, data_path)), "record_id", partitions)
+    if make_predict_fn is None:
+        return evaluate(records, k_max, seed, k_values, output_file, splitter)
+    return evaluate_model(records, make_predict_fn, k_max, seed, k_values, splitter=splitter, partitions=partitions,
+                          output_file=output_file, **options)[0]

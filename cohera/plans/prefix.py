@@ -9,15 +9,16 @@ Two replacements:
   narrowed again, and only the last, small bucket is sorted. The result is
   a constant, so the split that uses it is a map-only filter.
 * ``running_sums``: inclusive running sums over a distinct ordering key.
-  Bucket bounds come from ``approxQuantile`` (constants, so recomputation
-  gives the same buckets), bucket totals reach the driver as one row per
-  bucket, and the running sum is a window *within* each bucket plus the
-  bucket's offset.
+  Rows are range partitioned into buckets whose number grows with the rows
+  and written once; the running sum is a window *within* each bucket plus
+  the bucket's offset, from a running sum over one row per bucket.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import KEY_BITS
@@ -25,7 +26,16 @@ from ..session import ensure_checkpoint_dir
 
 BUCKET_BITS = 10
 FINAL_ROWS = 200_000
-MAX_BUCKETS = 1024
+BUCKET_ROWS = 50_000
+
+
+def any_of(conditions: list[Column]) -> Column:
+    """Disjunction as a balanced tree, so many terms do not nest deeply."""
+    if not conditions:
+        return F.lit(False)
+    while len(conditions) > 1:
+        conditions = [reduce(lambda a, b: a | b, conditions[i:i + 2]) for i in range(0, len(conditions), 2)]
+    return conditions[0]
 
 
 def nth_smallest_by_group(df: DataFrame, group: str, key: str, tie: str, m: dict, bits: int = BUCKET_BITS,
@@ -65,16 +75,12 @@ def nth_smallest_by_group(df: DataFrame, group: str, key: str, tie: str, m: dict
             else:
                 raise ValueError(f"group {g}: only {seen} rows; cannot take row {need}")
             remaining[g] = need - seen
-        cond = F.lit(False)
-        for g in remaining:
-            cond = cond | ((F.col("g") == F.lit(g)) & (F.shiftright("k", shift) == F.lit(prefix[g])))
+        cond = any_of([(F.col("g") == F.lit(g)) & (F.shiftright("k", shift) == F.lit(prefix[g])) for g in remaining])
         if max(sizes.values()) <= final_rows or shift == 0:
             break
     rn = F.row_number().over(Window.partitionBy("g").orderBy("k", "t"))
     picked = base.where(cond).withColumn("_rn", rn)
-    hit = F.lit(False)
-    for g, r in remaining.items():
-        hit = hit | ((F.col("g") == F.lit(g)) & (F.col("_rn") == F.lit(r)))
+    hit = any_of([(F.col("g") == F.lit(g)) & (F.col("_rn") == F.lit(r)) for g, r in remaining.items()])
     for row in picked.where(hit).collect():
         out[row["g"]] = (int(row["k"]), int(row["t"]))
     return out
@@ -90,41 +96,20 @@ def nth_smallest(df: DataFrame, key: str, tie: str, m: int, bits: int = BUCKET_B
 def running_sums(df: DataFrame, order: str, columns: list[str], n_buckets: int | None = None) -> DataFrame:
     """Add ``cum_<c>`` = sum of ``c`` over rows with ``order`` <= this row's.
 
-    ``order`` must be distinct per row (aggregate first). Exact: offsets are
-    integer sums collected per bucket; only the bucket bounds are sampled.
+    ``order`` must be distinct per row (aggregate first). The rows are range
+    partitioned into buckets of about ``BUCKET_ROWS`` and written once with
+    their bucket number, so a recomputed task cannot see other bounds. Bucket
+    totals stay a table: their own running sum (one row per bucket) gives the
+    offsets, which are joined back.
     """
-    spark = df.sparkSession
-    # Read three times (bounds, totals, result): written once to the shared
-    # checkpoint folder, so the scoring upstream is not recomputed, no
-    # executor memory stays pinned and a lost executor loses nothing.
-    ensure_checkpoint_dir(spark)
+    ensure_checkpoint_dir(df.sparkSession)
     df = df.checkpoint(eager=True)
-    b = n_buckets or min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1), MAX_BUCKETS)
-    if b > 1:
-        probs = [i / b for i in range(1, b)]
-        bounds = sorted(set(df.approxQuantile(order, probs, 1.0 / (4 * b))))
-    else:
-        bounds = []
-    bucket = F.lit(0)
-    if bounds:
-        arr = F.array(*[F.lit(float(x)) for x in bounds])
-        bucket = F.size(F.filter(arr, lambda x: F.col(order).cast("double") > x))
-    df = df.withColumn("_bucket", bucket.cast("int"))
-    totals = {r["_bucket"]: r for r in df.groupBy("_bucket").agg(
-        *[F.sum(c).alias(c) for c in columns]).collect()}
-    offsets = {c: [] for c in columns}
-    running = {c: 0 for c in columns}
-    keys = sorted(totals)
-    for k in keys:
-        for c in columns:
-            offsets[c].append((k, running[c]))
-            running[c] += totals[k][c] or 0
+    b = n_buckets or max(1, -(-df.count() // BUCKET_ROWS))
+    ranged = df.repartitionByRange(b, order).withColumn("_bucket", F.spark_partition_id()).checkpoint(eager=True)
+    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # a row per bucket
+    totals = ranged.groupBy("_bucket").agg(*[F.sum(c).alias(f"_sum_{c}") for c in columns])
+    offsets = totals.select("_bucket", *[F.coalesce(F.sum(f"_sum_{c}").over(before), F.lit(0)).alias(f"_off_{c}")
+                                         for c in columns])
     w = Window.partitionBy("_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    for c in columns:
-        if keys:
-            lookup = F.create_map(*[x for k, v in offsets[c] for x in (F.lit(k), F.lit(v).cast("bigint"))])
-            off = F.coalesce(F.element_at(lookup, F.col("_bucket")), F.lit(0))
-        else:
-            off = F.lit(0)
-        df = df.withColumn(f"cum_{c}", off + F.sum(c).over(w))
-    return df.drop("_bucket")
+    out = ranged.select("*", *[F.sum(c).over(w).alias(f"_in_{c}") for c in columns]).join(offsets, "_bucket")
+    return out.select(*df.columns, *[(F.col(f"_in_{c}") + F.col(f"_off_{c}")).alias(f"cum_{c}") for c in columns])

@@ -65,26 +65,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return conf_dir
 
 
-def spread(df: DataFrame, key: str, min_partitions: int | None = None) -> DataFrame:
-    """Hash-partition by ``key`` when the scan gives fewer splits than cores.
+def spread(df: DataFrame, key: str, partitions: int | None) -> DataFrame:
+    """Hash-partition by ``key`` into ``partitions``; None leaves the layout as it is.
 
     Per-text work (sentence splitting, shuffles, scoring) is CPU heavy and
-    row-local: a text costs milliseconds of CPU but microseconds to move, so
-    when the scan leaves cores idle a shuffle of ``(id, text)`` pays for
-    itself. Split counts can overstate parallelism (a file with one row
-    group planned as several splits has one busy task), hence the spread
-    goes to three tasks per core, which also evens out long texts. An input
-    that already arrives in at least one split per core is left alone; on a
-    cluster, size its splits with ``spark.sql.files.maxPartitionBytes``.
+    row-local: a text costs milliseconds of CPU but microseconds to move. A
+    caller whose input comes in fewer useful splits than the cluster has
+    cores (a file with one row group is one busy task) names a number here,
+    about three per core; others leave it out and nothing is shuffled.
     Hashing on the record key keeps placement deterministic under retries.
     """
-    if df.isStreaming:
-        return df
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(min_partitions or 3 * cores, key)
+    return df if partitions is None else df.repartition(partitions, key)
 
 
 def fenced_where(df: DataFrame, condition) -> DataFrame:

@@ -8,12 +8,14 @@
 * Any table as records (the driver's ``documents`` stands in for JSONL).
 
 Every reader adds ``record_id BIGINT``: rows have no list position in Spark
-and every later step keys on the id, never on the text (copies exist).
+and every later step keys on the id, never on the text (copies exist). The
+id is a hash of the file's name and the row's content, with a counter for
+equal rows, so it does not depend on split sizes, cores or retries.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 RECORD_SCHEMA = "text_raw STRING, summary STRING, metadata STRUCT<source: STRING>"
@@ -29,7 +31,7 @@ def filter_nonempty(df: DataFrame, column: str = "summary") -> DataFrame:
 
 def flatten_record(df: DataFrame) -> DataFrame:
     """Project a raw JSONL row and lift ``metadata.source``."""
-    return df.select("text_raw", "summary", "metadata", F.col("metadata.source").alias("source"))
+    return df.select("*", F.col("metadata.source").alias("source"))
 
 
 def require_fields(df: DataFrame, fields=("text_raw", "metadata")) -> DataFrame:
@@ -50,9 +52,27 @@ def group_key(df: DataFrame, key: str):
     return F.col(key)
 
 
+FILE = "_file_name"
+
+
 def with_record_id(df: DataFrame) -> DataFrame:
-    """Stable id per row, from the file and the row's place in it."""
-    return df.withColumn("record_id", F.monotonically_increasing_id())
+    """Stable id per row: ``xxhash64(file, content, k)``, ``k`` numbering equal rows.
+
+    Equal rows of one file are interchangeable, so which of them gets which
+    ``k`` changes nothing. They are numbered within each task first and then
+    offset by task, so a line that fills a third of a file is not gathered in
+    one place. ``FILE`` (the file's name), where present, is dropped.
+    """
+    content = [c for c in df.columns]
+    x = df.withColumn("_h", F.xxhash64(*content)).withColumn("_task", F.spark_partition_id())
+    counts = x.groupBy("_h", "_task").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("_h").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).select("_h", "_task", "_off")
+    local = F.row_number().over(Window.partitionBy("_h", "_task").orderBy("_h"))
+    x = x.withColumn("_k", local).join(offsets, ["_h", "_task"])
+    k = F.col("_k") + F.col("_off")
+    record_id = F.when(k == 1, F.col("_h")).otherwise(F.xxhash64("_h", k.cast("bigint")))
+    return x.withColumn("record_id", record_id).drop("_h", "_task", "_k", "_off", FILE)
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
@@ -62,9 +82,8 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     The non-empty filter reaches the JSON scan and unused fields are pruned.
     """
     raw = spark.read.schema(RECORD_SCHEMA).option("mode", "FAILFAST").json(path)
-    kept = require_fields(filter_nonempty(raw))
-    return with_record_id(flatten_record(kept).drop("metadata")).select(
-        "record_id", "text_raw", "summary", "source")
+    kept = require_fields(filter_nonempty(raw.withColumn(FILE, F.col("_metadata.file_name"))))
+    return with_record_id(flatten_record(kept).drop("metadata")).select("record_id", "text_raw", "summary", "source")
 
 
 def records_from_table(df: DataFrame, record_id: str = "doc_id", summary: str = "text",
@@ -81,17 +100,21 @@ def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records_from_table(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-def read_eval_csv(spark: SparkSession, path: str, text: str = "text") -> DataFrame:
-    """Evaluation CSV (header row, quoted multi-line fields) with a text column.
+def read_eval_csv(spark: SparkSession, path: str, text: str = "text", multi_line: bool = True) -> DataFrame:
+    """Evaluation CSV (header row) with a text column.
 
     All columns are kept as strings and carried to the scored output; a
     ``record_id`` is added. A missing file or column raises.
+
+    ``multi_line`` allows line breaks inside quoted fields; each file is then
+    read by one task, so a large table should come in many files. Without it
+    a file is split like any other.
     """
-    df = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+    df = (spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
           .option("mode", "FAILFAST").csv(path))
     if text not in df.columns:
         raise KeyError(f"evaluation table needs a {text!r} column; found {df.columns}")
-    return with_record_id(df)
+    return with_record_id(df.withColumn(FILE, F.col("_metadata.file_name")))
 
 
 def require_nonempty(df: DataFrame, what: str = "records") -> DataFrame:

@@ -9,17 +9,18 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.names import metric_name
+
 
 def write_metrics(report: DataFrame, path: str) -> None:
-    """One-row metric report as JSON (a single small file)."""
-    report.coalesce(1).write.mode("overwrite").json(path)
+    """One-row metric report as JSON (a single small file), keyed by the reported names (``recall@3``)."""
+    named = report.select([F.col(c).alias(metric_name(c)) for c in report.columns])
+    named.coalesce(1).write.mode("overwrite").json(path)
 
 
-def write_scored_items(items_in: DataFrame, pair_scores: DataFrame, path: str, fmt: str = "csv",
-                       record_id: str = "record_id") -> DataFrame:
-    """Input rows plus ``pair_score`` (keyed left join, -1.0 when unscored)."""
-    out = items_in.join(pair_scores, record_id, "left").withColumn(
-        "pair_score", F.coalesce(F.col("pair_score"), F.lit(-1.0))).drop(record_id)
+def write_scored_items(scored: DataFrame, path: str, fmt: str = "csv", record_id: str = "record_id") -> DataFrame:
+    """Input rows with their ``pair_score`` (-1.0 when unscored); the id is dropped."""
+    out = scored.withColumn("pair_score", F.coalesce(F.col("pair_score"), F.lit(-1.0))).drop(record_id)
     writer = out.write.mode("overwrite")
     if fmt == "csv":
         writer.option("header", True).option("escape", '"').csv(path)

@@ -53,19 +53,28 @@ SHUFFLES = f"""enum_c AS (
   SELECT c.record_id, c.want, c.canon, list_transform(q.p, lambda i: c.canon[i + 1]) AS t
   FROM plan2 c JOIN perm q ON q.pn = c.n AND len(q.p) = c.n WHERE c.method = 'enumerate'),
 enum_d AS (SELECT DISTINCT record_id, want, t FROM enum_c WHERE t <> canon),
-enum_r AS (
+enum_s AS (
   SELECT record_id, want, t,
          row_number() OVER (PARTITION BY record_id
-           ORDER BY md5(concat_ws('|', {SEED}, record_id, 'p', array_to_string(t, ',')))) AS cand_idx
-  FROM enum_d),
+           ORDER BY md5(concat_ws('|', {SEED}, record_id, 'p', array_to_string(t, ',')))) AS k
+  FROM enum_d QUALIFY k <= want),
+enum_t AS (
+  SELECT e.record_id, e.want, e.t, e.k, array_to_string(list_transform(e.t, lambda i: p.sentences[i + 1]), ' ') AS joined
+  FROM enum_s e JOIN plan2 p USING (record_id)),
+enum_u AS (SELECT record_id, want, arg_min(t, k) AS t, min(k) AS k FROM enum_t GROUP BY record_id, want, joined),
+enum_r AS (SELECT record_id, want, t, row_number() OVER (PARTITION BY record_id ORDER BY k) AS cand_idx FROM enum_u),
 att_rows AS (
   SELECT record_id, want, canon, n, unnest(range(1, want * 5 + 11)) AS j FROM plan2 WHERE method = 'sample'),
 att_pos AS (SELECT record_id, want, canon, j, unnest(range(0, n)) AS i FROM att_rows),
 att AS (
   SELECT record_id, j, any_value(want) AS want, any_value(canon) AS canon,
-         list(canon[i + 1] ORDER BY md5(concat_ws('|', {SEED}, record_id, j, i)), i) AS t
+         list(canon[i + 1] ORDER BY substr(md5(concat_ws('|', {SEED}, record_id, j, i // 4)), (8 * (i % 4) + 1)::INTEGER, 8), i) AS t
   FROM att_pos GROUP BY record_id, j),
-att_first AS (SELECT record_id, want, t, min(j) AS j FROM att WHERE t <> canon GROUP BY record_id, want, t),
+att_d AS (SELECT record_id, want, t, min(j) AS j FROM att WHERE t <> canon GROUP BY record_id, want, t),
+att_t AS (
+  SELECT a.record_id, a.want, a.t, a.j, array_to_string(list_transform(a.t, lambda i: p.sentences[i + 1]), ' ') AS joined
+  FROM att_d a JOIN plan2 p USING (record_id)),
+att_first AS (SELECT record_id, want, arg_min(t, j) AS t, min(j) AS j FROM att_t GROUP BY record_id, want, joined),
 samp_r AS (
   SELECT record_id, want, t, row_number() OVER (PARTITION BY record_id ORDER BY j) AS cand_idx FROM att_first),
 negs AS MATERIALIZED (
@@ -169,7 +178,7 @@ def report(cols=None) -> str:
 
 
 def report_rows() -> str:
-    names = [c.replace("recall_at_", "recall@").replace("ndcg_at_", "ndcg@") for c in REPORT_COLS]
+    names = [_reported(c) for c in REPORT_COLS]
     parts = []
     for i, (c, m) in enumerate(zip(REPORT_COLS, names)):
         if m in INT_METRICS and m not in ("top_1_success_count", "top_1_failure_count"):
@@ -279,12 +288,11 @@ folds_g AS (
 
 
 def group_roles() -> str:
-    return cte(RECS, GROUPS) + """
-SELECT f.fold::INTEGER AS fold,
-       CASE WHEN r.source IS NOT DISTINCT FROM f.test_group THEN 'test'
-            WHEN r.source IS NOT DISTINCT FROM f.val_group THEN 'val' ELSE 'train' END AS role,
-       r.record_id
-FROM recs r, folds_g f"""
+    return cte(RECS, GROUPS) + """,
+vals AS (SELECT val_group, string_agg(fold::VARCHAR, ',' ORDER BY fold) AS val_folds FROM folds_g GROUP BY val_group)
+SELECT r.record_id, f.fold::INTEGER AS test_fold, coalesce(v.val_folds, '') AS val_folds
+FROM recs r JOIN folds_g f ON f.test_group IS NOT DISTINCT FROM r.source
+LEFT JOIN vals v ON v.val_group IS NOT DISTINCT FROM r.source"""
 
 
 KEY_MEMBERSHIP = """fm AS (
@@ -303,6 +311,10 @@ fm AS (
   WHERE rt <= floor((SELECT count(*) FROM recs)::DOUBLE * {test}::DOUBLE))"""
 
 
+def _reported(column: str) -> str:
+    return column.replace("recall_at_", "recall@").replace("ndcg_at_", "ndcg@")
+
+
 def fold_metrics(membership: str | None = None, groups: bool = True) -> str:
     """Per-fold test reports as ``long(fold, metric, value)``, prefixed ``test_``.
 
@@ -341,7 +353,7 @@ wide AS (
          coalesce(n.std_negative_score, 0.0) AS std_negative_score
   FROM totf t LEFT JOIN per p USING (fold) LEFT JOIN negf n USING (fold))"""
     unp = "\nUNION ALL ".join(
-        f"SELECT fold::INTEGER AS fold, 'test_{c}' AS metric, coalesce({c}::DOUBLE, 0.0) AS value FROM wide"
+        f"SELECT fold::INTEGER AS fold, 'test_{_reported(c)}' AS metric, coalesce({c}::DOUBLE, 0.0) AS value FROM wide"
         for c in REPORT_COLS)
     parts = ([GROUPS] if groups else []) + [membership or KEY_MEMBERSHIP, items_f, per]
     return scored_with(RECS, *parts) + ",\nlong AS (" + unp + ")\n"
@@ -476,6 +488,31 @@ SELECT record_id, rn <= floor((SELECT count(*) FROM recs)::DOUBLE * 0.29::DOUBLE
     sq["prefix_metrics"] = fold_metrics() + "SELECT fold, metric, value FROM long"
     sq["cv_summary"] = fold_metrics() + SUMMARY_SELECT
     sq["cv_summary_random_folds"] = fold_metrics(random_membership(3, 0.2), groups=False) + SUMMARY_SELECT
+    # the stand-in classifier: share of full stops in the text as the model sees it
+    stand_in = cands_text + f""",
+tok AS (SELECT record_id, cand_idx, text,
+               string_split_regex(regexp_replace(text, {EDGE}, '', 'g'), '[ \\t\\r\\n]+') AS tk FROM cand_text),
+cut AS (SELECT record_id, cand_idx,
+               CASE WHEN len(tk) > 512 THEN array_to_string(tk[1:512], ' ') ELSE text END AS seen FROM tok),
+lgt AS (SELECT record_id, cand_idx,
+               (length(seen) - length(replace(seen, '.', '')))::DOUBLE / greatest(length(seen), 1)::DOUBLE
+                 * 10.0::DOUBLE - 0.1::DOUBLE AS l1 FROM cut),
+scores AS MATERIALIZED (
+  SELECT record_id, cand_idx,
+         exp(l1 - greatest(l1, 0.0::DOUBLE)) / (exp(0.0::DOUBLE - greatest(l1, 0.0::DOUBLE)) + exp(l1 - greatest(l1, 0.0::DOUBLE)))
+           AS score FROM lgt),
+items AS MATERIALIZED (
+  SELECT o.record_id, any_value(o.score) AS pos, count(x.score) AS n_neg,
+         (1 + count_if(x.score > o.score))::INTEGER AS rnk,
+         count_if(o.score > x.score)::INTEGER AS wins, max(x.score) AS max_neg
+  FROM scores o JOIN scores x ON x.record_id = o.record_id AND x.cand_idx > 0
+  WHERE o.cand_idx = 0 GROUP BY o.record_id)"""
+    sq["score_candidates"] = (shuffles_with(RECS, stand_in) +
+                              f"\nSELECT record_id, cand_idx::INTEGER AS cand_idx, round(score, {R}) AS score FROM scores")
+    sq["model_report"] = shuffles_with(RECS, stand_in) + "\n" + report_select()
+    sq["jsonl_records"] = ("WITH " + RECS + "\nSELECT source, count(*)::BIGINT AS n, count(*)::BIGINT AS n_ids, "
+                           "count(DISTINCT summary)::BIGINT AS n_texts FROM recs GROUP BY source")
+    sq["flatten_record"] = "SELECT doc_id, source, md5(text) AS summary_md5 FROM documents"
     sq["eval_csv_report"] = scored_with(BENCH_RECS) + "\n" + report_select()
     sq["eval_csv_items"] = scored_with(BENCH_RECS) + (
         f"\nSELECT p.record_id AS item_id, round(CASE WHEN i.n_neg > 0 THEN i.wins::DOUBLE / i.n_neg ELSE -1.0 END,"
