@@ -106,7 +106,7 @@ def distinct_texts(orders: Column, sentences: Column) -> Column:
     Only a last sentence without an end mark allows that, so other texts are
     left as they are.
     """
-    open_end = ~F.element_at(sentences, -1).rlike("[.!?]$")
+    open_end = ~F.try_element_at(sentences, F.lit(-1)).rlike("[.!?]$")
 
     def first_of_each(texts):
         return F.filter(orders, lambda t, i: F.array_position(texts, F.element_at(texts, i + 1)) == i + 1)

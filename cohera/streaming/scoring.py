@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from ..operators.ranking import item_pair_score, ranking_report
 from ..plans.evaluation import K_MAX, SEED, lexical_items
 from ..session import ensure_checkpoint_dir
+from ..sources.records import filter_nonempty
 
 
 def _checkpoint(df: DataFrame, name: str) -> str:
@@ -60,5 +61,5 @@ def read_record_stream(spark, directory: str, max_files_per_trigger: int = 1) ->
     schema = "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT"
     raw = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
            .parquet(directory))
-    return raw.where(F.col("text").isNotNull() & (F.col("text") != "")).select(
+    return filter_nonempty(raw, "text").select(
         F.col("doc_id").alias("record_id"), F.col("text").alias("summary"), "source")

@@ -79,8 +79,8 @@ def test_enumerated_count_is_min_of_distinct_and_want(spark):
 def test_plan_heuristic():
     assert enumerable_sizes(20) == [2, 3, 4, 5, 6]
     assert enumerable_sizes(2521) == [2, 3, 4, 5, 6, 7]
-    with pytest.raises(ValueError):
-        enumerable_sizes(20161)
+    assert enumerable_sizes(20161) == [2, 3, 4, 5, 6, 7, 8]
+    assert enumerable_sizes(181441) == [2, 3, 4, 5, 6, 7, 8, 9]
     assert math.factorial(6) < 1000
 
 
@@ -96,15 +96,12 @@ def test_same_seed_same_rows_under_other_partitioning(spark):
 
 def test_sample_branch_matches_attempt_loop(spark):
     """The array form equals an explicit attempt loop over the same keys."""
-    import hashlib
-
     text = "A. B. C. D. E. F. G. H."
     row = generate_shuffles(_sentences(spark, [text]), k_max=20, seed=42).first()
     n, canon, want = 8, list(range(8)), 20
     found = []
     for j in range(1, 5 * want + 11):
-        keys = sorted((hashlib.md5(f"42|0|{j}|{i}".encode()).hexdigest(), i) for i in range(n))
-        order = [canon[i] for _, i in keys]
+        order = [canon[i] for i in _drawn(42, 0, j, n)]
         if order != canon and order not in found:
             found.append(order)
         if len(found) == want:
@@ -112,10 +109,21 @@ def test_sample_branch_matches_attempt_loop(spark):
     assert [list(o) for o in row.negs] == found
 
 
+def _drawn(seed, rid, j, n):
+    """Positions in the order of their 8-digit keys, four to a digest."""
+    import hashlib
+
+    hexes = [hashlib.md5(f"{seed}|{rid}|{j}|{b}".encode()).hexdigest() for b in range((n + 3) // 4)]
+    return sorted(range(n), key=lambda i: (hexes[i // 4][8 * (i % 4):8 * (i % 4) + 8], i))
+
+
 def _python_shuffles(rid, sentences, k, seed):
     """Plain-Python statement of the contract, with the same md5 draws."""
     import hashlib
 
+    def text(order):
+        return " ".join(sentences[i] for i in order)
+
     n = len(sentences)
     canon = [sentences.index(x) for x in sentences]
     if n < 2:
@@ -128,12 +136,15 @@ def _python_shuffles(rid, sentences, k, seed):
         orders = {tuple(canon[i] for i in p) for p in permutations(range(n))} - {tuple(canon)}
         keyed = sorted((hashlib.md5(f"{seed}|{rid}|p|{','.join(map(str, o))}".encode()).hexdigest(), o)
                        for o in orders)
-        return [list(o) for _, o in keyed[:want]]
+        found = []
+        for _, o in keyed[:want]:  # sampled as orders first, equal texts dropped after
+            if text(o) not in map(text, found):
+                found.append(list(o))
+        return found
     found = []
     for j in range(1, 5 * want + 11):
-        keys = sorted((hashlib.md5(f"{seed}|{rid}|{j}|{i}".encode()).hexdigest(), i) for i in range(n))
-        o = [canon[i] for _, i in keys]
-        if o != canon and o not in found:
+        o = [canon[i] for i in _drawn(seed, rid, j, n)]
+        if o != canon and text(o) not in map(text, found):
             found.append(o)
         if len(found) == want:
             break
@@ -149,8 +160,24 @@ def test_random_texts_match_plain_python(spark):
         n = rnd.choice([0, 1, 2, 3, 4, 5, 6, 7, 9, 12])
         pool = [f"P{x}." for x in range(max(1, rnd.randint(1, n + 1)))]  # repeats likely
         texts.append(" ".join(rnd.choice(pool) for _ in range(n)))
+        texts.append(" ".join(rnd.choice(["A.", "d A.", "A. d", "B."]) for _ in range(n)) + " d")  # open end: texts can meet
+    texts.append("d A. A. d")
     for k in (3, 20):
         rows = generate_shuffles(_sentences(spark, texts), k_max=k, seed=9).select(
             "record_id", "sentences", "negs").collect()
         for r in rows:
             assert [list(o) for o in r.negs] == _python_shuffles(r.record_id, list(r.sentences), k, 9), r
+
+
+def test_different_orders_of_one_text_count_once(spark):
+    row = generate_shuffles(_sentences(spark, ["d A. A. d"]), k_max=20, seed=3).select(
+        shuffle_texts().alias("texts"), "n_neg").first()
+    assert sorted(row.texts) == ["A. d A. d", "A. d d A.", "d A. d A.", "d d A. A."] and row.n_neg == 4
+
+
+@pytest.mark.parametrize("n,k", [(8, 20161), (9, 181441)])
+def test_large_k_max_enumerates(spark, n, k):
+    text = " ".join(f"S{i}." for i in range(n))
+    row = generate_shuffles(_sentences(spark, [text]), k_max=k, seed=1).select(
+        "method", "n_neg", F.size(F.array_distinct(F.transform("negs", lambda o: F.array_join(o, ",")))).alias("d")).first()
+    assert (row.method, row.n_neg) == ("enumerate", min(math.factorial(n) - 1, k)) and row.d == row.n_neg

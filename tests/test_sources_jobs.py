@@ -4,6 +4,7 @@ import json
 import os
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from cohera.plans import jobs as J
@@ -38,13 +39,13 @@ def test_jsonl_edge_lines(spark, scratch):
 
 def test_required_fields_and_errors(spark, scratch):
     p = _jsonl(os.path.join(scratch, "b.jsonl"), [{"text_raw": "r1", "summary": "A."}])
-    with pytest.raises(Exception):
+    with pytest.raises(Exception, match="record without required field: text_raw, metadata"):
         read_records(spark, p).collect()
     bad = _jsonl(os.path.join(scratch, "c.jsonl"), ['{"summary": "A.", "text_raw": ', ])
-    with pytest.raises(Exception):
+    with pytest.raises(Exception, match="MALFORMED_RECORD|FAILFAST|FAILED_READ_FILE"):
         read_records(spark, bad).collect()
-    with pytest.raises(Exception):
-        read_records(spark, os.path.join(scratch, "missing.jsonl")).collect()
+    with pytest.raises(AnalysisException, match="PATH_NOT_FOUND"):
+        read_records(spark, os.path.join(scratch, "missing.jsonl"))
     empty = _jsonl(os.path.join(scratch, "d.jsonl"), [{"summary": ""}])
     with pytest.raises(ValueError):
         require_nonempty(read_records(spark, empty))
@@ -65,6 +66,8 @@ def test_eval_csv_job(spark, scratch):
     assert sum(1 for r in s if r.pair_score == -1.0) == rep.total_items_in_dataset - rep.evaluated_items_count
     back = read_eval_csv(spark, f"{out}/test_data_predicted.csv")
     assert set(back.columns) == {"item_id", "text", "pair_score", "record_id"} and back.count() == 40
+    metrics = spark.read.json(f"{out}/results.json").first().asDict()
+    assert metrics["recall@3"] == rep["recall_at_3"] and "recall_at_3" not in metrics
     with pytest.raises(KeyError):
         read_eval_csv(spark, csv, text="nope")
 
@@ -117,3 +120,102 @@ def test_train_job(spark, scratch):
     assert got["test_evaluated_items_count"].n_folds == 2
     back = spark.read.parquet(os.path.join(scratch, "fold_results"))
     assert back.select("run_group").distinct().count() == 1
+    kept = {r.metric: r for r in spark.read.parquet(os.path.join(scratch, "cv_summary")).collect()}
+    assert kept["test_recall@3"].mean == got["test_recall@3"].mean and kept["test_recall@3"].job_type == "cv_summary"
+    report = J.evaluate_saved(spark, docs, os.path.join(scratch, "models", "fold=1")).first()
+    assert report.evaluated_items_count > 0
+
+
+def test_train_by_key_and_without_test(spark):
+    docs = spark.read.parquet(f"{SF001}/documents.parquet").selectExpr(
+        "doc_id AS record_id", "text AS summary", "concat('g', doc_id % 3) AS source")
+    folds, summary = J.train(spark, docs, "key", "source", reg_params=(0.01,))
+    assert {r.fold for r in folds.collect()} == {1, 2, 3} and summary is not None
+    folds, summary = J.train(spark, docs, "random", None, no_test=True, reg_params=(0.01,), trainer_type="focal",
+                             focal_loss_alpha=[0.25, 0.75])
+    assert [(r.fold, r.status) for r in folds.collect()] == [(1, "trained")] and summary is None
+
+
+def _noisy(spark):
+    import random
+
+    rnd = random.Random(3)
+    rows = []
+    for _ in range(400):
+        x = [rnd.gauss(0, 1) for _ in range(2)]
+        rows.append((int(rnd.random() < 1 / (1 + 2.718281828 ** -(1.5 * x[0] - 0.5 * x[1] + 0.3))), *x, rnd.gauss(0, 1)))
+    return spark.createDataFrame(rows, "label int, a double, b double, noise double")
+
+
+def test_focal_without_focus_is_log_loss(spark):
+    from cohera.operators.models import train_classifier, train_focal
+
+    df, names = _noisy(spark).cache(), ["a", "b", "noise"]
+    plain = train_classifier(df, features=names)
+    focal = train_focal(df, features=names, gamma=0.0, steps=300)
+    assert focal.weights == pytest.approx(plain.weights, abs=2e-3) and focal.bias == pytest.approx(plain.bias, abs=2e-3)
+    other = train_focal(df, features=names, alpha=[0.1, 0.9], gamma=2.0, steps=100)
+    assert other.bias > focal.bias + 0.3  # the weighted class is favoured
+
+
+def test_best_model_differs_in_ranking(spark):
+    from cohera.operators.models import load_model, model_logits, save_model, select_best_model
+    from cohera.operators.classification import classification_report
+
+    df = _noisy(spark).cache()
+    aucs = {}
+    for rp in (0.0, 0.01, 50.0):
+        _, _, aucs[rp] = select_best_model(df.limit(30), df, (rp,), features=["a", "b", "noise"])
+    model, rp, auc = select_best_model(df.limit(30), df, tuple(aucs), features=["a", "b", "noise"])
+    assert auc == max(aucs.values()) and aucs[rp] == auc and len(set(aucs.values())) > 1
+
+
+def test_saved_model_scores_alike(spark, scratch):
+    from cohera.operators.models import load_model, save_model, train_classifier
+
+    model = train_classifier(_noisy(spark), features=["a", "b"])
+    save_model(spark, model, f"{scratch}/m")
+    assert load_model(spark, f"{scratch}/m") == model
+
+
+def test_record_ids_do_not_depend_on_the_layout(spark, scratch):
+    from cohera.operators import splits as SP
+
+    lines = [{"text_raw": f"r{i}", "summary": f"Text {i % 1500}. B.", "metadata": {"source": "s"}} for i in range(2000)]
+    lines += [lines[7]] * 300  # equal lines
+    p = _jsonl(os.path.join(scratch, "many.jsonl"), lines)
+    held = []
+    for size in ("128m", "64k", "8k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            recs = read_records(spark, p)
+            plan = SP.random_holdout(recs, 0.2, 0.2)
+            rows = SP.fold_split(recs, plan, 1).select("record_id", "summary", "role").collect()
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        assert len({r.record_id for r in rows}) == 2300
+        assert sum(r.role == "test" for r in rows) == 460
+        held.append(sorted((r.record_id, r.summary, r.role) for r in rows))
+    assert held[0] == held[1] == held[2]
+
+
+def test_mismatched_items_count_but_do_not_rank(spark):
+    from cohera.operators.ranking import candidate_count_ok, items_from_scores, ranking_report, regroup_scores
+
+    scored = spark.createDataFrame([(1, 0, 0.9, 2), (1, 1, 0.1, 2), (1, 2, 0.2, 2), (2, 0, 0.9, 2), (2, 1, 0.5, 2), (3, 0, 0.4, 0),
+                                    (4, 0, None, 1), (4, 1, 0.2, 1)], "record_id long, cand_idx int, score double, n_neg int")
+    assert sorted(r.record_id for r in candidate_count_ok(scored).collect()) == [1, 3]
+    rep = ranking_report(items_from_scores(regroup_scores(scored))).first()
+    assert (rep.total_items_in_dataset, rep.evaluated_items_count, rep.pair_total_count) == (4, 1, 2)
+
+
+def test_normalized_original_and_splitter(spark):
+    docs = spark.createDataFrame([(1, "One  a.\nTwo b."), (2, "x | y | z")], "record_id long, summary string")
+    cands = J.model_candidates(docs, normalize_original=True).collect()
+    assert [c.text for c in cands if c.record_id == 1 and c.cand_idx == 0] == ["One  a. Two b."]
+    raw = J.model_candidates(docs).collect()
+    assert [c.text for c in raw if c.record_id == 1 and c.cand_idx == 0] == ["One  a.\nTwo b."]
+    bars = J.evaluate(docs, splitter=lambda c: F.split(c, r" \| "))
+    assert bars.first().evaluated_items_count == 1
+    cut = J.model_candidates(docs, max_length=2).where("record_id = 1").collect()
+    assert all(c.truncated and len(c.text.split()) == 2 for c in cut)

@@ -60,17 +60,60 @@ def test_test_size_one_and_no_test(spark):
 def test_group_plan(spark):
     recs = _recs(spark, 50, groups=["a", "b", None, "c"])
     plan = SP.leave_one_group_out(recs, "source", seed=2)
-    assert plan.folds == [1, 2, 3, 4]
-    assert [plan.test_group[f] for f in plan.folds] == ["a", "b", None, "c"]  # first-seen order, null kept
-    for f in plan.folds:
-        assert plan.val_group[f] != plan.test_group[f] or plan.val_group[f] is None and plan.test_group[f] is not None
+    assert list(plan.fold_numbers()) == [1, 2, 3, 4]
+    rows = plan.groups.orderBy("fold").collect()
+    assert [r.test_group for r in rows] == ["a", "b", None, "c"]  # first-seen order, null kept
+    assert all(r.val_group != r.test_group for r in rows)
     t = SP.split_table(recs.select("record_id", "source"), plan)
-    null_fold = t.where((F.col("fold") == 3) & (F.col("role") == "test")).count()
-    assert null_fold == recs.where(F.col("source").isNull()).count()
+    assert t.count() == 50  # one row per record
+    assert t.where("test_fold = 3").count() == recs.where(F.col("source").isNull()).count()
+    for f, r in enumerate(rows, 1):
+        split = SP.fold_split(recs, plan, f)
+        assert {x.source for x in split.where("role = 'test'").collect()} == {r.test_group}
+        assert {x.source for x in split.where("role = 'val'").collect()} == {r.val_group}
+        val = {x.record_id for x in t.where(F.array_contains("val_folds", f)).collect()}
+        assert val == {x.record_id for x in split.where("role = 'val'").collect()}
     with pytest.raises(IndexError):
         SP.leave_one_group_out(_recs(spark, 5, groups=["only"]), "source")
     two = SP.leave_one_group_out(_recs(spark, 5, groups=["only"]), "source", no_test=True)
-    assert two.folds == [1]
+    assert list(two.fold_numbers()) == [1]
+
+
+def test_many_groups(spark):
+    """Five thousand groups: nothing is nested, collected or ordered in one task."""
+    recs = spark.range(0, 10_000).select(F.col("id").alias("record_id"), (F.col("id") % 5000).cast("string").alias("source"))
+    plan = SP.leave_one_group_out(recs, "source", seed=4)
+    t = SP.split_table(recs, plan)
+    got = t.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("test_fold").alias("folds"), F.min("test_fold").alias("lo"),
+                F.max("test_fold").alias("hi"), F.sum(F.size("val_folds")).alias("vals")).first()
+    assert tuple(got) == (10_000, 5000, 1, 5000, 10_000)  # every fold validates on one group of two records
+
+
+def test_many_random_folds(spark):
+    recs = _recs(spark, 30)
+    plan = SP.random_holdout(recs, 0.2, 0.25, num_splits=400)
+    sizes = SP.split_sizes(SP.split_table(recs, plan)).groupBy("role").agg(F.min("n").alias("lo"), F.max("n").alias("hi")).collect()
+    assert {r.role: (r.lo, r.hi) for r in sizes} == {"test": (6, 6), "val": (7, 7), "train": (17, 17)}
+
+
+def test_empty_test_folds_are_zeros(spark):
+    from cohera.plans import jobs as J
+
+    long, summary = J.cv_lexical(_recs(spark, 20), "random", None, test_size=0.01, cv=2)
+    rows = long.collect()
+    assert {r.fold for r in rows} == {1, 2} and {r.value for r in rows} == {0.0}
+    assert "test_recall@3" in {r.metric for r in summary.collect()}
+
+
+def test_running_sums_over_many_buckets(spark):
+    from cohera.plans.prefix import running_sums
+
+    df = spark.range(0, 5000).select((F.col("id") * 7 % 5003).alias("o"), (F.col("id") % 11).alias("v"))
+    rows = sorted((r.o, r.v, r.cum_v) for r in running_sums(df, "o", ["v"], n_buckets=37).collect())
+    total = 0
+    for _, v, cum in rows:
+        total += v
+        assert cum == total
 
 
 def test_unknown_split_type(spark):
@@ -93,7 +136,7 @@ def test_run_folds_isolates_failure(spark):
     recs = _recs(spark, 30, groups=["a", "b", "c"])
     plan = SP.leave_one_group_out(recs, "source", seed=1)
 
-    def fit(train, val):
+    def fit(train, val, fold):
         return train.count()
 
     def evaluate(model, test):
