@@ -8,13 +8,15 @@ that its similarity reaches the threshold falls below ``TOLERANCE``. All
 other pairs are verified exactly on the shingle sets.
 
 Large buckets. In a bucket of up to ``BLOCK`` texts all pairs are candidates.
-A larger one is dealt into blocks of about that size, anew in every band, and
-every text is also paired with the bucket's smallest; so the pairs grow with
-the texts and not with their square. What that leaves open is settled
-exactly afterwards: texts of such a bucket that did not end up in the class
-of its smallest are compared with all of its texts in other classes. Classes
-are therefore those of all pairs that share a band. ``n_links`` counts the
-different texts that a text was verified to be similar to.
+In a larger one every text is paired with the bucket's hub and with its
+neighbour in the order of the set names, so the pairs grow with the texts
+and not with their square. The hub is the text whose buckets are largest in
+sum: of many variants of one text, the one they have most in common with.
+What that leaves open is settled exactly afterwards: texts of such a bucket
+that did not end up in the class of its hub are compared with all of its
+texts in other classes. Classes are therefore those of all pairs that share
+a band. ``n_links`` counts the different texts that a text was compared with
+and verified to be similar to: all of them in families of up to ``BLOCK``.
 
 Where sets are compared, pairs are dealt into groups by the smallest text of
 their buckets, and a group into tiles of bounded total size, so no task gets
@@ -23,6 +25,7 @@ an unbounded group.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from functools import lru_cache
 
 import numpy as np
@@ -34,10 +37,13 @@ from .common import materialized, mix64, range_hashes, text_batches, word_spans
 
 WORDS = 5
 THRESHOLD = 0.8
-HASHES, ROWS = 128, 4
-STEP = 16
+#: MinHash values, values per band (a pair at 0.8 shares no band with probability 1e-5), values compared and at a time
+HASHES, ROWS = 512, 8
+COMPARED, STEP = 512, 16
 TOLERANCE = 1e-6
-BLOCK = 16
+BLOCK = 32
+#: texts of a large bucket that are put in order together
+CHAIN = 100_000
 #: shingles of the texts of one tile
 TILE = 500_000
 #: keys of the texts to compare are broadcast up to this size, else shuffled
@@ -72,10 +78,10 @@ def shingles(buf: np.ndarray, offs: np.ndarray, size: int = WORDS) -> tuple[np.n
     return d[new], h[new]
 
 
-def minhash(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+def minhash(h: np.ndarray, first: np.ndarray, count: int = HASHES) -> np.ndarray:
     """MinHash values (a row per set) of sets that lie one after another in ``h``."""
-    out = np.empty((len(first), HASHES), np.uint32)
-    for k in range(HASHES):
+    out = np.empty((len(first), count), np.uint32)
+    for k in range(count):
         out[:, k] = np.minimum.reduceat(((h * _MUL[k] + _ADD[k]) >> np.uint64(32)).astype(np.uint32), first)
     return out
 
@@ -123,92 +129,137 @@ def least_matches(threshold: float, tolerance: float) -> tuple[int, ...]:
     matches is Beta(m + 1, n - m + 1); its mass from the threshold up is
     integrated numerically.
     """
-    x = (np.arange(20_000) + 0.5) / 20_000
+    x = (np.arange(4_000) + 0.5) / 4_000
     log_x, log_y, above = np.log(x), np.log1p(-x), x >= threshold
+
+    def likely(m: int, n: int) -> bool:
+        log = m * log_x + (n - m) * log_y
+        mass = np.exp(log - log.max())
+        return mass[above].sum() >= tolerance * mass.sum()
+
+    return tuple(bisect_left(range(n), True, key=lambda m: likely(m, n)) for n in range(STEP, COMPARED + 1, STEP))
+
+
+class Sets:
+    """Shingle sets of some texts, with the MinHash values to compare."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        sizes = np.array([len(x) for x in sets])
+        self.sets, self.sig = sets, minhash(np.concatenate(sets), np.cumsum(sizes) - sizes, COMPARED)
+
+    def similar(self, a: np.ndarray, b: np.ndarray, threshold: float, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the pairs (numbers of two sets) reach the threshold, and their similarities.
+
+        MinHash values are compared ``STEP`` at a time; a pair is dropped as
+        soon as its posterior chance is below the tolerance. The rest is
+        verified on the sets.
+        """
+        alive, matches = np.arange(len(a)), np.zeros(len(a), np.int32)
+        for at, least in zip(range(0, COMPARED, STEP), least_matches(threshold, tolerance)):
+            matches += (self.sig[a[alive], at:at + STEP] == self.sig[b[alive], at:at + STEP]).sum(1, dtype=np.int32)
+            keep = matches >= least
+            alive, matches = alive[keep], matches[keep]
+        found, value = [], []
+        for i in alive.tolist():
+            x, y = self.sets[a[i]], self.sets[b[i]]
+            both = np.concatenate([x, y])
+            both.sort()
+            common = int((both[1:] == both[:-1]).sum())
+            j = common / (len(x) + len(y) - common)
+            if j >= threshold:
+                found.append(i)
+                value.append(j)
+        return np.array(found, np.int64), np.array(value, np.float64)
+
+
+def _loaded(texts: pa.Table) -> tuple[np.ndarray, Sets]:
+    """Distinct set names in order, and their sets."""
+    sid, first = np.unique(texts["sid"].to_numpy(), return_index=True)
+    packed = texts["shingles"].combine_chunks()
+    return sid, Sets([np.frombuffer(packed[int(i)].as_buffer(), np.uint64) for i in first])
+
+
+def _links(a: np.ndarray, b: np.ndarray, value: np.ndarray) -> pa.Table:
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "similarity": pa.array(value, pa.float64())})
+
+
+LINKS = "a bigint, b bigint, similarity double"
+
+
+def _verify(pairs: pa.Table, texts: pa.Table, threshold: float, tolerance: float) -> pa.Table:
+    if not pairs.num_rows or not texts.num_rows:
+        return _links([], [], [])
+    sid, sets = _loaded(texts)
+    a, b = pairs["a"].to_numpy(), pairs["b"].to_numpy()
+    hit, value = sets.similar(np.searchsorted(sid, a), np.searchsorted(sid, b), threshold, tolerance)
+    return _links(a[hit], b[hit], value)
+
+
+def _compare_all(members: pa.Table, strays: pa.Table, threshold: float, tolerance: float) -> pa.Table:
+    """Links between strays and members of other classes, a few strays at a time."""
+    if not members.num_rows or not strays.num_rows:
+        return _links([], [], [])
+    sid, sets = _loaded(pa.concat_tables([t.select(["sid", "shingles"]) for t in (members, strays.rename_columns(members.column_names))]))
+    own, of = np.unique(members["sid"].to_numpy(), return_index=True)
+    own_class, own_at = members["class"].to_numpy()[of], np.searchsorted(sid, own)
     out = []
-    for n in range(STEP, HASHES + 1, STEP):
-        for m in range(n + 1):
-            log = m * log_x + (n - m) * log_y
-            mass = np.exp(log - log.max())
-            if mass[above].sum() >= tolerance * mass.sum():
-                break
-        out.append(m)
-    return tuple(out)
-
-
-def similar(pairs: np.ndarray, sets: list[np.ndarray], threshold: float, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs (rows of two set numbers) that reach the threshold, and their similarities."""
-    sizes = np.array([len(s) for s in sets])
-    sig = minhash(np.concatenate(sets), np.cumsum(sizes) - sizes)
-    alive, matches = np.arange(len(pairs)), np.zeros(len(pairs), np.int64)
-    for at, least in zip(range(0, HASHES, STEP), least_matches(threshold, tolerance)):
-        a, b = pairs[alive, 0], pairs[alive, 1]
-        matches[alive] += (sig[a, at:at + STEP] == sig[b, at:at + STEP]).sum(1)
-        alive = alive[matches[alive] >= least]
-    found, value = [], []
-    for i in alive.tolist():
-        a, b = sets[pairs[i, 0]], sets[pairs[i, 1]]
-        both = np.concatenate([a, b])
-        both.sort()
-        common = int((both[1:] == both[:-1]).sum())
-        j = common / (len(a) + len(b) - common)
-        if j >= threshold:
-            found.append(i)
-            value.append(j)
-    return np.array(found, np.int64), np.array(value)
-
-
-def _verify(key: tuple, pairs: pa.Table, texts: pa.Table, threshold: float, tolerance: float) -> pa.Table:
-    out = {"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "similarity": pa.array([], pa.float64())}
-    if pairs.num_rows and texts.num_rows:
-        sid, first = np.unique(texts["sid"].to_numpy(), return_index=True)
-        packed = texts["shingles"].combine_chunks()
-        sets = [np.frombuffer(packed[int(i)].as_buffer(), np.uint64) for i in first]
-        a, b = pairs["a"].to_numpy(), pairs["b"].to_numpy()
-        own = np.stack([np.searchsorted(sid, a), np.searchsorted(sid, b)], 1)
-        hit, value = similar(own, sets, threshold, tolerance)
-        out = {"a": pa.array(a[hit], pa.int64()), "b": pa.array(b[hit], pa.int64()), "similarity": pa.array(value, pa.float64())}
-    return pa.table(out)
+    names, classes = strays[0].to_numpy(), strays[1].to_numpy()
+    for start in range(0, len(names), 64):
+        x, y = np.nonzero(classes[start:start + 64, None] != own_class[None, :])
+        x += start
+        hit, value = sets.similar(np.searchsorted(sid, names[x]), own_at[y], threshold, tolerance)
+        u, v = names[x[hit]], own[y[hit]]
+        out.append((np.minimum(u, v), np.maximum(u, v), value))
+    return _links(*(np.concatenate(c) for c in zip(*out)))
 
 
 def buckets(texts: DataFrame) -> DataFrame:
-    """(band, sid, n, hub): the texts of every bucket of at least two, its size and its smallest text."""
+    """(band, sid, n, hub): the texts of every bucket of at least two, its size and its hub."""
     rows = texts.select("sid", F.explode("bands").alias("band"))
-    size = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("sid").alias("hub")).where("n > 1")
-    return rows.join(size, "band")
+    size = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = materialized(rows.join(size, "band"))
+    weighed = shared.join(shared.groupBy("sid").agg(F.sum("n").alias("mass")), "sid")
+    hubs = weighed.groupBy("band").agg(F.max(F.struct("mass", "sid"))["sid"].alias("hub"))
+    return shared.join(hubs, "band")
 
 
 def candidates(bucketed: DataFrame) -> DataFrame:
     """(a, b, g): distinct candidate pairs, a < b, and the smallest hub of their buckets."""
-    block = F.pmod(F.xxhash64("sid", "band"), F.ceil(F.col("n") / BLOCK).cast("bigint"))
-    dealt = (bucketed.groupBy("band", "hub", block.alias("block"))
-             .agg(F.sort_array(F.collect_list("sid")).alias("m")).where(F.size("m") > 1))
-    pairs = dealt.select("hub", "m", F.posexplode(F.expr("slice(m, 1, size(m) - 1)")).alias("i", "a"))
+    small, large = bucketed.where(F.col("n") <= BLOCK), bucketed.where(F.col("n") > BLOCK)
+    whole = small.groupBy("band", "hub").agg(F.sort_array(F.collect_list("sid")).alias("m"))  # at most BLOCK texts
+    pairs = whole.select("hub", "m", F.posexplode(F.expr("slice(m, 1, size(m) - 1)")).alias("i", "a"))
     pairs = pairs.select("a", F.explode(F.expr("slice(m, i + 2, size(m))")).alias("b"), "hub")
-    star = bucketed.where((F.col("n") > BLOCK) & (F.col("sid") != F.col("hub"))).select(
-        F.col("hub").alias("a"), F.col("sid").alias("b"), "hub")
-    return pairs.unionByName(star).groupBy("a", "b").agg(F.min("hub").alias("g"))
+    part = F.pmod(F.shiftright("sid", 32), F.ceil(F.col("n") / CHAIN).cast("bigint"))
+    order = Window.partitionBy("band", "part").orderBy("sid")
+    chain = large.withColumn("part", part).withColumn("before", F.lag("sid").over(order)).where("before IS NOT NULL")
+    chain = chain.select(F.col("before").alias("a"), F.col("sid").alias("b"), "hub")
+    star = large.where(F.col("sid") != F.col("hub")).select(
+        F.least("hub", "sid").alias("a"), F.greatest("hub", "sid").alias("b"), "hub")
+    return pairs.unionByName(chain).unionByName(star).groupBy("a", "b").agg(F.min("hub").alias("g"))
+
+
+def _shingle_sets(need: DataFrame, texts: DataFrame, rows: DataFrame) -> DataFrame:
+    """(sid, shingles) of the texts named in ``need``, from one row of each."""
+    wanted = materialized(need.select("sid").distinct().join(texts.select("sid", "key"), "sid"))
+    if wanted.count() * 24 <= MAX_BROADCAST:
+        wanted = F.broadcast(wanted)
+    return rows.join(wanted, "key").select("sid", "text").mapInArrow(_sets, "sid bigint, shingles binary")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, rows: DataFrame, threshold: float, tolerance: float) -> DataFrame:
     """(a, b, similarity): the pairs that reach the threshold, compared on their sets."""
-    both = pairs.select("g", F.explode(F.array("a", "b")).alias("sid")).distinct()
+    both = pairs.select("g", F.col("a").alias("sid")).union(pairs.select("g", "b")).distinct()
     sized = both.join(texts.select("sid", "n"), "sid")
     tiles = sized.groupBy("g").agg(F.ceil(F.sum("n") / TILE).cast("bigint").alias("t"))
     def tile(c: str) -> Column:
         return F.pmod(F.xxhash64(c, F.lit("tile")), F.col("t"))
     dealt = pairs.join(tiles, "g").select("a", "b", "g", F.least(tile("a"), tile("b")).alias("i"),
                                           F.greatest(tile("a"), tile("b")).alias("j"))
-    need = dealt.select("g", "i", "j", F.explode(F.array("a", "b")).alias("sid")).distinct()
-    wanted = need.select("sid").distinct().join(texts.select("sid", "key"), "sid")
-    wanted = materialized(wanted)
-    if wanted.count() * 24 <= MAX_BROADCAST:
-        wanted = F.broadcast(wanted)
-    sets = rows.join(wanted, "key").select("sid", "text").mapInArrow(_sets, "sid bigint, shingles binary")
-    shipped = need.join(sets, "sid")
+    need = dealt.select("g", "i", "j", F.col("a").alias("sid")).union(dealt.select("g", "i", "j", "b")).distinct()
+    shipped = need.join(_shingle_sets(need, texts, rows), "sid")
     shipped = shipped.toDF("sid", "to_g", "to_i", "to_j", "shingles")  # other names: both sides descend from the pairs
     return (dealt.groupBy("g", "i", "j").cogroup(shipped.groupBy("to_g", "to_i", "to_j"))
-            .applyInArrow(lambda k, p, t: _verify(k, p, t, threshold, tolerance), "a bigint, b bigint, similarity double"))
+            .applyInArrow(lambda p, t: _verify(p, t, threshold, tolerance), LINKS))
 
 
 def components(edges: DataFrame, u: str = "a", v: str = "b") -> DataFrame:
@@ -240,17 +291,34 @@ def components(edges: DataFrame, u: str = "a", v: str = "b") -> DataFrame:
                 e.select(F.col("y").alias("sid"), F.col("y").alias("class")).distinct())
 
 
-def _left_open(bucketed: DataFrame, classes: DataFrame, done: DataFrame) -> DataFrame:
-    """Pairs of large buckets across classes that were not compared yet: strays against all others."""
-    big = bucketed.where(F.col("n") > BLOCK)
-    of = classes.select("sid", "class")
-    known = big.join(of, "sid", "left").withColumn("class", F.coalesce("class", "sid"))
-    hubs = of.select(F.col("sid").alias("hub"), F.col("class").alias("hub_class"))
-    known = known.join(hubs, "hub", "left").withColumn("hub_class", F.coalesce("hub_class", "hub"))
-    stray = known.where(F.col("class") != F.col("hub_class")).select("band", F.col("sid").alias("s"), F.col("class").alias("sc"))
-    open_ = known.join(stray, "band").where(F.col("class") != F.col("sc"))
-    open_ = open_.select(F.least("sid", "s").alias("a"), F.greatest("sid", "s").alias("b"), "hub")
-    return open_.groupBy("a", "b").agg(F.min("hub").alias("g")).join(done.select("a", "b"), ["a", "b"], "left_anti")
+def _left_open(bucketed: DataFrame, classes: DataFrame, texts: DataFrame, rows: DataFrame, threshold: float,
+               tolerance: float) -> DataFrame | None:
+    """Links that the hubs of large buckets left open, or None where all their texts are in the hub's class.
+
+    The texts of the large buckets of one class are compared with the strays
+    among them: those of another class. Both are dealt into tiles of bounded
+    size and compared inside the tasks, so pairs are never rows.
+    """
+    large = bucketed.where(F.col("n") > BLOCK).select("sid", "hub").distinct()
+    hubs = classes.select(F.col("sid").alias("hub"), F.col("class").alias("g"))
+    known = large.join(classes, "sid", "left").withColumn("class", F.coalesce("class", "sid"))
+    known = known.join(hubs, "hub", "left").select("sid", "class", F.coalesce("g", "hub").alias("g")).distinct()
+    known = materialized(known.join(texts.select("sid", "n"), "sid"))
+    strays = known.where(F.col("class") != F.col("g"))
+    if strays.isEmpty():
+        return None
+    tiles = known.groupBy("g").agg(F.ceil(F.sum("n") / TILE).cast("bigint").alias("t"))
+    tile = F.pmod(F.xxhash64("sid", F.lit("tile")), F.col("t"))
+    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("t") - 1))
+    open_ = known.join(strays.select("g").distinct(), "g", "left_semi").join(tiles, "g")
+    members = open_.select("g", "sid", "class", tile.alias("j"), every.alias("i"))
+    lost = open_.where(F.col("class") != F.col("g")).select("g", "sid", "class", tile.alias("i"), every.alias("j"))
+    sets = materialized(_shingle_sets(open_, texts, rows))
+    left = members.join(sets, "sid").select("sid", "class", "shingles", "g", "i", "j")
+    right = lost.join(sets, "sid").select("sid", "class", "shingles", "g", "i", "j").toDF(
+        "stray", "stray_class", "stray_shingles", "to_g", "to_i", "to_j")
+    return (left.groupBy("g", "i", "j").cogroup(right.groupBy("to_g", "to_i", "to_j"))
+            .applyInArrow(lambda m, x: _compare_all(m, x, threshold, tolerance), LINKS))
 
 
 def similarity_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD,
@@ -271,9 +339,9 @@ def similarity_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = materialized(candidates(bucketed))
     links = materialized(verified(pairs, texts, rows, threshold, tolerance))
     if not bucketed.where(F.col("n") > BLOCK).isEmpty():
-        rest = materialized(_left_open(bucketed, components(links), pairs))
-        if not rest.isEmpty():
-            links = materialized(links.unionByName(verified(rest, texts, rows, threshold, tolerance)))
+        rest = _left_open(bucketed, components(links), texts, rows, threshold, tolerance)
+        if rest is not None:
+            links = materialized(links.unionByName(rest).groupBy("a", "b").agg(F.max("similarity").alias("similarity")))
     return members.select("doc_id", "key", "sid", "n"), links
 
 
@@ -287,7 +355,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows that repeat are copies of each other. An empty table gives no rows.
     """
     members, links = similarity_join(docs, id_col, text_col, threshold, tolerance)
-    ends = links.select(F.explode(F.array("a", "b")).alias("sid")).groupBy("sid").agg(F.count(F.lit(1)).alias("n_links"))
+    ends = links.select(F.col("a").alias("sid")).union(links.select("b")).groupBy("sid").agg(F.count(F.lit(1)).alias("n_links"))
     known = components(links).join(ends, "sid")
     worded = members.where(F.col("sid").isNotNull()).join(known, "sid", "left")
     worded = worded.withColumn("class", F.coalesce("class", "sid"))

@@ -377,7 +377,7 @@ def classes_of(links, n):
     return [find(i) for i in range(n)]
 
 
-@pytest.mark.parametrize("block,tile", [(16, 500_000), (3, 600)])
+@pytest.mark.parametrize("block,tile", [(32, 500_000), (3, 600)])
 def test_near_classes(spark, monkeypatch, block, tile):
     monkeypatch.setattr(ngram_join, "BLOCK", block)
     monkeypatch.setattr(ngram_join, "TILE", tile)
@@ -389,7 +389,7 @@ def test_near_classes(spark, monkeypatch, block, tile):
     assert [got[i]["class_id"] for i in range(len(texts))] == want
     size = collections.Counter(want)
     assert all(got[i]["class_size"] == size[want[i]] for i in got)
-    if block == 16:  # every bucket compares all its pairs: the links are those of different texts
+    if block == 32:  # every bucket compares all its pairs: the links are those of different texts
         different = collections.Counter()
         for i, j in {(frozenset(sets[i]), frozenset(sets[j])) for i, j in links if sets[i] != sets[j]} | {
                 (frozenset(sets[j]), frozenset(sets[i])) for i, j in links if sets[i] != sets[j]}:
@@ -415,7 +415,7 @@ def test_components(spark):
 
 def test_pruning_is_safe():
     least = ngram_join.least_matches(0.8, 1e-6)
-    assert least[-1] < 0.8 * ngram_join.HASHES and list(least) == sorted(least)
+    assert least[-1] < 0.8 * ngram_join.COMPARED and list(least) == sorted(least)
     from math import comb
     n = ngram_join.STEP  # chance that a pair at the threshold falls below the first limit
     assert sum(comb(n, m) * 0.8 ** m * 0.2 ** (n - m) for m in range(least[0])) < 1e-4
