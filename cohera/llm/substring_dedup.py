@@ -27,7 +27,7 @@ from .common import materialized, range_hashes, text_batches, word_spans
 
 WINDOW = 35
 #: text whose windows one bucket counts, on average
-BUCKET_BYTES = 24 << 20
+BUCKET_BYTES = 12 << 20
 #: intervals up to this size are broadcast to the texts; beyond, both are shuffled by key
 MAX_BROADCAST = 64 << 20
 
@@ -102,8 +102,8 @@ def _ask(batches, n_buckets: int, window: int):
                                          ["bucket", "hashes", "many", "keys", "counts", "gaps"])
 
 
-def _answer(table: pa.Table) -> pa.Table:
-    """Positions of one bucket's repeated windows, a row per piece and document."""
+def _answer(table: pa.Table, n_bins: int) -> pa.Table:
+    """Addresses of one bucket's repeated windows, packed into a row per bin of documents."""
     sent = [np.frombuffer(x, np.uint64) for x in table["hashes"].to_pylist()]
     many = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in table["many"].to_pylist()]))
     flat = np.concatenate(sent)
@@ -113,7 +113,7 @@ def _answer(table: pa.Table) -> pa.Table:
     if len(many):
         spot = np.minimum(np.searchsorted(many, flat), len(many) - 1)
         repeated |= many[spot] == flat
-    out_keys, out_at, start = [], [], 0
+    found, start = [], 0
     for hashes, keys, counts, gaps in zip(sent, *(table[c].to_pylist() for c in ("keys", "counts", "gaps"))):
         hit = repeated[start:start + len(hashes)] if len(hashes) else None
         start += len(hashes)
@@ -122,24 +122,37 @@ def _answer(table: pa.Table) -> pa.Table:
         key, doc, pos = _unpack(keys, counts, gaps)
         if hit is not None:
             doc, pos = doc[hit], pos[hit]
-        cuts = np.flatnonzero(np.diff(doc)) + 1
-        for part in np.split(np.arange(len(doc)), cuts):
-            if len(part):
-                out_keys.append(int(key[doc[part[0]]]))
-                out_at.append(pos[part].astype("<u4").tobytes())
-    return pa.table({"key": pa.array(out_keys, pa.int64()), "at": pa.array(out_at, pa.binary())})
-
-
-def _merge(batches, window: int):
-    """Positions to maximal intervals [from, to) of words, as packed pairs."""
-    for batch in batches:
-        merged = []
-        for parts in batch.column(1).to_pylist():
-            pos = np.unique(np.concatenate([np.frombuffer(p, "<u4") for p in parts]).astype(np.int64))
-            new = np.flatnonzero(np.concatenate([[True], pos[1:] > pos[:-1] + window]))
-            last = np.append(new[1:], len(pos)) - 1
-            merged.append(np.stack([pos[new], pos[last] + window], 1).astype("<u4").tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(merged, pa.binary())], ["key", "spans"])
+        found.append((key[doc], pos))
+    rows = []
+    if found:
+        key, pos = (np.concatenate(x) for x in zip(*found))
+        into = (key.view(np.uint64) % np.uint64(n_bins)).astype(np.int64)
+        order = np.lexsort((pos, key, into))
+        key, pos, into = key[order], pos[order], into[order]
+        edges = np.flatnonzero(np.concatenate([[True], into[1:] != into[:-1], [True]]))
+        for a, b in zip(edges[:-1], edges[1:]):
+            own, doc = np.unique(key[a:b], return_inverse=True)
+            rows.append((int(into[a]), *_pack(own, doc, pos[a:b])))
+    kinds = {"bin": pa.int32(), "keys": pa.binary(), "counts": pa.binary(), "gaps": pa.binary()}
+    return pa.table({c: pa.array([r[i] for r in rows], k) for i, (c, k) in enumerate(kinds.items())})
+
+
+def _merge(table: pa.Table, window: int) -> pa.Table:
+    """A bin's positions to maximal intervals [from, to) of words, packed pairs per document."""
+    found = []
+    for keys, counts, gaps in zip(*(table[c].to_pylist() for c in ("keys", "counts", "gaps"))):
+        key, doc, pos = _unpack(keys, counts, gaps)
+        found.append((key[doc], pos))
+    key, pos = (np.concatenate(x) for x in zip(*found))
+    order = np.lexsort((pos, key))
+    key, pos = key[order], pos[order]
+    other = np.concatenate([[True], key[1:] != key[:-1]])
+    new = np.flatnonzero(other | np.concatenate([[True], pos[1:] > pos[:-1] + window]))
+    last = np.append(new[1:], len(pos)) - 1
+    spans = np.stack([pos[new], pos[last] + window], 1).astype("<u4")
+    edges = np.append(np.flatnonzero(other[new]), len(new))
+    return pa.table({"key": pa.array(key[new[edges[:-1]]], pa.int64()),
+                     "spans": pa.array([spans[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])], pa.binary())})
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -153,9 +166,9 @@ def repeated_spans(rows: DataFrame, window: int = WINDOW) -> DataFrame:
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_buckets = max(1, math.ceil(total / BUCKET_BYTES))
     asked = rows.select("key", "text").mapInArrow(lambda b: _ask(b, n_buckets, window), _ASK)
-    answers = asked.groupBy("bucket").applyInArrow(_answer, "key bigint, at binary")
-    return (answers.groupBy("key").agg(F.collect_list("at").alias("at"))
-            .mapInArrow(lambda b: _merge(b, window), "key bigint, spans binary"))
+    answers = asked.groupBy("bucket").applyInArrow(lambda t: _answer(t, n_buckets),
+                                                   "bin int, keys binary, counts binary, gaps binary")
+    return answers.groupBy("bin").applyInArrow(lambda t: _merge(t, window), "key bigint, spans binary")
 
 
 def _cut(batches, keep_text: bool):
