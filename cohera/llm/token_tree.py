@@ -35,31 +35,35 @@ LOOK = 2
 EDIT = "array<struct<pos:bigint,del:bigint,ins:string>>"
 
 
+#: text, lengths and token counts of a run of pre-tokens
+Leaf = tuple[str, np.ndarray, np.ndarray]
+
+
 class TokenTree:
     """Pre-tokens of one text with subtree sums of characters, tokens and pre-tokens."""
 
-    def __init__(self, tokenizer: B.ByteBPE, leaves: list[tuple[str, list[int], list[int]]]):
+    def __init__(self, tokenizer: B.ByteBPE, leaves: list[Leaf], sums: list[tuple[int, int, int]] | None = None):
         self.tokenizer = tokenizer
         self.reencoded = 0
-        self._deal(leaves)
+        self._deal(leaves, sums)
 
     @classmethod
     def build(cls, tokenizer: B.ByteBPE, text: str) -> TokenTree:
         pieces = tokenizer.pattern.findall(text)
-        return cls(tokenizer, _leaves(pieces, _counts(tokenizer, pieces)))
+        lens = np.fromiter(map(len, pieces), np.uint32, len(pieces))
+        return cls(tokenizer, _cut(text, lens, _counts(tokenizer.lookup(pieces), pieces)))
 
-    def _deal(self, leaves: list[tuple[str, list[int], list[int]]]) -> None:
+    def _deal(self, leaves: list[Leaf], sums: list[tuple[int, int, int]] | None = None) -> None:
         """Lay the leaves out under a complete binary tree and sum upwards."""
-        self.leaves = leaves or [("", [], [])]
+        self.leaves = leaves or [_EMPTY]
         self.size = 1 << (len(self.leaves) - 1).bit_length()
         self.sums = [(0, 0, 0)] * (2 * self.size)
-        for i, leaf in enumerate(self.leaves):
-            self.sums[self.size + i] = _sum(leaf)
+        self.sums[self.size:self.size + len(self.leaves)] = sums or map(_sum, self.leaves)
         for n in range(self.size - 1, 0, -1):
             a, b = self.sums[2 * n], self.sums[2 * n + 1]
             self.sums[n] = (a[0] + b[0], a[1] + b[1], a[2] + b[2])
 
-    def _set(self, i: int, leaf: tuple[str, list[int], list[int]]) -> None:
+    def _set(self, i: int, leaf: Leaf) -> None:
         self.leaves[i] = leaf
         n = self.size + i
         self.sums[n] = _sum(leaf)
@@ -94,7 +98,7 @@ class TokenTree:
                 start += self.sums[n][0]
                 total += self.sums[n][1]
                 n += 1
-        for length, count in zip(*self.leaves[n - self.size][1:]):
+        for length, count in _pairs(self.leaves[n - self.size]):
             start += length
             if start > pos:
                 break
@@ -119,7 +123,7 @@ class TokenTree:
             left = self.leaves[lo][0] + left
         lo_at = pos - len(left)
         keep = len(left.rstrip()) - LOOK  # matches that end here or before stay
-        old = [x for i in range(lo, hi + 1) for x in zip(self.leaves[i][1], self.leaves[i][2])]
+        old = [x for i in range(lo, hi + 1) for x in _pairs(self.leaves[i])]
         head, at = 0, 0
         while head < len(old) and at + old[head][0] <= keep:
             at += old[head][0]
@@ -143,7 +147,7 @@ class TokenTree:
             if hi < len(self.leaves) - 1 and end > len(new_text) - LOOK - 1:  # needs the text that follows
                 hi += 1
                 more = self.leaves[hi]
-                for length, count in zip(more[1], more[2]):
+                for length, count in _pairs(more):
                     old.append((length, count))
                     x += length
                     starts[x + shift] = len(old)
@@ -155,61 +159,66 @@ class TokenTree:
             pieces.append(new_text[here:end])
             here = end
         self.reencoded += len(pieces)
-        lens = [n for n, _ in old[:head]] + [len(p) for p in pieces] + [n for n, _ in old[tail:]]
-        counts = [c for _, c in old[:head]] + _counts(self.tokenizer, pieces) + [c for _, c in old[tail:]]
-        leaf = (new_text, lens, counts)
+        new = list(zip(map(len, pieces), _counts(self.tokenizer.lookup(pieces), pieces).tolist()))
+        run = np.array(old[:head] + new + old[tail:], np.uint32).reshape(-1, 2)
+        lens = run[:, 0]
+        leaf = (new_text, lens, run[:, 1])
         if len(lens) > GROWN * LEAF:
             self._deal(self.leaves[:lo] + _cut(*leaf) + self.leaves[hi + 1:])
             return
         self._set(lo, leaf)
         for i in range(lo + 1, hi + 1):
-            self._set(i, ("", [], []))
+            self._set(i, _EMPTY)
 
 
-def _sum(leaf: tuple[str, list[int], list[int]]) -> tuple[int, int, int]:
-    return len(leaf[0]), sum(leaf[2]), len(leaf[1])
+_EMPTY: Leaf = ("", np.zeros(0, np.uint32), np.zeros(0, np.uint32))
 
 
-def _counts(tokenizer: B.ByteBPE, pieces: list[str]) -> list[int]:
-    found = tokenizer.lookup(pieces)
-    return [len(found[p]) >> 2 for p in pieces]
+def _sum(leaf: Leaf) -> tuple[int, int, int]:
+    return len(leaf[0]), int(leaf[2].sum()), len(leaf[1])
 
 
-def _leaves(pieces: list[str], counts: list[int]) -> list[tuple[str, list[int], list[int]]]:
-    out = []
-    for i in range(0, len(pieces), LEAF):
-        part = pieces[i:i + LEAF]
-        out.append(("".join(part), list(map(len, part)), counts[i:i + LEAF]))
-    return out
+def _pairs(leaf: Leaf) -> list[tuple[int, int]]:
+    return list(zip(leaf[1].tolist(), leaf[2].tolist()))
 
 
-def _cut(text: str, lens: list[int], counts: list[int]) -> list[tuple[str, list[int], list[int]]]:
+def _counts(found: dict[str, bytes], pieces: list[str]) -> np.ndarray:
+    """Tokens of each piece, from the packed ids."""
+    return np.fromiter(map(len, map(found.__getitem__, pieces)), np.uint32, len(pieces)) >> np.uint32(2)
+
+
+def _cut(text: str, lens: np.ndarray, counts: np.ndarray) -> list[Leaf]:
+    """Leaves of ``LEAF`` pre-tokens each; the pre-tokens joined are the text."""
+    ends = np.cumsum(lens, dtype=np.int64)
     out, at = [], 0
     for i in range(0, len(lens), LEAF):
-        n = sum(lens[i:i + LEAF])
-        out.append((text[at:at + n], lens[i:i + LEAF], counts[i:i + LEAF]))
-        at += n
+        end = int(ends[min(i + LEAF, len(lens)) - 1])
+        out.append((text[at:end], lens[i:i + LEAF], counts[i:i + LEAF]))
+        at = end
     return out
 
 
 STATE = ("leaves", "lens", "counts", "per_leaf")
 
 
-def _pack(tree: TokenTree) -> tuple[list[str], bytes, bytes, bytes]:
-    """A tree as columns: leaf texts, then lengths, counts and pre-tokens per leaf as packed integers."""
-    full = [leaf for leaf in tree.leaves if leaf[1]]
-    u4 = lambda xs: np.fromiter(xs, "<u4").tobytes()
-    return ([leaf[0] for leaf in full], u4(x for leaf in full for x in leaf[1]),
-            u4(x for leaf in full for x in leaf[2]), u4(len(leaf[1]) for leaf in full))
+def _pack(leaves: list[Leaf]) -> tuple[list[str], bytes, bytes, bytes]:
+    """Leaves as columns: texts, then lengths, counts and pre-tokens per leaf as packed integers."""
+    full = [leaf for leaf in leaves if len(leaf[1])]
+    u4 = lambda parts: np.concatenate(parts).astype("<u4").tobytes() if parts else b""
+    return ([leaf[0] for leaf in full], u4([leaf[1] for leaf in full]), u4([leaf[2] for leaf in full]),
+            np.array([len(leaf[1]) for leaf in full], "<u4").tobytes())
 
 
 def _unpack(tokenizer: B.ByteBPE, leaves: list[str], lens: bytes, counts: bytes, per_leaf: bytes) -> TokenTree:
-    n, c = B.array_u4(lens), B.array_u4(counts)
-    out, at = [], 0
-    for text, k in zip(leaves, B.array_u4(per_leaf)):
-        out.append((text, n[at:at + k], c[at:at + k]))
-        at += k
-    return TokenTree(tokenizer, out)
+    n, c, k = (np.frombuffer(x, "<u4") for x in (lens, counts, per_leaf))
+    if not len(k):
+        return TokenTree(tokenizer, [])
+    ends = np.cumsum(k, dtype=np.int64)
+    starts = ends - k
+    tokens = np.add.reduceat(c, starts, dtype=np.int64).tolist()
+    sums = list(zip(map(len, leaves), tokens, k.tolist()))
+    out = [(text, n[a:b], c[a:b]) for text, a, b in zip(leaves, starts.tolist(), ends.tolist())]
+    return TokenTree(tokenizer, out, sums)
 
 
 _STATE_FIELDS = [StructField("tree", StructType([StructField("leaves", ArrayType(StringType())),
@@ -227,11 +236,14 @@ def build_trees(docs: DataFrame, path: str, pattern: str, text_col: str = "text"
 
     def run(batches):
         bpe = B.load(raw.value, pattern)
-        for part, _, _ in text_batches(batches, text_col):
+        for part, _, _ in text_batches(batches, text_col, B.PIECE_BYTES):
             texts = part.column(part.schema.get_field_index(text_col)).to_pylist()
             split = [bpe.pattern.findall(t or "") for t in texts]
-            bpe.lookup(p for pieces in split for p in pieces)  # one queue for all new pre-tokens
-            rows = [_pack(TokenTree(bpe, _leaves(pieces, _counts(bpe, pieces)))) for pieces in split]
+            found = bpe.lookup(p for pieces in split for p in pieces)  # one queue for all new pre-tokens
+            rows = []
+            for text, pieces in zip(texts, split):
+                lens = np.fromiter(map(len, pieces), np.uint32, len(pieces))
+                rows.append(_pack(_cut(text or "", lens, _counts(found, pieces))))
             cols = [part.column(part.schema.get_field_index(c)) for c in keep]
             yield pa.RecordBatch.from_arrays([*cols, _tree_column(rows)], [*keep, "tree"])
 
@@ -270,7 +282,7 @@ def apply_edits(state: DataFrame, path: str, pattern: str, edits_col: str = "edi
                     before = tree.n_tokens
                     for e in edits or []:
                         tree.edit(e["pos"] or 0, e["del"] or 0, e["ins"] or "")
-                    trees.append(_pack(tree))
+                    trees.append(_pack(tree.leaves))
                     nums.append((before, tree.n_tokens, tree.n_pieces, tree.reencoded))
                 cols = [pa.array([n[i] for n in nums], pa.int64()) for i in range(4)]
                 yield pa.RecordBatch.from_arrays([*map(col, keep), _tree_column(trees), *cols], [*keep, "tree", *added])
