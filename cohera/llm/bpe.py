@@ -34,6 +34,8 @@ MEMO_PIECES = 250_000
 MEMO_BYTES = 64
 #: text whose pre-tokens are merged together
 PIECE_BYTES = 1 << 20
+#: up to here plain lists are quicker to set up than arrays
+FEW_BYTES = 128
 _NONE = -1
 
 
@@ -97,6 +99,7 @@ class ByteBPE:
         for token, rank in ranks.items():
             if len(token) == 2:
                 self.byte_pair[token[0] << 8 | token[1]] = rank
+        self.id_list, self.pair_list = self.byte_id.tolist(), self.byte_pair.tolist()
         self.pairs: dict[int, int] = {}
         self.memo: dict[str, bytes] = {}
 
@@ -115,30 +118,47 @@ class ByteBPE:
             rank = self.pairs[key] = self.ranks.get(self.vocab[a] + self.vocab[b], _NONE)
         return rank
 
-    def merge(self, pieces: list[bytes]) -> list[bytes]:
-        """Packed ids (little-endian uint32) of each piece, all through one queue."""
+    def _lists(self, pieces: list[bytes]) -> tuple:
+        """Tokens, pair ranks, links and queue of a few bytes."""
+        token, pair, nxt, prv, queue = [], [], [], [], RankQueue(self.n)
+        for piece in pieces:
+            start, last = len(token), len(token) + len(piece) - 1
+            for i, (x, y) in enumerate(zip(piece, piece[1:]), start):
+                rank = self.pair_list[x << 8 | y]
+                pair.append(rank)
+                if rank != _NONE:
+                    queue.push(rank, i)
+            pair.append(_NONE)
+            token += [self.id_list[x] for x in piece]
+            nxt += [*range(start + 1, last + 1), _NONE]
+            prv += [_NONE, *range(start, last)]
+        return token, pair, nxt, prv, queue
+
+    def _arrays(self, pieces: list[bytes], ends: np.ndarray) -> tuple:
+        """The same for any number of bytes: compact arrays, filled at once."""
         buf = np.frombuffer(b"".join(pieces), np.uint8)
         n = len(buf)
-        ends = np.cumsum([len(p) for p in pieces], dtype=np.int64)
         token = array("i", self.byte_id[buf].astype(np.int32).tobytes())
         first = np.full(n, _NONE, np.int32)
-        if n > 1:
-            first[:-1] = self.byte_pair[buf[:-1].astype(np.int32) << 8 | buf[1:]]
-            inner = ends[(ends > 0) & (ends < n)]
-            first[inner - 1] = _NONE
+        first[:-1] = self.byte_pair[buf[:-1].astype(np.int32) << 8 | buf[1:]]
+        inner = ends[ends < n]
+        first[inner - 1] = _NONE
         queue = RankQueue(self.n)
         at = np.flatnonzero(first != _NONE)
         at = at[np.argsort(first[at], kind="stable")]
         cuts = np.flatnonzero(np.diff(first[at])) + 1
         for part in np.split(at, cuts) if len(at) else []:
             queue.fill(int(first[part[0]]), part.tolist())
-        pair = array("i", first.tobytes())
         right = np.arange(1, n + 1, dtype=np.int32)
         left = np.arange(-1, n - 1, dtype=np.int32)
-        right[ends[ends > 0] - 1] = _NONE
-        starts = np.concatenate([[0], ends[:-1]])
-        left[starts[starts < n]] = _NONE
-        nxt, prv = array("i", right.tobytes()), array("i", left.tobytes())
+        right[ends - 1] = _NONE
+        left[np.concatenate([[0], inner])] = _NONE
+        return token, array("i", first.tobytes()), array("i", right.tobytes()), array("i", left.tobytes()), queue
+
+    def merge(self, pieces: list[bytes]) -> list[bytes]:
+        """Packed ids (little-endian uint32) of each piece (not empty), all through one queue."""
+        ends = np.cumsum([len(p) for p in pieces], dtype=np.int64)
+        token, pair, nxt, prv, queue = self._lists(pieces) if ends[-1] <= FEW_BYTES else self._arrays(pieces, ends)
         push, rank_of = queue.push, self._pair
         while (lowest := queue.take()) is not None:
             rank, bucket = lowest
@@ -171,7 +191,7 @@ class ByteBPE:
                     if k + 1 < len(bucket):
                         queue.fill(rank, bucket[k + 1:])
                     break
-        ids = np.frombuffer(token, np.int32)
+        ids = np.array(token, np.int32)
         live = np.flatnonzero(ids != _NONE)
         packed = ids[live].astype("<u4").tobytes()
         upto = np.searchsorted(live, ends) * 4

@@ -16,6 +16,7 @@ it stands in; matching restarts before that.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable
 
 import numpy as np
@@ -50,8 +51,16 @@ class TokenTree:
     @classmethod
     def build(cls, tokenizer: B.ByteBPE, text: str) -> TokenTree:
         pieces = tokenizer.pattern.findall(text)
-        lens = np.fromiter(map(len, pieces), np.uint32, len(pieces))
-        return cls(tokenizer, _cut(text, lens, _counts(tokenizer.lookup(pieces), pieces)))
+        return cls.of(tokenizer, text, pieces, tokenizer.lookup(pieces))
+
+    @classmethod
+    def of(cls, tokenizer: B.ByteBPE, text: str, pieces: list[str], found: dict[str, bytes]) -> TokenTree:
+        """The tree of a text whose pre-tokens and their ids are known."""
+        if not pieces:
+            return cls(tokenizer, [])
+        leaves = _cut(text, np.fromiter(map(len, pieces), np.uint32, len(pieces)), counts := _counts(found, pieces))
+        tokens = np.add.reduceat(counts, np.arange(0, len(counts), LEAF), dtype=np.int64).tolist()
+        return cls(tokenizer, leaves, [(len(leaf[0]), t, len(leaf[1])) for leaf, t in zip(leaves, tokens)])
 
     def _deal(self, leaves: list[Leaf], sums: list[tuple[int, int, int]] | None = None) -> None:
         """Lay the leaves out under a complete binary tree and sum upwards."""
@@ -108,6 +117,12 @@ class TokenTree:
     def text(self) -> str:
         return "".join(leaf[0] for leaf in self.leaves)
 
+    def take(self, edits: list[dict] | None) -> None:
+        """Apply edits in order; null edits and null fields change nothing."""
+        for e in edits or []:
+            if e is not None:
+                self.edit(e["pos"] or 0, e["del"] or 0, e["ins"] or "")
+
     def edit(self, pos: int, delete: int, insert: str) -> None:
         """Replace ``delete`` characters at ``pos`` by ``insert``; both are held within the text."""
         pos = max(0, min(pos, self.n_chars))
@@ -265,10 +280,9 @@ def apply_edits(state: DataFrame, path: str, pattern: str, edits_col: str = "edi
     n_pieces, n_reencoded; ``tree`` is the new state.
     """
     raw = B.ship(state.sparkSession, path)
-    added = ["n_tokens_before", "n_tokens", "n_pieces", "n_reencoded"]  # replaced where an earlier round added them
-    keep = [c for c in state.columns if c not in ("tree", edits_col, *added)]
+    keep = [c for c in state.columns if c not in ("tree", edits_col, *COUNTS)]  # counts of an earlier round are replaced
     fields = [f for f in state.schema.fields if f.name in keep]
-    schema = StructType(fields + _STATE_FIELDS + [StructField(c, LongType()) for c in added])
+    schema = StructType(fields + _STATE_FIELDS + [StructField(c, LongType()) for c in COUNTS])
 
     def run(batches):
         bpe = B.load(raw.value, pattern)
@@ -280,16 +294,48 @@ def apply_edits(state: DataFrame, path: str, pattern: str, edits_col: str = "edi
                 for kept, edits in zip(col("tree").to_pylist(), col(edits_col).to_pylist()):
                     tree = _unpack(bpe, *(kept[k] for k in STATE))
                     before = tree.n_tokens
-                    for e in edits or []:
-                        tree.edit(e["pos"] or 0, e["del"] or 0, e["ins"] or "")
+                    tree.take(edits)
                     trees.append(_pack(tree.leaves))
                     nums.append((before, tree.n_tokens, tree.n_pieces, tree.reencoded))
                 cols = [pa.array([n[i] for n in nums], pa.int64()) for i in range(4)]
-                yield pa.RecordBatch.from_arrays([*map(col, keep), _tree_column(trees), *cols], [*keep, "tree", *added])
+                yield pa.RecordBatch.from_arrays([*map(col, keep), _tree_column(trees), *cols], [*keep, "tree", *COUNTS])
 
     return state.mapInArrow(run, schema)
 
 
+COUNTS = ["n_tokens_before", "n_tokens", "n_pieces", "n_reencoded"]
+
+
+def count_edits(docs: DataFrame, path: str, pattern: str, text_col: str = "text", edits_col: str = "edits") -> DataFrame:
+    """``build_trees`` and ``apply_edits`` in one pass, for trees that are not to be stored.
+
+    Text and edits are replaced by the counts and ``text_sha256`` of the
+    edited text.
+    """
+    raw = B.ship(docs.sparkSession, path)
+    keep = [c for c in docs.columns if c not in (text_col, edits_col, "text_sha256", *COUNTS)]
+    fields = [f for f in docs.schema.fields if f.name in keep]
+    schema = StructType(fields + [StructField(c, LongType()) for c in COUNTS] + [StructField("text_sha256", StringType())])
+
+    def run(batches):
+        bpe = B.load(raw.value, pattern)
+        for part, _, _ in text_batches(batches, text_col, B.PIECE_BYTES):
+            column = lambda c: part.column(part.schema.get_field_index(c))  # noqa: B023, E731
+            texts = column(text_col).to_pylist()
+            split = [bpe.pattern.findall(t or "") for t in texts]
+            found = bpe.lookup(p for pieces in split for p in pieces)  # one queue for all new pre-tokens
+            trees = [TokenTree.of(bpe, t or "", pieces, found) for t, pieces in zip(texts, split)]
+            before = [t.n_tokens for t in trees]
+            for tree, edits in zip(trees, column(edits_col).to_pylist()):
+                tree.take(edits)
+            nums = [before, [t.n_tokens for t in trees], [t.n_pieces for t in trees], [t.reencoded for t in trees]]
+            digest = [hashlib.sha256(t.text().encode("utf-8")).hexdigest() for t in trees]
+            yield pa.RecordBatch.from_arrays([*map(column, keep), *[pa.array(n, pa.int64()) for n in nums], pa.array(digest)],
+                                             [*keep, *COUNTS, "text_sha256"])
+
+    return docs.mapInArrow(run, schema)
+
+
 def derived_edits(id_col: Column, text: Column) -> Column:
     """Three edits that a document's own id and text fix: a replacement, an insertion, a removal.
 
@@ -320,6 +366,4 @@ def edited_counts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
     x = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"),
                     derived_edits(F.col(id_col), F.col(text_col)).cast(EDIT).alias("edits"))
     x = x.withColumn("n_edits", F.size("edits").cast("bigint"))
-    done = apply_edits(build_trees(x, path, pattern), path, pattern)
-    return done.select("doc_id", "n_edits", "n_tokens_before", "n_tokens", "n_pieces", "n_reencoded",
-                       F.sha2(F.array_join("tree.leaves", "").cast("binary"), 256).alias("text_sha256"))
+    return count_edits(x, path, pattern).select("doc_id", "n_edits", *COUNTS, "text_sha256")
