@@ -30,8 +30,10 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 from .common import text_batches
 
 #: pre-tokens kept per worker, and the longest that is kept
-MEMO_PIECES = 250_000
+MEMO_PIECES = 200_000
 MEMO_BYTES = 64
+#: ranks of token pairs kept per worker
+MEMO_PAIRS = 200_000
 #: text whose pre-tokens are merged together
 PIECE_BYTES = 1 << 20
 #: up to here plain lists are quicker to set up than arrays
@@ -113,7 +115,7 @@ class ByteBPE:
         key = a * self.n + b
         rank = self.pairs.get(key)
         if rank is None:
-            if len(self.pairs) >= 1_000_000:
+            if len(self.pairs) >= MEMO_PAIRS:
                 self.pairs.clear()
             rank = self.pairs[key] = self.ranks.get(self.vocab[a] + self.vocab[b], _NONE)
         return rank

@@ -36,6 +36,8 @@ TRAIN_CHAIN = 64
 LEXICON_SEEN, LEXICON_SHARE = 3, 0.6
 UNKNOWN = "und"
 _SAMPLE = 1 << 20
+#: text whose words are labelled together
+PIECE_BYTES = 1 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -91,9 +93,9 @@ def chains(doc: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
-def forward_backward(emit: np.ndarray, mask: np.ndarray, trans: np.ndarray, start: np.ndarray
-                     ) -> tuple[np.ndarray, np.ndarray]:
-    """Posteriors of every word, and the expected number of transitions.
+def forward_backward(emit: np.ndarray, mask: np.ndarray, trans: np.ndarray, start: np.ndarray,
+                     expect: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
+    """Posteriors of every word, and (if asked) the expected number of transitions.
 
     ``emit``: (chains, words, languages) scores; words beyond a chain's end
     are masked and change nothing. Scaled, so nothing under- or overflows.
@@ -115,6 +117,8 @@ def forward_backward(emit: np.ndarray, mask: np.ndarray, trans: np.ndarray, star
         beta[:, i - 1] = cur
     post = alpha * beta
     post /= post.sum(2, keepdims=True)
+    if not expect:
+        return post, None
     left, right = alpha[:, :-1], e[:, 1:] * beta[:, 1:]
     pair = left[..., :, None] * a * right[..., None, :]
     pair /= pair.sum((2, 3), keepdims=True)
@@ -273,7 +277,7 @@ def predict(docs: DataFrame, model: dict, text_col: str = "text", keep_text: boo
         m = shipped.value
         k = len(m["langs"])
         names = np.array([*m["langs"], UNKNOWN], object)
-        for part, buf, offs in text_batches(batches, text_col):
+        for part, buf, offs in text_batches(batches, text_col, PIECE_BYTES):
             n = part.num_rows
             ok = part.column(part.schema.get_field_index(letter)).to_numpy(zero_copy_only=False).astype(bool)
             expected, words, post = np.zeros((n, max(k, 1))), None, None
@@ -283,7 +287,7 @@ def predict(docs: DataFrame, model: dict, text_col: str = "text", keep_text: boo
                 mask = rows >= 0
                 emit = np.zeros((*rows.shape, k))
                 emit[mask] = words.scores(m["feature"], m["lexicon"], m["lex"])[words.ids[rows[mask]]]
-                full, _ = forward_backward(emit, mask, m["trans"], m["start"]) if len(rows) else (emit, None)
+                full, _ = forward_backward(emit, mask, m["trans"], m["start"], False) if len(rows) else (emit, None)
                 post = np.empty((len(words.doc), k))
                 post[rows[mask]] = full[mask]
                 for c in range(k):
