@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
-from .common import id_hash, mix64, range_hashes, text_batches, word_spans
+from .common import id_hash, materialized, mix64, range_hashes, text_batches, word_spans
 
 BITS = 17
 CHAIN = 128
@@ -210,6 +210,7 @@ def train(docs: DataFrame, rule: Column, lang: str = "lang", id_col: str = "doc_
     sample = known.where(few).select(
         F.col(text_col).alias("text"), number.alias("y"), F.xxhash64(F.col(id_col).cast("string"), F.lit("order")).alias("order"),
         F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("shard")), F.lit(shards)).cast("int").alias("shard"))
+    sample = materialized(sample)  # bounded; read by the lexicon and by the fit
 
     def count(batches):
         for part, buf, offs in text_batches(batches, "text"):
