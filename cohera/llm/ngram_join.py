@@ -255,6 +255,7 @@ def verified(pairs: DataFrame, texts: DataFrame, rows: DataFrame, threshold: flo
         return F.pmod(F.xxhash64(c, F.lit("tile")), F.col("t"))
     dealt = pairs.join(tiles, "g").select("a", "b", "g", F.least(tile("a"), tile("b")).alias("i"),
                                           F.greatest(tile("a"), tile("b")).alias("j"))
+    dealt = materialized(dealt)  # read for the pairs and for the texts they need
     need = dealt.select("g", "i", "j", F.col("a").alias("sid")).union(dealt.select("g", "i", "j", "b")).distinct()
     shipped = need.join(_shingle_sets(need, texts, rows), "sid")
     shipped = shipped.toDF("sid", "to_g", "to_i", "to_j", "shingles")  # other names: both sides descend from the pairs
