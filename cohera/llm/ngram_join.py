@@ -15,8 +15,12 @@ sum: of many variants of one text, the one they have most in common with.
 What that leaves open is settled exactly afterwards: texts of such a bucket
 that did not end up in the class of its hub are compared with all of its
 texts in other classes. Classes are therefore those of all pairs that share
-a band. ``n_links`` counts the different texts that a text was compared with
-and verified to be similar to: all of them in families of up to ``BLOCK``.
+a band.
+
+``n_links`` counts all links of a set. Linked sets are of one class, so a
+class that has a text in a large bucket is compared whole, all its sets with
+all, in tiles inside the tasks: each gives a count per set and never pairs.
+The links of other classes are the verified candidate pairs.
 
 Where sets are compared, pairs are dealt into groups by the smallest text of
 their buckets, and a group into tiles of bounded total size, so no task gets
@@ -46,6 +50,8 @@ BLOCK = 32
 CHAIN = 100_000
 #: shingles of the texts of one tile
 TILE = 500_000
+#: texts of one tile where links are counted
+TILE_TEXTS = 2048
 #: keys of the texts to compare are broadcast up to this size, else shuffled
 MAX_BROADCAST = 64 << 20
 
@@ -213,6 +219,63 @@ def _compare_all(members: pa.Table, strays: pa.Table, threshold: float, toleranc
     return _links(*(np.concatenate(c) for c in zip(*out)))
 
 
+def common_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of every set of ``a`` with every set of ``b``.
+
+    Elements that many sets hold are multiplied as matrices, the others are
+    added one by one.
+    """
+    na, nb = len(a), len(b)
+    size_a, size_b = (np.array([len(x) for x in s]) for s in (a, b))
+    _, col = np.unique(np.concatenate([*a, *b]), return_inverse=True)
+    n = int(col.max()) + 1
+    col_a, col_b = col[:size_a.sum()], col[size_a.sum():]
+    row_a, row_b = np.repeat(np.arange(na), size_a), np.repeat(np.arange(nb), size_b)
+    seen_a, seen_b = np.bincount(col_a, minlength=n), np.bincount(col_b, minlength=n)
+    weight = seen_a * seen_b
+    dense = weight * 64 >= na * nb
+    out = np.zeros((na, nb), np.float32)
+    number = np.cumsum(dense) - 1
+    for start in range(0, int(dense.sum()), 1024):
+        both = []
+        for rows, row, c in ((na, row_a, col_a), (nb, row_b, col_b)):
+            own = dense[c] & (number[c] >= start) & (number[c] < start + 1024)
+            m = np.zeros((rows, 1024), np.float32)
+            m[row[own], number[c[own]] - start] = 1
+            both.append(m)
+        out += both[0] @ both[1].T
+    rare = np.flatnonzero(~dense[col_a] & (weight[col_a] > 0))
+    order = np.argsort(col_b, kind="stable")
+    first, times = np.cumsum(seen_b) - seen_b, seen_b[col_a[rare]]
+    piece = (np.cumsum(times) - times) >> 20
+    flat = out.ravel()
+    for part in np.split(np.arange(len(rare)), np.flatnonzero(np.diff(piece)) + 1) if len(rare) else []:
+        t, c = times[part], col_a[rare[part]]
+        step = np.arange(t.sum()) - np.repeat(np.cumsum(t) - t, t)
+        np.add.at(flat, np.repeat(row_a[rare[part]], t) * nb + row_b[order[np.repeat(first[c], t) + step]], np.float32(1))
+    return out
+
+
+def _count_links(tile: pa.Table, threshold: float) -> pa.Table:
+    """(sid, n_links) of the texts of two tiles of a class, or of one compared with itself."""
+    packed, right = tile["shingles"].combine_chunks(), tile["right"].to_numpy()
+    sid = tile["sid"].to_numpy()
+    sets = [np.frombuffer(packed[i].as_buffer(), np.uint64) for i in range(len(sid))]
+    x = np.flatnonzero(~right)
+    alone = tile["i"][0].as_py() == tile["j"][0].as_py()
+    y = x if alone else np.flatnonzero(right)
+    if not len(x) or not len(y):
+        return pa.table({"sid": pa.array([], pa.int64()), "n_links": pa.array([], pa.int64())})
+    common = common_counts([sets[i] for i in x], [sets[i] for i in y]).astype(np.float64)
+    size = np.array([len(s) for s in sets], np.float64)
+    hit = common / (size[x][:, None] + size[y][None, :] - common) >= threshold
+    if alone:
+        np.fill_diagonal(hit, False)
+        return pa.table({"sid": pa.array(sid[x]), "n_links": pa.array(hit.sum(1), pa.int64())})
+    return pa.table({"sid": pa.array(np.concatenate([sid[x], sid[y]])),
+                     "n_links": pa.array(np.concatenate([hit.sum(1), hit.sum(0)]), pa.int64())})
+
+
 def buckets(texts: DataFrame) -> DataFrame:
     """(band, sid, n, hub): the texts of every bucket of at least two, its size and its hub."""
     rows = texts.select("sid", F.explode("bands").alias("band"))
@@ -322,13 +385,44 @@ def _left_open(bucketed: DataFrame, classes: DataFrame, texts: DataFrame, rows:
             .applyInArrow(lambda m, x: _compare_all(m, x, threshold, tolerance), LINKS))
 
 
+def link_counts(links: DataFrame, classes: DataFrame, bucketed: DataFrame, texts: DataFrame, rows: DataFrame,
+                threshold: float = THRESHOLD) -> DataFrame:
+    """(sid, n_links): the number of sets that each linked set is similar to.
+
+    Classes with a text in a large bucket are compared whole, in pairs of
+    tiles of bounded size; the links of the others are all among ``links``.
+    """
+    ends = links.select(F.col("a").alias("sid")).union(links.select("b"))
+    large = bucketed.where(F.col("n") > BLOCK).select("sid").distinct()
+    if large.isEmpty():
+        return ends.groupBy("sid").agg(F.count(F.lit(1)).alias("n_links"))
+    wide = classes.join(large, "sid", "left_semi").select("class").distinct()
+    whole = materialized(classes.join(wide, "class").join(texts.select("sid", "n"), "sid"))
+    few = ends.join(whole.select("sid"), "sid", "left_anti").groupBy("sid").agg(F.count(F.lit(1)).alias("n_links"))
+    tiles = whole.groupBy("class").agg(F.ceil(F.greatest(F.sum("n") / (2 * TILE), F.count(F.lit(1)) / TILE_TEXTS))
+                                       .cast("bigint").alias("t"))
+    own = whole.join(tiles, "class").withColumn("own", F.pmod(F.xxhash64("sid", F.lit("tile")), F.col("t")))
+    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("t") - 1))).select(
+        "sid", "class", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+        (F.col("own") > F.col("other")).alias("right"))
+    many = (dealt.join(_shingle_sets(whole, texts, rows), "sid").groupBy("class", "i", "j")
+            .applyInArrow(lambda t: _count_links(t, threshold), "sid bigint, n_links bigint"))
+    return few.unionByName(many.groupBy("sid").agg(F.sum("n_links").alias("n_links")))
+
+
 def similarity_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD,
                     tolerance: float = TOLERANCE) -> tuple[DataFrame, DataFrame]:
     """(members, links): documents with the id of their shingle set, and the verified links between sets.
 
     members: doc_id, key, sid (null for texts without words), n. links: a, b,
-    similarity. Both are written once to the shared folder.
+    similarity; not all that a class with a text in a large bucket has, but
+    enough to connect it. Both are written once to the shared folder.
     """
+    return _joined(docs, id_col, text_col, threshold, tolerance)[:2]
+
+
+def _joined(docs: DataFrame, id_col: str, text_col: str, threshold: float, tolerance: float) -> tuple[DataFrame, ...]:
+    """(members, links, bucketed, texts, rows) of ``similarity_join``."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn(
         "key", F.xxhash64("doc_id", "text"))
     kind = docs.schema[id_col].dataType.simpleString()
@@ -343,7 +437,7 @@ def similarity_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         rest = _left_open(bucketed, components(links), texts, rows, threshold, tolerance)
         if rest is not None:
             links = materialized(links.unionByName(rest).groupBy("a", "b").agg(F.max("similarity").alias("similarity")))
-    return members.select("doc_id", "key", "sid", "n"), links
+    return members.select("doc_id", "key", "sid", "n"), links, bucketed, texts, rows
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD,
@@ -352,12 +446,17 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     ``class_id`` is the smallest doc_id of the class (linked texts and their
     copies); a document alone is its own class. ``n_links`` counts different
-    texts. Null, empty and wordless texts have no shingles and stay alone;
+    shingle sets. Null, empty and wordless texts have no shingles and stay alone;
     rows that repeat are copies of each other. An empty table gives no rows.
     """
-    members, links = similarity_join(docs, id_col, text_col, threshold, tolerance)
-    ends = links.select(F.col("a").alias("sid")).union(links.select("b")).groupBy("sid").agg(F.count(F.lit(1)).alias("n_links"))
-    known = components(links).join(ends, "sid")
+    members, links, bucketed, texts, rows = _joined(docs, id_col, text_col, threshold, tolerance)
+    found = materialized(components(links))
+    counts = link_counts(links, found, bucketed, texts, rows, threshold)
+    return _classed(members, found.join(counts, "sid", "left"))
+
+
+def _classed(members: DataFrame, known: DataFrame) -> DataFrame:
+    """The rows of ``near_classes`` from (sid, class, n_links) of the linked sets."""
     worded = members.where(F.col("sid").isNotNull()).join(known, "sid", "left")
     worded = worded.withColumn("class", F.coalesce("class", "sid"))
     classes = worded.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
@@ -372,7 +471,8 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The document with the smallest id of every class, with all columns; of rows that repeat it, one."""
-    found = materialized(near_classes(docs, id_col, text_col, threshold))
+    members, links = similarity_join(docs, id_col, text_col, threshold)
+    found = materialized(_classed(members, components(links).withColumn("n_links", F.lit(None).cast("bigint"))))
     many = found.where(F.col("class_size") > 1)
     stays = many.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class").agg(F.min("key").alias("key"))
     mark = many.select("key").distinct().join(stays.select("key", F.lit(True).alias("_stays")), "key", "left").select(

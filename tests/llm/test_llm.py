@@ -399,6 +399,31 @@ def test_near_classes(spark, monkeypatch, block, tile):
     assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want))
 
 
+@pytest.mark.parametrize("tile,texts_a_tile", [(500_000, 2048), (100, 2048), (500_000, 5)])
+def test_every_link_of_large_buckets_is_counted(spark, monkeypatch, tile, texts_a_tile):
+    monkeypatch.setattr(ngram_join, "BLOCK", 3)
+    monkeypatch.setattr(ngram_join, "TILE", tile)
+    monkeypatch.setattr(ngram_join, "TILE_TEXTS", texts_a_tile)
+    texts = near_texts(families=4, size=40)
+    sets, links = brute_links(texts)
+    names = [frozenset(s) for s in sets]
+    different = collections.defaultdict(set)
+    for i, j in links:
+        if names[i] != names[j]:
+            different[names[i]].add(names[j])
+            different[names[j]].add(names[i])
+    got = ngram_join.near_classes(frame(spark, texts).repartition(4)).collect()
+    assert {r["doc_id"]: r["n_links"] for r in got} == {i: len(different[names[i]]) for i in range(len(texts))}
+
+
+def test_common_counts():
+    rng = np.random.default_rng(3)
+    a, b = ([np.unique(rng.choice(5000, rng.integers(1, 60), p=w).astype(np.uint64)) for _ in range(n)]
+            for w in [np.arange(5000, 0, -1.0) ** 6 / (np.arange(5000, 0, -1.0) ** 6).sum()] for n in (90, 70))
+    want = [[len(np.intersect1d(x, y)) for y in b] for x in a]
+    assert ngram_join.common_counts(a, b).tolist() == want
+
+
 def test_repeated_rows_stay_once(spark):
     text = " ".join(f"w{i}" for i in range(50))
     df = frame(spark, [text, text, text + " x", "", ""], [5, 5, 7, 9, 9])
