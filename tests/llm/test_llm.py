@@ -525,6 +525,26 @@ def test_url_counts_against_brute_force(spark):
             assert table[1, 2, ctx[k, i]] == len(kinds[kk, c, m])
 
 
+def test_url_counts_are_exact_and_joined_scores_agree(spark, monkeypatch):
+    rng = random.Random(8)
+    urls = ["", None] + ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(rng.randrange(1, 200))) for _ in range(2000)]
+    df = spark.createDataFrame([(i, u, ["allow", "block", None][i % 3]) for i, u in enumerate(urls)],
+                               "page_id bigint, url string, verdict string")
+    want = collections.Counter((y, u[max(0, i - k):i], min(i, k), k, u[i]) for n, u in enumerate(urls) if n % 3 < 2
+                               for y in [n % 3 == 0] for i in range(len(u or "")) for k in range(url_filter.ORDER + 1))
+    table = url_filter.train(df)
+    got = table.follows.agg(F.sum((F.col("n0") > 0).cast("int")), F.sum((F.col("n1") > 0).cast("int"))).first()
+    assert sum(got) == len(want)  # a row for each, none shared
+    for (y, c, m, k, x), n in rng.sample(sorted(want.items()), 500):
+        code = sum((ord(c[-1 - i]) if i < m else 256) << 9 * i for i in range(k)) | k << 45
+        assert table[int(y), 1, code << 8 | ord(x)] == n
+    near = {r["page_id"]: r["difference"] for r in url_filter.score(df, table).collect()}
+    monkeypatch.setattr(url_filter, "MAX_BROADCAST", -1)
+    monkeypatch.setattr(url_filter, "PIECE", 20_000)
+    far = {r["page_id"]: r["difference"] for r in url_filter.score(df, url_filter.train(df)).collect()}
+    assert len(far) == len(urls) and all(abs(near[i] - far[i]) < 1e-9 for i in near)
+
+
 # ----------------------------------------------------------------- language id
 @pytest.fixture(scope="module")
 def sf01_docs(spark):
