@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 import public_tokenizers
 
-from . import bpe, decontaminate, exact_dedup, langid, ngram_join, sharding, substring_dedup, token_tree, toxicity, url_filter
+from . import (bpe, collocations, decontaminate, exact_dedup, langid, ngram_join, sharding, simhash, substring_dedup, token_tree,
+               toxicity, url_filter, vector_codes)
 from .common import read_table
 
 N_SHARDS = 24
@@ -63,6 +64,18 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(read_table(spark, sf_dir, "documents"))
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_components(read_table(spark, sf_dir, "documents"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(read_table(spark, sf_dir, "embeddings"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -78,10 +91,15 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_decontamination": op9_decontamination,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_simhash": op11_simhash,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_collocations": op13_collocations,
     "pipeline": pipeline,
 }
 
 ORACLE_SQL = {
     "op9_decontamination": decontaminate.SQL,
     "op10_exact_dedup": exact_dedup.SQL,
+    "op12_vector_codes": vector_codes.SQL,
+    "op13_collocations": collocations.SQL,
 }
