@@ -26,6 +26,7 @@ from cohera.operators import candidates as C
 from cohera.operators import classification as CL
 from cohera.operators import losses as L
 from cohera.operators import ranking as RK
+from cohera.operators.models import model_logits, select_best_model, train_classifier
 from cohera.operators import splits as SP
 from cohera.functions.sentences import sentence_count
 from cohera.operators.shuffles import distinct_permutations, enumerable_sizes, permutation_table, shuffle_texts
@@ -314,31 +315,40 @@ def q_eval_csv_items(spark, sf):
     return ps.select(F.col("record_id").alias("item_id"), F.round("pair_score", 9).alias("pair_score"))
 
 
-# ------------------------------------------------- model paths (rows only)
+# ------------------------------------------------- trained models
+ONE = ("lexical",)  # the feature that the SQL side has too
+
+
 def q_train_classifier(spark, sf):
-    from cohera.operators.models import model_logits, train_classifier
     ensure_checkpoint_dir(spark)
     cands = J.scored_candidates(_docs(spark, sf)).checkpoint()  # read by the fit and by the scoring
-    model = train_classifier(cands, class_weights=CLASS_WEIGHTS)
-    return model_logits(model, cands).select("record_id", "cand_idx", softmax_positive("logits").alias("p1"))
+    model = train_classifier(cands, features=ONE, class_weights=CLASS_WEIGHTS)
+    return model_logits(model, cands).select("record_id", "cand_idx", F.round(softmax_positive("logits"), 4).alias("p1"))
+
+
+def q_train_multiclass(spark, sf):
+    """Three classes of ``labels`` (toxic, else quality 1 or 0) from the original's coherence."""
+    items = _items(spark, sf).select("record_id", "pos")
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select(
+        F.col("doc_id").alias("record_id"), F.when(F.col("toxic") == 1, 2).otherwise(F.col("quality")).alias("label"))
+    model = train_classifier(items.join(labels, "record_id"), features=("pos",), reg_param=0.01, num_labels=3)
+    rows = [(c, round(b, 4), round(w[0], 4)) for c, (b, w) in enumerate(zip(model.bias, model.weights))]
+    return spark.createDataFrame(rows, "class int, bias double, weight double")
 
 
 def q_select_best_model(spark, sf):
-    from cohera.operators.models import select_best_model
     ensure_checkpoint_dir(spark)  # the session's shared folder; a scratch one only when unset
     recs = _docs(spark, sf).select("record_id", "summary")
     plan = SP.random_holdout(recs, 0.2, 0.2, 1, False, SEED)
-    split = SP.fold_split(recs, plan, 1)
-    tr = J.scored_candidates(split.where(F.col("role") == "train").drop("role")).checkpoint()
-    va = J.scored_candidates(split.where(F.col("role") == "val").drop("role")).checkpoint()
-    _, rp, auc = select_best_model(tr, va)
-    return spark.range(1).select(F.lit(rp).alias("reg_param"), F.lit(auc).alias("val_roc_auc"))
+    split = J.scored_candidates(SP.fold_split(recs, plan, 1), keep=("role",)).checkpoint()
+    _, rp, auc = select_best_model(split.where(F.col("role") == "train"), split.where(F.col("role") == "val"), features=ONE)
+    return spark.createDataFrame([(float(rp), round(auc, 6))], "reg_param double, val_roc_auc double")
 
 
 def q_run_folds(spark, sf):
     folds, _ = J.train(spark, _docs(spark, sf).select("record_id", "summary"), "random", None, cv=3,
-                       reg_params=(0.0,))
-    return folds
+                       reg_params=(0.0,), features=ONE)
+    return folds.withColumn("value", F.round("value", 4))
 
 
 def _stand_in():
@@ -447,6 +457,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "eval_csv_report": q_eval_csv_report,
     "eval_csv_items": q_eval_csv_items,
     "train_classifier": q_train_classifier,
+    "train_multiclass": q_train_multiclass,
     "select_best_model": q_select_best_model,
     "run_folds": q_run_folds,
     "score_candidates": q_score_candidates,
@@ -460,9 +471,7 @@ def _llm():
     """The training-data queries, or None where that subpackage is not installed."""
     try:
         from cohera.llm import queries as q
-    except ModuleNotFoundError as e:
-        if (e.name or "").split(".")[0] != "corpus_pipeline" and not (e.name or "").startswith("cohera.llm"):
-            raise
+    except ImportError:  # the subpackage, the pipeline or a library that they need is not installed
         return None
     return q
 
@@ -474,6 +483,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    """DuckDB SQL per query; model-trained queries have none (rows only)."""
+    """DuckDB SQL per query."""
     llm = _llm()
     return O.all_queries() | (llm.ORACLE_SQL if llm else {})

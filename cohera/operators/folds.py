@@ -3,9 +3,9 @@
 With a fixed scorer every item is scored once; its test folds are then a
 row-wise function of the fold plan (random folds) or one join with the fold
 table (group folds), so all folds are evaluated by one grouped aggregate
-instead of a loop of jobs. Training a
-model per fold (``run_folds``) is a driver loop over folds, each fold being
-ordinary Spark jobs; only one-row fold results reach the driver.
+instead of a loop of jobs. Linear models of all folds are trained and tested
+together (``run_folds_together``); ``run_folds`` is the loop for any other
+``fit``, each fold being ordinary Spark jobs.
 """
 
 from __future__ import annotations
@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .ranking import metric_name, ranking_report
+from .many_models import fit_models, model_scores
+from .ranking import items_from_scores, metric_name, ranking_report, regroup_scores
 from .splits import FoldPlan, fold_split, role_column, with_group_folds
 
 ROUND = 9
@@ -125,6 +126,56 @@ def run_folds(spark, records: DataFrame, plan: FoldPlan, fit, evaluate, no_test:
     return spark.createDataFrame(rows, FOLD_RESULT_SCHEMA)
 
 
+def with_fold_roles(records: DataFrame, plan: FoldPlan) -> DataFrame:
+    """Records with ``val_folds`` and ``test_folds``; a record trains in all other folds."""
+    none = F.array().cast("array<int>")
+    if plan.kind == "key":
+        x = with_group_folds(records, plan)
+        tests = F.when(F.col("test_fold").isNull(), none).otherwise(F.array("test_fold"))
+        return x.withColumn("test_folds", tests).drop("test_fold")
+    roles = F.transform(F.sequence(F.lit(1), F.lit(len(plan.folds))), lambda f: F.struct(f.alias("f"), role_column(plan, f).alias("r")))
+    x = records.withColumn("_roles", roles)
+
+    def folds_of(role):
+        return F.transform(F.filter("_roles", lambda z: z["r"] == role), lambda z: z["f"])
+
+    return x.withColumns({"val_folds": folds_of("val"), "test_folds": folds_of("test")}).drop("_roles")
+
+
+def run_folds_together(rows: DataFrame, folds: list[int], features, reg_params, options, no_test: bool = False):
+    """All folds trained, selected and tested together: ``(results, models)``.
+
+    ``rows`` as ``many_models.training_rows`` makes them, with ``record_id``,
+    ``cand_idx`` and ``n_neg``, written once. Every regularisation of every
+    fold is trained in the same passes; the one with the best validation ROC
+    AUC (the first of equals) scores the fold's test rows, and all folds are
+    reported by one grouped aggregate. ``results`` is as ``run_folds`` gives
+    it; a fold that cannot be trained is 'failed', and if none can, this
+    raises. ``models`` is ``{fold: (weights, reg_param, val_roc_auc)}``.
+    """
+    spark = rows.sparkSession
+    weights, aucs, counts = fit_models(rows, folds, len(features), reg_params, options)
+    if not weights:
+        raise ValueError(f"no fold has training rows of class 0 and another class: {counts}")
+    models = {}
+    for f, w in weights.items():
+        i = max(range(len(w)), key=lambda j: (aucs[f][j], -j))
+        models[f] = (w[i], reg_params[i], aucs[f][i])
+    lost = [(f, None, None, "failed") for f in folds if f not in weights]
+    for f, *_ in lost:
+        log.error("fold %s cannot be trained: rows per class are %s", f, counts[f])
+    if no_test:
+        return spark.createDataFrame([(f, None, None, "trained") for f in models] + lost, FOLD_RESULT_SCHEMA), models
+    scored = model_scores(rows, "test_folds", {f: [m[0]] for f, m in models.items()},
+                          {"record_id": rows.schema["record_id"].dataType.simpleString(), "cand_idx": "int", "n_neg": "int"})
+    key = F.struct("fold", "record_id").alias("record_id")
+    items = items_from_scores(regroup_scores(scored.select(key, "cand_idx", "n_neg", F.col("p1").alias("score"))))
+    reports = ranking_report(items.withColumn("fold", F.col("record_id.fold")), group_by=["fold"])
+    known = spark.createDataFrame([(f,) for f in models], "fold int")
+    long = prefix_metrics(fold_metrics_long(known.join(reports, "fold", "left").na.fill(0)))
+    return long.withColumn("status", F.lit("ok")).union(spark.createDataFrame(lost, FOLD_RESULT_SCHEMA)), models
+
+
 def isolate_fold_failure(fold: int, work, errors: list) -> list:
     """Run one fold; an error is logged and kept, and the fold is marked failed."""
     try:

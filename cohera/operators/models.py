@@ -3,11 +3,11 @@
 * ``score_candidates``: any per-text classifier through
   ``predict_batch_udf`` (Arrow batches cut across texts, the model loaded
   once per Python worker), keeping the class-1 softmax as the score.
-* ``train_classifier``: logistic regression on candidate features under
-  weighted log loss (``pyspark.ml``) or focal loss (``train_focal``: gradient
-  steps, each one aggregate row).
-* ``select_best_model``: the regularisation whose model has the best
-  validation ROC AUC (computed exactly by ``classification_report``).
+* ``train_classifier``: logistic regression on candidate features for two or
+  more classes, under weighted log loss or focal loss (``train_focal``).
+* ``select_best_model``: the regularisation whose model has the best exact
+  validation ROC AUC; it can judge during training and go on after a stop.
+  Both train through ``many_models``: Newton steps, each one pass.
 * ``save_model`` / ``load_model``: a model as one JSON row.
 """
 
@@ -16,15 +16,15 @@ from __future__ import annotations
 import json
 from dataclasses import asdict, dataclass
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
+import numpy as np
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scoring import softmax_positive
-from .classification import classification_report
+from ..session import ensure_checkpoint_dir
+from .many_models import Options, fit_models, training_rows
 
 #: candidate features, made by ``plans.jobs.scored_candidates``
 FEATURES = ("lexical", "first_overlap", "last_overlap", "skip_overlap", "length_change", "first_length")
@@ -41,6 +41,29 @@ class LinearModel:
     def margin(self) -> Column:
         return sum((F.lit(w) * F.col(f) for f, w in zip(self.features, self.weights)), F.lit(self.bias))
 
+    def logits(self) -> Column:
+        return F.array(F.lit(0.0), self.margin())
+
+
+@dataclass
+class SoftmaxModel:
+    """A linear model of several classes: weights and bias per class; class 0 is the reference, all zeros."""
+    features: list[str]
+    weights: list[list[float]]
+    bias: list[float]
+    reg_param: float = 0.0
+
+    def logits(self) -> Column:
+        return F.array(*[LinearModel(self.features, w, b).margin() for w, b in zip(self.weights, self.bias)])
+
+
+def as_model(features, weights: np.ndarray, reg_param: float) -> LinearModel | SoftmaxModel:
+    """Weights of ``many_models`` (classes - 1, bias and features) as a model."""
+    names = list(features)
+    if len(weights) == 1:
+        return LinearModel(names, weights[0, 1:].tolist(), float(weights[0, 0]), reg_param)
+    return SoftmaxModel(names, [[0.0] * len(names), *weights[:, 1:].tolist()], [0.0, *weights[:, 0].tolist()], reg_param)
+
 
 def score_candidates(cands: DataFrame, make_predict_fn, text: str = "text", num_labels: int = 2,
                      batch_size: int = 64, out: str = "score") -> DataFrame:
@@ -56,95 +79,77 @@ def score_candidates(cands: DataFrame, make_predict_fn, text: str = "text", num_
     return cands.withColumn("logits", logits).withColumn(out, softmax_positive("logits")).drop("logits")
 
 
-def assemble(df: DataFrame, features=FEATURES) -> DataFrame:
-    return VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep").transform(df)
+def _fit(train: DataFrame, val: DataFrame | None, label: str, features, reg_params, options: Options,
+         state_path: str | None = None, stop_after: int | None = None):
+    """(models, AUCs) per regularisation value, trained together over one written table."""
+    ensure_checkpoint_dir(train.sparkSession)
+    rows = training_rows(train, features, label)
+    if val is not None:
+        rows = rows.union(training_rows(val.withColumn("val_folds", F.array(F.lit(1))), features, label))
+    weights, aucs, counts = fit_models(rows.checkpoint(), [1], len(features), reg_params, options, state_path, stop_after)
+    if 1 not in weights:
+        raise ValueError(f"training needs rows of class 0 and of another class; rows per class are {counts[1]}")
+    return [as_model(features, w, rp) for w, rp in zip(weights[1], reg_params)], aucs[1]
 
 
 def train_classifier(train: DataFrame, label: str = "label", features=FEATURES, class_weights=None,
-                     reg_param: float = 0.0, max_iter: int = 50) -> LinearModel:
-    """Fit a logistic regression; ``class_weights[y]`` weighs each row."""
-    df = assemble(train, features)
-    lr = LogisticRegression(featuresCol="features", labelCol=label, regParam=reg_param, maxIter=max_iter)
-    if class_weights is not None:
-        w = F.array(*[F.lit(float(x)) for x in class_weights])
-        df = df.withColumn("_w", F.element_at(w, F.col(label).cast("int") + 1))
-        lr = lr.setWeightCol("_w")
-    fitted = lr.fit(df)
-    return LinearModel(list(features), [float(x) for x in fitted.coefficients], float(fitted.intercept), reg_param)
+                     reg_param: float = 0.0, max_iter: int = 50, num_labels: int = 2) -> LinearModel | SoftmaxModel:
+    """Fit a logistic regression of ``num_labels`` classes; ``class_weights[y]`` weighs each row.
+
+    Rows with a null label or feature are left out. A class without rows gets
+    probability near zero; without rows of class 0 or of any other class this
+    raises. Two classes give a ``LinearModel``, more a ``SoftmaxModel``.
+    """
+    o = Options(num_labels, class_weights, max_iter=max_iter)
+    return _fit(train, None, label, features, (reg_param,), o)[0][0]
 
 
 def train_focal(train: DataFrame, label: str = "label", features=FEATURES, alpha=None, gamma: float = 2.0,
-                reg_param: float = 0.0, steps: int = 60, rate: float = 1.0) -> LinearModel:
-    """Fit the same model under focal loss by gradient descent.
+                reg_param: float = 0.0, steps: int = 60, num_labels: int = 2) -> LinearModel | SoftmaxModel:
+    """Fit the same model under focal loss.
 
     The loss of a row with true-class probability ``p`` is
-    ``-alpha_y (1 - p)^gamma log p``; ``gamma`` 0 without ``alpha`` is log
-    loss. Features are standardised; a step is one aggregate of the whole
-    table to one row (loss and gradient), and a step that does not lower the
-    loss halves the rate.
+    ``-alpha_y (1 - p)^gamma log p``, averaged over rows; ``gamma`` 0 without
+    ``alpha`` is log loss.
     """
-    names = list(features)
-    stats = train.agg(F.count(F.lit(1)).alias("n"), *[F.avg(f).alias(f"m{i}") for i, f in enumerate(names)],
-                      *[F.stddev_samp(f).alias(f"s{i}") for i, f in enumerate(names)]).first()
-    mean = [stats[f"m{i}"] or 0.0 for i in range(len(names))]
-    dev = [stats[f"s{i}"] or 0.0 for i in range(len(names))]
-    z = [(F.col(f) - F.lit(m)) / F.lit(s) if s > 0 else F.lit(0.0) for f, m, s in zip(names, mean, dev)]
-    x = train.select(F.when(F.col(label) == 1, 1.0).otherwise(-1.0).alias("y"),
-                     (F.lit(1.0) if alpha is None else F.when(F.col(label) == 1, float(alpha[1])).otherwise(float(alpha[0]))).alias("a"),
-                     *[c.alias(f"z{i}") for i, c in enumerate(z)])
-
-    def look(w: list[float]):
-        score = sum((F.lit(v) * F.col(f"z{i}") for i, v in enumerate(w[1:])), F.lit(w[0]))
-        t = F.col("y") * score
-        log_p = F.when(t > 0, -F.log1p(F.exp(-t))).otherwise(t - F.log1p(F.exp(t)))
-        rows = x.withColumn("lp", log_p).withColumn("p", F.exp("lp"))
-        miss = F.pow(1.0 - F.col("p"), F.lit(gamma))
-        # d loss / d t, times y for d loss / d score
-        slope = F.col("a") * F.col("y") * miss * (F.lit(gamma) * F.col("p") * F.col("lp") - (1.0 - F.col("p")))
-        rows = rows.select((-F.col("a") * miss * F.col("lp")).alias("loss"), slope.alias("g"),
-                           *[f"z{i}" for i in range(len(names))])
-        r = rows.agg(F.avg("loss"), F.avg("g"), *[F.avg(F.col("g") * F.col(f"z{i}")) for i in range(len(names))]).first()
-        penalty = 0.5 * reg_param * sum(v * v for v in w[1:])
-        return (r[0] or 0.0) + penalty, [r[1] or 0.0] + [(r[i + 2] or 0.0) + reg_param * w[i + 1] for i in range(len(names))]
-
-    w = [0.0] * (len(names) + 1)
-    loss, grad = look(w)
-    for _ in range(steps):
-        tried = [a - rate * g for a, g in zip(w, grad)]
-        new_loss, new_grad = look(tried)
-        if new_loss < loss:
-            done = loss - new_loss < 1e-9
-            w, loss, grad, rate = tried, new_loss, new_grad, rate * 1.5
-            if done:
-                break
-        else:
-            rate /= 2
-    weights = [v / s if s > 0 else 0.0 for v, s in zip(w[1:], dev)]
-    return LinearModel(names, weights, w[0] - sum(v * m for v, m in zip(weights, mean)), reg_param)
-
-
-def model_logits(model: LinearModel, df: DataFrame) -> DataFrame:
-    """Two-class logits ``[0, margin]``: their softmax is the model's probability."""
-    return df.withColumn("logits", F.array(F.lit(0.0), model.margin()))
-
-
-def select_best_model(train: DataFrame, val: DataFrame, reg_params=(0.0, 0.01, 0.1), label: str = "label",
-                      fit=train_classifier, **options):
-    """``(model, reg_param, val_roc_auc)`` with the best validation ROC AUC; the first of equals."""
-    best = None
-    for rp in reg_params:
-        m = fit(train, label=label, reg_param=rp, **options)
-        auc = classification_report(model_logits(m, val), label, "logits").first()["roc_auc"]
-        score = -1.0 if auc is None else auc
-        if best is None or score > best[2]:
-            best = (m, rp, score)
-    return best
-
-
-def save_model(spark: SparkSession, model: LinearModel, path: str) -> None:
+    o = Options(num_labels, alpha, gamma, focal=True, max_iter=steps)
+    return _fit(train, None, label, features, (reg_param,), o)[0][0]
+
+
+def model_logits(model: LinearModel | SoftmaxModel, df: DataFrame) -> DataFrame:
+    """The model's logits per row (class 0 has 0): their softmax gives its probabilities."""
+    return df.withColumn("logits", model.logits())
+
+
+def select_best_model(train: DataFrame, val: DataFrame, reg_params=(0.0, 0.01, 0.1), label: str = "label", features=FEATURES,
+                      class_weights=None, alpha=None, gamma: float | None = None, num_labels: int = 2, max_iter: int = 50,
+                      eval_every: int = 0, state_path: str | None = None, stop_after: int | None = None):
+    """``(model, reg_param, val_roc_auc)`` with the best validation ROC AUC; the first of equals.
+
+    All values are trained together. With ``eval_every`` the models are judged
+    every so many steps and the best weights seen are kept. With
+    ``state_path`` each step's state is written there (a folder that driver
+    and executors share) and a run that stopped goes on from the last one;
+    ``stop_after`` stops a run after that many steps.
+    """
+    focal = gamma is not None
+    o = Options(num_labels, alpha if focal else class_weights, gamma or 0.0, focal, max_iter, eval_every=eval_every)
+    models, aucs = _fit(train, val, label, features, reg_params, o, state_path, stop_after)
+    i = int(np.argmax(aucs))
+    return models[i], reg_params[i], aucs[i]
+
+
+def save_model(spark: SparkSession, model: LinearModel | SoftmaxModel, path: str) -> None:
     """The model as one JSON row in the folder ``path``."""
     spark.createDataFrame([(json.dumps(asdict(model)),)], "model string").coalesce(1).write.mode("overwrite").text(path)
 
 
-def load_model(spark: SparkSession, path: str) -> LinearModel:
-    return LinearModel(**json.loads(spark.read.text(path).first()["value"]))
+def save_fold_models(spark: SparkSession, models: dict, path: str) -> None:
+    """The model of each fold as one JSON row in the folder ``path/fold=<fold>``."""
+    rows = spark.createDataFrame([(f, json.dumps(asdict(m))) for f, m in models.items()], "fold int, model string")
+    rows.coalesce(1).write.mode("overwrite").partitionBy("fold").text(path)
+
+
+def load_model(spark: SparkSession, path: str) -> LinearModel | SoftmaxModel:
+    raw = json.loads(spark.read.text(path).first()["value"])
+    return (SoftmaxModel if isinstance(raw["bias"], list) else LinearModel)(**raw)

@@ -11,11 +11,12 @@ import logging
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.folds import cv_summary, fold_metrics_long, fold_reports, prefix_metrics, run_folds
+from ..operators.folds import cv_summary, fold_metrics_long, fold_reports, prefix_metrics, run_folds_together, with_fold_roles
 from ..functions.scoring import candidate_features, softmax_positive
 from ..functions.sentences import split_sentences
 from ..operators.candidates import ranking_candidates, truncate_tokens
-from ..operators.models import load_model, model_logits, save_model, score_candidates, select_best_model, train_focal
+from ..operators.many_models import Options, training_rows
+from ..operators.models import FEATURES, as_model, load_model, model_logits, save_fold_models, score_candidates
 from ..operators.ranking import items_from_scores, ranking_report, regroup_scores, with_pair_score
 from ..operators.splits import make_splits
 from ..session import ensure_checkpoint_dir, spread
@@ -140,16 +141,16 @@ def evaluate_csv(spark: SparkSession, path: str, output_path: str | None = None,
 
 
 def scored_candidates(records: DataFrame, k_max: int = K_MAX, seed: int = SEED,
-                      splitter: Splitter = split_sentences) -> DataFrame:
-    """``(record_id, cand_idx, label, n_neg, *FEATURES)``: one row per candidate."""
-    df = with_lexical_scores(shuffled(records, k_max, seed, splitter=splitter))
+                      splitter: Splitter = split_sentences, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``(record_id, cand_idx, label, n_neg, *FEATURES, *keep)``: one row per candidate."""
+    df = with_lexical_scores(shuffled(records, k_max, seed, keep=keep, splitter=splitter))
     lengths = F.transform("sentences", lambda x: F.length(x))
-    df = df.select("record_id", "n_neg", "words", "scores", lengths.alias("lengths"), candidate_orders().alias("orders"))
-    df = df.select("record_id", "n_neg", F.arrays_zip(
+    df = df.select("record_id", "n_neg", *keep, "words", "scores", lengths.alias("lengths"), candidate_orders().alias("orders"))
+    df = df.select("record_id", "n_neg", *keep, F.arrays_zip(
         F.col("scores").alias("lexical"), candidate_features("words", "lengths", F.col("orders")).alias("more")).alias("c"))
-    x = df.select("record_id", "n_neg", F.posexplode_outer("c").alias("cand_idx", "c"))
+    x = df.select("record_id", "n_neg", *keep, F.posexplode_outer("c").alias("cand_idx", "c"))
     return x.select("record_id", F.col("cand_idx").cast("int").alias("cand_idx"),
-                    (F.col("cand_idx") == 0).cast("int").alias("label"), "n_neg", "c.lexical", "c.more.*")
+                    (F.col("cand_idx") == 0).cast("int").alias("label"), "n_neg", "c.lexical", "c.more.*", *keep)
 
 
 def model_items(model, cands: DataFrame) -> DataFrame:
@@ -173,45 +174,32 @@ def train(spark: SparkSession, records: DataFrame, split_type: str = "random", s
           trainer_type: str = "default", class_weights=None, focal_loss_alpha=None,
           focal_loss_gamma: float = DEFAULT_GAMMA, num_labels: int = 2, no_test: bool = False,
           reg_params=(0.0, 0.01), output_dir: str | None = None, model_name: str = "logistic",
-          splitter: Splitter = split_sentences):
+          splitter: Splitter = split_sentences, features=FEATURES):
     """Folds of train -> select on val ROC AUC -> ranking report on test.
 
     Returns ``(fold_results, summary)``; ``summary`` is None without test
-    results. With ``output_dir`` the model selected in fold ``f`` is saved
-    under ``models/fold=f`` (see ``evaluate_saved``). The linear model has two
-    classes.
+    results. Every record is shuffled and scored once, whatever the number of
+    folds: its candidates are written with the folds that validate or test on
+    it, and all folds and regularisations are trained in the same passes. With
+    ``output_dir`` the model selected in fold ``f`` is saved under
+    ``models/fold=f`` (see ``evaluate_saved``). Classes beyond original (1) and
+    shuffle (0) have no rows here and get probability near zero.
     """
     validate_params(split_type, split_key, trainer_type, class_weights, focal_loss_alpha, focal_loss_gamma,
                     num_labels)
-    if num_labels != 2:
-        raise ValueError("training builds a two-class model; num_labels applies to classifiers of your own")
     records = require_nonempty(records)
     plan = make_splits(records, split_type, split_key, test_size, val_size, cv, no_test, seed)
     keep = (split_key,) if split_key else ()
-    if trainer_type == "focal":
-        options = {"fit": train_focal, "alpha": focal_loss_alpha, "gamma": focal_loss_gamma}
-    else:
-        options = {"class_weights": class_weights}
-
+    focal = trainer_type == "focal"
+    options = Options(num_labels, focal_loss_alpha if focal else class_weights, focal_loss_gamma if focal else 0.0, focal)
     ensure_checkpoint_dir(spark)
-
-    def fit(train_part, val_part, fold):
-        # every candidate of the fold is shuffled and scored once: the tables
-        # feed one fit and one validation pass per regularisation value, so
-        # they are written to the shared checkpoint folder (lineage cut, a
-        # lost executor does not recompute the shuffles)
-        tr = scored_candidates(train_part, k_max, seed, splitter).checkpoint()
-        va = scored_candidates(val_part, k_max, seed, splitter).checkpoint()
-        model, rp, auc = select_best_model(tr, va, reg_params, **options)
-        log.info("best reg_param %s, val roc_auc %s", rp, auc)
-        if output_dir:
-            save_model(spark, model, f"{output_dir}/models/fold={fold}")
-        return model
-
-    def evaluate_fold(model, test_part):
-        return ranking_report(model_items(model, scored_candidates(test_part.drop("role"), k_max, seed, splitter)))
-
-    folds = run_folds(spark, records.select("record_id", "summary", *keep), plan, fit, evaluate_fold, no_test)
+    roles = ("val_folds", "test_folds")
+    cands = scored_candidates(with_fold_roles(records.select("record_id", "summary", *keep), plan), k_max, seed, splitter, roles)
+    rows = training_rows(cands, features, keep=("record_id", "cand_idx", F.col("n_neg").cast("int").alias("n_neg"))).checkpoint()
+    folds, models = run_folds_together(rows, list(plan.fold_numbers()), features, reg_params, options, no_test)
+    folds = folds.checkpoint()  # read by the summary and the sinks
+    if output_dir:
+        save_fold_models(spark, {f: as_model(features, w, rp) for f, (w, rp, _) in models.items()}, f"{output_dir}/models")
     ok = folds.where(F.col("status") == "ok")
     summary = None if ok.isEmpty() else cv_summary(ok.select("fold", "metric", "value"))
     if output_dir:

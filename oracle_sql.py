@@ -315,13 +315,95 @@ def _reported(column: str) -> str:
     return column.replace("recall_at_", "recall@").replace("ndcg_at_", "ndcg@")
 
 
-def fold_metrics(membership: str | None = None, groups: bool = True) -> str:
+def newton(d: int, classes: int, steps: int) -> list[str]:
+    """CTEs of full Newton steps for softmax models, to ``t<steps>(model, t_0, t_1, ..)``.
+
+    Reads ``tr(model, y, a, x1 .. xd)`` (weighted training rows of each model)
+    and ``reg(model, reg)``. Parameters go class by class, the bias first;
+    class 0 has none. The linear systems are solved by elimination.
+    """
+    n, xs = (classes - 1) * (d + 1), ["1.0::DOUBLE"] + [f"x{j}" for j in range(1, d + 1)]
+    spread = ", ".join(f"(sum(a * x{j} * x{j}) - pow(sum(a * x{j}), 2) / sum(a)) / (sum(a) - sum(a * a) / sum(a)) AS v{j}"
+                       for j in range(1, d + 1))
+    out = [f"st AS MATERIALIZED (SELECT model, sum(a) AS z, {spread} FROM tr GROUP BY model)",
+           "t0 AS (SELECT model, " + ", ".join(f"0.0::DOUBLE AS t_{i}" for i in range(n)) + " FROM st)"]
+    kept = ", ".join(f"t_{i}" for i in range(n))
+    cls = range(1, classes)
+    part = [divmod(i, d + 1) for i in range(n)]  # (class - 1, feature) of a parameter
+    for s in range(steps):
+        logit = ", ".join("exp(" + " + ".join(f"t_{(c - 1) * (d + 1) + j} * {xs[j]}" for j in range(d + 1)) + f") AS e{c}" for c in cls)
+        total = "1.0 + " + " + ".join(f"e{c}" for c in cls)
+        out.append(f"e_{s} AS (SELECT tr.*, {logit} FROM tr JOIN t{s} USING (model))")
+        out.append(f"q_{s} AS (SELECT *, " + ", ".join(f"e{c} / ({total}) AS p{c}" for c in cls) + f" FROM e_{s})")
+        sums = [f"sum(a * (p{c + 1} - CASE WHEN y = {c + 1} THEN 1.0 ELSE 0.0 END) * {xs[j]}) AS g_{i}" for i, (c, j) in enumerate(part)]
+        sums += [f"sum(a * p{c + 1} * ({1.0 if c == b else 0.0} - p{b + 1}) * {xs[j]} * {xs[k]}) AS h_{i}_{m}"
+                 for i, (c, j) in enumerate(part) for m, (b, k) in enumerate(part)]
+        out.append(f"g_{s} AS MATERIALIZED (SELECT model, {', '.join(sums)} FROM q_{s} GROUP BY model)")
+        cells = [f"h_{i}_{m} / z" + (f" + reg * v{j}" if i == m and j else "") + f" AS a_{i}_{m}" for i, (_, j) in enumerate(part) for m in range(n)]
+        cells += [f"g_{i} / z" + (f" + reg * v{j} * t_{i}" if j else "") + f" AS b_{i}" for i, (_, j) in enumerate(part)]
+        out.append(f"m_{s}_0 AS MATERIALIZED (SELECT model, {kept}, {', '.join(cells)} FROM g_{s} JOIN st USING (model) "
+                   f"JOIN t{s} USING (model) JOIN reg USING (model))")
+        for c in range(n):
+            cells = [(f"a_{c}_{m} / a_{c}_{c}" if i == c else f"a_{i}_{m} - a_{i}_{c} * a_{c}_{m} / a_{c}_{c}") + f" AS a_{i}_{m}"
+                     for i in range(n) for m in range(n)]
+            cells += [(f"b_{c} / a_{c}_{c}" if i == c else f"b_{i} - a_{i}_{c} * b_{c} / a_{c}_{c}") + f" AS b_{i}" for i in range(n)]
+            out.append(f"m_{s}_{c + 1} AS MATERIALIZED (SELECT model, {kept}, {', '.join(cells)} FROM m_{s}_{c})")
+        out.append(f"t{s + 1} AS MATERIALIZED (SELECT model, " + ", ".join(f"t_{i} - b_{i} AS t_{i}" for i in range(n)) + f" FROM m_{s}_{n})")
+    return out
+
+
+STEPS = 8
+
+
+def trained_queries() -> dict[str, str]:
+    """Models of one feature, trained by Newton steps in SQL."""
+    y = "CASE WHEN cand_idx = 0 THEN 1 ELSE 0 END"
+    p1 = "1.0 / (1.0 + exp(-(t_0 + t_1 * score)))"
+    sq = {}
+    whole = [f"tr AS MATERIALIZED (SELECT 0 AS model, {y} AS y, CASE WHEN cand_idx = 0 THEN 5.0 ELSE 1.0 END::DOUBLE AS a, score AS x1 FROM all_scores)",
+             "reg AS (SELECT 0 AS model, 0.0::DOUBLE AS reg)"]
+    sq["train_classifier"] = scored_with(RECS, ALL_SCORES, *whole, *newton(1, 2, STEPS)) + (
+        f"\nSELECT record_id, cand_idx::INTEGER AS cand_idx, round({p1}, 4) AS p1 FROM all_scores, t{STEPS}")
+    grid = [f"roles AS MATERIALIZED (SELECT * FROM ({splits_random(1, 0.2, 0.2, False)}))",
+            "reg AS (SELECT * FROM (VALUES (0, 0.0::DOUBLE), (1, 0.01::DOUBLE), (2, 0.1::DOUBLE)) v(model, reg))",
+            f"tr AS MATERIALIZED (SELECT model, {y} AS y, 1.0::DOUBLE AS a, score AS x1 FROM all_scores JOIN roles USING (record_id), reg "
+            "WHERE role = 'train')"]
+    judged = [f"va AS (SELECT model, {y} AS y, {p1} AS p FROM all_scores JOIN roles USING (record_id), t{STEPS} WHERE role = 'val')",
+              "rk AS (SELECT model, y, rank() OVER (PARTITION BY model ORDER BY p) + (count(*) OVER (PARTITION BY model, p) - 1) / 2.0 AS r FROM va)",
+              "au AS (SELECT model, (sum(CASE WHEN y = 1 THEN r END) - count_if(y = 1) * (count_if(y = 1) + 1) / 2.0)::DOUBLE "
+              "/ (count_if(y = 1)::DOUBLE * count_if(y = 0)) AS auc FROM rk GROUP BY model)"]
+    sq["select_best_model"] = scored_with(RECS, ALL_SCORES, *grid, *newton(1, 2, STEPS), *judged) + (
+        "\nSELECT reg AS reg_param, round(auc, 6) AS val_roc_auc FROM au JOIN reg USING (model) ORDER BY round(auc, 9) DESC, model LIMIT 1")
+    folds = [f"roles AS MATERIALIZED (SELECT * FROM ({splits_random(3, 0.2, 0.2, False)}))",
+             "reg AS (SELECT DISTINCT fold AS model, 0.0::DOUBLE AS reg FROM roles)",
+             f"tr AS MATERIALIZED (SELECT fold AS model, {y} AS y, 1.0::DOUBLE AS a, score AS x1 FROM all_scores JOIN roles USING (record_id) "
+             "WHERE role = 'train')", *newton(1, 2, STEPS),
+             "fm AS (SELECT record_id, fold FROM roles WHERE role = 'test')",
+             f"tested AS MATERIALIZED (SELECT fold, record_id, cand_idx, {p1} AS score FROM all_scores JOIN fm USING (record_id) "
+             f"JOIN t{STEPS} ON model = fold)"]
+    items_f = """items_f AS MATERIALIZED (
+  SELECT o.fold, o.record_id, any_value(o.score) AS pos, count(x.score) AS n_neg, (1 + count_if(x.score > o.score))::INTEGER AS rnk,
+         count_if(o.score > x.score)::INTEGER AS wins, max(x.score) AS max_neg
+  FROM tested o JOIN tested x ON x.record_id = o.record_id AND x.fold = o.fold AND x.cand_idx > 0
+  WHERE o.cand_idx = 0 GROUP BY o.fold, o.record_id)"""
+    sq["run_folds"] = fold_metrics(", ".join([ALL_SCORES, *folds]), False, items_f, "tested s JOIN items_f f USING (record_id, fold)") + (
+        "SELECT fold, metric, round(value, 4) AS value, 'ok' AS status FROM long")
+    labelled = ["tr AS MATERIALIZED (SELECT 0 AS model, CASE WHEN l.toxic = 1 THEN 2 ELSE l.quality END AS y, 1.0::DOUBLE AS a, s.score AS x1 "
+                "FROM all_scores s JOIN labels l ON l.doc_id = s.record_id WHERE s.cand_idx = 0)", "reg AS (SELECT 0 AS model, 0.01::DOUBLE AS reg)"]
+    rows = " UNION ALL ".join(f"SELECT {c} AS class, round(t_{2 * c - 2}, 4) AS bias, round(t_{2 * c - 1}, 4) AS weight FROM t{STEPS}" for c in (1, 2))
+    sq["train_multiclass"] = scored_with(RECS, ALL_SCORES, *labelled, *newton(1, 3, STEPS)) + (
+        f"\nSELECT class::INTEGER AS class, bias, weight FROM (SELECT 0 AS class, 0.0 AS bias, 0.0 AS weight UNION ALL {rows})")
+    return sq
+
+
+def fold_metrics(membership: str | None = None, groups: bool = True, items_f: str | None = None,
+                 negatives: str = "scores s JOIN items_f f USING (record_id)") -> str:
     """Per-fold test reports as ``long(fold, metric, value)``, prefixed ``test_``.
 
     ``membership`` is a CTE ``fm(record_id, fold)`` naming each fold's test
     records (default: leave one source out).
     """
-    items_f = """items_f AS (SELECT i.*, fm.fold FROM items i JOIN fm USING (record_id))"""
+    items_f = items_f or """items_f AS (SELECT i.*, fm.fold FROM items i JOIN fm USING (record_id))"""
     # per-fold aggregate written directly (negatives pooled per fold)
     per = f"""per AS (
   SELECT fold,
@@ -344,8 +426,8 @@ def fold_metrics(membership: str | None = None, groups: bool = True) -> str:
     {", ".join(_rd(f"avg(CASE WHEN rnk <= {k} THEN 1.0::DOUBLE / log2(rnk + 1) ELSE 0.0::DOUBLE END)") + f" AS ndcg_at_{k}" for k in (3, 5, 10))}
   FROM items_f GROUP BY fold),
 negf AS (
-  SELECT f.fold, {_rd("avg(s.score)")} AS avg_negative_score, {_rd("stddev_pop(s.score)")} AS std_negative_score
-  FROM scores s JOIN items_f f USING (record_id) WHERE s.cand_idx > 0 GROUP BY f.fold),
+  SELECT fold, {_rd("avg(s.score)")} AS avg_negative_score, {_rd("stddev_pop(s.score)")} AS std_negative_score
+  FROM {negatives} WHERE s.cand_idx > 0 GROUP BY fold),
 totf AS (SELECT fold, count(*)::BIGINT AS total_items_in_dataset FROM fm GROUP BY fold),
 wide AS (
   SELECT t.fold, t.total_items_in_dataset, p.* EXCLUDE (fold),
@@ -517,4 +599,4 @@ items AS MATERIALIZED (
     sq["eval_csv_items"] = scored_with(BENCH_RECS) + (
         f"\nSELECT p.record_id AS item_id, round(CASE WHEN i.n_neg > 0 THEN i.wins::DOUBLE / i.n_neg ELSE -1.0 END,"
         f" {R}) AS pair_score FROM plan2 p LEFT JOIN items i USING (record_id)")
-    return sq
+    return sq | trained_queries()
