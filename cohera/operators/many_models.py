@@ -34,6 +34,8 @@ from ..session import fenced_where
 
 #: entries of the arrays a task works on at a time
 PIECE = 1 << 20
+#: the folds that validate and test on a row
+FOLD_COLUMNS = ("val_folds", "test_folds")
 #: the bias of a class without training rows
 ABSENT = -30.0
 
@@ -78,7 +80,7 @@ def training_rows(cands: DataFrame, features, label: str = "label", keep=()) ->
     Fold columns that the table does not have are empty: its rows train.
     """
     none = F.array().cast("array<int>")
-    folds = [(F.coalesce(F.col(c), none) if c in cands.columns else none).alias(c) for c in ("val_folds", "test_folds")]
+    folds = [(F.coalesce(F.col(c), none) if c in cands.columns else none).alias(c) for c in FOLD_COLUMNS]
     whole = F.col(label).isNotNull()
     for f in features:
         whole = whole & F.col(f).isNotNull()
@@ -102,7 +104,7 @@ def _folds(batch: pa.RecordBatch, column: str) -> tuple[np.ndarray, np.ndarray]:
 def _trains(batch: pa.RecordBatch, position: dict[int, int]) -> np.ndarray:
     """1 where the row trains in the fold."""
     mask = np.ones((batch.num_rows, len(position)))
-    for column in ("val_folds", "test_folds"):
+    for column in FOLD_COLUMNS:
         row, fold = _folds(batch, column)
         at = np.array([position.get(f, -1) for f in fold.tolist()], np.int64)
         mask[row[at >= 0], at[at >= 0]] = 0

@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from ..functions.scoring import softmax_positive
 from ..session import ensure_checkpoint_dir
-from .many_models import Options, fit_models, training_rows
+from .many_models import FOLD_COLUMNS, Options, fit_models, training_rows
 
 #: candidate features, made by ``plans.jobs.scored_candidates``
 FEATURES = ("lexical", "first_overlap", "last_overlap", "skip_overlap", "length_change", "first_length")
@@ -83,9 +83,9 @@ def _fit(train: DataFrame, val: DataFrame | None, label: str, features, reg_para
          state_path: str | None = None, stop_after: int | None = None):
     """(models, AUCs) per regularisation value, trained together over one written table."""
     ensure_checkpoint_dir(train.sparkSession)
-    rows = training_rows(train, features, label)
+    rows = training_rows(train.drop(*FOLD_COLUMNS), features, label)
     if val is not None:
-        rows = rows.union(training_rows(val.withColumn("val_folds", F.array(F.lit(1))), features, label))
+        rows = rows.union(training_rows(val.drop(*FOLD_COLUMNS).withColumn("val_folds", F.array(F.lit(1))), features, label))
     weights, aucs, counts = fit_models(rows.checkpoint(), [1], len(features), reg_params, options, state_path, stop_after)
     if 1 not in weights:
         raise ValueError(f"training needs rows of class 0 and of another class; rows per class are {counts[1]}")
