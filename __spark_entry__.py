@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 import oracle_sql as O
 from cohera.functions.scoring import logits_from_score, predict_label, softmax, softmax_positive
 from cohera.operators import candidates as C
+from cohera.operators.boundaries import learn_boundaries, learned_splitter
 from cohera.operators import classification as CL
 from cohera.operators import losses as L
 from cohera.operators import ranking as RK
@@ -99,6 +100,18 @@ def q_split_sentences(spark, sf):
                      F.md5(F.array_join("sentences", "\u0001")).alias("sentences_md5"))
 
 
+def q_learned_boundaries(spark, sf):
+    return learn_boundaries(_docs(spark, sf)).withColumn("score", F.round("score", 6))
+
+
+def q_learned_sentences(spark, sf):
+    """Sentences by the boundaries that the same texts teach."""
+    docs = _docs(spark, sf)
+    st = sentence_table(docs, splitter=learned_splitter(learn_boundaries(docs)))
+    return st.select("record_id", F.size("sentences").cast("int").alias("n_sentences"),
+                     F.md5(F.array_join("sentences", "\u0001")).alias("sentences_md5"))
+
+
 def q_sentence_count(spark, sf):
     st = sentence_table(_docs(spark, sf))
     return st.groupBy(sentence_count("sentences").cast("int").alias("n_sentences")).agg(
@@ -405,6 +418,8 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "read_records": q_read_records,
     "filter_nonempty": q_filter_nonempty,
     "split_sentences": q_split_sentences,
+    "learned_boundaries": q_learned_boundaries,
+    "learned_sentences": q_learned_sentences,
     "sentence_count": q_sentence_count,
     "shuffle_plan": q_shuffle_plan,
     "distinct_permutations": q_distinct_permutations,

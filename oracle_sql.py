@@ -396,6 +396,78 @@ def trained_queries() -> dict[str, str]:
     return sq
 
 
+def boundaries_with(*more: str) -> str:
+    """CTEs that learn sentence boundaries: ``lists(kind, type, next, score)`` and the plain pieces ``sent``."""
+    outside = r"'^[^\p{L}\p{N}]+|[^\p{L}\p{N}.]+$'"
+
+    def word(x):
+        return f"regexp_replace(lower(regexp_replace({x}, {outside}, '', 'g')), '\\.$', '')"
+
+    def xlog(k, x):
+        return f"(CASE WHEN {k} = 0 THEN 0.0 ELSE {k} * ln(greatest({x}, 1e-12)) END)"
+
+    def together(a, b, ab):
+        p, p1, p2 = f"({b} / TN)", f"({ab} / {a})", f"(CASE WHEN TN > {a} THEN ({b} - {ab}) / greatest(TN - {a}, 1) ELSE 1.0 END)"
+        rest = f"(TN - {a} - {b} + {ab})"
+        same = " + ".join([xlog(ab, p), xlog(f"({a} - {ab})", f"1 - {p}"), xlog(f"({b} - {ab})", p), xlog(rest, f"1 - {p}")])
+        apart = " + ".join([xlog(ab, p1), xlog(f"({a} - {ab})", f"1 - {p1}"), xlog(f"({b} - {ab})", p2), xlog(rest, f"1 - {p2}")])
+        return f"-2 * (({same}) - ({apart}))"
+
+    dots = "(length(type) - length(replace(type, '.', '')))"
+    parts = [RECS, SENT.replace("sent AS (", "sent AS MATERIALIZED (").replace("regexp_replace(summary,", "regexp_replace(replace(summary, chr(1), ' '),"),
+             rf"""tok AS (SELECT unnest(string_split_regex(summary, '[ \t\r\n]+')) AS token FROM recs),
+tc AS MATERIALIZED (
+  SELECT type, count_if(p)::DOUBLE AS c_p, count_if(NOT p)::DOUBLE AS c_n FROM (
+    SELECT {word("token")} AS type, ends_with(regexp_replace(token, {outside}, '', 'g'), '.') AS p FROM tok)
+  WHERE regexp_matches(type, '\p{{L}}') GROUP BY type),
+tot AS (SELECT sum(c_p + c_n) AS TN, sum(c_p) AS NP FROM tc),
+ends AS (SELECT regexp_extract(a, '[^ \t\r\n]+$') AS a, regexp_extract(b, '^[^ \t\r\n]+') AS b FROM (
+  SELECT unnest(sentences[1:len(sentences) - 1]) AS a, unnest(sentences[2:len(sentences)]) AS b FROM sent WHERE len(sentences) > 1)),
+bc AS MATERIALIZED (SELECT {word("a")} AS type, {word("b")} AS nxt, count(*)::DOUBLE AS n FROM ends WHERE ends_with(a, '.') GROUP BY ALL),
+abbr AS MATERIALIZED (SELECT * FROM (
+  SELECT type, -2 * (({xlog("c_p", "NP / TN")} + {xlog("c_n", "1 - NP / TN")}) - ({xlog("c_p", "0.99::DOUBLE")} + {xlog("c_n", "(1 - 0.99::DOUBLE)")}))
+         * exp(-(length(type) - {dots})::DOUBLE) * ({dots} + 1) * pow((length(type) - {dots})::DOUBLE, -c_n) AS score
+  FROM tc, tot WHERE c_p >= 2) WHERE score >= 0.3),
+be AS (SELECT bc.* FROM bc ANTI JOIN abbr USING (type)),
+starter AS MATERIALIZED (
+  SELECT nxt, score FROM (
+    SELECT nxt, ab, b, A, TN, {together("A", "b", "ab")} AS score
+    FROM (SELECT nxt, sum(n) AS ab FROM be GROUP BY nxt) JOIN (SELECT type AS nxt, c_p + c_n AS b FROM tc) USING (nxt),
+         (SELECT sum(n) AS A FROM be), tot)
+  WHERE score >= 30 AND ab * TN > b * A),
+colloc AS (
+  SELECT type, nxt, score FROM (
+    SELECT bc.type, bc.nxt, bc.n AS ab, x.c_p + x.c_n AS a, y.c_p + y.c_n AS b, TN, {together("(x.c_p + x.c_n)", "(y.c_p + y.c_n)", "bc.n")} AS score
+    FROM bc JOIN tc x ON x.type = bc.type JOIN tc y ON y.type = bc.nxt, tot
+    WHERE bc.nxt IN (SELECT nxt FROM starter) AND (bc.type IN (SELECT type FROM abbr) OR regexp_full_match(bc.type, '\p{{L}}')))
+  WHERE score >= 7.88 AND ab * TN > a * b),
+lists AS MATERIALIZED (
+  SELECT 'abbreviation' AS kind, type, NULL::VARCHAR AS next, score FROM abbr
+  UNION ALL SELECT 'starter', NULL, nxt, score FROM starter UNION ALL SELECT 'collocation', type, nxt, score FROM colloc)"""]
+    return cte(*parts, *more)
+
+
+def boundary_queries() -> dict[str, str]:
+    outside = r"'^[^\p{L}\p{N}]+|[^\p{L}\p{N}.]+$'"
+
+    def word(x):
+        return f"regexp_replace(lower(regexp_replace({x}, {outside}, '', 'g')), '\\.$', '')"
+
+    cut = rf"""pc AS (SELECT record_id, unnest(range(1, len(sentences) + 1)) AS i, unnest(sentences) AS s FROM sent),
+nb AS (SELECT record_id, i, s, regexp_extract(s, '[^ \t\r\n]+$') AS a,
+              regexp_extract(lead(s) OVER (PARTITION BY record_id ORDER BY i), '^[^ \t\r\n]+') AS b FROM pc),
+ty AS (SELECT *, {word("a")} AS wa, {word("b")} AS wb FROM nb),
+jn AS (SELECT record_id, i, s, b IS NOT NULL AND ends_with(a, '.')
+              AND (wa IN (SELECT type FROM abbr) OR regexp_full_match(wa, '\p{{L}}'))
+              AND NOT (wb IN (SELECT nxt FROM starter) AND regexp_matches(b, '^[^\p{{L}}]*\p{{Lu}}')
+                       AND NOT ((wa, wb) IN (SELECT (type, nxt) FROM colloc))) AS keep FROM ty),
+done AS (SELECT record_id, string_agg(s || CASE WHEN keep THEN ' ' ELSE chr(1) END, '' ORDER BY i) AS j FROM jn GROUP BY record_id),
+fin AS (SELECT r.record_id, list_filter(string_split(coalesce(j, ''), chr(1)), lambda x: x <> '') AS t FROM recs r LEFT JOIN done USING (record_id))"""
+    return {"learned_boundaries": boundaries_with() + "\nSELECT kind, type, next, round(score, 6) AS score FROM lists",
+            "learned_sentences": boundaries_with(cut) + "\nSELECT record_id, len(t)::INTEGER AS n_sentences, "
+                                 "md5(array_to_string(t, chr(1))) AS sentences_md5 FROM fin"}
+
+
 def fold_metrics(membership: str | None = None, groups: bool = True, items_f: str | None = None,
                  negatives: str = "scores s JOIN items_f f USING (record_id)") -> str:
     """Per-fold test reports as ``long(fold, metric, value)``, prefixed ``test_``.
@@ -599,4 +671,4 @@ items AS MATERIALIZED (
     sq["eval_csv_items"] = scored_with(BENCH_RECS) + (
         f"\nSELECT p.record_id AS item_id, round(CASE WHEN i.n_neg > 0 THEN i.wins::DOUBLE / i.n_neg ELSE -1.0 END,"
         f" {R}) AS pair_score FROM plan2 p LEFT JOIN items i USING (record_id)")
-    return sq | trained_queries()
+    return sq | trained_queries() | boundary_queries()
