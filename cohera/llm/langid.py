@@ -339,10 +339,16 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return predict(x, model, keep_text=False).select("doc_id", "held_out", "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, min_score: float = 0.5, id_col: str = "doc_id", text_col: str = "text",
-                    lang: str = "lang") -> DataFrame:
-    """The documents with a known language that at least ``min_score`` of their words are in; all columns stay."""
+def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang: str = "lang") -> DataFrame:
+    """The documents in some language, also in several; all columns stay.
+
+    Rejected are texts that are null or have no letter. Where no row is
+    labelled nothing can be learned, and a text with a letter stays. Rows that
+    repeat stay or go alike, columns keep their names whatever they are, texts
+    are read whole; an empty table gives no rows.
+    """
+    if docs.where(F.col(lang).isNotNull() & trainable(id_col)).isEmpty():
+        return docs.where(F.coalesce(F.col(text_col), F.lit("")).rlike(r"\p{L}"))
     model = train(docs, trainable(id_col), lang, id_col, text_col)
     x = predict(docs.withColumnsRenamed({c: f"_in_{c}" for c in docs.columns}), model, f"_in_{text_col}")
-    kept = x.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score))
-    return kept.select([F.col(f"_in_{c}").alias(c) for c in docs.columns])
+    return x.where(F.col("lang_pred") != UNKNOWN).select([F.col(f"_in_{c}").alias(c) for c in docs.columns])

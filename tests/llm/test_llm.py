@@ -605,11 +605,17 @@ def test_forward_backward_against_enumeration():
 
 
 def test_keep_identified_keeps_columns(spark, sf01_docs):
-    odd = spark.createDataFrame([(5000, None, None, "s", 0), (5001, "12 34", "en", "s", 5)], sf01_docs.schema)
-    kept = langid.keep_identified(sf01_docs.unionByName(odd))
-    assert kept.columns == sf01_docs.columns
+    by_lang = {r["lang"]: r["text"][:300] for r in sf01_docs.where("length(text) > 400").dropDuplicates(["lang"]).collect()}
+    odd = spark.createDataFrame([(5000, None, None, "s", 0), (5001, "12 34", "en", "s", 5), (5002, " ".join(by_lang.values()), None, "s", 9)],
+                                sf01_docs.schema)
+    docs = sf01_docs.unionByName(odd)
+    kept = langid.keep_identified(docs)
+    assert kept.columns == docs.columns
     ids = {r["doc_id"] for r in kept.select("doc_id").collect()}
-    assert not ids & {5000, 5001} and len(ids) > 0.98 * sf01_docs.count()
+    worded = {r["doc_id"] for r in docs.where("text rlike '\\\\p{L}'").select("doc_id").collect()}
+    assert len(by_lang) > 3 and 5002 in ids and not ids & {5000, 5001} and ids == worded
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert {r["doc_id"] for r in langid.keep_identified(unlabelled).select("doc_id").collect()} == worded
 
 
 # ------------------------------------------------------------------- odd tables
