@@ -21,7 +21,7 @@ RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters, or without one language for half of their words, go."""
+    """Documents that are in no language (without a letter) go."""
     return langid.keep_identified(docs)
 
 
@@ -53,6 +53,10 @@ STAGES = [
     ("byte_bpe", encode),
 ]
 
+#: rows sent to a Python worker at a time: the stages share reused workers, whose buffers add up
+BATCH_ROWS = 1000
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 #: a trained model decides the first stage, which SQL cannot express
 ORACLE_SQL = None
 
@@ -61,7 +65,12 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows for the whole ``documents`` table."""
     docs = read_table(spark, sf_dir, "documents")
     folder = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+    before = spark.conf.get(ARROW_ROWS)
+    spark.conf.set(ARROW_ROWS, str(BATCH_ROWS))
+    try:
+        for name, stage in STAGES:
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+            docs = spark.read.parquet(f"{folder}/{name}")
+    finally:
+        spark.conf.set(ARROW_ROWS, before)
     return docs
