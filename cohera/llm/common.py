@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,41 +31,56 @@ def id_hash(col: str | Column) -> Column:
                               F.lit("null")).cast("binary"))
 
 
+def release() -> None:
+    """Give freed memory back to the system: an idle Python worker would keep it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
 def text_batches(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4 << 20
                  ) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Cut Arrow batches into pieces of about ``max_bytes`` of ``column``.
 
     Yields (piece, buffer, offsets): the UTF-8 bytes of the column as one
     uint8 array and ``len(piece) + 1`` offsets into it; a null text has no
-    bytes. A single longer text is a piece of its own.
+    bytes. A single longer text is a piece of its own. Behind the last piece
+    the worker's freed memory is released.
     """
-    for batch in batches:
-        if batch.num_rows == 0:
-            continue
-        col = batch.column(batch.schema.get_field_index(column)).cast(pa.large_string())
-        sizes = np.diff(np.frombuffer(col.buffers()[1], np.int64, len(col) + 1, col.offset * 8))
-        cuts, start, held = [], 0, 0
-        for i, n in enumerate(sizes.tolist()):
-            if held and held + n > max_bytes:
-                cuts.append((start, i))
-                start, held = i, 0
-            held += n
-        cuts.append((start, len(col)))
-        for a, b in cuts:
-            part = col.slice(a, b - a)
-            offs = np.frombuffer(part.buffers()[1], np.int64, b - a + 1, (part.offset) * 8)
-            data = part.buffers()[2]
-            buf = (np.frombuffer(data, np.uint8)[offs[0]:offs[-1]] if data is not None and offs[-1] > offs[0]
-                   else np.zeros(0, np.uint8))
-            offs = offs - offs[0]
-            if part.null_count:  # a null slot may still span bytes
-                valid = np.asarray(part.is_valid())
-                lens = np.diff(offs)
-                if lens[~valid].any():
-                    keep = np.repeat(valid, lens)
-                    buf = buf[keep]
-                    offs = np.concatenate([[0], np.cumsum(np.where(valid, lens, 0))])
-            yield batch.slice(a, b - a), buf, offs
+    try:
+        for batch in batches:
+            if batch.num_rows:
+                yield from _cut(batch, column, max_bytes)
+    finally:
+        release()
+
+
+def _cut(batch: pa.RecordBatch, column: str, max_bytes: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    col = batch.column(batch.schema.get_field_index(column)).cast(pa.large_string())
+    sizes = np.diff(np.frombuffer(col.buffers()[1], np.int64, len(col) + 1, col.offset * 8))
+    cuts, start, held = [], 0, 0
+    for i, n in enumerate(sizes.tolist()):
+        if held and held + n > max_bytes:
+            cuts.append((start, i))
+            start, held = i, 0
+        held += n
+    cuts.append((start, len(col)))
+    for a, b in cuts:
+        part = col.slice(a, b - a)
+        offs = np.frombuffer(part.buffers()[1], np.int64, b - a + 1, (part.offset) * 8)
+        data = part.buffers()[2]
+        buf = (np.frombuffer(data, np.uint8)[offs[0]:offs[-1]] if data is not None and offs[-1] > offs[0]
+               else np.zeros(0, np.uint8))
+        offs = offs - offs[0]
+        if part.null_count:  # a null slot may still span bytes
+            valid = np.asarray(part.is_valid())
+            lens = np.diff(offs)
+            if lens[~valid].any():
+                keep = np.repeat(valid, lens)
+                buf = buf[keep]
+                offs = np.concatenate([[0], np.cumsum(np.where(valid, lens, 0))])
+        yield batch.slice(a, b - a), buf, offs
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
