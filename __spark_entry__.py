@@ -17,7 +17,7 @@ _ROOT = os.path.dirname(os.path.abspath(__file__))
 if _ROOT not in sys.path:  # loaded by file path: make the package importable
     sys.path.insert(0, _ROOT)
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 import oracle_sql as O
@@ -34,7 +34,7 @@ from cohera.operators.shuffles import distinct_permutations, enumerable_sizes, p
 from cohera.plans import jobs as J
 from cohera.plans.evaluation import K_MAX, SEED, lexical_items, sentence_table, shuffled, with_lexical_scores
 from cohera.session import ensure_checkpoint_dir, fenced_where, spread
-from cohera.sources.records import filter_nonempty, flatten_record, group_key, read_documents, read_records, records_from_table
+from cohera.sources.records import filter_nonempty, flatten_record, group_key, read_documents, read_eval_csv, read_records, records_from_table
 
 THRESHOLD = O.THRESHOLD
 CLASS_WEIGHTS = [1.0, 5.0]
@@ -82,10 +82,25 @@ def _labelled_logits(spark, sf) -> DataFrame:
 
 
 # ------------------------------------------------------------------ sources
+def _folder(spark, kind: str) -> str:
+    """A new folder in the session's shared folder."""
+    return f"{ensure_checkpoint_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+
+
+def _rows_per_id(r: DataFrame) -> DataFrame:
+    """``r`` with ``id_rows``: how many rows carry the reader's ``record_id`` (one, if the ids are right)."""
+    return r.withColumn("id_rows", F.count(F.lit(1)).over(Window.partitionBy("record_id")))
+
+
 def q_read_records(spark, sf):
-    r = _docs(spark, sf)
-    return r.select("record_id", "source", F.length("summary").cast("bigint").alias("n_chars"),
-                    F.md5("summary").alias("summary_md5"))
+    """``read_records`` on JSON lines that Spark writes from ``documents``; ``text_raw`` carries the doc_id."""
+    folder = _folder(spark, "records")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    docs.select(F.col("doc_id").cast("string").alias("text_raw"), F.col("text").alias("summary"),
+                F.struct(F.col("source")).alias("metadata")).write.json(folder)
+    r = read_records(spark, folder).select("record_id", F.col("text_raw").cast("bigint").alias("doc_id"), "source",
+                                           F.length("summary").cast("bigint").alias("n_chars"), F.md5("summary").alias("summary_md5"))
+    return _rows_per_id(r).drop("record_id")
 
 
 def q_filter_nonempty(spark, sf):
@@ -315,8 +330,27 @@ def q_cv_summary_random_folds(spark, sf):
 
 
 # ---------------------------------------------------------- evaluation CSV
+def _csv(spark, df: DataFrame, kind: str) -> str:
+    """A folder of CSV files that Spark writes from ``df``."""
+    folder = _folder(spark, kind)
+    (df.write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False)
+     .option("ignoreTrailingWhiteSpace", False).csv(folder))
+    return folder
+
+
 def _bench_records(spark, sf):
-    return records_from_table(spark.read.parquet(f"{sf}/benchmark.parquet"), "item_id", "text", None)
+    """``benchmark`` written as CSV and read by ``read_eval_csv``; its own ids seed the shuffles."""
+    rows = read_eval_csv(spark, _csv(spark, spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text"), "benchmark"))
+    return records_from_table(rows, "item_id", "text", None)
+
+
+def q_read_eval_csv(spark, sf):
+    """``read_eval_csv`` on a CSV of ``documents`` whose sentences stand on lines of their own, quotes and all."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where(F.col("text") != "")
+    lined = F.concat(F.lit('"'), F.regexp_replace("text", r"\. ", ".\n"), F.lit('",\n'))
+    r = read_eval_csv(spark, _csv(spark, docs.select("doc_id", lined.alias("text")), "documents"))
+    return _rows_per_id(r.select("record_id", F.col("doc_id").cast("bigint").alias("doc_id"), F.length("text").cast("bigint").alias("n_chars"),
+                                 F.md5("text").alias("text_md5"))).drop("record_id")
 
 
 def q_eval_csv_report(spark, sf):
@@ -393,7 +427,7 @@ def q_model_report(spark, sf):
 
 def q_jsonl_records(spark, sf):
     """``read_records`` on JSON lines that Spark writes from ``documents``, ids and all."""
-    folder = f"{ensure_checkpoint_dir(spark)}/jsonl-{uuid.uuid4().hex}"
+    folder = _folder(spark, "jsonl")
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     docs.select(F.col("text").alias("text_raw"), F.col("text").alias("summary"),
                 F.struct(F.col("source")).alias("metadata")).write.json(folder)
@@ -469,6 +503,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "prefix_metrics": q_prefix_metrics,
     "cv_summary": q_cv_summary,
     "cv_summary_random_folds": q_cv_summary_random_folds,
+    "read_eval_csv": q_read_eval_csv,
     "eval_csv_report": q_eval_csv_report,
     "eval_csv_items": q_eval_csv_items,
     "train_classifier": q_train_classifier,

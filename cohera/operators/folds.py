@@ -43,13 +43,13 @@ def with_test_fold(items: DataFrame, plan: FoldPlan) -> DataFrame:
     return x.where(F.col("fold").isNotNull())
 
 
-def fold_reports(items: DataFrame, plan: FoldPlan, k_values=(3, 5, 10)) -> DataFrame:
+def fold_reports(items: DataFrame, plan: FoldPlan, k_values=(3, 5, 10), compute_metrics=None) -> DataFrame:
     """One ranking report row per fold, over that fold's test items.
 
     ``total_items_in_dataset`` counts the fold's test records. A fold without
     test records has a row of zeros.
     """
-    reports = ranking_report(with_test_fold(items, plan), k_values, group_by=["fold"])
+    reports = ranking_report(with_test_fold(items, plan), k_values, ["fold"], compute_metrics)
     if plan.kind == "key" or plan.no_test:
         return reports  # every group has records
     folds = items.sparkSession.range(1, len(plan.folds) + 1).select(F.col("id").cast("int").alias("fold"))
@@ -142,7 +142,8 @@ def with_fold_roles(records: DataFrame, plan: FoldPlan) -> DataFrame:
     return x.withColumns({"val_folds": folds_of("val"), "test_folds": folds_of("test")}).drop("_roles")
 
 
-def run_folds_together(rows: DataFrame, folds: list[int], features, reg_params, options, no_test: bool = False):
+def run_folds_together(rows: DataFrame, folds: list[int], features, reg_params, options, no_test: bool = False,
+                       compute_metrics=None):
     """All folds trained, selected and tested together: ``(results, models)``.
 
     ``rows`` as ``many_models.training_rows`` makes them, with ``record_id``,
@@ -170,7 +171,7 @@ def run_folds_together(rows: DataFrame, folds: list[int], features, reg_params,
                           {"record_id": rows.schema["record_id"].dataType.simpleString(), "cand_idx": "int", "n_neg": "int"})
     key = F.struct("fold", "record_id").alias("record_id")
     items = items_from_scores(regroup_scores(scored.select(key, "cand_idx", "n_neg", F.col("p1").alias("score"))))
-    reports = ranking_report(items.withColumn("fold", F.col("record_id.fold")), group_by=["fold"])
+    reports = ranking_report(items.withColumn("fold", F.col("record_id.fold")), group_by=["fold"], compute_metrics=compute_metrics)
     known = spark.createDataFrame([(f,) for f in models], "fold int")
     long = prefix_metrics(fold_metrics_long(known.join(reports, "fold", "left").na.fill(0)))
     return long.withColumn("status", F.lit("ok")).union(spark.createDataFrame(lost, FOLD_RESULT_SCHEMA)), models

@@ -7,6 +7,8 @@ per task. ``pos`` is the score of candidate 0, ``neg_scores`` the others.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,8 @@ from ..functions.names import metric_name
 from ..session import fenced_where
 
 DEFAULT_K_VALUES = (3, 5, 10)
+#: a caller's metrics: aggregate columns by name
+Metrics = Callable[[], dict[str, Column]]
 ROUND = 9  # metric decimals kept; float sums differ in the last bits by order
 
 # Report order of the metric names, and the names printed as
@@ -124,13 +128,19 @@ def _r(c: Column) -> Column:
     return F.round(c, ROUND)
 
 
-def ranking_report(items: DataFrame, k_values=DEFAULT_K_VALUES, group_by: list[str] | None = None) -> DataFrame:
+def ranking_report(items: DataFrame, k_values=DEFAULT_K_VALUES, group_by: list[str] | None = None,
+                   compute_metrics: Metrics | None = None) -> DataFrame:
     """All ranking metrics in one aggregate (one row, or one per group).
 
     Pooled negative-score statistics come from each item's own count, mean
     and sum of squared deviations, merged in the aggregate; nothing is
     exploded. Every metric is 0.0 when nothing could be evaluated;
     ``total_items_in_dataset`` counts unrankable items too.
+
+    ``compute_metrics`` adds a caller's own metrics to the same pass: it
+    returns aggregates over the item columns ``rankable``, ``rank``,
+    ``n_neg``, ``wins``, ``pos`` and ``max_neg`` by name. Spark merges them as
+    it does its own, per group. They are neither rounded nor set to zero.
     """
     ks = normalize_k_values(k_values)
     group_by = group_by or []
@@ -168,7 +178,11 @@ def ranking_report(items: DataFrame, k_values=DEFAULT_K_VALUES, group_by: list[s
     for k in ks:
         aggs.append(F.avg(F.when(ev, F.when(F.col("rank") <= k, 1.0 / F.log2(F.col("rank") + 1))
                                  .otherwise(F.lit(0.0)))).alias(f"ndcg_at_{k}"))
-    agg = x.groupBy(*group_by).agg(*aggs)
+    own = dict(compute_metrics()) if compute_metrics else {}
+    taken = sorted(set(own) & {*REPORT_ORDER, *group_by, *(f"{m}_at_{k}" for m in ("recall", "ndcg") for k in ks)})
+    if taken:
+        raise ValueError(f"compute_metrics names metrics of the report: {taken}")
+    agg = x.groupBy(*group_by).agg(*aggs, *(c.alias(f"_own_{name}") for name, c in own.items()))
     mean = F.try_divide(F.col("_s1"), F.col("_n"))
     spread = F.col("_dev") + F.col("_s2") - F.col("_n") * mean * mean
     agg = agg.withColumns({"avg_negative_score": mean,
@@ -192,7 +206,7 @@ def ranking_report(items: DataFrame, k_values=DEFAULT_K_VALUES, group_by: list[s
             "avg_margin_victory", "avg_margin_defeat"]
     rest += [f"recall_at_{k}" for k in ks] + [f"ndcg_at_{k}" for k in ks]
     out += [_r(F.coalesce(F.col(c), zero)).alias(c) for c in rest]
-    return agg.select(*out)
+    return agg.select(*out, *(F.col(f"_own_{name}").alias(name) for name in own))
 
 
 def report_order(columns: list[str]) -> list[str]:

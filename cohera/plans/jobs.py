@@ -67,9 +67,9 @@ def validate_params(split_type: str = "random", split_key: str | None = None, tr
 
 
 def evaluate(records: DataFrame, k_max: int = K_MAX, seed: int = SEED, k_values=(3, 5, 10),
-             output_file: str | None = None, splitter: Splitter = split_sentences) -> DataFrame:
-    """Ranking report of the lexical scorer over records (one row)."""
-    report = ranking_report(lexical_items(records, k_max, seed, splitter=splitter), k_values)
+             output_file: str | None = None, splitter: Splitter = split_sentences, compute_metrics=None) -> DataFrame:
+    """Ranking report of the lexical scorer over records (one row); ``compute_metrics`` as in ``ranking_report``."""
+    report = ranking_report(lexical_items(records, k_max, seed, splitter=splitter), k_values, compute_metrics=compute_metrics)
     if output_file:
         write_metrics(report, output_file)
     return report
@@ -93,7 +93,7 @@ def model_candidates(records: DataFrame, k_max: int = K_MAX, seed: int = SEED, m
 def evaluate_model(records: DataFrame, make_predict_fn, k_max: int = K_MAX, seed: int = SEED, k_values=(3, 5, 10),
                    max_length: int = 512, num_labels: int = 2, normalize_original: bool = False,
                    splitter: Splitter = split_sentences, batch_size: int = 64, partitions: int | None = None,
-                   output_file: str | None = None) -> tuple[DataFrame, DataFrame]:
+                   output_file: str | None = None, compute_metrics=None) -> tuple[DataFrame, DataFrame]:
     """Ranking report and items of a user's text classifier.
 
     ``make_predict_fn`` is as in ``score_candidates``. The scored items (one
@@ -105,7 +105,7 @@ def evaluate_model(records: DataFrame, make_predict_fn, k_max: int = K_MAX, seed
     items = items_from_scores(regroup_scores(scored.select("record_id", "cand_idx", "n_neg", "score")))
     ensure_checkpoint_dir(records.sparkSession)
     items = with_pair_score(items).checkpoint(eager=True)
-    report = ranking_report(items, k_values)
+    report = ranking_report(items, k_values, compute_metrics=compute_metrics)
     if output_file:
         write_metrics(report, output_file)
     return report, items
@@ -174,7 +174,7 @@ def train(spark: SparkSession, records: DataFrame, split_type: str = "random", s
           trainer_type: str = "default", class_weights=None, focal_loss_alpha=None,
           focal_loss_gamma: float = DEFAULT_GAMMA, num_labels: int = 2, no_test: bool = False,
           reg_params=(0.0, 0.01), output_dir: str | None = None, model_name: str = "logistic",
-          splitter: Splitter = split_sentences, features=FEATURES):
+          splitter: Splitter = split_sentences, features=FEATURES, compute_metrics=None, run_group: str | None = None):
     """Folds of train -> select on val ROC AUC -> ranking report on test.
 
     Returns ``(fold_results, summary)``; ``summary`` is None without test
@@ -182,7 +182,10 @@ def train(spark: SparkSession, records: DataFrame, split_type: str = "random", s
     folds: its candidates are written with the folds that validate or test on
     it, and all folds and regularisations are trained in the same passes. With
     ``output_dir`` the model selected in fold ``f`` is saved under
-    ``models/fold=f`` (see ``evaluate_saved``). Classes beyond original (1) and
+    ``models/fold=f`` (see ``evaluate_saved``), and results and summary are
+    committed under ``run_group`` (a fresh name by default); a job that is run
+    again under its name replaces what it wrote. ``compute_metrics`` adds
+    metrics to every fold's test report and to the summary. Classes beyond original (1) and
     shuffle (0) have no rows here and get probability near zero.
     """
     validate_params(split_type, split_key, trainer_type, class_weights, focal_loss_alpha, focal_loss_gamma,
@@ -196,14 +199,14 @@ def train(spark: SparkSession, records: DataFrame, split_type: str = "random", s
     roles = ("val_folds", "test_folds")
     cands = scored_candidates(with_fold_roles(records.select("record_id", "summary", *keep), plan), k_max, seed, splitter, roles)
     rows = training_rows(cands, features, keep=("record_id", "cand_idx", F.col("n_neg").cast("int").alias("n_neg"))).checkpoint()
-    folds, models = run_folds_together(rows, list(plan.fold_numbers()), features, reg_params, options, no_test)
+    folds, models = run_folds_together(rows, list(plan.fold_numbers()), features, reg_params, options, no_test, compute_metrics)
     folds = folds.checkpoint()  # read by the summary and the sinks
     if output_dir:
         save_fold_models(spark, {f: as_model(features, w, rp) for f, (w, rp, _) in models.items()}, f"{output_dir}/models")
     ok = folds.where(F.col("status") == "ok")
     summary = None if ok.isEmpty() else cv_summary(ok.select("fold", "metric", "value"))
     if output_dir:
-        group = run_group_name(trainer_type, model_name, cv)
+        group = run_group or run_group_name(trainer_type, model_name, cv)
         config = {"split_type": split_type, "split_key": split_key, "test_size": test_size, "val_size": val_size,
                   "cv_folds": cv, "k_max": k_max, "trainer_type": trainer_type, "class_weights": class_weights,
                   "focal_loss_alpha": focal_loss_alpha, "focal_loss_gamma": focal_loss_gamma, "seed": seed}
@@ -215,7 +218,7 @@ def train(spark: SparkSession, records: DataFrame, split_type: str = "random", s
 
 def cv_lexical(records: DataFrame, split_type: str = "key", split_key: str | None = "source",
                test_size: float = 0.2, val_size: float = 0.2, cv: int = 1, k_max: int = K_MAX,
-               seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+               seed: int = SEED, compute_metrics=None) -> tuple[DataFrame, DataFrame]:
     """Fixed-scorer cross-validation: ``(fold metrics long, summary)``.
 
     Items are scored once; every fold's test report comes from one grouped
@@ -225,7 +228,7 @@ def cv_lexical(records: DataFrame, split_type: str = "key", split_key: str | Non
                        False, seed)
     keep = (split_key,) if split_type == "key" else ()
     items = lexical_items(records, k_max, seed, keep=keep)
-    long = prefix_metrics(fold_metrics_long(fold_reports(items, plan)))
+    long = prefix_metrics(fold_metrics_long(fold_reports(items, plan, compute_metrics=compute_metrics)))
     return long, cv_summary(long)
 
 

@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .csv_blocks import read_csv
+
 RECORD_SCHEMA = "text_raw STRING, summary STRING, metadata STRUCT<source: STRING>"
 
 
@@ -55,24 +57,41 @@ def group_key(df: DataFrame, key: str):
 FILE = "_file_name"
 
 
+#: surplus copies whose numbers are sent to the tasks (24 bytes each)
+MAX_BROADCAST_ROWS = 2_000_000
+
+
 def with_record_id(df: DataFrame) -> DataFrame:
     """Stable id per row: ``xxhash64(file, content, k)``, ``k`` numbering equal rows.
 
     Equal rows of one file are interchangeable, so which of them gets which
-    ``k`` changes nothing. They are numbered within each task first and then
-    offset by task, so a line that fills a third of a file is not gathered in
-    one place. ``FILE`` (the file's name), where present, is dropped.
+    ``k`` changes nothing. One pass over the hashes runs at once and counts
+    the surplus copies. Without any, an id is a function of its row. Else the
+    copies' positions (hash and position, no contents) are numbered within
+    each task and then offset by task, so a line that fills a third of a file
+    is not gathered in one place; the rows look their number up. Contents
+    move only beyond ``MAX_BROADCAST_ROWS`` surplus copies. ``FILE`` (the
+    file's name), where present, is dropped.
     """
     content = [c for c in df.columns]
-    x = df.withColumn("_h", F.xxhash64(*content)).withColumn("_task", F.spark_partition_id())
-    counts = x.groupBy("_h", "_task").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("_h").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).select("_h", "_task", "_off")
-    local = F.row_number().over(Window.partitionBy("_h", "_task").orderBy("_h"))
-    x = x.withColumn("_k", local).join(offsets, ["_h", "_task"])
-    k = F.col("_k") + F.col("_off")
-    record_id = F.when(k == 1, F.col("_h")).otherwise(F.xxhash64("_h", k.cast("bigint")))
-    return x.withColumn("record_id", record_id).drop("_h", "_task", "_k", "_off", FILE)
+    x = df.withColumn("_h", F.xxhash64(*content))
+    surplus = x.groupBy("_h").count().where("count > 1").agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("n")).first()["n"]
+    if not surplus:
+        return x.withColumn("record_id", F.col("_h")).drop("_h", FILE)
+    x = x.withColumn("_pos", F.monotonically_increasing_id())
+    # both sides of the join below read this one exchange
+    dealt = x.select("_h", "_pos", F.shiftright("_pos", 33).alias("_task")).repartition("_h", "_task")
+    by_hash = Window.partitionBy("_h")
+    before = by_hash.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (dealt.groupBy("_h", "_task").agg(F.count(F.lit(1)).alias("_n"))
+               .select("_h", "_task", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"),
+                       F.sum("_n").over(by_hash).alias("_all")).where("_all > 1"))
+    local = F.row_number().over(Window.partitionBy("_h", "_task").orderBy("_pos"))
+    numbers = (dealt.withColumn("_k", local).join(offsets, ["_h", "_task"])
+               .select("_h", "_pos", (F.col("_k") + F.col("_off")).cast("bigint").alias("_k")).where("_k > 1"))
+    x = x.join(F.broadcast(numbers) if surplus <= MAX_BROADCAST_ROWS else numbers, ["_h", "_pos"], "left")
+    record_id = F.when(F.col("_k").isNull(), F.col("_h")).otherwise(F.xxhash64("_h", "_k"))
+    return x.withColumn("record_id", record_id).drop("_h", "_pos", "_k", FILE)
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
@@ -106,15 +125,18 @@ def read_eval_csv(spark: SparkSession, path: str, text: str = "text", multi_line
     All columns are kept as strings and carried to the scored output; a
     ``record_id`` is added. A missing file or column raises.
 
-    ``multi_line`` allows line breaks inside quoted fields; each file is then
-    read by one task, so a large table should come in many files. Without it
-    a file is split like any other.
+    ``multi_line`` allows line breaks inside quoted fields; files are split
+    all the same (see ``csv_blocks``). Without it a line is a record, which
+    saves the pass over the quotes.
     """
-    df = (spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
-          .option("mode", "FAILFAST").csv(path))
+    if multi_line:
+        df = read_csv(spark, path, FILE)
+    else:
+        df = (spark.read.option("header", True).option("escape", '"').option("mode", "FAILFAST").csv(path)
+              .withColumn(FILE, F.col("_metadata.file_name")))
     if text not in df.columns:
-        raise KeyError(f"evaluation table needs a {text!r} column; found {df.columns}")
-    return with_record_id(df.withColumn(FILE, F.col("_metadata.file_name")))
+        raise KeyError(f"evaluation table needs a {text!r} column; found {[c for c in df.columns if c != FILE]}")
+    return with_record_id(df)
 
 
 def require_nonempty(df: DataFrame, what: str = "records") -> DataFrame:

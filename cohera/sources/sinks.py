@@ -6,7 +6,7 @@ import json
 import os
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.names import metric_name
@@ -35,16 +35,40 @@ def run_group_name(trainer_type: str, model_name: str, cv: int) -> str:
     return f"{prefix}_{os.path.basename(model_name)}_{uuid.uuid4().hex[:8]}"
 
 
+def commit_run(rows: DataFrame, path: str, run_group: str) -> None:
+    """Write a run's rows so that readers see them once, or not at all.
+
+    Every attempt writes to a folder of its own under ``path/rows``; one line
+    under ``path/commits`` then names the attempt. A failure before that line
+    leaves nothing that ``read_runs`` would show, and a repeated write
+    replaces the run as a whole.
+    """
+    attempt = uuid.uuid4().hex
+    (rows.withColumn("run_group", F.lit(run_group)).withColumn("attempt", F.lit(attempt))
+     .write.mode("append").partitionBy("run_group", "attempt").parquet(f"{path}/rows"))
+    line = rows.sparkSession.range(1).select(F.lit(run_group).alias("run_group"), F.lit(attempt).alias("attempt"),
+                                             F.current_timestamp().alias("committed_at"))
+    line.coalesce(1).write.mode("append").parquet(f"{path}/commits")
+
+
+def read_runs(spark: SparkSession, path: str, run_group: str | None = None) -> DataFrame:
+    """The rows of committed runs: of each run its last committed attempt. Fails where nothing was committed."""
+    commits = spark.read.parquet(f"{path}/commits")
+    rows = spark.read.parquet(f"{path}/rows")
+    if run_group is not None:
+        commits, rows = (x.where(F.col("run_group") == run_group) for x in (commits, rows))
+    last = commits.groupBy("run_group").agg(F.max(F.struct("committed_at", "attempt"))["attempt"].alias("attempt"))
+    return rows.join(last, ["run_group", "attempt"]).drop("attempt")
+
+
 def write_fold_results(fold_results: DataFrame, path: str, run_group: str, config: dict) -> None:
-    """Append ``(run_group, job_type, fold, metric, value, status, config)``."""
-    (fold_results.withColumn("run_group", F.lit(run_group)).withColumn("job_type", F.lit("train_fold"))
-     .withColumn("config", F.lit(json.dumps(config, sort_keys=True, default=str)))
-     .write.mode("append").partitionBy("run_group").parquet(path))
+    """Commit ``(run_group, job_type, fold, metric, value, status, config)`` (see ``commit_run``)."""
+    commit_run(fold_results.withColumn("job_type", F.lit("train_fold"))
+               .withColumn("config", F.lit(json.dumps(config, sort_keys=True, default=str))), path, run_group)
 
 
 def write_cv_summary(summary: DataFrame, path: str, run_group: str, config: dict) -> None:
-    """Append the summary rows; the config drops ``fold`` and ``output_dir_fold``."""
+    """Commit the summary rows; the config drops ``fold`` and ``output_dir_fold``."""
     cfg = {k: v for k, v in config.items() if k not in ("fold", "output_dir_fold")}
-    (summary.withColumn("run_group", F.lit(run_group)).withColumn("job_type", F.lit("cv_summary"))
-     .withColumn("config", F.lit(json.dumps(cfg, sort_keys=True, default=str)))
-     .write.mode("append").partitionBy("run_group").parquet(path))
+    commit_run(summary.withColumn("job_type", F.lit("cv_summary"))
+               .withColumn("config", F.lit(json.dumps(cfg, sort_keys=True, default=str))), path, run_group)

@@ -524,8 +524,8 @@ def _md5_list(expr: str) -> str:
 
 def all_queries() -> dict[str, str]:
     sq: dict[str, str] = {}
-    sq["read_records"] = ("WITH " + RECS + "\nSELECT record_id, source, length(summary)::BIGINT AS n_chars, "
-                          "md5(summary) AS summary_md5 FROM recs")
+    sq["read_records"] = ("WITH " + RECS + "\nSELECT record_id AS doc_id, source, length(summary)::BIGINT AS n_chars, "
+                          "md5(summary) AS summary_md5, 1::BIGINT AS id_rows FROM recs")
     sq["filter_nonempty"] = "SELECT count(*)::BIGINT AS n_kept FROM documents WHERE text IS NOT NULL AND text <> ''"
     base = cte(RECS, SENT, PLAN)
     sq["split_sentences"] = (base + "\nSELECT record_id, n::INTEGER AS n_sentences, "
@@ -667,6 +667,9 @@ items AS MATERIALIZED (
     sq["jsonl_records"] = ("WITH " + RECS + "\nSELECT source, count(*)::BIGINT AS n, count(*)::BIGINT AS n_ids, "
                            "count(DISTINCT summary)::BIGINT AS n_texts FROM recs GROUP BY source")
     sq["flatten_record"] = "SELECT doc_id, source, md5(text) AS summary_md5 FROM documents"
+    sq["read_eval_csv"] = (
+        "WITH lined AS (SELECT doc_id, '\"' || replace(text, '. ', '.' || chr(10)) || '\",' || chr(10) AS t FROM documents WHERE text <> '')\n"
+        "SELECT doc_id, length(t)::BIGINT AS n_chars, md5(t) AS text_md5, 1::BIGINT AS id_rows FROM lined")
     sq["eval_csv_report"] = scored_with(BENCH_RECS) + "\n" + report_select()
     sq["eval_csv_items"] = scored_with(BENCH_RECS) + (
         f"\nSELECT p.record_id AS item_id, round(CASE WHEN i.n_neg > 0 THEN i.wins::DOUBLE / i.n_neg ELSE -1.0 END,"

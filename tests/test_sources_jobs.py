@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cohera.plans import jobs as J
 from cohera.sources.records import read_eval_csv, read_records, require_nonempty
-from cohera.sources.sinks import run_group_name, write_metrics
+from cohera.sources.sinks import commit_run, read_runs, run_group_name, write_fold_results, write_metrics
 
 from conftest import SF001
 
@@ -118,9 +118,9 @@ def test_train_job(spark, scratch):
     assert {r.status for r in rows} == {"ok"} and {r.fold for r in rows} == {1, 2}
     got = {r.metric: r for r in summary.collect()}
     assert got["test_evaluated_items_count"].n_folds == 2
-    back = spark.read.parquet(os.path.join(scratch, "fold_results"))
+    back = read_runs(spark, os.path.join(scratch, "fold_results"))
     assert back.select("run_group").distinct().count() == 1
-    kept = {r.metric: r for r in spark.read.parquet(os.path.join(scratch, "cv_summary")).collect()}
+    kept = {r.metric: r for r in read_runs(spark, os.path.join(scratch, "cv_summary")).collect()}
     assert kept["test_recall@3"].mean == got["test_recall@3"].mean and kept["test_recall@3"].job_type == "cv_summary"
     report = J.evaluate_saved(spark, docs, os.path.join(scratch, "models", "fold=1")).first()
     assert report.evaluated_items_count > 0
@@ -219,3 +219,141 @@ def test_normalized_original_and_splitter(spark):
     assert bars.first().evaluated_items_count == 1
     cut = J.model_candidates(docs, max_length=2).where("record_id = 1").collect()
     assert all(c.truncated and len(c.text.split()) == 2 for c in cut)
+
+
+def _exchanged(df) -> list[str]:
+    """The input columns of every exchange in the plan."""
+    plan = df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    blocks = plan.split("\n\n")
+    return [b for b in blocks if "Exchange\n" in b and "Input" in b]
+
+
+def test_record_ids_move_no_texts(spark, scratch, monkeypatch):
+    from cohera.sources import records as R
+
+    lines = [{"text_raw": f"r{i}", "summary": f"Text {i}. B.", "metadata": {"source": "s"}} for i in range(300)]
+    p = _jsonl(os.path.join(scratch, "one.jsonl"), lines)
+    recs = read_records(spark, p)
+    assert not _exchanged(recs) and recs.select("record_id").distinct().count() == 300
+    p = _jsonl(os.path.join(scratch, "two.jsonl"), lines + [lines[3]] * 400 + [lines[5]] * 2)
+    recs = read_records(spark, p)
+    moved = _exchanged(recs)
+    assert moved and not any("summary" in x or "text_raw" in x for x in moved)
+    ids = sorted(r.record_id for r in recs.collect())
+    assert len(set(ids)) == 702
+    monkeypatch.setattr(R, "MAX_BROADCAST_ROWS", 0)  # the way beyond the broadcast bound
+    assert sorted(r.record_id for r in read_records(spark, p).collect()) == ids
+    first = {r.text_raw: r.record_id for r in recs.where("text_raw not in ('r3', 'r5')").collect()}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    try:
+        other = read_records(spark, p).cache()
+        assert sorted(r.record_id for r in other.collect()) == ids
+        assert {r.text_raw: r.record_id for r in other.where("text_raw not in ('r3', 'r5')").collect()} == first
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+CSV = ('id,text,more\r\n1,"a ""quoted"" word",x\r\n2,"two\nlines, and\n\nmore",\r\n\r\n3,plain,"",\r\n'
+       .replace('"",\r', '""\r') + '4,"ends\n""\n",é\r\n5,,"\n\n\n\n"\r\n6,"{}",z\r\n7,"last"'.format("long\nline\n" * 9) + ',w')
+
+
+def _csv_rows(df):
+    return sorted(tuple(r) for r in df.select("id", "text", "more").collect())
+
+
+@pytest.mark.parametrize("text", [CSV, CSV.replace("\r\n", "\n"), "\r\n" + CSV + "\r\n"])
+def test_csv_cut_anywhere(spark, scratch, text):
+    import csv
+    import io
+
+    path = os.path.join(scratch, "t.csv")
+    with open(path, "w", newline="") as f:
+        f.write(text)
+    norm = lambda rows: sorted((a, b or "", c or "") for a, b, c in rows)  # noqa: E731 (null or empty: compared below)
+    want = norm([r for r in csv.reader(io.StringIO(text, newline="")) if r][1:])
+    ids, whole = None, (spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path))
+    n = len(text.encode())
+    for size in (5, 23, 64, n // 2 + 1):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        try:
+            df = read_eval_csv(spark, path).cache()
+            got = _csv_rows(df)
+            assert norm(got) == want, size
+            if "\r" not in text:
+                assert got == _csv_rows(whole), size
+            now = sorted(r.record_id for r in df.collect())
+            ids = ids or now
+            assert now == ids and len(set(now)) == len(want)
+        finally:
+            df.unpersist()
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_csv_of_many_files_and_errors(spark, scratch):
+    rows = [(i, f"line {i}\n\"x\", y\n" * (i % 5), None if i % 7 else "m") for i in range(500)]
+    path = os.path.join(scratch, "many")
+    (spark.createDataFrame(rows, "id int, text string, more string").repartition(5).write.option("header", True)
+     .option("escape", '"').option("ignoreTrailingWhiteSpace", False).option("ignoreLeadingWhiteSpace", False).csv(path))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        df = read_eval_csv(spark, path).cache()
+        assert sorted((int(r.id), r.text or "", r.more) for r in df.collect()) == [(i, t, m) for i, t, m in rows]
+        assert df.select("record_id").distinct().count() == 500
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    bad = os.path.join(scratch, "bad.csv")
+    with open(bad, "w") as f:
+        f.write("id,text\n1,a,b\n")
+    with pytest.raises(Exception, match="MALFORMED"):
+        read_eval_csv(spark, bad).collect()
+    with pytest.raises(AnalysisException, match="PATH_NOT_FOUND"):
+        read_eval_csv(spark, os.path.join(scratch, "none.csv"))
+    empty = os.path.join(scratch, "empty.csv")
+    with open(empty, "w") as f:
+        f.write("id,text\n")
+    assert read_eval_csv(spark, empty).count() == 0
+
+
+def test_runs_are_committed_whole(spark, scratch):
+    rows = spark.createDataFrame([(1, "test_x", 0.5, "ok"), (2, "test_x", 0.7, "ok")], "fold int, metric string, value double, status string")
+    path = os.path.join(scratch, "runs")
+    write_fold_results(rows, path, "a", {"cv": 2})
+    write_fold_results(rows.where("fold = 1"), path, "b", {})
+    write_fold_results(rows.withColumn("value", F.col("value") + 1), path, "a", {"cv": 2})  # run again: replaces
+    got = sorted((r.run_group, r.fold, r.value) for r in read_runs(spark, path).collect())
+    assert got == [("a", 1, 1.5), ("a", 2, 1.7), ("b", 1, 0.5)]
+    broken = rows.withColumn("value", F.when(F.col("fold") == 2, F.raise_error(F.lit("boom")).cast("double")).otherwise(F.col("value")))
+    with pytest.raises(Exception, match="boom"):
+        commit_run(broken.repartition(2, "fold"), path, "a")
+    # rows written, but the job was lost before its commit
+    (rows.withColumn("run_group", F.lit("c")).withColumn("attempt", F.lit("lost")).write.mode("append")
+     .partitionBy("run_group", "attempt").parquet(f"{path}/rows"))
+    assert sorted((r.run_group, r.fold, r.value) for r in read_runs(spark, path).drop("job_type", "config").collect()) == got
+    assert read_runs(spark, path, "b").count() == 1 and set(read_runs(spark, path).columns) == {
+        "run_group", "fold", "metric", "value", "status", "job_type", "config"}
+
+
+def test_compute_metrics_runs_in_the_same_pass(spark):
+    docs = spark.read.parquet(f"{SF001}/documents.parquet").selectExpr(
+        "doc_id AS record_id", "text AS summary", "concat('g', doc_id % 3) AS source")
+
+    def own():
+        ev = F.col("rankable")
+        return {"mrr_again": F.avg(F.when(ev, 1.0 / F.col("rank"))), "worst_rank": F.max(F.when(ev, F.col("rank"))),
+                "top_again": F.count_if(ev & (F.col("rank") == 1))}
+
+    rep = J.evaluate(docs, compute_metrics=own).first()
+    assert round(rep.mrr_again, 9) == rep.mean_reciprocal_rank and rep.top_again == rep.top_1_success_count and rep.worst_rank > 1
+    plain = J.evaluate(docs).first().asDict()
+    assert plain == {k: v for k, v in rep.asDict().items() if k in plain} and len(rep) == len(plain) + 3
+    long, summary = J.cv_lexical(docs, "key", "source", compute_metrics=own)
+    got = {(r.fold, r.metric): r.value for r in long.collect()}
+    assert all(got[f, "test_top_again"] == got[f, "test_top_1_success_count"] for f in (1, 2, 3))
+    assert "test_worst_rank" in {r.metric for r in summary.collect()}
+    folds, _ = J.train(spark, docs, "key", "source", reg_params=(0.01,), compute_metrics=own)
+    by = {(r.fold, r.metric): r.value for r in folds.collect()}
+    assert all(round(by[f, "test_mrr_again"], 9) == by[f, "test_mean_reciprocal_rank"] for f in (1, 2, 3))
+    with pytest.raises(ValueError, match="top_1_accuracy"):
+        J.evaluate(docs, compute_metrics=lambda: {"top_1_accuracy": F.count(F.lit(1))})
