@@ -35,7 +35,7 @@ TRAIN_CHAIN = 64
 #: a lexicon word was seen so often, and in its language with this share
 LEXICON_SEEN, LEXICON_SHARE = 3, 0.6
 UNKNOWN = "und"
-_SAMPLE = 1 << 20
+_SAMPLE = 1 << 40
 #: text whose words are labelled together
 PIECE_BYTES = 1 << 20
 
@@ -203,7 +203,7 @@ def train(docs: DataFrame, rule: Column, lang: str = "lang", id_col: str = "doc_
     few = F.lit(False)
     number = F.lit(None).cast("int")
     for i, name in enumerate(langs):
-        limit = int(min(1.0, MAX_PER_LANG / counts[name]) * _SAMPLE)
+        limit = max(1, int(min(1.0, MAX_PER_LANG / counts[name]) * _SAMPLE))
         few = few | ((F.col(lang) == F.lit(name)) & (spot < F.lit(limit)))
         number = F.when(F.col(lang) == F.lit(name), F.lit(i)).otherwise(number)
     shards = max(1, math.ceil(sum(min(n, MAX_PER_LANG) for n in counts.values()) / SHARD_ROWS))

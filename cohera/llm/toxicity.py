@@ -7,7 +7,9 @@ weights at zero, so the model is a short list of (slot, weight) whose size
 is bounded by the number of slots, whatever the corpus.
 
 The model is fitted on a bounded sample of labelled rows, in shards of
-bounded size whose weights are averaged; every document is scored.
+bounded size whose weights are averaged. L1 and averaging shrink its sums, so
+scale and bias are then fitted on rows kept back from the sample (Platt's
+method). Every document is scored.
 """
 
 from __future__ import annotations
@@ -28,8 +30,10 @@ BITS = 20
 MAX_ROWS = 20_000
 SHARD_ROWS = 5_000
 #: FTRL-proximal: learning rate, its damping, L1, L2, passes
-ALPHA, BETA, L1, L2, EPOCHS = 1.0, 1.0, 2.5, 0.1, 6
-_SAMPLE = 1 << 20
+ALPHA, BETA, L1, L2, EPOCHS = 1.0, 1.0, 6.0, 0.1, 6
+#: one in so many sampled rows is not learned from but sets the score's scale
+CALIBRATION = 5
+_SAMPLE = 1 << 40
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -71,6 +75,30 @@ def fit_ftrl(rows: list[tuple[np.ndarray, int]], bias0: float) -> tuple[np.ndarr
     return w, bias
 
 
+def platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """(a, b) such that ``a * z + b`` is the log-odds of label 1, by damped Newton steps.
+
+    The rarer class weighs more, by the square root of its odds. Without both
+    classes it is (1, 0).
+    """
+    ones, zeros = float((y == 1).sum()), float((y == 0).sum())
+    if not ones or not zeros:
+        return 1.0, 0.0
+    at = np.lexsort((y, z))  # sums do not depend on the rows' order
+    z, y = z[at], y[at]
+    want = np.where(y == 1, (ones + 1) / (ones + 2), 1 / (zeros + 2))
+    weight = np.where(y == 1, math.sqrt(zeros / ones), 1.0)
+    a, b = 1.0, 0.0
+    for _ in range(60):
+        p = 1.0 / (1.0 + np.exp(-np.clip(a * z + b, -30, 30)))
+        g, h = weight * (p - want), weight * p * (1 - p)
+        hess = np.array([[(h * z * z).sum() + 1.0, (h * z).sum()], [(h * z).sum(), h.sum() + 1e-6]])  # a is held near 1
+        step = np.linalg.solve(hess, [(g * z).sum() + a - 1.0, g.sum()])
+        step *= min(1.0, 2.0 / max(float(np.abs(step).max()), 1e-9))
+        a, b = a - float(step[0]), b - float(step[1])
+    return (a, b) if a > 0 else (1.0, 0.0)
+
+
 def labelled(docs: DataFrame, labels: DataFrame, train: Column, label: str, id_col: str, text_col: str,
              max_rows: int = MAX_ROWS) -> tuple[DataFrame, int]:
     """(text, y, order) of about ``max_rows`` labelled training rows, and how many labels there are.
@@ -84,7 +112,7 @@ def labelled(docs: DataFrame, labels: DataFrame, train: Column, label: str, id_c
     total = known.count()
     spot = F.pmod(F.xxhash64(F.col("_id").cast("string")), F.lit(_SAMPLE))
     share = min(1.0, max_rows / max(total, 1))
-    few = known.where(spot < F.lit(int(share * _SAMPLE))).withColumn("order", spot)
+    few = known.where(spot < F.lit(max(1, int(share * _SAMPLE)))).withColumn("order", spot)
     texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return texts.join(F.broadcast(few), "_id").select("_id", "text", "y", "order"), total
 
@@ -98,7 +126,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str
     """
     rows, total = labelled(docs, labels, F.lit(True) if rule is None else rule, label, id_col, text_col)
     shards = max(1, math.ceil(min(total, MAX_ROWS) / SHARD_ROWS))
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64(F.col("_id").cast("string"), F.lit("shard")), F.lit(shards)).cast("int"))
+    back = F.pmod(F.xxhash64(F.col("_id").cast("string"), F.lit("calibrate")), F.lit(CALIBRATION)) == 0
+    kept_back, rows = rows.where(back).select("text", "y"), rows.where(~back)
+    # copies under one id are dealt by their texts too
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64(F.col("_id").cast("string"), "text", F.lit("shard")), F.lit(shards)).cast("int"))
 
     def prepare(batches):
         for part, buf, offs in text_batches(batches, "text"):
@@ -130,7 +161,12 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str
     own = slot < 0
     fitted = int(model["n"].to_numpy()[own][0])  # shards that had rows
     at = np.argsort(slot[~own])
-    return slot[~own][at], (w[~own][at] / fitted).astype(np.float32), float(w[own][0] / fitted)
+    slots, weights, bias = slot[~own][at], w[~own][at] / fitted, float(w[own][0] / fitted)
+    # about MAX_ROWS / CALIBRATION rows
+    seen = score(kept_back, (slots, weights.astype(np.float32), bias), keep_text=False).toArrow()
+    p = np.clip(seen["score"].to_numpy(), 1e-13, 1 - 1e-13)
+    a, b = platt(np.log(p / (1 - p)), seen["y"].to_numpy())
+    return slots, (a * weights).astype(np.float32), a * bias + b
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text_col: str = "text",
@@ -164,7 +200,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     Rows whose crc32(id as text) mod ``folds`` is 0 are never learned from.
     Null ids count as the text ``null``; null texts as empty; rows that
     repeat are scored each; an empty table gives no rows; labels without a
-    document, or neither 0 nor 1, are ignored.
+    document, or neither 0 nor 1, are ignored. Other columns are ignored,
+    whatever their names. A very long text is scored whole, by one task.
     """
     model = train(docs, labels, label, id_col, text_col, F.pmod(id_hash(id_col), F.lit(folds)) != 0)
     x = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"),
