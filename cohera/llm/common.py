@@ -94,9 +94,8 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-#: odd multiplier of the polynomial hashes and its inverse modulo 2**64
+#: odd multiplier of the polynomial hashes
 BASE = 0x9E3779B97F4A7C55
-BASE_INV = pow(BASE, -1, 1 << 64)
 
 
 def powers(base: int, n: int) -> np.ndarray:
@@ -107,17 +106,20 @@ def powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = BASE) -> np.ndarray:
     """Polynomial hash of ``values[s:e]`` for every range, from prefix sums.
 
-    ``sum(values[i] * BASE**(i - s))`` modulo 2**64, finalized: equal content
-    gives equal hashes wherever it stands.
+    ``sum(values[i] * base**(i - s))`` modulo 2**64, finalized: equal content
+    gives equal hashes wherever it stands. ``base`` is odd.
     """
     n = len(values)
     pre = np.zeros(n + 1, np.uint64)
-    np.cumsum(values.astype(np.uint64) * powers(BASE, n), out=pre[1:])
-    inv = powers(BASE_INV, n + 1)
-    h = (pre[ends] - pre[starts]) * inv[starts]
+    pre[1:] = powers(base, n)
+    pre[1:] *= values
+    np.cumsum(pre, out=pre)
+    h = pre[ends] - pre[starts]
+    del pre  # eight times the text: not held beside the next array
+    h *= powers(pow(base, -1, 1 << 64), n + 1)[starts]
     return mix64(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 

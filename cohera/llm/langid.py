@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
-from .common import id_hash, materialized, mix64, range_hashes, text_batches, word_spans
+from .common import id_hash, materialized, mix64, range_hashes, release, text_batches, word_spans
 
 BITS = 17
 CHAIN = 128
@@ -234,6 +234,7 @@ def train(docs: DataFrame, rule: Column, lang: str = "lang", id_col: str = "doc_
         batch = part.select(["text"]).to_batches(max_chunksize=part.num_rows)[0]
         _, buf, offs = next(text_batches([batch], "text", 1 << 40))
         w = fit_crf(Words(buf, offs), part["y"].to_numpy(), k, shipped.value, int(part["shard"][0].as_py()))
+        release()
         live = np.flatnonzero(np.abs(w["feature"]).max(1) > 1e-6)
         flat = [("feature", live, w["feature"][live])] + [(name, np.arange(len(w[name].reshape(-1, k))), w[name].reshape(-1, k))
                                                           for name in ("lexicon", "trans", "start")]
