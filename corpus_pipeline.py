@@ -21,7 +21,7 @@ RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters, or without one language for half of their words, go."""
+    """Documents without a letter go; those in several languages stay."""
     return langid.keep_identified(docs)
 
 
