@@ -244,6 +244,16 @@ def test_bpe_query(tiny, reference_bpe):
     assert got == sorted(want, key=lambda r: (r["doc_id"] is None, r["doc_id"], str(r)))
 
 
+def test_bpe_columns_round_trip(tiny, own_bpe):
+    df, _ = tiny
+    ids = bpe.encode(df.select("doc_id", "text"), RANKS, P.PATTERN)
+    back = bpe.decode(ids, RANKS, P.PATTERN).collect()
+    assert len(back) == df.count()
+    for r in back:
+        assert bytes(r["decoded"]).decode() == (r["text"] or "")
+        assert bytes(r["ids"]) == next(own_bpe.encode_all([r["text"] or ""]))
+
+
 # ---------------------------------------------------------------- token counts
 def test_token_tree_edits(own_bpe):
     rng = random.Random(2)
