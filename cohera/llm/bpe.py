@@ -89,8 +89,9 @@ class RankQueue:
 class ByteBPE:
     """Encoder and decoder for a table of byte strings and their ranks (= ids)."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, memo_pieces: int | None = None):
         self.ranks = ranks
+        self.memo_pieces = memo_pieces
         self.pattern = regex.compile(pattern)
         self.n = max(ranks.values(), default=0) + 1
         self.vocab: list[bytes] = [b""] * self.n
@@ -106,9 +107,9 @@ class ByteBPE:
         self.memo: dict[str, bytes] = {}
 
     @classmethod
-    def parse(cls, raw: bytes, pattern: str) -> ByteBPE:
+    def parse(cls, raw: bytes, pattern: str, memo_pieces: int | None = None) -> ByteBPE:
         """From the text of a rank file: base64 token and rank per line."""
-        return cls({base64.b64decode(t): int(r) for t, r in map(bytes.split, raw.splitlines()) if t}, pattern)
+        return cls({base64.b64decode(t): int(r) for t, r in map(bytes.split, raw.splitlines()) if t}, pattern, memo_pieces)
 
     def _pair(self, a: int, b: int) -> int:
         """Rank of two neighbouring tokens' bytes, or none."""
@@ -226,7 +227,7 @@ class ByteBPE:
                 whole[p] = rank.to_bytes(4, "little")
         merged = self.merge([raw for _, raw in parts]) if parts else []
         whole.update((p, ids) for (p, _), ids in zip(parts, merged))
-        if len(memo) + len(whole) > MEMO_PIECES:
+        if len(memo) + len(whole) > (self.memo_pieces or MEMO_PIECES):
             kept = dict(memo)
             kept.update(whole)
             memo.clear()
@@ -247,15 +248,15 @@ def array_u4(packed: bytes) -> list[int]:
     return np.frombuffer(packed, "<u4").tolist()
 
 
-_LOADED: dict[tuple[str, str], ByteBPE] = {}
+_LOADED: dict[tuple, ByteBPE] = {}
 
 
-def load(raw: bytes, pattern: str) -> ByteBPE:
-    """The tokenizer of a rank file, made once per worker process."""
-    key = (hashlib.sha256(raw).hexdigest(), pattern)
+def load(raw: bytes, pattern: str, memo_pieces: int | None = None) -> ByteBPE:
+    """The tokenizer of a rank file, made once per worker process; it keeps ``memo_pieces`` pre-tokens (or ``MEMO_PIECES``)."""
+    key = (hashlib.sha256(raw).hexdigest(), pattern, memo_pieces)
     if key not in _LOADED:
         _LOADED.clear()
-        _LOADED[key] = ByteBPE.parse(raw, pattern)
+        _LOADED[key] = ByteBPE.parse(raw, pattern, memo_pieces)
     return _LOADED[key]
 
 

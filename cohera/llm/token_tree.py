@@ -16,15 +16,17 @@ it stands in; matching restarts before that.
 
 from __future__ import annotations
 
-import hashlib
+import uuid
 from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField, StructType
 
+from ..session import ensure_checkpoint_dir
 from . import bpe as B
 from .common import text_batches
 
@@ -33,6 +35,12 @@ LEAF = 32
 GROWN = 8
 #: what a match may look at beyond its end
 LOOK = 2
+#: pre-tokens whose ids a worker keeps
+MEMO_PIECES = 1_000_000
+#: bytes of trees that are edited together
+STATE_BYTES = 4 << 20
+#: of the derived edits, those of the first round
+FIRST = 2
 EDIT = "array<struct<pos:bigint,del:bigint,ins:string>>"
 
 
@@ -217,17 +225,29 @@ STATE = ("leaves", "lens", "counts", "per_leaf")
 
 
 def _pack(leaves: list[Leaf]) -> tuple[list[str], bytes, bytes, bytes]:
-    """Leaves as columns: texts, then lengths, counts and pre-tokens per leaf as packed integers."""
+    """Leaves as columns: texts, then lengths, counts and pre-tokens per leaf as packed integers.
+
+    Lengths and counts take one, two or four bytes each, as the largest needs.
+    """
     full = [leaf for leaf in leaves if len(leaf[1])]
-    u4 = lambda parts: np.concatenate(parts).astype("<u4").tobytes() if parts else b""
-    return ([leaf[0] for leaf in full], u4([leaf[1] for leaf in full]), u4([leaf[2] for leaf in full]),
+    return ([leaf[0] for leaf in full], _narrow([leaf[1] for leaf in full]), _narrow([leaf[2] for leaf in full]),
             np.array([len(leaf[1]) for leaf in full], "<u4").tobytes())
 
 
+def _narrow(parts: list[np.ndarray]) -> bytes:
+    if not parts:
+        return b""
+    x = np.concatenate(parts)
+    most = int(x.max())
+    return x.astype("<u1" if most < 1 << 8 else "<u2" if most < 1 << 16 else "<u4").tobytes()
+
+
 def _unpack(tokenizer: B.ByteBPE, leaves: list[str], lens: bytes, counts: bytes, per_leaf: bytes) -> TokenTree:
-    n, c, k = (np.frombuffer(x, "<u4") for x in (lens, counts, per_leaf))
+    k = np.frombuffer(per_leaf, "<u4")
     if not len(k):
         return TokenTree(tokenizer, [])
+    total = int(k.sum())
+    n, c = (np.frombuffer(x, f"<u{len(x) // total}") for x in (lens, counts))
     ends = np.cumsum(k, dtype=np.int64)
     starts = ends - k
     tokens = np.add.reduceat(c, starts, dtype=np.int64).tolist()
@@ -250,7 +270,7 @@ def build_trees(docs: DataFrame, path: str, pattern: str, text_col: str = "text"
     fields = [f for f in docs.schema.fields if f.name in keep]
 
     def run(batches):
-        bpe = B.load(raw.value, pattern)
+        bpe = B.load(raw.value, pattern, MEMO_PIECES)
         for part, _, _ in text_batches(batches, text_col, B.PIECE_BYTES):
             texts = part.column(part.schema.get_field_index(text_col)).to_pylist()
             split = [bpe.pattern.findall(t or "") for t in texts]
@@ -271,6 +291,17 @@ def _tree_column(rows: Iterable[tuple]) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], list(STATE))
 
 
+def _by_bytes(batch: pa.RecordBatch) -> Iterable[pa.RecordBatch]:
+    """Pieces of a batch with about ``STATE_BYTES`` of trees each, by the lengths stored in them."""
+    lens = batch.column(batch.schema.get_field_index("tree")).field("lens")
+    sizes = pc.fill_null(pc.binary_length(lens), 0).to_numpy(zero_copy_only=False).astype(np.int64) * 8 + 64
+    piece = np.cumsum(sizes) // STATE_BYTES
+    cuts = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts, cuts[1:]):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
 def apply_edits(state: DataFrame, path: str, pattern: str, edits_col: str = "edits") -> DataFrame:
     """Apply each row's edits in order to its tree.
 
@@ -285,10 +316,9 @@ def apply_edits(state: DataFrame, path: str, pattern: str, edits_col: str = "edi
     schema = StructType(fields + _STATE_FIELDS + [StructField(c, LongType()) for c in COUNTS])
 
     def run(batches):
-        bpe = B.load(raw.value, pattern)
+        bpe = B.load(raw.value, pattern, MEMO_PIECES)
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
+            for part in _by_bytes(batch):
                 trees, nums = [], []
                 col = lambda c: part.column(part.schema.get_field_index(c))  # noqa: B023, E731
                 for kept, edits in zip(col("tree").to_pylist(), col(edits_col).to_pylist()):
@@ -306,36 +336,6 @@ def apply_edits(state: DataFrame, path: str, pattern: str, edits_col: str = "edi
 COUNTS = ["n_tokens_before", "n_tokens", "n_pieces", "n_reencoded"]
 
 
-def count_edits(docs: DataFrame, path: str, pattern: str, text_col: str = "text", edits_col: str = "edits") -> DataFrame:
-    """``build_trees`` and ``apply_edits`` in one pass, for trees that are not to be stored.
-
-    Text and edits are replaced by the counts and ``text_sha256`` of the
-    edited text.
-    """
-    raw = B.ship(docs.sparkSession, path)
-    keep = [c for c in docs.columns if c not in (text_col, edits_col, "text_sha256", *COUNTS)]
-    fields = [f for f in docs.schema.fields if f.name in keep]
-    schema = StructType(fields + [StructField(c, LongType()) for c in COUNTS] + [StructField("text_sha256", StringType())])
-
-    def run(batches):
-        bpe = B.load(raw.value, pattern)
-        for part, _, _ in text_batches(batches, text_col, B.PIECE_BYTES):
-            column = lambda c: part.column(part.schema.get_field_index(c))  # noqa: B023, E731
-            texts = column(text_col).to_pylist()
-            split = [bpe.pattern.findall(t or "") for t in texts]
-            found = bpe.lookup(p for pieces in split for p in pieces)  # one queue for all new pre-tokens
-            trees = [TokenTree.of(bpe, t or "", pieces, found) for t, pieces in zip(texts, split)]
-            before = [t.n_tokens for t in trees]
-            for tree, edits in zip(trees, column(edits_col).to_pylist()):
-                tree.take(edits)
-            nums = [before, [t.n_tokens for t in trees], [t.n_pieces for t in trees], [t.reencoded for t in trees]]
-            digest = [hashlib.sha256(t.text().encode("utf-8")).hexdigest() for t in trees]
-            yield pa.RecordBatch.from_arrays([*map(column, keep), *[pa.array(n, pa.int64()) for n in nums], pa.array(digest)],
-                                             [*keep, *COUNTS, "text_sha256"])
-
-    return docs.mapInArrow(run, schema)
-
-
 def derived_edits(id_col: Column, text: Column) -> Column:
     """Three edits that a document's own id and text fix: a replacement, an insertion, a removal.
 
@@ -355,15 +355,36 @@ def derived_edits(id_col: Column, text: Column) -> Column:
                    edit(at(8, n + 1), at(9, F.lit(200)), F.lit("")))
 
 
-def edited_counts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def edited_counts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
+                  folder: str | None = None) -> DataFrame:
     """One row per document, before and after its derived edits.
 
+    The trees are written to ``folder`` (by default a new one in the session's
+    shared folder): ``round-0`` as built, ``round-1`` after the first edits,
+    which are applied to the state read again; the later edits are applied to
+    ``round-1`` read again.
+
     doc_id, n_edits, n_tokens_before, n_tokens, n_pieces (pre-tokens after),
-    n_reencoded (pre-tokens encoded anew), text_sha256 (of the edited text).
-    Null texts are empty; repeated rows are counted each; an empty table
-    gives no rows.
+    n_reencoded (pre-tokens encoded anew, in all rounds), text_sha256 (of the
+    edited text). Null and empty texts have an empty tree, which the edits
+    fill; texts of any length are read whole, one at a time where they are
+    long; rows that repeat are counted each; other columns, whatever their
+    names, are not read. An empty table gives no rows.
     """
+    folder = folder or f"{ensure_checkpoint_dir(docs.sparkSession)}/trees-{uuid.uuid4().hex}"
     x = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"),
-                    derived_edits(F.col(id_col), F.col(text_col)).cast(EDIT).alias("edits"))
-    x = x.withColumn("n_edits", F.size("edits").cast("bigint"))
-    return count_edits(x, path, pattern).select("doc_id", "n_edits", *COUNTS, "text_sha256")
+                    derived_edits(F.col(id_col), F.col(text_col)).cast(EDIT).alias("log"))
+    state = _kept(build_trees(x, path, pattern), f"{folder}/round-0")
+    first = apply_edits(state.withColumn("edits", F.slice("log", 1, FIRST)), path, pattern)
+    first = first.withColumnsRenamed({"n_tokens_before": "before", "n_reencoded": "redone"})
+    state = _kept(first, f"{folder}/round-1")
+    last = apply_edits(state.withColumn("edits", F.slice("log", F.lit(FIRST + 1), F.size("log"))), path, pattern)
+    return last.select("doc_id", F.size("log").cast("bigint").alias("n_edits"), F.col("before").alias("n_tokens_before"),
+                       "n_tokens", "n_pieces", (F.col("redone") + F.col("n_reencoded")).alias("n_reencoded"),
+                       F.sha2(F.array_join("tree.leaves", ""), 256).alias("text_sha256"))
+
+
+def _kept(state: DataFrame, path: str) -> DataFrame:
+    """``state`` written to ``path``, and read from there."""
+    state.write.option("compression", "zstd").parquet(path)
+    return state.sparkSession.read.schema(state.schema).parquet(path)

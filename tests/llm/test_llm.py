@@ -315,6 +315,26 @@ def test_kept_state_takes_later_edits(spark, own_bpe):
     assert got[0][0] == "ro one 2 three" and got[1][0] == "ro 2"
 
 
+def test_trees_are_kept_between_rounds(spark, own_bpe, tmp_path, monkeypatch):
+    """The state in the folder is each round's text; what is counted in the end comes from it."""
+    monkeypatch.setattr(token_tree, "STATE_BYTES", 300)
+    texts = ["one two three " * 50, None, "", "x" * 70_000, "tie", "tie"]  # one pre-token beyond two bytes of length
+    df = frame(spark, texts).repartition(2)
+    got = {r["doc_id"]: r for r in token_tree.edited_counts(df, RANKS, P.PATTERN, folder=str(tmp_path / "trees")).collect()}
+    built = {r["doc_id"]: r for r in spark.read.parquet(str(tmp_path / "trees/round-0")).collect()}
+    edited = {r["doc_id"]: r for r in spark.read.parquet(str(tmp_path / "trees/round-1")).collect()}
+    for i, text in enumerate(texts):
+        text = text or ""
+        assert "".join(built[i]["tree"]["leaves"]) == text
+        for k, e in enumerate(built[i]["log"]):
+            at = min(e["pos"], len(text))
+            text = text[:at] + e["ins"] + text[at + e["del"]:]
+            if k + 1 == token_tree.FIRST:
+                assert "".join(edited[i]["tree"]["leaves"]) == text
+                assert edited[i]["n_tokens"] == len(next(own_bpe.encode_all([text]))) // 4
+        assert got[i]["text_sha256"] == sha(text) and got[i]["n_tokens"] == len(next(own_bpe.encode_all([text]))) // 4
+
+
 # ------------------------------------------------------------- substring dedup
 def brute_removed(texts, window):
     cut = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in texts]
