@@ -1,16 +1,18 @@
 """Substring dedup: Rabin-Karp hashes of every window of words, counted in Spark.
 
 Every window of ``WINDOW`` consecutive words gets a rolling (prefix-sum)
-64-bit hash. Windows are dealt by hash into buckets of bounded size, counted
+64-bit hash and, from another base over separately hashed words, a 32-bit
+check. Windows are dealt by hash into buckets of bounded size, counted
 there, and the ones that occur more than once, in any document, come back as
 positions; positions that follow each other merge into maximal intervals,
 and the words they cover are removed.
 
-What moves per window is its hash and about one byte of address. A hash that
-a piece of the input holds several times is sent once, marked as repeated,
-so a passage that a third of all documents share reaches its bucket once per
-piece and not once per document. A bucket holds a bounded number of windows
-at every scale, so a 64-bit hash errs with probability 1e-13 per window.
+What moves per window is its hash, its check and about one byte of address. A
+hash that a piece of the input holds several times is sent once, marked as
+repeated, so a passage that a third of all documents share reaches its bucket
+once per piece and not once per document. Windows count as equal where hash
+and check are; words are not compared. Of N windows, one that occurs once is
+taken for repeated with odds of N / 2**96.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialized, range_hashes, text_batches, word_spans
+from .common import BASE, materialized, range_hashes, text_batches, word_spans
 
 WINDOW = 35
 #: text whose windows one bucket counts, on average
@@ -34,7 +36,10 @@ MAX_BROADCAST = 64 << 20
 _IS_WORD = np.ones(256, bool)
 _IS_WORD[[0x20, *range(0x09, 0x0E)]] = False
 
-_ASK = "bucket int, hashes binary, many binary, keys binary, counts binary, gaps binary"
+#: odd multiplier of the checks
+CHECK_BASE = 0xD1342543DE82EF95
+
+_ASK = "bucket int, hashes binary, checks binary, many binary, many_checks binary, keys binary, counts binary, gaps binary"
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -63,56 +68,67 @@ def _unpack(keys: bytes, counts: bytes, gaps: bytes) -> tuple[np.ndarray, np.nda
     return np.frombuffer(keys, "<i8"), np.repeat(np.arange(len(n)), n), run - np.repeat(base, n)
 
 
-def window_hashes(buf: np.ndarray, offs: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, position of the first word, hash) of every window of the texts in a buffer."""
+def window_hashes(buf: np.ndarray, offs: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, position of the first word, hash, check) of every window of the texts in a buffer."""
     starts, ends, doc = word_spans(buf, offs, _IS_WORD)
     if len(doc) < window:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint32)
     at = np.flatnonzero(doc[:len(doc) - window + 1] == doc[window - 1:])
-    words = range_hashes(buf, starts, ends)
     first = np.searchsorted(doc, doc[at])
-    return doc[at], at - first, range_hashes(words, at, at + window)
+    h, check = (range_hashes(range_hashes(buf, starts, ends, base), at, at + window, base) for base in (BASE, CHECK_BASE))
+    return doc[at], at - first, h, (check >> np.uint64(32)).astype(np.uint32)
+
+
+def _alike(h: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Groups of equal (hash, check): a member of each, each row's group, sizes."""
+    _, first, inv, n = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+    if (check != check[first][inv]).any():  # different windows share a hash
+        _, first, inv, n = np.unique(np.stack([h, check.astype(np.uint64)], 1), axis=0, return_index=True,
+                                     return_inverse=True, return_counts=True)
+    return first, inv.ravel(), n
 
 
 def _ask(batches, n_buckets: int, window: int):
     for part, buf, offs in text_batches(batches, "text"):
-        doc, pos, h = window_hashes(buf, offs, window)
+        doc, pos, h, check = window_hashes(buf, offs, window)
         if not len(h):
             continue
         keys = part.column(part.schema.get_field_index("key")).to_numpy()
-        distinct, inv, n = np.unique(h, return_inverse=True, return_counts=True)
-        many = distinct[n > 1]
+        first, inv, n = _alike(h, check)
+        many = first[n > 1]
         again = n[inv] > 1
+        del first, inv, n
         bucket = ((h >> np.uint64(20)) % np.uint64(n_buckets)).astype(np.int64)
-        many_bucket = ((many >> np.uint64(20)) % np.uint64(n_buckets)).astype(np.int64)
         once = np.flatnonzero(~again)
         order = once[np.argsort(bucket[once], kind="stable")]
         edges = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
-        many = many[np.argsort(many_bucket, kind="stable")]
-        many_edges = np.searchsorted(np.sort(many_bucket), np.arange(n_buckets + 1))
+        many = many[np.argsort(bucket[many], kind="stable")]
+        many_edges = np.searchsorted(bucket[many], np.arange(n_buckets + 1))
         rows = []
         for b in np.flatnonzero((np.diff(edges) > 0) | (np.diff(many_edges) > 0)).tolist():
-            own = order[edges[b]:edges[b + 1]]
-            rows.append((b, h[own].tobytes(), many[many_edges[b]:many_edges[b + 1]].tobytes(), *_pack(keys, doc[own], pos[own])))
+            own, twice = order[edges[b]:edges[b + 1]], many[many_edges[b]:many_edges[b + 1]]
+            rows.append((b, h[own].tobytes(), check[own].tobytes(), h[twice].tobytes(), check[twice].tobytes(),
+                         *_pack(keys, doc[own], pos[own])))
         if again.any():  # known to be repeated: no hash, addresses only
             own = np.flatnonzero(again)
-            rows.append((int(h[own[0]] % np.uint64(n_buckets)), b"", b"", *_pack(keys, doc[own], pos[own])))
-        kinds = [pa.int32()] + [pa.binary()] * 5
+            rows.append((int(h[own[0]] % np.uint64(n_buckets)), b"", b"", b"", b"", *_pack(keys, doc[own], pos[own])))
+        kinds = [pa.int32()] + [pa.binary()] * 7
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)],
-                                         ["bucket", "hashes", "many", "keys", "counts", "gaps"])
+                                         ["bucket", "hashes", "checks", "many", "many_checks", "keys", "counts", "gaps"])
 
 
 def _answer(table: pa.Table, n_bins: int) -> pa.Table:
     """Addresses of one bucket's repeated windows, packed into a row per bin of documents."""
     sent = [np.frombuffer(x, np.uint64) for x in table["hashes"].to_pylist()]
-    many = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in table["many"].to_pylist()]))
-    flat = np.concatenate(sent)
-    _, inv, n = np.unique(flat, return_inverse=True, return_counts=True)
-    repeated = n[inv] > 1
-    del inv, n
-    if len(many):
-        spot = np.minimum(np.searchsorted(many, flat), len(many) - 1)
-        repeated |= many[spot] == flat
+    def column(*names: str, kind: type) -> np.ndarray:
+        return np.concatenate([np.frombuffer(x, kind) for c in names for x in table[c].to_pylist()])
+
+    _, inv, n = _alike(column("hashes", "many", kind=np.uint64), column("checks", "many_checks", kind=np.uint32))
+    here = sum(map(len, sent))
+    again = n > 1
+    again[inv[here:]] = True  # those that a piece holds several times
+    repeated = again[inv[:here]]
+    del inv, n, again
     found, start = [], 0
     for hashes, keys, counts, gaps in zip(sent, *(table[c].to_pylist() for c in ("keys", "counts", "gaps"))):
         hit = repeated[start:start + len(hashes)] if len(hashes) else None
@@ -205,7 +221,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
 
     Null and empty texts have no words; texts shorter than a window lose
     nothing. Rows that repeat repeat each other's windows, so all of them
-    lose those words. An empty table gives no rows. The interval table is
+    lose those words. Texts of any length are read whole; other columns,
+    whatever their names, are not read. An empty table gives no rows. The interval table is
     written once; it is broadcast if its measured size allows, else joined
     by a shuffle.
     """

@@ -11,6 +11,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -362,6 +363,27 @@ def test_substring_dedup(spark, tiny, monkeypatch, bucket_bytes, window):
     assert sorted((str(r[0]), *r[1:]) for r in got) == sorted(want)
 
 
+def test_windows_that_share_a_hash_are_told_apart(tiny, monkeypatch):
+    """With a hash of three bits the checks alone decide, within a piece and between pieces."""
+    real = substring_dedup.window_hashes
+
+    def weak(buf, offs, window):
+        doc, pos, h, check = real(buf, offs, window)
+        return doc, pos, h & np.uint64(7), check
+
+    monkeypatch.setattr(substring_dedup, "window_hashes", weak)
+    texts = [t or "" for _, t in tiny[1]]
+    want = [removed for _, removed, _, _ in brute_removed(texts, 5)]
+    for n in (1, len(texts)):
+        batches = [pa.RecordBatch.from_pydict({"key": list(range(i, min(i + n, len(texts)))), "text": texts[i:i + n]})
+                   for i in range(0, len(texts), n)]
+        asked = pa.Table.from_batches(list(substring_dedup._ask(iter(batches), 1, 5)))
+        merged = substring_dedup._merge(substring_dedup._answer(asked, 1), 5)
+        gone = {k: int(np.diff(np.frombuffer(s, "<u4").reshape(-1, 2)).sum())
+                for k, s in zip(merged["key"].to_pylist(), merged["spans"].to_pylist())}
+        assert any(want) and [gone.get(i, 0) for i in range(len(texts))] == want
+
+
 def test_repeats_inside_one_text(spark):
     once = " ".join(f"w{i}" for i in range(40))
     got = substring_dedup.remove_repeats(frame(spark, [once + " gap " + once, "other words"])).collect()
