@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sentences import EDGE_SPACE, join_sentences
+from ..functions.sentences import join_sentences
 
 
 def candidate_text(order: Column, summary: str = "summary", sentences: str = "sentences",
@@ -56,11 +56,17 @@ def truncate_tokens(df: DataFrame, text: str = "text", max_length: int = 512) ->
     ``text_trunc`` so the share of cut candidates is visible. Two candidates
     of one long text can keep different sentences once cut.
     """
-    tokens = F.split(F.regexp_replace(F.col(text), EDGE_SPACE, ""), r"[ \t\r\n]+")
-    df = df.withColumn("_tok", tokens).withColumn("n_tokens", F.size("_tok"))
+    # one space between tokens: then counting and cutting need no array of tokens
+    inner = F.trim(F.col(text), F.lit(" \t\r\n"))
+    other = F.contains(inner, F.lit("  "))
+    for c in "\t\r\n":
+        other = other | F.contains(inner, F.lit(c))
+    spaced = F.when(other, F.regexp_replace(inner, r"[ \t\r\n]+", " ")).otherwise(inner)
+    df = df.withColumn("_tok", spaced).withColumn(
+        "n_tokens", F.octet_length("_tok") - F.octet_length(F.replace(F.col("_tok"), F.lit(" "), F.lit(""))) + 1)
     if max_length and max_length > 0:
         df = (df.withColumn("truncated", F.col("n_tokens") > max_length)
-              .withColumn("text_trunc", F.when(F.col("truncated"), F.array_join(F.slice("_tok", 1, max_length), " "))
+              .withColumn("text_trunc", F.when(F.col("truncated"), F.substring_index("_tok", " ", max_length))
                           .otherwise(F.col(text))))
     else:
         df = df.withColumn("truncated", F.lit(False)).withColumn("text_trunc", F.col(text))
