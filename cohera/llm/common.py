@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,9 +21,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def materialized(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the session's shared checkpoint folder and read it
-    from there, so that later passes and lost executors recompute nothing."""
+    from there, so that later passes and lost executors recompute nothing.
+
+    Shuffle files of earlier passes are removed once the driver collects its
+    garbage, and Python lets go of the plans that use them; both are asked to
+    here, as rounds of passes would pile the files up."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
 
 
 def id_hash(col: str | Column) -> Column:
